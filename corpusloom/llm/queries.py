@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing
+from corpusloom.llm import mixing, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
