@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, secrets, url_filter
+from corpusloom.llm import licenses, mixing, secrets, url_filter
 
 QUERIES = {
+    "op3_licenses": licenses.query,
     "op8_secrets": secrets.query,
     "op1_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op3_licenses": licenses.ORACLE,
     "op8_secrets": secrets.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
