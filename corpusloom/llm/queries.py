@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import licenses, mixing, secrets, url_filter
+from corpusloom.llm import bpe, licenses, mixing, secrets, url_filter
 
 QUERIES = {
+    "op2_bpe": bpe.query,
     "op3_licenses": licenses.query,
     "op8_secrets": secrets.query,
     "op1_url_filter": url_filter.query,
