@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language, licenses, mixing, secrets, url_filter
+from corpusloom.llm import bpe, language, licenses, mixing, pii, secrets, url_filter
 
 QUERIES = {
+    "op10_pii": pii.query,
     "op5_language": language.query,
     "op2_bpe": bpe.query,
     "op3_licenses": licenses.query,
