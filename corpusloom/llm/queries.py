@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language, licenses, mixing, pii, secrets, url_filter
+from corpusloom.llm import bpe, language, licenses, mixing, neighbours, pii, secrets, url_filter
 
 QUERIES = {
+    "op9_neighbours": neighbours.query,
     "op10_pii": pii.query,
     "op5_language": language.query,
     "op2_bpe": bpe.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_neighbours": neighbours.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op8_secrets": secrets.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
