@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language, licenses, mixing, neighbours, pii, secrets, url_filter
+from corpusloom.llm import bpe, flac, language, licenses, mixing, neighbours, pii, secrets, url_filter
 
 QUERIES = {
+    "op4_flac": flac.query,
     "op9_neighbours": neighbours.query,
     "op10_pii": pii.query,
     "op5_language": language.query,
