@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, flac, language, licenses, mixing, neighbours, pii, secrets, url_filter
+from corpusloom.llm import bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
 
 QUERIES = {
+    "op7_ngram_join": ngram_join.query,
     "op4_flac": flac.query,
     "op9_neighbours": neighbours.query,
     "op10_pii": pii.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_ngram_join": ngram_join.ORACLE,
     "op9_neighbours": neighbours.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op8_secrets": secrets.ORACLE,
