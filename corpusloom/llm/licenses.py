@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.staging import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of text in lower case
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
@@ -81,7 +83,7 @@ def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
     templates = _templates(docs.sparkSession, phrases, notices)
     same = (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")) & (F.col("t_wide").isNull() | (F.col("wide") == F.col("t_wide")))
     place = F.expr("shiftleft(1L, place)")
-    diagonals = (
+    diagonals = stage(
         grams.join(F.broadcast(templates), same)  # of a fixed size: the templates in this file or the call
         .withColumn("diagonal", F.col("at") - F.col("place"))
         .groupBy("doc_id", "fp", "template", "label", "phrase", "grams", "length", "diagonal")
