@@ -220,5 +220,18 @@ def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Dat
     return identify(docs, fit(sample(docs, per_language)))
 
 
+def keep_identified(docs: DataFrame, least_score: float, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text has a letter and a language with at least ``least_score``."""
+    model = fit(sample(docs, per_language))
+    label = labeller(docs.sparkSession, model)
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        found = label({"text": cols["text"]})
+        keep = [i for i, (lang, score) in enumerate(zip(found["lang_pred"], found["score"], strict=True)) if lang != "und" and score >= least_score]
+        return {name: [values[i] for i in keep] for name, values in cols.items()}
+
+    return map_rows(docs, run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

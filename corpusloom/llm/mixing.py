@@ -83,17 +83,17 @@ def _boundary(rows: DataFrame, found: DataFrame, shift: int) -> DataFrame:
 def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (and the columns of ``keep``) for every row of ``docs``."""
-    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")))
+    """doc_id, size, source_size, target, taken, copies (and row, a struct of the columns ``keep``) for every row of ``docs``."""
+    sized = {"size": word_count(F.col("text")), "h": id_hash(F.col("doc_id"))}
+    rows = stage(docs.select("doc_id", "source", *(v.alias(k) for k, v in sized.items())))
     thresholds = _thresholds(rows, weights, max_repeat)
     if keep:
-        rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"), *(c for c in keep if c not in ("doc_id", "source")))
+        packed = F.struct(*(F.col(c) for c in keep)).alias("row")  # a struct, so that columns of any name can be carried
+        rows = docs.select("doc_id", "source", packed, *(v.alias(k) for k, v in sized.items()))
     copies = F.col("full") + F.when(F.col("h") < F.coalesce(F.col("threshold"), F.lit(0)), 1).otherwise(0)
-    return (
-        rows.join(thresholds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *([c for c in keep if c != "doc_id"]))
-    )
+    mixed = rows.join(thresholds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", copies)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies", *(["row"] if keep else []))
 
 
 def _thresholds(rows: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -328,6 +328,22 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     )
 
 
+def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of each class: that with the class's least id. Documents without words and those without
+    an id stay; of rows with equal ids one stays."""
+    classes = stage(jaccard_classes(docs, n, percent))
+    named = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
+    gone = classes.where(named).groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
+    repeated = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    left = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+    once = left.join(repeated.select("doc_id"), "doc_id", "left_anti")
+    twice = left.join(repeated.select("doc_id"), "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
+        twice = twice.withColumn("turn_", F.row_number().over(first)).where(F.col("turn_") == 1).drop("turn_")
+    return once.select(*docs.columns).unionByName(twice.select(*docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
