@@ -50,7 +50,7 @@ def canonical(url: Column) -> Column:
     """host/path?query without what doesn't tell pages apart; null where there is no ``://``."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    query = F.trim(F.lit("&"), F.regexp_replace(F.concat(F.lit("&"), query), r"&(utm_[a-z]+|ref|gclid|fbclid)=[^&]*", ""))
+    query = F.trim(F.regexp_replace(F.concat(F.lit("&"), query), r"&(utm_[a-z]+|ref|gclid|fbclid)=[^&]*", ""), F.lit("&"))
     path = F.regexp_replace(path_of(url), r"/+$", "")
     return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
@@ -75,11 +75,9 @@ def filter_urls(
     url = F.col("url")
     links = F.array(F.regexp_extract("html", CANONICAL_LINK, 1), F.regexp_extract("html", REFRESH, 1))
     edges = pages.where(F.contains(url, F.lit("://"))).select(
-        url.alias("u"), F.explode(F.array_append(F.transform(F.filter(links, lambda x: F.contains(x, F.lit("://"))), lambda x: x), canonical(url))).alias("v")
-    )
-    targets = pages.where(F.contains(F.lower("html"), F.lit("<"))).select(
-        F.explode(F.filter(links, lambda x: F.contains(x, F.lit("://")))).alias("u")
+        url.alias("u"), F.explode(F.array_append(F.filter(links, lambda x: F.contains(x, F.lit("://"))), canonical(url))).alias("v")
     )
+    targets = pages.select(F.explode(F.filter(links, lambda x: F.contains(x, F.lit("://")))).alias("u"))
     if redirects is not None:
         given = redirects.select(F.col("src").alias("u"), F.col("dst").alias("v"))
         edges = edges.unionByName(given)
