@@ -245,7 +245,7 @@ def _(spark, d):
     f"WITH RECURSIVE {GRAPH}, up(start, place) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT u.start, e.dst FROM up u JOIN edges e ON u.place = e.src), "
     "mutual AS (SELECT a.start AS path, a.place AS other FROM up a JOIN up b ON a.start = b.place AND a.place = b.start), "
     "comp AS (SELECT path, min(other) AS component, count(DISTINCT other) AS size FROM mutual GROUP BY path) "
-    "SELECT p.repo_id, c.* FROM comp c JOIN part_files p USING (path) WHERE size > 1",
+    "SELECT p.repo_id, c.* FROM comp c JOIN part_files p USING (path) WHERE c.size > 1",
 )
 def _(spark, d):
     return graph.cycle_members(synth.edges(spark, d))
