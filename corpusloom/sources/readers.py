@@ -12,7 +12,7 @@ def read_corpus(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     rest = F.substring(base, F.lit(len("/" + root.split(":", 1)[-1].strip("/")) + 2), F.length("path"))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select(rest.alias("rest"), text.alias("content")).select(
         F.substring_index("rest", "/", 1).alias("repo_id"), F.regexp_replace("rest", r"^[^/]*/", "").alias("path"), "content"
     )
