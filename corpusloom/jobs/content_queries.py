@@ -147,7 +147,7 @@ def _endpoint(framework, extensions, pattern, method, route) -> str:
         rows = f"(SELECT *, 'ANY' AS m FROM {hits(pattern, extensions, (route,))})"
     else:
         rows = f"(SELECT *, CASE WHEN upper(g2) IN ('ALL', 'USE') THEN 'ANY' ELSE upper(g2) END AS m FROM {hits(pattern, extensions, (route, method))})"
-    return f"SELECT repo_id, path, '{framework}' AS framework, m AS method, {_JOIN(base, 'g1')} AS route, line FROM {rows}"
+    return f"SELECT repo_id, path, '{framework}' AS framework, m AS method, {_JOIN(base, 'g1')} AS route, coalesce(regexp_extract(substr(content, start + length(whole) + 1, {endpoints.REACH}), {Q(endpoints.HANDLER)}, 1), '') AS handler, line FROM {rows}"
 
 
 ENDPOINTS = "endpoints AS (" + " UNION ALL ".join(_endpoint(*r) for r in ENDPOINT_RULES) + ")"
@@ -298,3 +298,27 @@ def _(spark, d):
     files = synth.files(spark, d)
     bound = extract.symbol_bindings(files)
     return extract.unused_imports(bound, extract.cross_refs(bound, files))
+
+
+_NAMES = lambda kind: "list_concat(" + ", ".join(f"CASE WHEN ext = '{e}' THEN regexp_extract_all(text, {Q(p)}, 1) ELSE [] END" for e, k, p in EXPORT_RULES if k == kind) + ")"
+
+
+@query(
+    "purpose",
+    f"{WITH}, {CLEAN}, n AS (SELECT repo_id, path, {_NAMES('class')} AS classes, {_NAMES('fn')} AS fns FROM clean) SELECT repo_id, path, "
+    "CASE WHEN len(classes) > 0 THEN 'classes: ' || array_to_string(classes[1:3], ', ') WHEN len(fns) > 0 THEN 'functions: ' || array_to_string(fns[1:3], ', ') ELSE 'module' END AS purpose FROM n",
+)
+def _(spark, d):
+    return extract.purpose(synth.files(spark, d))
+
+
+@query(
+    "resolve_by_class_name",
+    f"{WITH}, "
+    "w AS (SELECT DISTINCT repo_id, path AS src, 'm' || regexp_extract(path, 'm(\\d+)', 1) AS name FROM files WHERE ext = 'php') "
+    "SELECT w.repo_id, w.src, w.name, min(f.path) AS dst FROM w JOIN files f ON w.repo_id = f.repo_id AND w.name = regexp_extract(f.path, '([^/]+)\\.[^.]*$', 1) AND f.ext = 'php' GROUP BY ALL",
+)
+def _(spark, d):
+    files = synth.files(spark, d)
+    wanted = files.where("path like '%.php'").select("repo_id", F.col("path").alias("src"), F.concat(F.lit("m"), F.regexp_extract("path", r"m(\d+)", 1)).alias("name"))
+    return extract.resolve_by_class_name(wanted, files, "php")

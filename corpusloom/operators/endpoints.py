@@ -13,6 +13,11 @@ from corpusloom.operators.hits import explode_hits
 BASES = {"spring": r"@RequestMapping\(\s*\"([^\"]*)\"\s*\)", "nestjs": r"@Controller\(\s*['\"]([^'\"]*)['\"]"}
 
 
+#: Characters after a route in which its handler is looked for, and what names one.
+REACH = 300
+HANDLER = r"\b(?:def|function|func|class|public\s+\w+)\s+(\w+)\s*\("
+
+
 def join_path(base: Column, sub: Column) -> Column:
     """One slash between both parts and one in front; ``/`` when both are empty."""
     joined = F.concat_ws("/", F.nullif(F.trim(base, F.lit("/")), F.lit("")), F.nullif(F.trim(sub, F.lit("/")), F.lit("")))
@@ -20,26 +25,27 @@ def join_path(base: Column, sub: Column) -> Column:
 
 
 def endpoints(files: DataFrame, rules=ENDPOINT_RULES) -> DataFrame:
-    """repo_id, path, framework, method, route, line: one row per declared route and method."""
+    """repo_id, path, framework, method, route, handler, line: one row per declared route and method; handler: the first function
+    named after it, or empty."""
     out = None
     for framework, extensions, pattern, method_group, path_group in rules:
         part = files.where(extension(F.col("path")).isin(*extensions) & F.col("content").rlike(pattern))
         based = part.select("repo_id", "path", F.regexp_extract("content", BASES[framework], 1).alias("base")) if framework in BASES else None
         groups = (path_group,) if method_group is None else (path_group, method_group)
         if framework == "flask" and method_group is None:
-            rows = explode_hits(part, pattern + r"(?:,\s*methods=\[([^\]]*)\])?", (path_group, 2))
+            rows = explode_hits(part, pattern + r"(?:,\s*methods=\[([^\]]*)\])?", (path_group, 2), REACH)
             listed = F.regexp_extract_all("g2", F.lit(r"\w+"), F.lit(0))
             rows = rows.withColumn("method", F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))))
         elif method_group is None:
-            rows = explode_hits(part, pattern, groups).withColumn("method", F.lit("ANY"))
+            rows = explode_hits(part, pattern, groups, REACH).withColumn("method", F.lit("ANY"))
         else:
-            rows = explode_hits(part, pattern, groups).withColumn("method", F.upper("g2"))
+            rows = explode_hits(part, pattern, groups, REACH).withColumn("method", F.upper("g2"))
             rows = rows.withColumn("method", F.when(F.col("method").isin("ALL", "USE"), "ANY").otherwise(F.col("method")))
         if based is None:
             rows = rows.withColumn("base", F.lit(""))
         else:
             rows = rows.join(based, ["repo_id", "path"])
-        rows = rows.select("repo_id", "path", F.lit(framework).alias("framework"), "method", join_path(F.col("base"), F.col("g1")).alias("route"), "line")
+        rows = rows.select("repo_id", "path", F.lit(framework).alias("framework"), "method", join_path(F.col("base"), F.col("g1")).alias("route"), F.regexp_extract("after", HANDLER, 1).alias("handler"), "line")
         out = rows if out is None else out.unionByName(rows)
     return out
 

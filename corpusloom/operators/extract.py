@@ -114,3 +114,22 @@ def call_targets(bindings: DataFrame, files: DataFrame) -> DataFrame:
 def unused_imports(bindings: DataFrame, refs: DataFrame) -> DataFrame:
     """repo_id, src, dst: bound files of which no symbol is used."""
     return bindings.select("repo_id", F.col("path").alias("src"), "dst").distinct().join(refs.select("repo_id", F.col("path").alias("src"), "dst"), ["repo_id", "src", "dst"], "left_anti")
+
+
+def purpose(files: DataFrame, show: int = 3) -> DataFrame:
+    """One line on each file: the first classes it exports, else its first functions, else ``module``."""
+    ext = extension(F.col("path"))
+    text = strip_comments(F.col("content"), ext)
+    none = F.array().cast("array<string>")
+    names = lambda kind: F.concat(*(F.when(ext == e, F.regexp_extract_all(text, F.lit(p), F.lit(1))).otherwise(none) for e, k, p in EXPORT_RULES if k == kind))
+    some = lambda c: F.array_join(F.slice(c, 1, show), ", ")
+    rows = files.select("repo_id", "path", names("class").alias("classes"), names("fn").alias("fns"))
+    line = F.when(F.size("classes") > 0, F.concat(F.lit("classes: "), some("classes"))).when(F.size("fns") > 0, F.concat(F.lit("functions: "), some("fns"))).otherwise("module")
+    return rows.select("repo_id", "path", line.alias("purpose"))
+
+
+def resolve_by_class_name(wanted: DataFrame, files: DataFrame, ext: str) -> DataFrame:
+    """repo_id, src, name, dst for wanted(repo_id, src, name): the least path whose file is called name.ext, anywhere in the
+    repository. An equi-join on (repo_id, file name)."""
+    named = files.where(extension(F.col("path")) == ext).select("repo_id", F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("name"), F.col("path").alias("dst"))
+    return wanted.distinct().join(named, ["repo_id", "name"]).groupBy("repo_id", "src", "name").agg(F.min("dst").alias("dst"))

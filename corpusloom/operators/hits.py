@@ -10,8 +10,9 @@ def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def hits(content: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """array<struct<whole, start, line, g1, ...>> of the pattern's matches; start counts from 0, line from 1."""
+def hits(content: Column, pattern: str, groups: tuple[int, ...] = (), after: int = 0) -> Column:
+    """array<struct<whole, start, line, after, g1, ...>> of the pattern's matches; start counts from 0, line from 1; after: so many
+    characters that follow the match."""
     matches = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
     pieces = F.split(content, pattern, -1)
     taken = [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in groups]
@@ -20,13 +21,14 @@ def hits(content: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
         before = F.concat(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.array_join(F.slice(matches, F.lit(1), i), ""))
         return F.struct(
             m.alias("whole"), F.length(before).cast("long").alias("start"), (_newlines(before) + 1).cast("long").alias("line"),
+            F.substring(content, (F.length(before) + F.length(m) + 1).cast("int"), F.lit(after)).alias("after"),
             *(F.get(t, i).alias(f"g{n + 1}") for n, t in enumerate(taken)),
         )
 
     return F.transform(matches, one)
 
 
-def explode_hits(files: DataFrame, pattern: str, groups: tuple[int, ...] = ()) -> DataFrame:
+def explode_hits(files: DataFrame, pattern: str, groups: tuple[int, ...] = (), after: int = 0) -> DataFrame:
     """One row per match. Files without one cost a search, and texts don't leave their partition."""
-    found = files.where(F.col("content").rlike(pattern)).select("repo_id", "path", F.explode(hits(F.col("content"), pattern, groups)).alias("hit"))
+    found = files.where(F.col("content").rlike(pattern)).select("repo_id", "path", F.explode(hits(F.col("content"), pattern, groups, after)).alias("hit"))
     return found.select("repo_id", "path", "hit.*")
