@@ -76,35 +76,34 @@ def cycle_edges(edges: DataFrame, max_len: int = 4) -> DataFrame:
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes on any cycle and their strongly connected component's least node.
+    """Nodes on any cycle, with the least node and the size of their strongly connected component.
 
-    Labels run forward and backward over the peeled edges, each round an aggregation; nodes whose least label agrees both ways form
-    a component and leave, until none is left."""
+    Over the peeled edges every node learns the least node that reaches it and the least that it reaches. Where both are one node,
+    that is the component; edges between nodes that differ in either can't be in a component and go. So every part of the graph
+    finds a component in every round."""
     left = peel(edges)
     out = None
     while not left.isEmpty():
-        labels = {}
-        for way, (a, b) in {"f": ("src", "dst"), "b": ("dst", "src")}.items():
-            label = stage(left.select("repo_id", F.col("src").alias("node")).union(left.select("repo_id", F.col("dst").alias("node"))).distinct().withColumn("label", F.col("node")))
-            while True:
-                moved = left.join(label.withColumnRenamed("node", a), ["repo_id", a]).select("repo_id", F.col(b).alias("node"), "label")
-                after = stage(label.unionByName(moved).groupBy("repo_id", "node").agg(F.min("label").alias("label")))
-                changed = after.join(label, ["repo_id", "node", "label"], "left_anti")
-                stable = changed.isEmpty()
-                label = after
-                if stable:
-                    break
-            labels[way] = label.withColumnRenamed("label", way)
-        both = labels["f"].join(labels["b"], ["repo_id", "node"])
-        done = stage(both.where("f = b").select("repo_id", F.col("node").alias("path"), F.col("f").alias("component")))
-        sized = done.groupBy("repo_id", "component").agg(F.count("*").alias("size")).where("size > 1")
-        out = done.join(sized, ["repo_id", "component"]) if out is None else out.unionByName(done.join(sized, ["repo_id", "component"]))
-        gone = done.select("repo_id", "path")
-        rest = left.join(gone.withColumnRenamed("path", "src"), ["repo_id", "src"], "left_anti").join(gone.withColumnRenamed("path", "dst"), ["repo_id", "dst"], "left_anti")
-        left = peel(rest)
+        nodes = left.select("repo_id", F.col("src").alias("node")).union(left.select("repo_id", F.col("dst").alias("node"))).distinct()
+        label = stage(nodes.select("repo_id", "node", F.col("node").alias("f"), F.col("node").alias("b")))
+        while True:
+            none = F.lit(None).cast("string")
+            ahead = left.join(label.withColumnRenamed("node", "src"), ["repo_id", "src"]).select("repo_id", F.col("dst").alias("node"), "f", none.alias("b"))
+            back = left.join(label.withColumnRenamed("node", "dst"), ["repo_id", "dst"]).select("repo_id", F.col("src").alias("node"), none.alias("f"), "b")
+            after = stage(label.unionByName(ahead).unionByName(back).groupBy("repo_id", "node").agg(F.min("f").alias("f"), F.min("b").alias("b")))
+            stable = after.join(label, ["repo_id", "node", "f", "b"], "left_anti").isEmpty()
+            label = after
+            if stable:
+                break
+        done = label.where("f = b").select("repo_id", F.col("node").alias("path"), F.col("f").alias("component"))
+        out = done if out is None else out.unionByName(done)
+        open_ = label.where("f <> b")
+        ends = [open_.select("repo_id", F.col("node").alias(c), "f", "b") for c in ("src", "dst")]
+        left = peel(left.join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "f", "b"]).select("repo_id", "src", "dst"))
     if out is None:
         return edges.select("repo_id", F.col("src").alias("path"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
-    return out.select("repo_id", "path", "component", "size")
+    sizes = out.groupBy("repo_id", "component").agg(F.count("*").alias("size")).where("size > 1")
+    return out.join(sizes, ["repo_id", "component"]).select("repo_id", "path", "component", "size")
 
 
 def topological_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
