@@ -124,21 +124,21 @@ def name_of(grams: np.ndarray) -> int:
 class Tree:
     """A compressed prefix tree over sets of ranks, its nodes in breadth-first order in arrays.
 
-    Per node: its run of n-grams (place in ``runs`` and length), its last n-gram, the depth at its end, the set that ends there
-    (or -1), the bounds of the sizes below, and its children (the first one's number and how many)."""
+    Per node: its run of n-grams, its last n-gram, the depth at its end, the set that ends there (or -1), the bounds of the sizes
+    below, its parent, and whether it has children."""
 
     def __init__(self, sets: list[np.ndarray]):
         rows = [s.tolist() for s in sets]
         order = sorted(range(len(rows)), key=rows.__getitem__)
         self.sizes = np.array([len(r) for r in rows])
-        sorted_sizes = self.sizes[order]
-        runs, length, last, depths, ends, first_child, n_children, ranges = [sets[0][:0]], [0], [-1], [0], [-1], [], [], [(0, len(order))]
+        runs, last, depths, ends, parent, inner, ranges = [], [-1], [0], [-1], [0], [], [(0, len(order))]
         for low, high in ranges:  # grows while it is walked
-            depth = depths[len(first_child)]
-            first_child.append(len(ranges))
+            at = len(inner)
+            depth = depths[at]
             if len(rows[order[low]]) == depth:
-                ends[len(first_child) - 1] = order[low]
+                ends[at] = order[low]
                 low += 1
+            inner.append(low < high)
             while low < high:
                 first = rows[order[low]]
                 top = low + 1
@@ -151,33 +151,34 @@ class Tree:
                 while end < most and first[end] == close[end]:
                     end += 1
                 runs.append(sets[order[low]][depth:end])
-                length.append(end - depth)
                 last.append(first[end - 1])
                 depths.append(end)
                 ends.append(-1)
+                parent.append(at)
                 ranges.append((low, top))
                 low = top
-            n_children.append(len(ranges) - first_child[-1])
-        self.runs, self.length = np.concatenate(runs), np.array(length)
-        self.start = np.cumsum(self.length) - self.length
         self.last, self.depth, self.ends = np.array(last), np.array(depths), np.array(ends)
-        self.first_child, self.n_children = np.array(first_child), np.array(n_children)
-        lows = np.array([r[0] for r in ranges])
-        highs = np.array([r[1] for r in ranges])
-        cuts = np.stack([lows, highs], axis=1).ravel()
-        padded = np.append(sorted_sizes, sorted_sizes[-1])
-        self.most = np.maximum.reduceat(padded, cuts)[::2]
-        self.least = np.minimum.reduceat(padded, cuts)[::2]
-
-
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self.inner = np.array(inner)
+        sorted_sizes = np.append(self.sizes[order], 0)
+        cuts = np.array(ranges).ravel()
+        self.most = np.maximum.reduceat(sorted_sizes, cuts)[::2]
+        self.least = np.minimum.reduceat(sorted_sizes, cuts)[::2]
+        # levels: slices of nodes whose parents are in the level before, with their runs and where each begins in them
+        every = np.concatenate(runs).astype(np.int32) if runs else np.zeros(0, dtype=np.int32)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in runs], dtype=np.int64)])
+        up = np.array(parent)
+        self.levels, low, high = [], 0, 1
+        while high < len(up):
+            top = int(np.searchsorted(up, high, side="left"))
+            a, b = int(starts[high - 1]), int(starts[top - 1])
+            self.levels.append((high, top, up[high:top], every[a:b], starts[high - 1 : top - 1] - a))
+            low, high = high, top
 
 
 def join_tree(sets: list[np.ndarray], group: np.ndarray, percent: int, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of sets that link and weren't joined before. group: a number per set, equal for joined sets; it is updated.
-    probes: the sets that walk the tree (all, if not given). A set walks it level by level, all live nodes of a level at once."""
+    probes: the sets that walk the tree (all, if not given). A set walks it level by level, all nodes of a level at
+    once, and stops where no node is live."""
     if len(sets) < 2:
         return []
     grams, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -188,37 +189,36 @@ def join_tree(sets: list[np.ndarray], group: np.ndarray, percent: int, probes: n
     if probes is not None:
         walks[:] = False
         walks[probes] = True
-    member = np.zeros(len(grams), dtype=np.int32)
+    member = np.zeros(len(grams), dtype=np.uint8)
+    ending = np.flatnonzero(tree.ends >= 0)
+    common = np.zeros(len(tree.ends), dtype=np.int64)
     found: list[tuple[int, int]] = []
     for i in np.flatnonzero(walks).tolist():
         size = int(sizes[i])
+        end = tree.ends[ending]
+        useful = np.zeros(len(tree.ends), dtype=bool)
+        useful[ending] = (group[end] != group[i]) & ~(walks[end] & (end > i))  # of two walkers, one asks
+        live = (useful | tree.inner) & (100 * np.minimum(size, tree.most) >= percent * np.maximum(size, tree.least))
         member[ranks[i]] = 1
-        passed = np.concatenate([[0], np.cumsum(member)])
-        node, common = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        while len(node):
-            width = tree.n_children[node]
-            common = np.repeat(common, width)
-            node = spread(tree.first_child[node], width)
-            end, inner = tree.ends[node], tree.n_children[node] > 0
-            useful = (end >= 0) & (group[end] != group[i]) & ~(walks[end] & (end > i))  # of two walkers, one asks
-            fits = 100 * np.minimum(size, tree.most[node]) >= percent * np.maximum(size, tree.least[node])
-            keep = (inner | useful) & fits
-            node, common, end, inner, useful = node[keep], common[keep], end[keep], inner[keep], useful[keep]
-            if not len(node):
+        passed = np.concatenate([[0], np.cumsum(member, dtype=np.int32)])[tree.last + 1]
+        allowed = (size + tree.most) * (100 - percent) // (100 + percent)
+        for low, high, parent, runs, starts in tree.levels:
+            here = live[parent]
+            if not here.any():
+                live[low:] = False
                 break
-            length = tree.length[node]
-            hits = member[tree.runs[spread(tree.start[node], length)]]
-            common = common + np.add.reduceat(hits, np.cumsum(length) - length)
-            links = useful & (100 * common >= percent * (size + sizes[end] - common))
-            for j in end[links].tolist():
-                if group[j] != group[i]:
-                    group[group == group[j]] = group[i]
-                    found.append((i, j))
+            shared = common[parent] + np.add.reduceat(member[runs], starts, dtype=np.int64)
+            common[low:high] = shared
             # differences so far: n-grams of the path that the set lacks, and of the set that the path has passed
-            apart = tree.depth[node] + passed[tree.last[node] + 1] - 2 * common
-            live = inner & (apart * (100 + percent) <= (size + tree.most[node]) * (100 - percent))
-            node, common = node[live], common[live]
+            apart = tree.depth[low:high] + passed[low:high] - 2 * shared
+            live[low:high] &= here & (apart <= allowed[low:high])
         member[ranks[i]] = 0
+        at = np.flatnonzero(live & useful)
+        for node in at[100 * common[at] >= percent * (size + sizes[tree.ends[at]] - common[at])].tolist():
+            j = int(tree.ends[node])
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                found.append((i, j))
     return found
 
 
