@@ -18,8 +18,8 @@ Equal sets are one node from the start, named by a 64-bit hash of the set (for t
 different sets would be expected to share one).
 
 Defined cases: a null text, or one without words, has size 0 and is a class of its own; fewer than n words are one n-gram; rows
-with equal ids and texts are in one class; rows with null ids are linked but never name a class, so a class of null ids has a
-null name; an empty table gives an empty table.
+with equal ids and texts are in one class; a row with a null id is in the class of documents with its very set and has no other
+links, and a class of null ids has a null name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.staging import stage
+from corpusloom.functions.staging import stage, stage_at, unstage
 from corpusloom.llm.graphs import components
 from corpusloom.llm.texts import map_rows
 
-MOST_SETS, MOST_GRAMS, COMMON = 1000, 1_000_000, 16
+MOST_SETS, MOST_GRAMS, COMMON = 1000, 500_000, 16
 #: Hash buckets of the filter before texts are shuffled: a fixed size.
 BUCKETS = 1 << 20
 
@@ -232,11 +232,15 @@ def _describe(n: int, percent: int):
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         sizes, names, edges = [], [], []
+        seen = set()
         for text in cols["text"]:
             grams = gram_set(text, n)
+            name = name_of(grams) if len(grams) else None
             sizes.append(len(grams))
-            names.append(name_of(grams) if len(grams) else None)
-            edges.append(ladder.edges(grams).astype(np.int64) if len(grams) else [])
+            names.append(name)
+            # of copies in a batch one lists its edges
+            edges.append(ladder.edges(grams).astype(np.int64) if name is not None and name not in seen else [])
+            seen.add(name)
         return {"doc_id": cols["doc_id"], "n_shingles": sizes, "node": names, "edges": edges}
 
     return run
@@ -246,7 +250,7 @@ def _sets(n: int):
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = [gram_set(text, n) for text in cols["text"]]
         keep = [i for i, s in enumerate(sets) if len(s) and name_of(s) == cols["node"][i]]
-        return {"node": [cols["node"][i] for i in keep], "cluster": [cols["cluster"][i] for i in keep], "size": [len(sets[i]) for i in keep], "grams": [sets[i].tobytes() for i in keep]}
+        return {c: [cols[c][i] for i in keep] for c in ("node", "cluster", "chunks")} | {"grams": [sets[i].tobytes() for i in keep]}
 
     return run
 
@@ -275,24 +279,26 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     described = T.StructType(
         [docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("edges", T.ArrayType(T.LongType()))]
     )
-    known = stage(map_rows(docs.select("doc_id", "text"), _describe(n, percent), described))
-    edges = known.where("n_shingles > 0").select("node", F.explode("edges").alias("edge"))
-    shared = edges.groupBy("edge").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    near = stage(edges.join(shared.select("edge", "low"), "edge").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+    wide, wide_path = stage_at(map_rows(docs.select("doc_id", "text"), _describe(n, percent), described))
+    edges = wide.select("node", F.explode("edges").alias("edge"))
+    # sets on one edge are chained: one shuffle of narrow rows
+    before = F.lag("node").over(Window.partitionBy("edge").orderBy("node"))
+    near = stage(edges.select("node", before.alias("before")).where("before <> node").select(F.col("node").alias("u"), F.col("before").alias("v")).distinct())
+    known = stage(wide.select("doc_id", "n_shingles", "node"))
+    unstage(spark, wide_path)
     clusters = stage(components(near).select("node", F.col("component").alias("cluster")))
 
-    bearers = known.join(clusters, "node").groupBy("node", "cluster").agg(F.min("doc_id").alias("doc"))
-    bearers = stage(bearers.where(F.col("doc").isNotNull()))
+    bearers = known.where("doc_id is not null").join(clusters, "node").groupBy("node", "cluster").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"))
+    bearers = stage(bearers)
+    weight = bearers.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("g"))
+    chunks = weight.select("cluster", F.greatest(F.ceil(F.col("m") / MOST_SETS), F.ceil(F.col("g") / MOST_GRAMS)).cast("int").alias("chunks"))
+    wanted = stage(bearers.join(chunks, "cluster").select("doc", F.col("node").alias("name"), "cluster", "chunks"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
     # at most BUCKETS rows: texts that can't be wanted stay out of the shuffle
-    some = docs.join(F.broadcast(bearers.select(bucket("doc").alias("b")).distinct()), bucket("doc_id") == F.col("b"), "left_semi")
-    texts = some.select("doc_id", "text").join(bearers, F.col("doc_id") == F.col("doc")).select("node", "cluster", "text")
-    held = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("size", T.LongType()), T.StructField("grams", T.BinaryType())])
-    sets = stage(map_rows(texts, _sets(n), held))
-
-    weight = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("g"))
-    chunks = weight.select("cluster", F.greatest(F.ceil(F.col("m") / MOST_SETS), F.ceil(F.col("g") / MOST_GRAMS)).cast("int").alias("chunks"))
-    sets = sets.join(chunks, "cluster")
+    some = docs.join(F.broadcast(wanted.select(bucket("doc").alias("b")).distinct()), bucket("doc_id") == F.col("b"), "left_semi")
+    texts = some.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select(F.col("name").alias("node"), "cluster", "chunks", "text")
+    held = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("chunks", T.IntegerType()), T.StructField("grams", T.BinaryType())])
+    sets, sets_path = stage_at(map_rows(texts, _sets(n), held))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
     # the sets that all chunks of a cluster meet: about COMMON of them, by hash
     common = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks") * MOST_SETS) < F.lit(COMMON)
@@ -300,25 +306,29 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     dealt = sets.select("cluster", F.explode(meets).alias("chunk"), "node", "grams", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("joined"))
     links = stage(dealt.groupBy("cluster", "chunk").applyInArrow(_group_links(percent), LINKS))
 
-    large = sets.where("chunks > 1")
+    # what isn't in a large cluster's largest group walks the trees of all chunks, in turns; all others wait in their chunk
+    large = stage(wanted.where("chunks > 1").select(F.col("name").alias("node"), "cluster", "chunks").distinct())
     if not large.isEmpty():
         joined = components(links).withColumnRenamed("component", "joined")
-        large = stage(large.join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node")))
-        groups = large.groupBy("cluster", "joined").agg(F.count("*").alias("c"))
-        biggest = groups.groupBy("cluster").agg(F.max(F.struct("c", "joined")).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m"))
+        large = large.join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+        biggest = large.groupBy("cluster", "joined").agg(F.count("*").alias("c")).groupBy("cluster").agg(
+            F.max(F.struct("c", "joined")).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m")
+        )
         open_ = biggest.where("groups > 1").select(
             "cluster", F.col("top.joined").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / MOST_SETS).cast("int").alias("turns")
         )
-        rest = large.join(open_, "cluster")
         turn = F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int")
-        # what isn't in the cluster's largest group walks the trees of all chunks, in turns; all others wait in their chunk
-        walkers = rest.where(F.col("joined") != F.col("top")).select(
-            "cluster", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "grams", F.lit(True).alias("probe"), "joined"
-        )
-        standing = rest.select(
-            "cluster", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), own.alias("chunk"), "node", "grams", F.lit(False).alias("probe"), "joined"
-        )
-        links = links.unionByName(walkers.unionByName(standing).groupBy("cluster", "turn", "chunk").applyInArrow(_group_links(percent), LINKS))
+        every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+        rest = large.join(open_, "cluster")
+        walks = F.transform(every("chunks"), lambda c: F.struct(turn.alias("turn"), c.alias("chunk"), F.lit(True).alias("probe")))
+        waits = F.transform(every("turns"), lambda t: F.struct(t.alias("turn"), own.alias("chunk"), F.lit(False).alias("probe")))
+        places = F.when(F.col("joined") == F.col("top"), waits).otherwise(F.concat(walks, waits))
+        plan = stage(rest.select("node", "cluster", "joined", places.alias("places")))
+        meetings = sets.select("node", "grams").join(plan, "node").select("cluster", F.explode("places").alias("p"), "node", "grams", "joined")
+        meetings = meetings.select("cluster", "p.turn", "p.chunk", "p.probe", "node", "grams", "joined")
+        more = stage(meetings.groupBy("cluster", "turn", "chunk").applyInArrow(_group_links(percent), LINKS))
+        links = links.unionByName(more)
+    unstage(spark, sets_path)
 
     classes = components(links)
     rows = known.select("doc_id", "n_shingles", "node").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
