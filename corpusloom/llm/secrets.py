@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.staging import stage
+from corpusloom.llm.sieve import maybe, others
 from corpusloom.llm.texts import map_rows, sha256, spans_text
 
 #: Kinds in the order in which spans with equal starts are listed.
@@ -185,13 +186,16 @@ def _redact(cols: dict[str, list]) -> dict[str, list]:
 
 def redact(docs: DataFrame, **how) -> DataFrame:
     """The documents with live values replaced by a mark; every row stays, with its columns."""
-    found = scan_secrets(docs, **how).where("n_live > 0").select(F.col("doc_id").alias("d_"), F.col("fp").alias("f_"), "live").distinct()
+    found = scan_secrets(docs, **how).where("n_live > 0").select(F.col("doc_id").alias("d_"), F.col("fp").alias("f_"), "live")
+    found = stage(found.distinct())
     rows = docs.withColumn("fp_", F.xxhash64("text"))
-    marked = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("fp_").eqNullSafe(F.col("f_")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("fp_").eqNullSafe(F.col("f_"))
+    marked = maybe(rows, "fp_", found, "f_").join(found, same, "left")
     hit = map_rows(marked.where(F.col("live").isNotNull()).select(*docs.columns, "live"), lambda c: {k: v for k, v in _redact(c).items() if k != "live"}, docs.schema)
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.where(F.col("live").isNull()).select(*docs.columns).unionByName(hit.select(*docs.columns))
+    rest = others(rows, "fp_", found, "f_").select(*docs.columns).unionByName(marked.where(F.col("live").isNull()).select(*docs.columns))
+    return rest.unionByName(hit.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
