@@ -12,7 +12,7 @@ allow. Sets that are joined already are passed over, so a group of near copies c
 links that join something come out.
 
 No group is held whole when it is large: a cluster beyond ``MOST_SETS`` or ``MOST_GRAMS`` is cut into chunks, which first meet a
-few common sets each; what isn't joined then meets all chunks, a chunk at a time. No set is dropped or capped.
+few common sets each; what isn't joined then meets all others, two parts at a time. No set is dropped or capped.
 
 Equal sets are one node from the start, named by a 64-bit hash of the set (for ten billion documents a few pairs of
 different sets would be expected to share one).
@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.staging import stage, stage_at, unstage
 from corpusloom.llm.graphs import components
+from corpusloom.llm.sieve import maybe, others
 from corpusloom.llm.texts import map_rows
 
-MOST_SETS, MOST_GRAMS, COMMON = 1000, 500_000, 16
-#: Hash buckets of the filter before texts are shuffled: a fixed size.
-BUCKETS = 1 << 20
+MOST_SETS, MOST_GRAMS, COMMON = 2000, 1_000_000, 16
+
+#: Runs of fewer n-grams are weak: chance, or a passage that many texts share, makes them equal.
+STRONG = 3
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -97,7 +99,7 @@ class Ladder:
         c = int(np.searchsorted(self.tops, size))
         found = []
         while c == 0 or not found or 100 * size >= self.percent * (self.tops[c - 1] + 1):
-            found.append((c, 2 * self.tops[c] * (100 - self.percent) // (100 + self.percent) + 1))
+            found.append((c, 2 * self.tops[c] * (100 - self.percent) // (100 + self.percent) + 1))  # more than the differences
             c += 1
         return found
 
@@ -107,10 +109,15 @@ class Ladder:
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
         out = []
         for c, parts in self.parts(len(grams)):
+            slack = min(3, 1 + parts // 8)
+            parts += slack
             ends = np.searchsorted(grams, np.array([((i + 1) << 64) // parts - 1 for i in range(parts)], dtype=np.uint64), side="right")
             ends[-1] = len(grams)
-            runs = np.diff(sums[np.concatenate([[0], ends])])
-            out.append(mix(runs ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 32))))
+            cuts = np.concatenate([[0], ends])
+            edges = mix(np.diff(sums[cuts]) ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 32)))
+            # at least slack + 1 parts of linked sets agree, so with no more than slack weak ones a strong one is among them
+            strong = np.diff(cuts) >= STRONG
+            out.append(edges[strong] if parts - int(strong.sum()) <= slack else edges)
         return np.concatenate(out)
 
 
@@ -177,8 +184,8 @@ class Tree:
 
 def join_tree(sets: list[np.ndarray], group: np.ndarray, percent: int, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of sets that link and weren't joined before. group: a number per set, equal for joined sets; it is updated.
-    probes: the sets that walk the tree (all, if not given). A set walks it level by level, all nodes of a level at
-    once, and stops where no node is live."""
+    probes: the sets that walk the tree and ask for the others; if all do, they ask for each other. A set walks it level by level,
+    all nodes of a level at once, and stops where no node is live."""
     if len(sets) < 2:
         return []
     grams, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -197,7 +204,7 @@ def join_tree(sets: list[np.ndarray], group: np.ndarray, percent: int, probes: n
         size = int(sizes[i])
         end = tree.ends[ending]
         useful = np.zeros(len(tree.ends), dtype=bool)
-        useful[ending] = (group[end] != group[i]) & ~(walks[end] & (end > i))  # of two walkers, one asks
+        useful[ending] = (group[end] != group[i]) & ((end < i) if walks.all() else ~walks[end])
         live = (useful | tree.inner) & (100 * np.minimum(size, tree.most) >= percent * np.maximum(size, tree.least))
         member[ranks[i]] = 1
         passed = np.concatenate([[0], np.cumsum(member, dtype=np.int32)])[tree.last + 1]
@@ -293,10 +300,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     weight = bearers.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("g"))
     chunks = weight.select("cluster", F.greatest(F.ceil(F.col("m") / MOST_SETS), F.ceil(F.col("g") / MOST_GRAMS)).cast("int").alias("chunks"))
     wanted = stage(bearers.join(chunks, "cluster").select("doc", F.col("node").alias("name"), "cluster", "chunks"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    # at most BUCKETS rows: texts that can't be wanted stay out of the shuffle
-    some = docs.join(F.broadcast(wanted.select(bucket("doc").alias("b")).distinct()), bucket("doc_id") == F.col("b"), "left_semi")
-    texts = some.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc")).select(F.col("name").alias("node"), "cluster", "chunks", "text")
+    texts = maybe(docs.select("doc_id", "text"), "doc_id", wanted, "doc").join(wanted, F.col("doc_id") == F.col("doc")).select(F.col("name").alias("node"), "cluster", "chunks", "text")
     held = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("chunks", T.IntegerType()), T.StructField("grams", T.BinaryType())])
     sets, sets_path = stage_at(map_rows(texts, _sets(n), held))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
@@ -306,7 +310,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     dealt = sets.select("cluster", F.explode(meets).alias("chunk"), "node", "grams", F.lit(True).alias("probe"), F.lit(None).cast("long").alias("joined"))
     links = stage(dealt.groupBy("cluster", "chunk").applyInArrow(_group_links(percent), LINKS))
 
-    # what isn't in a large cluster's largest group walks the trees of all chunks, in turns; all others wait in their chunk
+    # In a large cluster, the rest is what isn't in its largest group. It is dealt into turns, and turns meet each other and the
+    # chunks of the largest group, two parts at a time: a set goes to as many meetings as there are parts to meet.
     large = stage(wanted.where("chunks > 1").select(F.col("name").alias("node"), "cluster", "chunks").distinct())
     if not large.isEmpty():
         joined = components(links).withColumnRenamed("component", "joined")
@@ -314,19 +319,25 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         biggest = large.groupBy("cluster", "joined").agg(F.count("*").alias("c")).groupBy("cluster").agg(
             F.max(F.struct("c", "joined")).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m")
         )
-        open_ = biggest.where("groups > 1").select(
-            "cluster", F.col("top.joined").alias("top"), F.ceil((F.col("m") - F.col("top.c")) / MOST_SETS).cast("int").alias("turns")
+        open_ = biggest.where("groups > 1").select("cluster", F.col("top.joined").alias("top"), (F.col("top.c") / F.col("m")).alias("share"))
+        rest = large.join(open_, "cluster").withColumns(
+            {
+                "turns": F.ceil(F.col("chunks") * (1 - F.col("share"))).cast("int"),
+                "stands": F.ceil(F.col("chunks") * F.col("share")).cast("int"),
+            }
         )
         turn = F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int")
+        stand = F.pmod(F.xxhash64("node", F.lit(4)), F.col("stands")).cast("int")
         every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
-        rest = large.join(open_, "cluster")
-        walks = F.transform(every("chunks"), lambda c: F.struct(turn.alias("turn"), c.alias("chunk"), F.lit(True).alias("probe")))
-        waits = F.transform(every("turns"), lambda t: F.struct(t.alias("turn"), own.alias("chunk"), F.lit(False).alias("probe")))
-        places = F.when(F.col("joined") == F.col("top"), waits).otherwise(F.concat(walks, waits))
+        # (a, b): turns a <= b; (a, -1 - b): turn a and part b of the largest group
+        among = F.transform(every("turns"), lambda t: F.struct(F.least(t, turn).alias("a"), F.greatest(t, turn).alias("b"), (t >= turn).alias("probe")))
+        outward = F.transform(every("stands"), lambda c: F.struct(turn.alias("a"), (-1 - c).alias("b"), F.lit(True).alias("probe")))
+        waiting = F.transform(every("turns"), lambda t: F.struct(t.alias("a"), (-1 - stand).alias("b"), F.lit(False).alias("probe")))
+        places = F.when(F.col("joined") == F.col("top"), waiting).otherwise(F.concat(among, outward))
         plan = stage(rest.select("node", "cluster", "joined", places.alias("places")))
         meetings = sets.select("node", "grams").join(plan, "node").select("cluster", F.explode("places").alias("p"), "node", "grams", "joined")
-        meetings = meetings.select("cluster", "p.turn", "p.chunk", "p.probe", "node", "grams", "joined")
-        more = stage(meetings.groupBy("cluster", "turn", "chunk").applyInArrow(_group_links(percent), LINKS))
+        meetings = meetings.select("cluster", "p.a", "p.b", "p.probe", "node", "grams", "joined")
+        more = stage(meetings.groupBy("cluster", "a", "b").applyInArrow(_group_links(percent), LINKS))
         links = links.unionByName(more)
     unstage(spark, sets_path)
 
@@ -343,15 +354,16 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     an id stay; of rows with equal ids one stays."""
     classes = stage(jaccard_classes(docs, n, percent))
     named = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
-    gone = classes.where(named).groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
-    repeated = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    left = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    once = left.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    twice = left.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
-        twice = twice.withColumn("turn_", F.row_number().over(first)).where(F.col("turn_") == 1).drop("turn_")
-    return once.select(*docs.columns).unionByName(twice.select(*docs.columns))
+    gone = stage(classes.where(named).groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"))
+    doubtful = maybe(docs, "doc_id", gone, "doc_id").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = others(docs, "doc_id", gone, "doc_id").unionByName(doubtful)
+    repeated = stage(classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns])
+    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    twice = left.join(repeated, "doc_id", "left_semi").withColumn("turn_", F.row_number().over(first)).where(F.col("turn_") == 1)
+    return once.unionByName(twice.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
