@@ -262,6 +262,23 @@ def _sets(n: int):
     return run
 
 
+def _edges_again(percent: int):
+    """Edges in a second, independent order of the n-grams."""
+    ladder = Ladder(percent)
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        turned = [np.sort(mix(np.frombuffer(g, dtype=np.uint64) ^ np.uint64(_ODD[0]))) for g in cols["grams"]]
+        return {"node": cols["node"], "cluster": cols["cluster"], "edges": [ladder.edges(g).astype(np.int64) for g in turned]}
+
+    return run
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """cluster, chunks of members(cluster, size)."""
+    weight = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("g"))
+    return weight.select("cluster", F.greatest(F.ceil(F.col("m") / MOST_SETS), F.ceil(F.col("g") / MOST_GRAMS)).cast("int").alias("chunks"))
+
+
 def _group_links(percent: int):
     """Links within a group of rows node, grams, probe (whether the set walks the tree) and joined (its group so far)."""
 
@@ -297,12 +314,24 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     bearers = known.where("doc_id is not null").join(clusters, "node").groupBy("node", "cluster").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"))
     bearers = stage(bearers)
-    weight = bearers.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("g"))
-    chunks = weight.select("cluster", F.greatest(F.ceil(F.col("m") / MOST_SETS), F.ceil(F.col("g") / MOST_GRAMS)).cast("int").alias("chunks"))
-    wanted = stage(bearers.join(chunks, "cluster").select("doc", F.col("node").alias("name"), "cluster", "chunks"))
+    wanted = stage(bearers.join(_chunked(bearers), "cluster").select("doc", F.col("node").alias("name"), "cluster", "chunks", "size"))
     texts = maybe(docs.select("doc_id", "text"), "doc_id", wanted, "doc").join(wanted, F.col("doc_id") == F.col("doc")).select(F.col("name").alias("node"), "cluster", "chunks", "text")
     held = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("chunks", T.IntegerType()), T.StructField("grams", T.BinaryType())])
     sets, sets_path = stage_at(map_rows(texts, _sets(n), held))
+    # Chance agreements can chain many groups into one large cluster. Linked sets agree in any order, so the sets of a large cluster
+    # are clustered again by a second one, among themselves.
+    large = wanted.where("chunks > 1").select(F.col("name").alias("node"), "size").distinct()
+    if not large.isEmpty():
+        twice = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("edges", T.ArrayType(T.LongType()))])
+        again = map_rows(sets.where("chunks > 1").select("node", "cluster", "grams"), _edges_again(percent), twice).select("node", "cluster", F.explode("edges").alias("edge"))
+        before = F.lag("node").over(Window.partitionBy("cluster", "edge").orderBy("node"))
+        near = stage(again.select("node", before.alias("before")).where("before <> node").select(F.col("node").alias("u"), F.col("before").alias("v")).distinct())
+        finer = stage(components(near).select("node", F.col("component").alias("cluster")).join(large, "node"))
+        large = stage(finer.join(_chunked(finer), "cluster").select("node", "cluster", "chunks"))
+        part = sets.where("chunks > 1").select("node", "grams").join(large, "node").select("node", "cluster", "chunks", "grams")
+        part, part_path = stage_at(part)
+        sets = sets.where("chunks = 1").unionByName(part)
+        large = large.where("chunks > 1")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
     # the sets that all chunks of a cluster meet: about COMMON of them, by hash
     common = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks") * MOST_SETS) < F.lit(COMMON)
@@ -312,7 +341,6 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     # In a large cluster, the rest is what isn't in its largest group. It is dealt into turns, and turns meet each other and the
     # chunks of the largest group, two parts at a time: a set goes to as many meetings as there are parts to meet.
-    large = stage(wanted.where("chunks > 1").select(F.col("name").alias("node"), "cluster", "chunks").distinct())
     if not large.isEmpty():
         joined = components(links).withColumnRenamed("component", "joined")
         large = large.join(joined, "node", "left").withColumn("joined", F.coalesce("joined", "node"))
