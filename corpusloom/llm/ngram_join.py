@@ -36,7 +36,7 @@ from corpusloom.llm.graphs import components
 from corpusloom.llm.sieve import maybe, others
 from corpusloom.llm.texts import map_rows
 
-MOST_SETS, MOST_GRAMS, COMMON = 2000, 1_000_000, 16
+MOST_SETS, MOST_GRAMS, COMMON = 2000, 2_000_000, 16
 
 #: Runs of fewer n-grams are weak: chance, or a passage that many texts share, makes them equal.
 STRONG = 3
