@@ -175,11 +175,22 @@ def scan_secrets(
 MARK = "[SECRET]"
 
 
+def disjoint(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans of different kinds may overlap; those that do become one."""
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        if merged and start < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
 def _redact(cols: dict[str, list]) -> dict[str, list]:
     texts = []
     for text, live in zip(cols["text"], cols["live"], strict=True):
-        for span in sorted(live or (), key=lambda x: -x["start"]):
-            text = text[: span["start"]] + MARK + text[span["end"] :]
+        for start, end in reversed(disjoint(live or [])):
+            text = text[:start] + MARK + text[end:]
         texts.append(text)
     return cols | {"text": texts}
 
