@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Texts are scanned for credential assignments, access keys and long hex strings. Each candidate's value is hashed, and the
-hashes are aggregated over the whole corpus by distinct owners and distinct repositories. A value that many owners hold is a
-copied example; a value that one owner alone holds and that looks generated is reported as live by a span of its own, which
-is added to the pattern's span. Values themselves leave the scan only as hashes.
+hashes are aggregated over the whole corpus by distinct owners and distinct repositories. A value that many owners or many
+repositories hold is a copied example; a value that one owner alone holds and that looks generated is reported as live by a
+span of its own, which is added to the pattern's span. A value between the two (of two owners, say) that looks generated has
+no span of its own, but is redacted like a live one. Values themselves leave the scan only as hashes.
 
 Aggregation is in two steps, distinct (value, owner, repository) first, so a value copied a billion times costs each task
 one row. Lookups go back to documents by an equi-join that may be split where a value is hot.
@@ -135,29 +136,34 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, owner: Column | None = None, repository: Column | None = None, live_owners: int = 1, example_owners: int = 3
+    docs: DataFrame, owner: Column | None = None, repository: Column | None = None, live_owners: int = 1, example_owners: int = 3,
+    example_repositories: int | None = 4,
 ) -> DataFrame:
-    """Per document: doc_id, fp (hash of its text), n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and
-    live: the value ranges judged live.
+    """Per document: doc_id, fp (hash of its text), n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and the
+    value ranges judged live and shared (neither owned nor an example, but generated by its looks).
 
-    live_owners: a value of at most so many owners can be live; example_owners: from so many owners on it is an example."""
+    live_owners: a value of at most so many owners can be live; example_owners, example_repositories: from so many owners or
+    so many repositories on it is an example (None: repositories don't count)."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     scanned = stage(scan(docs, owner, repository))
     each = scanned.select("doc_id", "fp", "owner", "repository", F.explode("candidates").alias("c")).select("doc_id", "fp", "owner", "repository", "c.*")
+    example = F.col("owners") >= example_owners
+    if example_repositories is not None:
+        example |= F.col("repositories") >= example_repositories
     spread = ownership(each).withColumn(
         "class",
-        F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") <= live_owners, "owned").otherwise("shared"),
+        F.when(example, "example").when(F.col("owners") <= live_owners, "owned").otherwise("shared"),
     )
     judged = each.join(spread.select("value", "class"), "value")
-    live = (F.col("class") == "owned") & F.col("looks_live")
+    place = F.struct(F.col("from").alias("start"), F.col("to").alias("end"))
     per_doc = judged.groupBy(F.col("doc_id").alias("d"), F.col("fp").alias("f")).agg(
-        F.collect_set(F.when(live, F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("live"),
+        *(F.collect_set(F.when((F.col("class") == of) & F.col("looks_live"), place)).alias(name) for of, name in (("owned", "live"), ("shared", "shared"))),
         F.collect_set(F.when(F.col("class") == "example", F.struct("from", "to"))).alias("examples"),
     )
     joined = scanned.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("fp").eqNullSafe(F.col("f")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    joined = joined.withColumn("live", F.array_sort(F.coalesce("live", none)))
+    joined = joined.withColumns({c: F.array_sort(F.coalesce(c, none)) for c in ("live", "shared")})
     base = F.transform(
         "candidates", lambda c: F.struct(c["start"].alias("start"), F.element_at(F.create_map(*[F.lit(x) for k in KINDS.items() for x in k]), c["kind"]).alias("k"), c["end"].alias("end"), c["kind"].alias("kind"))
     )
@@ -168,7 +174,7 @@ def scan_secrets(
     )
     return joined.select(
         "doc_id", "fp", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"),
-        F.size("live").cast("long").alias("n_live"), F.coalesce(F.size("examples"), F.lit(0)).cast("long").alias("n_example"), "live",
+        F.size("live").cast("long").alias("n_live"), F.coalesce(F.size("examples"), F.lit(0)).cast("long").alias("n_example"), "live", "shared",
     )
 
 
@@ -196,8 +202,8 @@ def _redact(cols: dict[str, list]) -> dict[str, list]:
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
-    """The documents with live values replaced by a mark; every row stays, with its columns."""
-    found = scan_secrets(docs, **how).where("n_live > 0").select(F.col("doc_id").alias("d_"), F.col("fp").alias("f_"), "live")
+    """The documents with live and shared values replaced by a mark; every row stays, with its columns."""
+    found = scan_secrets(docs, **how).select(F.col("doc_id").alias("d_"), F.col("fp").alias("f_"), F.concat("live", "shared").alias("live")).where(F.size("live") > 0)
     found = stage(found.distinct())
     rows = docs.withColumn("fp_", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("fp_").eqNullSafe(F.col("f_"))
@@ -210,7 +216,8 @@ def redact(docs: DataFrame, **how) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Classes as in its SQL, which counts owners alone."""
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), example_repositories=None)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 

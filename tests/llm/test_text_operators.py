@@ -85,6 +85,20 @@ def test_secrets_redacts_overlapping_spans_once(spark):
     assert clean[2]["text"] == "c token=[SECRET] [SECRET] tail"
 
 
+def test_secrets_of_many_repositories_or_two_owners(spark):
+    copied, own, shared = "a1b2c3d4e5f60718293a4b5c", "9f3b7c1d5e8a2f4609bd7713", "7e1f9c3b5d2a8f604c7b9e13"
+    rows = [(i, f"token={copied}", "hot", f"l{i % 4}") for i in range(8)] + [(10 + i, f"token={own}", "hot", f"l{i}") for i in range(3)]
+    rows += [(20 + i, f"token={shared}", f"o{i}", "en") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    assert all((got[i]["n_live"], got[i]["n_example"]) == (0, 1) for i in range(8)) and got[10]["n_live"] == 1
+    assert got[20]["n_live"] == got[20]["n_example"] == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] == f"token={copied}" and clean[10] == clean[20] == clean[21] == "token=[SECRET]"
+    by_owner = secrets.scan_secrets(docs, example_repositories=None)
+    assert by_owner.where("doc_id = 0").first()["n_live"] == 1
+
+
 def test_pii_base_spans_and_names(spark):
     texts = ["x a@b.c.d@e.f 1.2.3.4.5 300.1.1.1 4111 1111 1111 1111 +1 (555) 010-9999.", "a" * 2000 + "@", "1" * 3000, "Write to Mrs. Clara Stone, 17 Hill Street today"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
