@@ -3,8 +3,10 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest fitting rule decides. An
 address without a rule of its own takes the decision of its class: addresses are joined by redirect edges (a refresh in
 the page, or rows of a given redirect table) and by canonical-link edges (a canonical link in the page, and the address's
-own canonical form: no scheme, no ``www.`` or ``m.``, no fragment, no tracking parameters, no trailing slash). Classes
-are the connected components of those edges. In a class, an explicit allow of any member goes before blocks of others:
+own canonical form: no scheme, no ``www.`` or ``m.``, no fragment, no tracking parameters, no trailing slash). Targets
+are resolved against the page's base (its address, or a base element), redirects against their source; targets of other
+kinds (``mailto:``) are none. Classes are the connected components of those edges; only addresses, not canonical forms,
+are judged by the rules. In a class, an explicit allow of any member goes before blocks of others:
 the order for an address is its own rule, an allow in its class, a block in its class, the default.
 
 All of it is DataFrame work: expressions for parsing, joins and aggregations for the classes.
@@ -34,8 +36,12 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-CANONICAL_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
+CANONICAL_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+REFRESH = (
+    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*"""
+    r"""(?:"[^">]*?\burl\s*=\s*'?\s*|'[^'>]*?\burl\s*=\s*"?\s*|[^"'\s>]*?\burl\s*=)([^"'\s>]+)"""
+)
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -55,6 +61,41 @@ def canonical(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on without its ``.`` and ``..`` segments."""
+    parts = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, x)),
+    )
+    return F.concat(F.array_join(parts, "/"), F.when(path.rlike(r"(?s)/\.\.?$"), "/").otherwise(""))
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The address a target means in a document at ``base``; null where it is empty, a mere fragment or no address."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)", 1))
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^(#|$|[A-Za-z][A-Za-z0-9+.-]*:)") | ~F.contains(base, F.lit("://")), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(path == "", F.concat(root, path_of(base), rest))
+        .otherwise(F.concat(root, without_dots(whole), rest))
+    )
+
+
+def address(url: Column) -> Column:
+    """A node of the edge table for an address; null where there is no ``://``."""
+    return F.when(F.contains(url, F.lit("://")), F.concat(F.lit("a "), url))
+
+
+def form(url: Column) -> Column:
+    """A node for a canonical form, which never equals an address, though it may hold ``://`` in its query."""
+    return F.concat(F.lit("f "), canonical(url))
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest fitting rule's string and action; null where none fits."""
     rule = action = F.lit(None).cast("string")
@@ -73,20 +114,21 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, reason for every page; redirects: src, dst addresses."""
     url = F.col("url")
-    links = F.array(F.regexp_extract("html", CANONICAL_LINK, 1), F.regexp_extract("html", REFRESH, 1))
-    edges = pages.where(F.contains(url, F.lit("://"))).select(
-        url.alias("u"), F.explode(F.array_append(F.filter(links, lambda x: F.contains(x, F.lit("://"))), canonical(url))).alias("v")
-    )
-    targets = pages.select(F.explode(F.filter(links, lambda x: F.contains(x, F.lit("://")))).alias("u"))
+    home = F.coalesce(resolve(F.regexp_extract("html", BASE, 1), url), url)
+    found = F.array(F.regexp_extract("html", CANONICAL_LINK, 1), F.regexp_extract("html", REFRESH, 1))
+    linked = pages.where(F.contains(url, F.lit("://"))).select(url.alias("u"), home.alias("home"), F.filter(found, lambda x: x != "").alias("found"))
+    links = linked.select("u", F.explode("found").alias("v"), "home").select("u", resolve(F.col("v"), F.col("home")).alias("v"))
+    ends = linked.select("u")
     if redirects is not None:
-        given = redirects.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-        edges = edges.unionByName(given)
-        targets = targets.unionByName(given.select("u")).unionByName(given.select(F.col("v").alias("u")))
-    edges = edges.unionByName(targets.select("u", canonical(F.col("u")).alias("v")))
-    classes = components(edges)
+        links = links.unionByName(redirects.select(F.col("src").alias("u"), resolve(F.col("dst"), F.col("src")).alias("v")))
+        ends = ends.unionByName(redirects.select(F.col("src").alias("u")))
+    edges = links.select(address(F.col("u")).alias("u"), address(F.col("v")).alias("v"))
+    edges = edges.unionByName(ends.unionByName(links.select(F.col("v").alias("u"))).select(address(F.col("u")).alias("u"), form(F.col("u")).alias("v")))
+    classes = components(edges).select("component", F.left("node", F.lit(2)).alias("kind"), F.substring("node", 3, 1 << 30).alias("node"))
+    classes = classes.where("kind = 'a '")
 
     rule, action = matching_rule(host_of(F.col("node")), path_of(F.col("node")), rules)
-    members = classes.where(F.contains("node", F.lit("://"))).select("component", action.alias("action"))
+    members = classes.select("component", action.alias("action"))
     decided = members.groupBy("component").agg(
         F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked")
     ).where("allowed or blocked")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import flac, graphs, neighbours, ngram_join, url_filter
 
@@ -27,6 +28,33 @@ def test_url_classes(spark):
     assert url_filter.filter_urls(pages.limit(0)).collect() == []
 
 
+def test_url_targets_are_resolved(spark):
+    base = "https://h.example.net/a/b?q#f"
+    targets = {
+        "http://x.com/de/1": "http://x.com/de/1", "//x.com/de/1": "https://x.com/de/1", "/de/1": "https://h.example.net/de/1", "c": "https://h.example.net/a/c",
+        "../c/./d?x=../y": "https://h.example.net/c/d?x=../y", "../../..": "https://h.example.net/", "?p=2": "https://h.example.net/a/b?p=2", ".": "https://h.example.net/a/",
+        "go?u=http://x.com/": "https://h.example.net/a/go?u=http://x.com/", "#top": None, "": None, "mailto:a@b.c": None,
+    }
+    rows = spark.createDataFrame([(t, base) for t in targets], "target string, base string")
+    assert {r[0]: r[1] for r in rows.select("target", url_filter.resolve(rows.target, rows.base)).collect()} == targets
+    assert spark.createDataFrame([("c", "http://h")], "t string, b string").select(url_filter.resolve(F.col("t"), F.col("b"))).first()[0] == "http://h/c"
+
+
+def test_url_classes_over_relative_links_and_embedded_addresses(spark):
+    refresh = '<meta http-equiv="refresh" content={}>'
+    rows = [
+        (1, "http://x.com/a", '<link rel="canonical" href="/de/5">'), (2, "http://y.example.net/", "<link rel=canonical href=//x.com/de/6>"),
+        (3, "http://x.com/b/", refresh.format('"0; url=../de/7"')), (4, "http://y.example.net/4", refresh.format("\"0; url='http://x.com/de/8'\"")),
+        (5, "http://y.example.net/5", refresh.format("'0; URL=\"http://x.com/de/9\"'")), (6, "http://y.example.net/6", refresh.format('"0; url=" name="http://x.com/de/1"')),
+        (7, "http://proxy.net/go?u=http://x.com/de/1", None), (8, "http://y.example.net/8", '<base href="http://x.com/"><link rel=canonical href="de/2">'),
+        (9, "http://y.example.net/9", None), (10, "http://y.example.net/10", refresh.format("0;url=http://x.com/de/3")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("http://x.com/de/4", "/f"), ("http://y.example.net/9", "//x.com/f")], "src string, dst string")
+    got = {r["page_id"]: (r["verdict"], r["reason"]) for r in url_filter.filter_urls(pages, redirects=redirects).collect()}
+    assert got == {i: ("allow", "default") if i in (6, 7) else ("block", "alias") for i in range(1, 11)}
+
+
 def least_ids(edges):
     up = {}
 
