@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,24 +11,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows a batch holds at most, so that a task's memory does not follow the session's default of 10,000 texts.
-BATCH_ROWS = 1000
+#: Rows and bytes that a step holds at most, whatever the session's batches are (a single longer text is a step of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    """Say that this worker now keeps the caches of operator ``name``, which ``drop`` empties. Workers serve one operator after
+    the other: the caches of the others go."""
+    if name in _HELD:
+        return
+    for clear in _HELD.values():
+        clear()
+    _HELD.clear()
+    _HELD[name] = drop
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in steps of at most BATCH_ROWS rows and about BATCH_BYTES bytes."""
+    start = 0
+    while start < batch.num_rows:
+        rows = min(BATCH_ROWS, batch.num_rows - start)
+        while rows > 1 and batch.slice(start, rows).nbytes > BATCH_BYTES:
+            rows //= 2
+        yield batch.slice(start, rows)
+        start += rows
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType) -> DataFrame:
-    """Run ``fn`` over Arrow batches: it takes and returns columns as Python lists. No shuffle."""
-    spark = df.sparkSession
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    """Run ``fn`` over steps of Arrow batches: it takes and returns columns as Python lists. No shuffle."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            for part in pieces(batch):
+                out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
