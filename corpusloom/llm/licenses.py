@@ -1,14 +1,14 @@
 """License scans by diagonal voting over rolling word grams.
 
-Every text becomes a sequence of words; every place in it gives a word bigram and the hash of the four words from there on.
-Those are joined with the gram positions of the templates (a fixed, small table): phrases of two or three words vote by
-bigrams, longer notices by bigrams whose four-word hash agrees as well. A vote falls on the diagonal document place minus
-template place. Votes are summed by document, template and diagonal; neighbouring diagonals, which differ by an inserted
-or a dropped word, are merged; and the span is verified: a phrase needs all its grams on one diagonal, which with exact
-bigrams means that its very words stand there, a notice needs a share of its grams.
+Every text becomes a sequence of words, once; the rolling hash of each two neighbouring words is joined with the gram positions of
+the templates (a fixed, small table). A gram of a phrase of two or three words counts if its two words are the template's, a
+gram of a longer notice if the two words after it agree as well: hashes only find a place, the words themselves decide. Each vote
+falls on the diagonal document place minus template place. Votes are summed by document, template and diagonal; neighbouring
+diagonals, which differ by an inserted or a dropped word, are merged; and the span is verified by the words that voted for it: a
+phrase needs all its grams on one diagonal, so that its very words stand there, a notice needs a share of its grams.
 
 The main path is DataFrame work only. The join needs no shuffle of grams, since the template table has a fixed size and is
-sent to all tasks; only votes are shuffled.
+sent to all tasks; only votes and one narrow row a document are shuffled.
 
 Defined cases: a null or empty text has no words, no places and score 0; rows with equal id and text count once in the votes
 and each is returned; an empty table gives an empty table.
@@ -23,7 +23,10 @@ from corpusloom.functions.staging import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of text in lower case
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: Beside A-Z the only letter whose lower case is a letter of ASCII alone, and a stand-in that no template has.
+KELVIN, STAND_IN = "\u212a", "\u00e9"
 
 #: (label, phrase)
 PHRASES = (
@@ -48,58 +51,64 @@ LEAST_SHARE, NEAR = 0.5, 3
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text; letters beyond A-Z come out in lower case as well, which no template's words can be."""
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(STAND_IN)))
+    return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
 def _templates(spark, phrases, notices) -> DataFrame:
-    """One row per gram position: template, label, phrase, place, grams (positions it has, below 64), n_words, the bigram
-    and its hash, and for notices the hash of the four words."""
+    """One row per gram position: template, label, phrase, place, grams (positions it has), length (words), the words of the
+    gram (two of a phrase, four of a notice) and the hash of the first two."""
     rows = []
     for phrase, entries in ((True, phrases), (False, notices)):
         for label, text in entries:
             words = text.split()
-            grams = len(words) - (1 if phrase else 3)
+            width = 2 if phrase else 4
+            grams = len(words) - width + 1
             for i in range(grams):
-                pair, after = " ".join(words[i : i + 2]), None if phrase else " ".join(words[i + 2 : i + 4])
-                rows.append((text, label, phrase, i, grams, len(words), pair, after))
-    table = spark.createDataFrame(
-        rows, "template string, label string, phrase boolean, place int, grams int, length int, t_gram string, t_next string"
+                rows.append((text, label, phrase, i, grams, len(words), words[i : i + width]))
+    table = spark.createDataFrame(rows, "template string, label string, phrase boolean, place int, grams int, length int, gram array<string>")
+    return table.withColumn("hash", F.xxhash64(F.get("gram", F.lit(0)), F.get("gram", F.lit(1))))
+
+
+def votes(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    """One row per document (at is null) with doc_id, fp (hash of the text) and n_words, and one for each place and
+    template gram that agree, with template, label, phrase, grams, length, place and at (words, from 0)."""
+    words = words_of(F.col("text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), words.alias("words"))
+    # the first entry stands for the document
+    each = rows.select("doc_id", "fp", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("turn", "word"))
+    each = each.withColumn("key", F.when(F.col("turn") > 0, F.xxhash64("word", F.get("words", F.col("turn")))))
+    word = lambda i: F.get("words", F.col("turn") + (i - 1))
+    own = lambda i: F.get("gram", F.lit(i))
+    same = (F.col("word") == own(0)) & (word(1) == own(1)) & (F.col("phrase") | ((word(2) == own(2)) & (word(3) == own(3))))
+    templates = F.broadcast(_templates(docs.sparkSession, phrases, notices))  # of a fixed size: the templates in this file or the call
+    return each.join(templates, (F.col("key") == F.col("hash")) & same, "left").where("turn = 0 or template is not null").select(
+        "doc_id", "fp", F.when(F.col("turn") == 0, F.size("words")).alias("n_words"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("at"),
+        "template", "label", "phrase", "grams", "length", "place",
     )
-    return table.withColumns({"t_hash": F.xxhash64("t_gram"), "t_wide": F.when(F.col("t_next").isNotNull(), F.xxhash64("t_gram", "t_next"))})
 
 
-def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """doc_id, fp (hash of the text), label, phrase, start, end (words, end exclusive), share of the template's votes: one
-    row for each verified place."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    wide = F.transform("pairs", lambda g, i: F.struct(g.alias("gram"), F.get("pairs", i + 2).alias("next")))
-    grams = (
-        docs.select("doc_id", F.xxhash64("text").alias("fp"), words_of(F.col("text")).alias("words"))
-        .where(F.size("words") >= 2)
-        .withColumn("pairs", pairs)
-        .select("doc_id", "fp", F.posexplode(wide).alias("at", "g"))
-        .select("doc_id", "fp", "at", F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("hash"), F.xxhash64("g.gram", "g.next").alias("wide"))
-    )
-    templates = _templates(docs.sparkSession, phrases, notices)
-    same = (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")) & (F.col("t_wide").isNull() | (F.col("wide") == F.col("t_wide")))
-    place = F.expr("shiftleft(1L, place)")
-    diagonals = stage(
-        grams.join(F.broadcast(templates), same)  # of a fixed size: the templates in this file or the call
+def spans_of(voted: DataFrame) -> DataFrame:
+    """doc_id, fp, label, phrase, start, end (words, end exclusive), share of the template's grams: one row for each verified
+    place."""
+    diagonals = (
+        voted.where("at is not null")
         .withColumn("diagonal", F.col("at") - F.col("place"))
         .groupBy("doc_id", "fp", "template", "label", "phrase", "grams", "length", "diagonal")
-        .agg(F.bit_or(place).alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
+        .agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
     )
-    whole = diagonals.where(F.col("phrase") & (F.bit_count("places") == F.col("grams"))).select(
+    whole = diagonals.where(F.col("phrase") & (F.size("places") == F.col("grams"))).select(
         "doc_id", "fp", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("end"), F.lit(1.0).alias("share")
     )
     # cells of NEAR diagonals, each diagonal in its own and the next one: two neighbours always meet in one
     cell = F.floor(F.col("diagonal") / NEAR)
-    share = F.bit_count("places") / F.col("grams")
+    share = F.size("places") / F.col("grams")
     merged = (
         diagonals.where(~F.col("phrase"))
         .withColumn("cell", F.explode(F.array(cell, cell + 1)))
         .groupBy("doc_id", "fp", "template", "label", "phrase", "grams", "cell")
-        .agg(F.bit_or("places").alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where(share >= LEAST_SHARE)
         .select("doc_id", "fp", "label", "phrase", F.col("low").alias("start"), (F.col("high") + 4).alias("end"), share.alias("share"))
         .distinct()
@@ -107,12 +116,17 @@ def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
     return whole.unionByName(merged)
 
 
+def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    return spans_of(stage(votes(docs, phrases, notices)))
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per document; score: the largest share of
     a template's votes found in one place."""
     phrase = F.col("phrase")
+    voted = stage(votes(docs, phrases, notices))
     found = (
-        license_spans(docs, phrases, notices)
+        spans_of(voted)
         .groupBy(F.col("doc_id").alias("d"), F.col("fp").alias("f"))
         .agg(
             F.count_if(phrase).alias("n_base"), F.min(F.when(phrase, F.col("start"))).alias("first_word"), F.max(F.when(phrase, F.col("start"))).alias("last_word"),
@@ -120,10 +134,9 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
         )
     )
     listed = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("fp"), n_words.alias("n_words"))
-        .join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")), "left")
+        voted.where("at is null").select("doc_id", "fp", F.col("n_words").cast("long").alias("n_words"))
+        .join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("fp").eqNullSafe(F.col("f")), "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
             F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
