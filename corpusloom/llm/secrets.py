@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.staging import stage
-from corpusloom.llm.sieve import maybe, others
+from corpusloom.llm.sieve import fresh, maybe, others
 from corpusloom.llm.texts import map_rows, sha256, spans_text
 
 #: Kinds in the order in which spans with equal starts are listed.
@@ -110,6 +110,11 @@ def _scan(cols: dict[str, list]) -> dict[str, list]:
     return out
 
 
+def _named(value: Column) -> Column:
+    """A name for every value, one of its own for null."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """One row per document: counts, base spans and candidates with hashed values; no aggregation yet."""
     schema = T.StructType(
@@ -123,7 +128,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     )
     rows = docs.select(
         "doc_id", "text", F.xxhash64("text").alias("fp"),
-        F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
+        _named(owner).alias("owner"), _named(repository).alias("repository"),
     )
     return map_rows(rows, _scan, schema)
 
@@ -137,20 +142,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, owner: Column | None = None, repository: Column | None = None, live_owners: int = 1, example_owners: int = 3,
-    example_repositories: int | None = 4,
+    example_repositories: int = 4,
 ) -> DataFrame:
     """Per document: doc_id, fp (hash of its text), n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and the
     value ranges judged live and shared (neither owned nor an example, but generated by its looks).
 
     live_owners: a value of at most so many owners can be live; example_owners, example_repositories: from so many owners or
-    so many repositories on it is an example (None: repositories don't count)."""
+    so many repositories on it is an example. A repository is named by its owner and a name of its own."""
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
+    repository = F.col("lang") if repository is None else repository
     scanned = stage(scan(docs, owner, repository))
     each = scanned.select("doc_id", "fp", "owner", "repository", F.explode("candidates").alias("c")).select("doc_id", "fp", "owner", "repository", "c.*")
-    example = F.col("owners") >= example_owners
-    if example_repositories is not None:
-        example |= F.col("repositories") >= example_repositories
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     spread = ownership(each).withColumn(
         "class",
         F.when(example, "example").when(F.col("owners") <= live_owners, "owned").otherwise("shared"),
@@ -192,37 +195,40 @@ def disjoint(spans: list[dict]) -> list[tuple[int, int]]:
     return merged
 
 
-def _redact(cols: dict[str, list]) -> dict[str, list]:
-    texts = []
-    for text, live in zip(cols["text"], cols["live"], strict=True):
-        for start, end in reversed(disjoint(live or [])):
-            text = text[:start] + MARK + text[end:]
-        texts.append(text)
-    return cols | {"text": texts}
+def _redacted(text: str, live: list[dict] | None) -> str:
+    parts, at = [], 0
+    for start, end in disjoint(live or []):
+        parts += [text[at:start], MARK]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
     """The documents with live and shared values replaced by a mark; every row stays, with its columns."""
-    found = scan_secrets(docs, **how).select(F.col("doc_id").alias("d_"), F.col("fp").alias("f_"), F.concat("live", "shared").alias("live")).where(F.size("live") > 0)
-    found = stage(found.distinct())
-    rows = docs.withColumn("fp_", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("fp_").eqNullSafe(F.col("f_"))
-    marked = maybe(rows, "fp_", found, "f_").join(found, same, "left")
-    hit = map_rows(marked.where(F.col("live").isNotNull()).select(*docs.columns, "live"), lambda c: {k: v for k, v in _redact(c).items() if k != "live"}, docs.schema)
+    found = scan_secrets(docs, **how).select("doc_id", "fp", F.concat("live", "shared").alias("live")).where(F.size("live") > 0)
+    names = {c: fresh(docs.columns, c) for c in ("fp", "found_id", "found_fp", "live")}
+    found = stage(found.distinct().toDF(names["found_id"], names["found_fp"], names["live"]))
+    rows = docs.withColumn(names["fp"], F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(names["found_id"])) & F.col(names["fp"]).eqNullSafe(F.col(names["found_fp"]))
+    marked = maybe(rows, names["fp"], found, names["found_fp"]).join(found, same, "left")
+
+    def mark(cols: dict[str, list]) -> dict[str, list]:
+        return {c: v for c, v in cols.items() if c != names["live"]} | {"text": [_redacted(t, x) for t, x in zip(cols["text"], cols[names["live"]], strict=True)]}
+
+    hit = map_rows(marked.where(F.col(names["live"]).isNotNull()).select(*docs.columns, names["live"]), mark, docs.schema)
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    rest = others(rows, "fp_", found, "f_").select(*docs.columns).unionByName(marked.where(F.col("live").isNull()).select(*docs.columns))
+    rest = others(rows, names["fp"], found, names["found_fp"]).select(*docs.columns).unionByName(marked.where(F.col(names["live"]).isNull()).select(*docs.columns))
     return rest.unionByName(hit.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Classes as in its SQL, which counts owners alone."""
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), example_repositories=None)
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 
 ORACLE = r"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS owner, coalesce('=' || lang, '') AS repository FROM documents),
 patterns(kind, k, pattern, g) AS (
   VALUES ('assign', 0, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1),
          ('access', 1, '(AKIA[A-Z0-9]+)', 1), ('hex', 2, '([0-9a-f]+)', 1)),
@@ -237,12 +243,13 @@ each AS (
 base AS (
   SELECT *, start + length(whole) AS stop, start + length(whole) - length(val) AS vstart FROM each
   WHERE (kind = 'assign' AND length(val) >= 6) OR (kind = 'access' AND length(whole) >= 20) OR (kind = 'hex' AND length(whole) >= 24)),
-owned AS (SELECT val, count(DISTINCT owner) AS owners FROM base GROUP BY val),
+owned AS (
+  SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM base GROUP BY val),
 letters AS (SELECT val, unnest(string_split(val, '')) AS c FROM owned),
 counts AS (SELECT val, c, count(*)::DOUBLE AS n FROM letters GROUP BY val, c),
 bits AS (SELECT val, -sum(n / length(val) * log2(n / length(val))) AS bits FROM counts GROUP BY val),
 judged AS (
-  SELECT b.*, o.owners, o.owners = 1 AND length(b.val) >= 12 AND bits >= 2.5 AND regexp_matches(b.val, '[0-9]')
+  SELECT b.*, o.owners >= 3 OR o.repositories >= 4 AS example, o.owners = 1 AND o.repositories < 4 AND length(b.val) >= 12 AND bits >= 2.5 AND regexp_matches(b.val, '[0-9]')
     AND NOT regexp_matches(lower(b.val), 'changeme|change_me|example|placeholder|redacted|your_|xxxx|dummy|sample|test') AS live
   FROM base b JOIN owned o USING (val) JOIN bits USING (val)),
 spans AS (
@@ -254,7 +261,7 @@ texts AS (
          coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (NOT added), '') AS base,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) AS spans
   FROM spans GROUP BY doc_id),
-examples AS (SELECT doc_id, count(DISTINCT (vstart, stop)) AS n_example FROM judged WHERE owners >= 3 GROUP BY doc_id)
+examples AS (SELECT doc_id, count(DISTINCT (vstart, stop)) AS n_example FROM judged WHERE example GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
