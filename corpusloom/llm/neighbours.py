@@ -1,13 +1,14 @@
 """Nearest neighbours over shifted space-filling curves.
 
 Vectors are projected to a few dimensions by seeded orthonormal matrices, shifted, and put in the order of a Hilbert curve, once
-for each of several curves. Spark range-partitions every ordering, and each query meets the vectors in the windows around
-its key; the windows of all curves are merged and reranked by the true distance. That gives ten near vectors and so a radius
-for each query.
+for each of several curves. Spark range-partitions and sorts every ordering (narrow rows: curve, key, id), which gives each
+vector its rank on each curve; ranks are cut into windows of ``WINDOW`` rows, wherever the borders of partitions lie. A query
+meets the vectors of its own window and of both neighbouring ones on every curve; what it finds is merged over the curves and
+reranked by the true distance.
 
-A finishing pass makes the result exact: the range partitions of the first curve are summarised by centre and radius, and a
-query also visits each partition that its own radius reaches. On vectors with structure that is few; on vectors without
-any (the nearest is hardly nearer than the rest) no index prunes, and a query visits all partitions, in blocks.
+Work and shuffles are linear: every vector goes to one window a curve, every query to three. Recall depends on the data: vectors
+with structure find their neighbours in small windows; vectors without any (the nearest is hardly nearer than the rest) need
+windows that are a good share of the table. See the README for measured recall.
 
 Of equal vectors the least ``k`` + 1 ids stand for all as candidates, which loses no neighbour, as ties go to the smaller id.
 
@@ -26,12 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.staging import stage
-from corpusloom.llm.texts import BATCH_ROWS
 
-CURVES, DIMENSIONS, BITS = 4, 8, 7
+CURVES, DIMENSIONS, BITS = 8, 8, 7
 SEED = 20
-#: Rows on either side of a query's key; rows in a range partition; queries in a block.
-WINDOW, SHARD_ROWS, QUERY_ROWS = 64, 20_000, 20_000
+#: Rows of a window on a curve; narrow rows of a range partition.
+WINDOW, SHARD_ROWS = 4096, 500_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -111,18 +111,19 @@ PAIRS = "query_id long, vec_id long, score double"
 def clean(vectors: DataFrame) -> DataFrame:
     """vec_id and vec of the rows that take part."""
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    kept = F.col("embedding")
+    if vectors.schema["embedding"].dataType.elementType.typeName() != "float":  # a float is exact as a double
+        kept = kept.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), kept.alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & good)
     return rows.distinct()
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, exact: bool = True) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by ``every``.
-
-    exact=False stops after the windows of the curves."""
+def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = stage(clean(vectors))
-    sizes = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c"), F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("s"))
+    sizes = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c"), F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("s"))
     common = sizes.orderBy(F.col("c").desc(), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -131,12 +132,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, exact: bool = True
     twins = Window.partitionBy("vec").orderBy("vec_id")
     kept = rows.withColumn("turn", F.row_number().over(twins)).where(F.col("turn") <= k + 1).select("vec_id", "vec")
     asks = F.col("vec_id") % every == 0
-    both = kept.withColumn("candidate", F.lit(True)).unionByName(rows.where(asks).withColumn("candidate", F.lit(False)))
+    both = stage(kept.withColumn("candidate", F.lit(True)).unionByName(rows.where(asks).withColumn("candidate", F.lit(False))))
 
     random = np.random.default_rng(SEED)
     m = min(DIMENSIONS, width)
-    bases = [np.linalg.qr(random.standard_normal((width, m)))[0] for _ in range(CURVES)]
-    shifts = [random.random(m) for _ in range(CURVES)]
+    bases = [np.linalg.qr(random.standard_normal((width, m)))[0] for _ in range(curves)]
+    shifts = [random.random(m) for _ in range(curves)]
     cell = 8 * max((common["s"] / count / width) ** 0.5, 1e-300) / (1 << BITS)  # four deviations either way
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,69 +147,36 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, exact: bool = True
                 cells = [np.clip(np.floor(x @ b / cell + s) + (1 << (BITS - 1)), 0, (1 << BITS) - 1) for b, s in zip(bases, shifts, strict=True)]
                 key = np.stack([hilbert_keys(c, BITS) for c in cells], axis=1).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("vec"), batch.column("candidate"), pa.ListArray.from_arrays(np.arange(0, len(key) + 1, CURVES, dtype=np.int32), pa.array(key))],
-                    names=["vec_id", "vec", "candidate", "keys"],
+                    [batch.column("vec_id"), batch.column("candidate"), pa.ListArray.from_arrays(np.arange(0, len(key) + 1, curves, dtype=np.int32), pa.array(key))],
+                    names=["vec_id", "candidate", "keys"],
                 )
 
-    keyed = stage(both.mapInArrow(keys, "vec_id long, vec array<double>, candidate boolean, keys array<long>"))
-    shards = max(8, -(-count // SHARD_ROWS))
-    on_curves = keyed.select("vec_id", "vec", "candidate", F.posexplode("keys").alias("curve", "key"))
-    ordered = on_curves.repartitionByRange(CURVES * shards, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive in the curve's order: each batch is searched with the end of the one before."""
-        held = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            table = now if held is None else pa.concat_tables([held, now])
-            yield from _in_windows(table, k).to_batches()
-            held = table.slice(max(0, table.num_rows - 2 * WINDOW))
-
-    near = ordered.mapInArrow(windows, PAIRS)
-    first = stage(_ranked(near, k))
-    if not exact:
-        return first
-    reach = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("reach"))
-
-    one = keyed.where("candidate").select("vec_id", "vec", F.get("keys", 0).alias("key"))
-    sharded = stage(one.repartitionByRange(shards, "key", "vec_id").withColumn("shard", F.spark_partition_id()).select("shard", "vec_id", "vec"))
-    centre = sharded.select("shard", F.posexplode("vec").alias("j", "x")).groupBy("shard", "j").agg(F.avg("x").alias("x"))
-    centres = centre.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("centre"))
-    gap = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    balls = stage(sharded.join(centres, "shard").groupBy("shard").agg(F.max(gap).alias("radius")).join(centres, "shard"))
-    asked = keyed.where(~F.col("candidate")).select(F.col("vec_id").alias("query_id"), "vec")
-    asked = asked.join(reach, "query_id", "left").select("query_id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-    blocks = max(1, -(-(count // every) // QUERY_ROWS))
-    # queries against partitions in blocks: the key is the block of queries, each ball is read once per block
-    balls = balls.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    visits = asked.join(balls, "block").where(gap - F.col("radius") <= F.col("reach") * (1 + 1e-9)).select("query_id", "vec", "shard", "block")
-    data = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        q, x = left.combine_chunks(), right.combine_chunks()
-        got = nearest(_matrix(q["vec"].combine_chunks()), q["query_id"].to_numpy(), _matrix(x["vec"].combine_chunks()), x["vec_id"].to_numpy(), k)
-        return _pairs(*least(*got, k))
-
-    more = visits.groupBy("shard", "block").cogroup(data.groupBy("shard", "block")).applyInArrow(visit, PAIRS)
-    return _ranked(first.select("query_id", "vec_id", "score").unionByName(more), k)
-
-
-def _in_windows(table: pa.Table, k: int) -> pa.Table:
-    curve, ids = table["curve"].to_numpy(), table["vec_id"].to_numpy()
-    candidate = table["candidate"].to_numpy(zero_copy_only=False)
-    x = _matrix(table["vec"].combine_chunks())
-    at = np.flatnonzero(~candidate)
-    if not len(at):
-        return _pairs(ids[:0], ids[:0], np.zeros(0))
-    places = at[:, None] + np.arange(-WINDOW, WINDOW + 1)[None]
-    inside = (places >= 0) & (places < len(ids))
-    places = np.clip(places, 0, len(ids) - 1)
-    inside &= candidate[places] & (curve[places] == curve[at][:, None]) & (ids[places] != ids[at][:, None])
-    a, b = np.nonzero(inside)
-    return _pairs(*least(ids[at[a]], ids[places[a, b]], distances(x[at[a]], x[places[a, b]]), k))
+    keyed = both.mapInArrow(keys, "vec_id long, candidate boolean, keys array<long>").select("vec_id", "candidate", F.posexplode("keys").alias("curve", "key"))
+    ordered = keyed.repartitionByRange(max(curves, -(-curves * count // SHARD_ROWS)), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    # the id of a row counts up in its partition, from the partition's number times 2^33
+    numbered = stage(ordered.select("vec_id", "candidate", "curve", F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33)))
+    # a row for each partition and curve
+    runs = numbered.groupBy("curve", "part").agg(F.min("place").alias("first"), F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("curve", "part", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    at = F.floor((F.col("place") - F.col("first") + F.col("before")) / window).cast("int")
+    placed = numbered.join(F.broadcast(runs), ["curve", "part"]).groupBy("vec_id", "candidate").agg(F.collect_list(F.struct("curve", at.alias("at"))).alias("places"))
+
+    near = F.when(F.col("candidate"), F.array("p.at")).otherwise(F.sequence(F.col("p.at") - 1, F.col("p.at") + 1))
+    dealt = both.join(placed, ["vec_id", "candidate"]).select("vec_id", "vec", "candidate", F.explode("places").alias("p"))
+    dealt = dealt.select("vec_id", "vec", "candidate", F.col("p.curve").alias("curve"), F.explode(near).alias("at"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The k nearest among a window's vectors of each query that asks there."""
+        table = table.combine_chunks()
+        candidate = table["candidate"].to_numpy(zero_copy_only=False)
+        ids, x = table["vec_id"].to_numpy(), _matrix(table["vec"].combine_chunks())
+        if not candidate.any() or candidate.all():
+            return _pairs(ids[:0], ids[:0], np.zeros(0))
+        return _pairs(*least(*nearest(x[~candidate], ids[~candidate], x[candidate], ids[candidate], k), k))
+
+    found = stage(dealt.groupBy("curve", "at").applyInArrow(meet, PAIRS))
+    return _ranked(found, k)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
