@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -89,28 +90,55 @@ def copies(seed, groups, members, words, changes):
     return texts
 
 
-def brute_classes(texts):
-    sets = [set(ngram_join.gram_set(t, 3).tolist()) for t in texts]
+def shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_classes(texts, n=3, percent=90):
+    sets = [shingles(t, n) for t in texts]
     edges = [(i, i) for i in range(len(texts))]
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 edges.append((i, j))
     return least_ids(edges)
 
 
-@pytest.mark.parametrize("most", [1000, 7])
-def test_ngram_join_against_all_pairs(spark, monkeypatch, most):
-    """most=7: every cluster is cut into chunks, so both rounds run."""
+@pytest.mark.parametrize(("most", "n", "percent"), [(1000, 3, 90), (7, 3, 90), (1000, 5, 80), (7, 2, 70)])
+def test_ngram_join_against_all_pairs(spark, monkeypatch, most, n, percent):
+    """most=7: every group is cut into chunks, so both rounds run."""
     monkeypatch.setattr(ngram_join, "MOST_SETS", most)
+    monkeypatch.setattr(ngram_join, "MOST_MAPS", most)
     monkeypatch.setattr(ngram_join, "COMMON", 2 if most == 7 else 16)
     texts = copies(1, 4, 14, 120, 5) + copies(2, 10, 2, 30, 1) + copies(3, 6, 3, 9, 1) + ["a b", "A  b", "a", "", None, "x y z"] + copies(4, 1, 30, 200, 9)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(docs).collect()}
-    assert got == brute_classes(texts)
-    kept = {r["doc_id"] for r in ngram_join.keep_one(docs.union(docs.where("doc_id = 0"))).collect()}
-    assert kept == set(got.values())
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(docs, n, percent).collect()}
+    assert got == brute_classes(texts, n, percent)
+    if n == 3:
+        kept = [r["doc_id"] for r in ngram_join.keep_one(docs.union(docs.where("doc_id = 0")), n, percent).collect()]
+        assert sorted(kept) == sorted(set(got.values()))
+
+
+def test_keep_one_of_equal_ids_and_odd_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "totally other words here"), (2, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (None, "alpha beta gamma delta")], "doc_id long, text string")
+    odd = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("fp", "turn", "turn_", "b_", "bucket", "gone_id"))), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    got = ngram_join.keep_one(odd)
+    assert got.columns == odd.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "alpha beta gamma delta"), ("1", "totally other words here"), ("None", "alpha beta gamma delta")]
+
+
+def test_bitmaps_never_part_what_links():
+    texts = sorted(set(copies(8, 2, 60, 90, 12) + copies(9, 1, 40, 300, 40)))
+    sets = [ngram_join.gram_set(t, 5) for t in texts]
+    group = np.arange(len(sets))
+    ngram_join.join_maps([ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets]), group, 80, np.ones(len(sets), dtype=bool))
+    want = brute_classes(texts, 5, 80)
+    assert all(group[i] == group[j] for i in range(len(sets)) for j in range(i) if want[i] == want[j])
+    assert len(set(group.tolist())) > 1
 
 
 def test_tree_walk_finds_all_links():
@@ -132,27 +160,47 @@ def vectors(spark, n=900, seed=0):
     return x, spark.createDataFrame(rows, "vec_id long, embedding array<float>, key int")
 
 
-def test_neighbours_are_exact(spark):
+def test_neighbours_within_one_window_are_exact(spark):
     x, table = vectors(spark)
     got = {}
     for r in neighbours.search(table, 10).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 900, 100))
-    hits = 0
-    near = {}
-    for r in neighbours.search(table, 10, exact=False).collect():
-        near.setdefault(r["query_id"], set()).add(r["vec_id"])
     for q, rows in got.items():
         d = neighbours.distances(x[[q]].astype(float), x.astype(float))
         order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
         assert [v for _, v, _ in sorted(rows)] == order and all(s == d[v] for _, v, s in rows)
-        hits += len(near.get(q, set()) & set(order))
-    assert hits > 0
     assert neighbours.search(table.limit(0)).collect() == []
     few = neighbours.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 1, 1.0)]
 
 
+def recall(x, found, queries, k=10):
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found.get(q, set()) & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / k / len(queries)
+
+
+@pytest.mark.parametrize(("structured", "window", "partitions"), [(True, 128, 3), (False, 1024, 7)])
+def test_neighbours_recall_over_windows(spark, structured, window, partitions):
+    """Windows much smaller than the table and range partitions whose borders cut them: vectors in clusters, and without any structure
+    (64 dimensions, the nearest at 0.7 of the mean distance)."""
+    r = np.random.default_rng(3)
+    if structured:
+        x = (r.standard_normal((100, 64))[r.integers(0, 100, 4000)] + r.standard_normal((4000, 64)) * 0.2).astype(np.float32)
+    else:
+        x = r.standard_normal((4000, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(partitions)
+    found = {}
+    for row in neighbours.search(table, window=window).collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert recall(x.astype(float), found, list(range(0, 4000, 100))) >= 0.9
+
+
 def test_hilbert_neighbours_share_an_edge():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     path = cells[np.argsort(neighbours.hilbert_keys(cells, 3))]
@@ -249,7 +297,7 @@ def test_pipeline_against_brute_force(spark):
     found = {r["doc_id"]: r for r in language.identify_languages(docs).collect()}
     kept = [r for r in docs.collect() if found[r["doc_id"]]["lang_pred"] != "und" and found[r["doc_id"]]["score"] >= cp.LEAST_SCORE]
     kept.sort(key=lambda r: r["doc_id"])
-    classes = brute_classes([r["text"] for r in kept])
+    classes = brute_classes([r["text"] for r in kept], 5, 80)
     kept = [r for i, r in enumerate(kept) if classes[i] == i]
     staged = spark.createDataFrame(kept, docs.schema)
     clean = cp.redact(spark, staged, "")

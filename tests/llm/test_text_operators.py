@@ -95,10 +95,30 @@ def test_secrets_of_many_repositories_or_two_owners(spark):
     assert got[20]["n_live"] == got[20]["n_example"] == 0
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert clean[0] == f"token={copied}" and clean[10] == clean[20] == clean[21] == "token=[SECRET]"
-    by_owner = secrets.scan_secrets(docs, example_repositories=None)
+    by_owner = secrets.scan_secrets(docs, example_repositories=1000)
     assert by_owner.where("doc_id = 0").first()["n_live"] == 1
 
 
+def test_secrets_null_owners_are_their_own(spark):
+    value = "9f3b7c1d5e8a2f4609bd7713"
+    rows = [(1, f"token={value}", None, "en"), (2, f"token={value}", "", "en"), (3, f"token={value}", "a/b", None), (4, f"token={value}", "a", "b")]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert all(r["n_example"] == 1 for r in got)
+    two = secrets.scan_secrets(spark.createDataFrame(rows[:2], "doc_id long, text string, source string, lang string"))
+    assert [r["n_live"] for r in two.collect()] == [0, 0]
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    value = "9f3b7c1d5e8a2f4609bd7713"
+    docs = spark.createDataFrame([(1, f"x token={value} tail", "o", "en"), (2, "clean", "o", "en"), (3, None, None, None)], "doc_id long, text string, source string, lang string")
+    odd = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("fp", "fp_", "live", "b_", "bucket", "found_id", "d_"))), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    got = {r["doc_id"]: r.asDict() for r in secrets.redact(odd).collect()}
+    assert got[1]["text"] == "x token=[SECRET] tail" and got[2]["text"] == "clean" and got[3]["text"] is None
+    assert all([got[i][c] for c in ("fp", "fp_", "live", "b_", "bucket", "found_id", "d_")] == list(range(7)) and got[i]["m"] == {"k": 1} for i in (1, 2, 3))
+
+
 def test_pii_base_spans_and_names(spark):
     texts = ["x a@b.c.d@e.f 1.2.3.4.5 300.1.1.1 4111 1111 1111 1111 +1 (555) 010-9999.", "a" * 2000 + "@", "1" * 3000, "Write to Mrs. Clara Stone, 17 Hill Street today"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -125,6 +145,15 @@ def test_licenses(spark):
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"]) == (2, 0, 3)
 
 
+def test_licenses_of_long_templates_and_words_beyond_ascii(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"a {long.upper()} b"), (2, f"{long} {long}"), (3, long.replace("w40", "v40")), (4, "CC \u212aBY, CC B\u00dd, all r\u0130ghts reserved")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs, phrases=(("long", long), *licenses.PHRASES), notices=(("notice", long),)).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["labels"]) == (1, 1, "long,notice") and got[2]["n_base"] == 2 and got[2]["last_word"] == 80
+    assert (got[3]["n_base"], got[3]["labels"]) == (0, "notice") and got[3]["score"] == 73 / 77
+    assert (got[4]["n_words"], got[4]["n_base"]) == (7, 0)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
