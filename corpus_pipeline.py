@@ -14,6 +14,9 @@ from corpusloom.llm import bpe, language, mixing, ngram_join, secrets
 #: A document is kept if one language holds at least this share of its words.
 LEAST_SCORE = 0.4
 
+#: Near copies: sets of so many words' shingles with at least this Jaccard similarity, in percent.
+WORDS, PERCENT = 5, 80
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a leading language, go."""
@@ -22,7 +25,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, WORDS, PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
