@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.texts import map_rows, sha256
+from corpusloom.llm.texts import holds, map_rows, sha256
 
 NONE = np.int32(2**31 - 1)
-#: Matches of at most so many bytes are merged together; results kept by a worker, in each of two generations.
-TOGETHER, KEPT = 64, 400_000
+#: Matches of at most so many bytes are merged together; results kept by a worker, and letters in them, in each of two generations.
+TOGETHER, KEPT, KEPT_LETTERS = 64, 200_000, 4_000_000
 
 # Letters, numbers and white space up to U+024F, where Python's re can stand in for the pattern's classes.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc\xbd\xbe", "\\t-\\r \x85\xa0"
@@ -60,6 +60,7 @@ class Vocabulary:
         self.latin = pattern == LATIN_FOR
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.letters = 0
 
     def split(self, text: str) -> list[str]:
         if self.latin and (text.isascii() or not _BEYOND.search(text)):
@@ -74,13 +75,14 @@ class Vocabulary:
     def ids(self, pieces: Iterable[str]) -> None:
         """Bring the ids of all ``pieces`` into the cache."""
         young, old = self.young, self.old
-        if len(young) > KEPT:
-            self.old, self.young = young, {}
+        if len(young) > KEPT or self.letters > KEPT_LETTERS:
+            self.old, self.young, self.letters = young, {}, 0
             young, old = self.young, self.old
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             if piece in young:
                 continue
+            self.letters += len(piece)
             if piece in old:
                 young[piece] = old[piece]
                 continue
@@ -220,6 +222,7 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[str] = ("
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
+        holds("bpe", vocabulary.cache_clear)
         known = vocabulary(path, pattern)
         out: dict[str, list] = {"doc_id": cols["doc_id"]} | {o: [] for o in outputs}
         split = [known.split(text) if text else [] for text in cols["text"]]

@@ -63,6 +63,52 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np
     return out, expected, float(total)
 
 
+def chain_posteriors(emissions: np.ndarray, transitions: np.ndarray, block: int = 128) -> np.ndarray:
+    """Posteriors [places, labels] of one long chain, the same as forward_backward's: its blocks advance together.
+
+    A block's product of transition matrices carries messages over it, so the first pass gives what reaches each block from either
+    side, and the second runs within the blocks."""
+    n, k = emissions.shape
+    blocks = -(-n // block)
+    e = np.ones((blocks * block, k))
+    e[:n] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+    e = e.reshape(blocks, block, k)
+    inside = (np.arange(blocks * block) < n).reshape(blocks, block)
+    step, stay = np.exp(transitions.astype(np.float64)), np.eye(k)
+
+    def into(j: int) -> np.ndarray:
+        """Matrices that lead to place j of each block; the chain's first place and those behind its end have none."""
+        way = np.where(inside[:, j, None, None], step, stay)
+        if j == 0:
+            way[0] = stay
+        return way * e[:, j, None, :]
+
+    over = np.broadcast_to(stay, (blocks, k, k))
+    for j in range(block):
+        over = over @ into(j)
+        over = over / over.max(axis=(1, 2), keepdims=True)
+    left, right = np.ones((blocks, k)), np.ones((blocks, k))
+    for b in range(1, blocks):
+        left[b] = left[b - 1] @ over[b - 1]
+        left[b] /= left[b].sum()
+        right[-b - 1] = over[-b] @ right[-b]
+        right[-b - 1] /= right[-b - 1].sum()
+    alpha = np.empty((blocks, block, k))
+    now = left
+    for j in range(block):
+        now = (now[:, None, :] @ into(j))[:, 0]
+        now = now / now.sum(axis=1, keepdims=True)
+        alpha[:, j] = now
+    post = np.empty_like(alpha)
+    now = right
+    for j in range(block - 1, -1, -1):
+        mass = alpha[:, j] * now
+        post[:, j] = mass / mass.sum(axis=1, keepdims=True)
+        now = (into(j) @ now[:, :, None])[:, :, 0]
+        now = now / now.sum(axis=1, keepdims=True)
+    return post.reshape(-1, k)[:n]
+
+
 def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The best labels [chains, places]; -1 beyond a chain's length. Ties go to the smaller label."""
     n, width, k = emissions.shape

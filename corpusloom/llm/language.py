@@ -7,7 +7,8 @@ come from forward-backward; a document's language is the one with the most expec
 
 Training reads a bounded sample: at most ``per_language`` documents of each language (the least hashes of their ids), and of
 each at most ``PASSAGES`` passages of ``PASSAGE`` words, spread evenly over the whole text. Prediction reads all words of all
-texts, in chains of at most ``CHAIN`` words.
+texts, each as one chain: texts of similar length advance together, and those of more than ``LONG`` words in blocks between which
+messages are carried.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language or id are predicted but
 never trained on (a null id counts as not held out); with no training rows at all every document is ``und``; ties go to the
@@ -19,20 +20,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.crf import forward_backward, train, windows
-from corpusloom.llm.texts import map_rows
+from corpusloom.llm.crf import chain_posteriors, forward_backward, train
+from corpusloom.llm.texts import holds, map_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, PASSAGES, PASSAGE = 150, 6, 24
-CHAIN = 64
+LONG = 1024
+SALTS = 64
 FEATURES, LEXICON, LEAST_SEEN = 1 << 16, 20_000, 3
-KEPT = 300_000
+#: Words whose emissions a worker keeps, and letters in them.
+KEPT, KEPT_LETTERS = 200_000, 4_000_000
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -66,8 +70,12 @@ def _passages(cols: dict[str, list]) -> dict[str, list]:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[str]]]:
     """(language, words) of the training passages: per_language * PASSAGES * PASSAGE words a language at most."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= per_language)
+    # the least hashes of each language in each of SALTS parts, then of those the least: no language's ids meet in one task
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).distinct().withColumn("part", F.pmod("hash", F.lit(SALTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        first = Window.partitionBy(*keys).orderBy("hash", "doc_id")
+        ids = ids.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= per_language).drop("turn")
+    chosen = ids
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("passages", T.ArrayType(T.StringType()))])
     # per_language rows a language, so of a bounded size
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
@@ -125,13 +133,13 @@ class Tagger:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.letters = 0
         self.rows = np.zeros((1024, len(self.model.labels)), dtype=np.float32)
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        index = self.index
-        if len(index) > KEPT:
+        if len(self.index) > KEPT or self.letters > KEPT_LETTERS:
             self.clear()
-            index = self.index
+        index = self.index
         fresh = [w for w in dict.fromkeys(w for words in texts for w in words if w not in index)]
         if fresh:
             features = [word_features(w.lower(), self.model.lexicon) for w in fresh]
@@ -142,22 +150,33 @@ class Tagger:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[base : base + len(fresh)] = emitted
             index.update(zip(fresh, range(base, base + len(fresh)), strict=True))
+            self.letters += sum(map(len, fresh))
         return [np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
 
     def posteriors(self, numbers: list[np.ndarray]) -> np.ndarray:
         """[words of all texts, labels], texts end to end."""
         lengths = np.array([len(x) for x in numbers], dtype=np.int64)
-        joined = np.concatenate(numbers)
-        start, size, _ = windows(lengths, CHAIN)
-        if not len(start):
-            return np.zeros((0, len(self.model.labels)), dtype=np.float32)
-        places = start[:, None] + np.arange(CHAIN)[None, :]
-        inside = np.arange(CHAIN)[None, :] < size[:, None]
-        emissions = self.rows[joined[np.minimum(places, len(joined) - 1)]]
-        emissions[~inside] = 0
-        post, _, _ = forward_backward(emissions, self.model.transitions, size)
+        joined = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+        first = np.cumsum(lengths) - lengths
         out = np.zeros((len(joined), len(self.model.labels)), dtype=np.float32)
-        out[places[inside]] = post[inside]
+        top = 32
+        done = 0
+        while done < LONG:
+            members = np.flatnonzero((lengths > done) & (lengths <= top))
+            # so many texts at a time that the padded table stays small
+            for i in range(0, len(members), max(1, 250_000 // top)):
+                part = members[i : i + max(1, 250_000 // top)]
+                width = int(lengths[part].max())
+                inside = np.arange(width)[None, :] < lengths[part][:, None]
+                places = np.where(inside, first[part][:, None] + np.arange(width)[None, :], 0)
+                emissions = self.rows[joined[places]]
+                emissions[~inside] = 0
+                post, _, _ = forward_backward(emissions, self.model.transitions, lengths[part])
+                out[places[inside]] = post[inside]
+            done, top = top, top * 2
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            part = slice(first[i], first[i] + lengths[i])
+            out[part] = chain_posteriors(self.rows[joined[part]], self.model.transitions)
         return out
 
 
@@ -177,27 +196,46 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_rows(rows, labeller(spark, model), schema)
 
 
-def labeller(spark, model: Model | None):
+def portions(texts: list[list[str]], most: int = 500_000) -> Iterator[list[list[str]]]:
+    """The texts in turn, as many together as hold so many words (a longer text alone)."""
+    part, n = [], 0
+    for text in texts:
+        if part and n + len(text) > most:
+            yield part
+            part, n = [], 0
+        part.append(text)
+        n += len(text)
+    if part:
+        yield part
+
+
+def labeller(spark, model: Model | None, words: bool = False):
+    """words: with labels, the label of every word."""
     sent = spark.sparkContext.broadcast(model)  # of a size fixed by FEATURES and LEXICON
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         texts = [[w for w in WORD.findall(t) if w.isalpha() or any(map(str.isalpha, w))] if t else [] for t in cols["text"]]
         out = {k: v for k, v in cols.items() if k != "text"} | {"lang_pred": [], "score": [], "n_words": [], "n_switches": []}
+        if words:
+            out |= {"words": texts, "labels": []}
         if sent.value is None:
             n = len(texts)
-            return out | {"lang_pred": ["und"] * n, "score": [0.0] * n, "n_words": [len(t) for t in texts], "n_switches": [0] * n}
+            out |= {"lang_pred": ["und"] * n, "score": [0.0] * n, "n_words": [len(t) for t in texts], "n_switches": [0] * n}
+            return out | ({"labels": [["und"] * len(t) for t in texts]} if words else {})
+        holds("language", _TAGGERS.clear)
         tagger = _TAGGERS.get(0)
         if tagger is None or tagger.model is not sent.value:
             _TAGGERS[0] = tagger = Tagger(sent.value)
         labels = sent.value.labels
-        for i in range(0, len(texts), 250):
-            part = texts[i : i + 250]
+        for part in portions(texts):
             numbers = tagger.numbers(part)
             post = tagger.posteriors(numbers)
             best = post.argmax(axis=1)
             at = 0
             for x in numbers:
                 n = len(x)
+                if words:
+                    out["labels"].append([labels[k] for k in best[at : at + n]])
                 if n:
                     mass = post[at : at + n].sum(axis=0, dtype=np.float64)
                     k = int(mass.argmax())
@@ -215,6 +253,13 @@ def labeller(spark, model: Model | None):
     return run
 
 
+def label_words(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, words and labels (the language of each word) of every text: the stretches of code-switched text."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("words", "labels"))])
+    label = labeller(docs.sparkSession, fit(sample(docs, per_language)), words=True)
+    return map_rows(docs.select("doc_id", "text"), lambda cols: {k: v for k, v in label(cols).items() if k in ("doc_id", "words", "labels")}, schema)
+
+
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Train on the rows of ``docs`` that aren't held out, and predict every row."""
     return identify(docs, fit(sample(docs, per_language)))

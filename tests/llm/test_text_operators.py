@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import bpe, flac, language, licenses, mixing, ngram_join, pii, secrets
@@ -172,3 +173,36 @@ def test_mixing_targets_and_repeats(spark):
     for group in by.values():
         assert abs(sum(r["taken"] for r in group) - group[0]["target"]) <= max(r["size"] for r in group)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()))
+
+
+def test_posteriors_equal_enumeration_and_blocks_equal_the_whole_chain():
+    from itertools import product
+
+    from corpusloom.llm.crf import chain_posteriors, forward_backward, viterbi
+
+    r = np.random.default_rng(5)
+    emissions, transitions = r.standard_normal((6, 3)) * 2, r.standard_normal((3, 3)) * 2
+    score = {p: sum(emissions[i, k] for i, k in enumerate(p)) + sum(transitions[a, b] for a, b in zip(p, p[1:])) for p in product(range(3), repeat=6)}
+    total = np.logaddexp.reduce(list(score.values()))
+    want = np.zeros((6, 3))
+    for p, s in score.items():
+        for i, k in enumerate(p):
+            want[i, k] += np.exp(s - total)
+    got, expected, norm = forward_backward(emissions[None].copy(), transitions, np.array([6]))
+    assert np.allclose(got[0], want) and np.allclose(chain_posteriors(emissions, transitions, 4), want) and np.isclose(norm, total) and np.isclose(expected.sum(), 5)
+    assert tuple(viterbi(emissions[None], transitions, np.array([6]))[0]) == max(score, key=score.get)
+    sticky = np.eye(3) * 9
+    long = r.standard_normal((900, 3))
+    whole, _, _ = forward_backward(long[None].copy(), sticky, np.array([900]))
+    assert np.allclose(chain_posteriors(long, sticky), whole[0])
+
+
+def test_words_of_mixed_text_get_their_own_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r["lang"]: r["text"] for r in docs.where("n_chars between 400 and 4000").collect()}
+    a, b = sorted(x for x in one if x)[:2]
+    mixed = spark.createDataFrame([(1, one[a][:300] + " " + one[b][:300], None), (2, None, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.label_words(docs.select("doc_id", "text", "lang").withColumn("doc_id", docs["doc_id"] + 100).unionByName(mixed)).where("doc_id < 100").collect()}
+    labels = got[1]["labels"]
+    assert len(labels) == len(got[1]["words"]) and got[2]["labels"] == []
+    assert labels[: len(labels) // 3].count(a) > 0.8 * (len(labels) // 3) and labels[-(len(labels) // 3) :].count(b) > 0.8 * (len(labels) // 3)
