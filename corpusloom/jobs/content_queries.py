@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.staging import stage
 from corpusloom.jobs import synth
-from corpusloom.jobs.queries import FILES, GRAPH, query
+from corpusloom.jobs.queries import CYCLES, FILES, GRAPH, query
 from corpusloom.operators import endpoints, extract, graph, models, quality, security
-from corpusloom.operators.catalog import BRANCHES, ENDPOINT_RULES, EXPORT_RULES, HASH_COMMENTS, IMPORT_RULES, MODEL_RULES, SECURITY_RULES
+from corpusloom.operators.catalog import BRANCHES, ENDPOINT_RULES, EXPORT_RULES, HASH_COMMENTS, REACH, ROUTE_METHODS, SECURITY_RULES, SLASH_COMMENTS, UNCHECKED_DIRS
+from corpusloom.operators.corpus import per_repo_top
 
 Q = lambda text: "'" + text.replace("'", "''") + "'"
 WITH = f"WITH {GRAPH}, {FILES}"
@@ -17,15 +19,23 @@ def _in(extensions) -> str:
     return "TRUE" if extensions is None else "ext IN (" + ", ".join(map(Q, extensions)) + ")"
 
 
-def hits(pattern: str, extensions, groups: tuple[int, ...] = ()) -> str:
-    """SQL: one row per match with key, repo_id, path, content, whole, g1.., start and line."""
-    taken = "".join(f", regexp_extract_all(content, {Q(pattern)}, {g}) AS t{n + 1}" for n, g in enumerate(groups))
-    named = "".join(f", t{n + 1}[i] AS g{n + 1}" for n in range(len(groups)))
-    return (
-        f"(SELECT repo_id, path, content, all_[i] AS whole{named}, length(before) AS start, 1 + length(before) - length(replace(before, chr(10), '')) AS line FROM ("
+def _holds(where: str, chars: int, pattern: str, wanted: bool) -> str:
+    part = {
+        "before": f"substr(content, greatest(1, start - {chars} + 1), least({chars}, start))", "from": f"substr(content, start + 1, {chars})",
+        "line": "whole || regexp_extract(substr(content, start + length(whole) + 1), '^[^\n]*')",
+    }[where]
+    return f"{'' if wanted else 'NOT '}regexp_matches({part}, {Q(pattern)})"
+
+
+def hits(pattern: str, extensions, conditions=()) -> str:
+    """SQL: one row per match with repo_id, path, ext, content, whole, start and line."""
+    held = " AND ".join(_holds(*c) for c in conditions)
+    rows = (
+        f"SELECT repo_id, path, ext, content, all_[i] AS whole, length(before) AS start, 1 + length(before) - length(replace(before, chr(10), '')) AS line FROM ("
         f"SELECT *, array_to_string(pieces[1:i], '') || array_to_string(all_[1:i-1], '') AS before FROM (SELECT *, unnest(range(1, len(all_) + 1)) AS i FROM ("
-        f"SELECT repo_id, path, content, regexp_extract_all(content, {Q(pattern)}) AS all_, string_split_regex(content, {Q(pattern)}) AS pieces{taken} FROM files WHERE {_in(extensions)}))))"
+        f"SELECT repo_id, path, ext, content, regexp_extract_all(content, {Q(pattern)}) AS all_, string_split_regex(content, {Q(pattern)}) AS pieces FROM files WHERE {_in(extensions)})))"
     )
+    return f"(SELECT * FROM ({rows}){f' WHERE {held}' if held else ''})"
 
 
 # ---- quality
@@ -35,11 +45,11 @@ COMMENTS = f"""
 numbered AS (SELECT repo_id, path, ext, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files),
 marked AS (
   SELECT *, starts_with({_BARE}, '/*') AS opens, contains({_BARE}, '*/') AS closes, starts_with({_BARE}, '//') AS slash,
-    CASE WHEN contains({_BARE}, '*/') AND NOT starts_with({_BARE}, '/*') THEN 'c' WHEN starts_with({_BARE}, '/*') THEN 'o' END AS event
+    CASE WHEN starts_with({_BARE}, '//') THEN NULL WHEN contains({_BARE}, '*/') AND NOT starts_with({_BARE}, '/*') THEN 'c' WHEN starts_with({_BARE}, '/*') THEN 'o' END AS event
   FROM numbered),
 stated AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM marked),
 comments AS (
-  SELECT path, count(*) FILTER (CASE WHEN ext IN ({', '.join(map(Q, HASH_COMMENTS))}) THEN starts_with(ltrim(x, ' '), '#') ELSE coalesce(prior = 'o', FALSE) OR opens OR slash OR closes END) AS comment
+  SELECT path, count(*) FILTER (CASE WHEN ext IN ({', '.join(map(Q, HASH_COMMENTS))}) THEN starts_with(ltrim(x, ' '), '#') WHEN ext IN ({', '.join(map(Q, SLASH_COMMENTS))}) THEN coalesce(prior = 'o', FALSE) OR opens OR slash OR closes ELSE FALSE END) AS comment
   FROM stated GROUP BY path),
 metrics AS (
   SELECT f.repo_id, f.path, len(string_split(content, chr(10)))::INT AS total, ((length(content) - length(replace(content, chr(10) || chr(10), ''))) // 2)::INT AS blank, c.comment::INT AS comment
@@ -53,29 +63,38 @@ def _(spark, d):
 
 
 _SUM = " + ".join(["1", *(f"((length(t) - length(replace(t, {Q(w)}, ''))) // {len(w)})" for w in BRANCHES)])
+_RUBY = " + ".join(f"((length(t) - length(replace(t, {Q(w)}, ''))) // {len(w)})" for w in quality.RUBY_BRANCHES)
+_NAME = lambda named: f"regexp_extract(whole, {Q(named)}, 1)"
+_PLAIN = "NOT (ext = 'java' AND ((starts_with(name, 'get') AND trim(inside) = '') OR (starts_with(name, 'set') AND NOT contains(inside, ','))))"
 FUNCTIONS = (
-    "functions AS (SELECT repo_id, path, name, line, least(" + _SUM + f", {quality.MOST})::INT AS complexity FROM ("
-    + " UNION ALL ".join(f"SELECT repo_id, path, g1 AS name, line, substr(content, start + 1, {quality.WINDOW}) AS t FROM {hits(p, (e,), (1,))}" for e, p in quality.FUNCTIONS.items())
-    + "))"
+    f"functions AS (SELECT repo_id, path, name, line, CASE WHEN ext = 'rb' THEN greatest(1, {_RUBY}) ELSE least({_SUM}, {quality.MOST}) END::INT AS complexity FROM ("
+    + " UNION ALL ".join(
+        f"SELECT repo_id, path, ext, {_NAME(named)} AS name, line, regexp_extract(whole, '\\(([^)]*)\\)', 1) AS inside, "
+        f"substr(content, start + 1, {quality.RUBY_WINDOW if e == ('rb',) else quality.WINDOW}) AS t FROM {hits(p, e)}"
+        + (f" WHERE {_NAME(named)} NOT IN ({', '.join(map(Q, none))})" if none else "")
+        for e, p, named, none in quality.FUNCTIONS
+    )
+    + f") WHERE {_PLAIN})"
 )
 
 
 @query("functions", f"{WITH}, {FUNCTIONS} SELECT * FROM functions")
 def _(spark, d):
-    return quality.functions(synth.files(spark, d))
+    return quality.functions(synth.files(spark, d)).select("repo_id", "path", "name", "line", "complexity")
 
 
 QUALITY = f"""
 per AS (SELECT path, count(*) AS n_functions, sum(complexity)::BIGINT AS total_complexity, max(complexity) AS max_complexity, count(*) FILTER (complexity > {quality.COMPLEX}) AS n_complex FROM functions GROUP BY path),
 file_quality AS (
-  SELECT m.*, total - blank - comment AS code, round(comment::DOUBLE / total::DOUBLE, 3) AS comment_ratio, coalesce(n_functions, 0) AS n_functions, coalesce(total_complexity, 0) AS total_complexity,
+  SELECT m.*, total - blank - comment AS code, round(comment::DOUBLE / total::DOUBLE, 3) AS comment_ratio, round(blank::DOUBLE / total::DOUBLE, 3) AS blank_ratio,
+    round((total - blank - comment)::DOUBLE / total::DOUBLE, 3) AS code_ratio, coalesce(n_functions, 0) AS n_functions, coalesce(total_complexity, 0) AS total_complexity,
     coalesce(max_complexity, 0) AS max_complexity, coalesce(n_complex, 0) AS n_complex FROM metrics m LEFT JOIN per ON m.path = per.path)
 """
 
 
 @query("file_quality", f"{WITH}, {COMMENTS}, {FUNCTIONS}, {QUALITY} SELECT * FROM file_quality")
 def _(spark, d):
-    return quality.file_quality(synth.files(spark, d))
+    return quality.file_quality(synth.files(spark, d)).drop("mean_lines")
 
 
 @query(
@@ -83,15 +102,17 @@ def _(spark, d):
     f"{WITH}, {FUNCTIONS} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, path, line)::INT AS rank FROM functions WHERE complexity >= 3 QUALIFY rank <= 20",
 )
 def _(spark, d):
-    return quality.complex_functions(synth.files(spark, d), least=3)
+    return quality.complex_functions(synth.files(spark, d), least=3).select("repo_id", "path", "name", "line", "complexity", "rank")
 
 
-@query(
-    "quality_summary",
-    f"{WITH}, {COMMENTS}, {FUNCTIONS}, {QUALITY}, sums AS (SELECT repo_id, sum(total)::BIGINT AS total, sum(comment)::BIGINT AS comment, sum(n_functions)::BIGINT AS n_functions, sum(total_complexity)::BIGINT AS total_complexity FROM file_quality GROUP BY 1), "
-    "graded AS (SELECT *, CASE WHEN comment / total < 0.03 THEN 'C' WHEN comment / total < 0.08 THEN 'B' ELSE 'A' END AS g, CASE WHEN n_functions > 0 THEN total_complexity / n_functions ELSE 0 END AS mean FROM sums) "
-    "SELECT repo_id, total, comment, n_functions, total_complexity, CASE WHEN mean > 15 THEN CASE WHEN g = 'B' THEN 'C' ELSE 'D' END ELSE g END AS grade FROM graded",
+GRADES = (
+    "sums AS (SELECT repo_id, sum(total)::BIGINT AS total, sum(comment)::BIGINT AS comment, sum(n_functions)::BIGINT AS n_functions, sum(total_complexity)::BIGINT AS total_complexity FROM file_quality GROUP BY 1), "
+    "graded AS (SELECT *, CASE WHEN comment / total < 0.03 THEN 'C' WHEN comment / total < 0.08 THEN 'B' ELSE 'A' END AS g, CASE WHEN n_functions > 0 THEN total_complexity / n_functions ELSE 0 END AS mean FROM sums), "
+    "graded2 AS (SELECT repo_id, total, comment, n_functions, total_complexity, CASE WHEN mean > 15 THEN CASE WHEN g = 'B' THEN 'C' ELSE 'D' END ELSE g END AS grade FROM graded)"
 )
+
+
+@query("quality_summary", f"{WITH}, {COMMENTS}, {FUNCTIONS}, {QUALITY}, {GRADES} SELECT * FROM graded2")
 def _(spark, d):
     return quality.quality_summary(synth.files(spark, d))
 
@@ -99,8 +120,10 @@ def _(spark, d):
 # ---- security
 
 _MASK = "CASE WHEN length(whole) > 30 THEN left(whole, 20) || '***' || right(whole, 5) ELSE left(whole, 10) || '***' END"
+_CHECKED = f"len(list_intersect(string_split(path, '/'), [{', '.join(map(Q, UNCHECKED_DIRS))}])) = 0"
 ISSUES = "issues AS (" + " UNION ALL ".join(
-    f"SELECT repo_id, path, {Q(r)} AS rule_id, {Q(t)} AS title, {Q(s)} AS severity, line, {_MASK if r == 'SEC-002' else 'left(whole, 80)'} AS snippet FROM {hits(p, e)}" for r, t, s, e, p in SECURITY_RULES
+    f"SELECT repo_id, path, {Q(r)} AS rule_id, {Q(t)} AS title, {Q(s)} AS severity, line, {_MASK if r == 'SEC-002' else 'left(whole, 80)'} AS snippet FROM {hits(p, e, c)} WHERE {_CHECKED}"
+    for r, t, s, e, p, c in SECURITY_RULES
 ) + ")"
 
 
@@ -111,46 +134,51 @@ def _(spark, d):
 
 @query(
     "security_summary",
-    f"{WITH}, {ISSUES} SELECT repo_id, count(*) AS n_issues, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium FROM issues GROUP BY 1",
+    f"{WITH}, {ISSUES} SELECT repo_id, count(*) AS n_issues, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM issues GROUP BY 1",
 )
 def _(spark, d):
     return security.security_summary(security.security_scan(synth.files(spark, d)))
 
 
-@query("first_issues", f"{WITH}, {ISSUES} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line, rule_id, title)::INT AS rank FROM issues QUALIFY rank <= 50")
+@query("first_issues", f"{WITH}, {ISSUES} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line, rule_id, title, snippet)::INT AS rank FROM issues QUALIFY rank <= 50")
 def _(spark, d):
     return security.first_issues(security.security_scan(synth.files(spark, d)))
 
 
 @query(
     "sensitive_files",
-    f"WITH {GRAPH}, p AS (SELECT repo_id, 'src/' || CASE key % 3 WHEN 0 THEN 'vendor/m' || key || '.pem' WHEN 1 THEN 'k' || key || '.PEM' ELSE 'd' || key || '/.Env' END AS path FROM part_files) "
-    "SELECT repo_id, path, 'SEC-001' AS rule_id, CASE WHEN ends_with(path, '.PEM') THEN 'high' ELSE 'medium' END AS severity FROM p WHERE NOT contains(path, 'vendor/')",
+    f"WITH {GRAPH}, p AS (SELECT repo_id, 'src/' || CASE key % 3 WHEN 0 THEN 'vendor/m' || key || '.pem' WHEN 1 THEN 'k' || key || '.PEM' ELSE 'd' || key || CASE key % 2 WHEN 0 THEN '/.Env' ELSE '/Dockerfile' END END AS path FROM part_files) "
+    "SELECT repo_id, path, 'SEC-001' AS rule_id, CASE WHEN ends_with(path, '.PEM') OR ends_with(path, '.Env') THEN 'high' ELSE 'medium' END AS severity FROM p WHERE NOT contains(path, 'vendor/')",
 )
 def _(spark, d):
     key = F.col("key").cast("string")
-    odd = F.when(F.col("key") % 3 == 0, F.concat(F.lit("vendor/m"), key, F.lit(".pem"))).when(F.col("key") % 3 == 1, F.concat(F.lit("k"), key, F.lit(".PEM"))).otherwise(F.concat(F.lit("d"), key, F.lit("/.Env")))
+    odd = F.when(F.col("key") % 3 == 0, F.concat(F.lit("vendor/m"), key, F.lit(".pem"))).when(F.col("key") % 3 == 1, F.concat(F.lit("k"), key, F.lit(".PEM"))).otherwise(F.concat(F.lit("d"), key, F.when(F.col("key") % 2 == 0, "/.Env").otherwise("/Dockerfile")))
     return security.sensitive_files(synth.part_files(spark, d).select("repo_id", F.concat(F.lit("src/"), odd).alias("path")))
 
 
 # ---- endpoints
 
-_JOIN = lambda base, sub: f"'/' || concat_ws('/', nullif(trim({base}, '/'), ''), nullif(trim({sub}, '/'), ''))"
+_ROUTE = (
+    "CASE WHEN base IS NULL THEN sub WHEN sub = '' AND base = '' THEN '/' WHEN sub = '' THEN base WHEN base = '' THEN CASE WHEN starts_with(sub, '/') THEN sub ELSE '/' || sub END "
+    "ELSE rtrim(base, '/') || CASE WHEN starts_with(sub, '/') THEN sub ELSE '/' || sub END END"
+)
+_METHOD = "CASE upper(m) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTE_METHODS.items()) + " ELSE upper(m) END"
 
 
-def _endpoint(framework, extensions, pattern, method, route) -> str:
-    base = f"coalesce(regexp_extract(content, {Q(endpoints.BASES[framework])}, 1), '')" if framework in endpoints.BASES else "''"
-    if framework == "flask" and method is None:
-        rows = hits(pattern + r"(?:,\s*methods=\[([^\]]*)\])?", extensions, (route, 2))
-        rows = f"(SELECT *, unnest(CASE WHEN len(regexp_extract_all(g2, '\\w+')) > 0 THEN regexp_extract_all(g2, '\\w+') ELSE ['GET'] END) AS m FROM {rows})"
-    elif method is None:
-        rows = f"(SELECT *, 'ANY' AS m FROM {hits(pattern, extensions, (route,))})"
+def _endpoint(framework, extensions, pattern, method, route, base, handler, conditions) -> str:
+    first = lambda p, text: f"regexp_extract({text}, {Q(p)}, 1)"
+    if method.startswith("list:"):
+        names = f"regexp_extract_all({first(method[5:], 'whole')}, '[''\"](\\w+)[''\"]', 1)"
+        names = f"unnest(CASE WHEN len({names}) > 0 THEN {names} ELSE ['GET'] END)"
     else:
-        rows = f"(SELECT *, CASE WHEN upper(g2) IN ('ALL', 'USE') THEN 'ANY' ELSE upper(g2) END AS m FROM {hits(pattern, extensions, (route, method))})"
-    return f"SELECT repo_id, path, '{framework}' AS framework, m AS method, {_JOIN(base, 'g1')} AS route, coalesce(regexp_extract(substr(content, start + length(whole) + 1, {endpoints.REACH}), {Q(endpoints.HANDLER)}, 1), '') AS handler, line FROM {rows}"
+        names = first(method, "whole") if "(" in method else Q(method)
+    sub = "''" if route is None else first(route[6:], "substr(content, start + 1, 200)") if route.startswith("after:") else first(route, "whole")
+    based = "NULL" if base is None else f"rtrim({first(base, 'content')}, '/')"
+    served = Q(handler[1:]) if handler[0] == "=" else first(handler, f"substr(content, start + 1, {REACH})")
+    return f"SELECT repo_id, path, '{framework}' AS framework, {names} AS m, {based} AS base, {sub} AS sub, {served} AS handler, line FROM {hits(pattern, extensions, conditions)}"
 
 
-ENDPOINTS = "endpoints AS (" + " UNION ALL ".join(_endpoint(*r) for r in ENDPOINT_RULES) + ")"
+ENDPOINTS = f"endpoints AS (SELECT repo_id, path, framework, {_METHOD} AS method, {_ROUTE} AS route, handler, line FROM (" + " UNION ALL ".join(_endpoint(*r) for r in ENDPOINT_RULES) + "))"
 
 
 @query("endpoints", f"{WITH}, {ENDPOINTS} SELECT * FROM endpoints")
@@ -173,17 +201,47 @@ def _(spark, d):
 
 # ---- models
 
-_SNAKE = "lower(regexp_replace(regexp_replace(g1, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
-MODELS = "models AS (" + " UNION ALL ".join(
-    f"SELECT repo_id, path, '{orm}' AS orm, g1 AS class_name, coalesce(nullif({f'regexp_extract(content, {Q(models.TABLES[orm])}, 1)' if orm in models.TABLES else Q('')}, ''), {_SNAKE}) AS table_name, line, "
-    f"array_to_string(regexp_extract_all(content, {Q(f)}, 1), ',') AS fields, len(regexp_extract_all(content, {Q(f)}, 1)) AS n_fields FROM {hits(p, e, (1,))}"
-    for orm, e, p, f in MODEL_RULES
-) + ")"
+_SNAKE = "lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
+# orm: the extension, a pattern of a class (its name is group 1), its explicit table, else its table, names of fields, relations; of this corpus,
+# where a class reaches to the next class or the end of the file
+MODEL_SQL = {
+    "jpa": ("java", r"@Entity\s+(?:@Table\([^)]*\)\s+)?public class (\w+)", r"@Table\(name = \"(\w+)\"", "name", r"private\s+\w+\s+(\w+)\s*;", "@ManyToOne"),
+    "django": ("py", r"class (\w+)\(models\.Model\)", r"db_table = '(\w+)'", _SNAKE, r"(\w+) = models\.\w+\(", r"models\.ForeignKey\("),
+    "sqlalchemy": ("py", r"class (\w+)\(Base\)", r"__tablename__ = '(\w+)'", _SNAKE, r"(\w+) = (?:Column|relationship)\(", r"relationship\(|ForeignKey\("),
+    "typeorm": ("ts", r"@Entity\('\w+'\)\s+export class (\w+)", r"@Entity\('(\w+)'", "lower(name)", r"Column\(\)\s+(\w+):", "@ManyToOne"),
+    "sequelize": ("js", r"\.define\('(\w+)'", "tableName: '(\\w+)'", "name", r"(\w+): \{ type: \w+\.", "references"),
+    "mongoose": ("js", r"(\w+) = new Schema\(", "collection: '(\\w+)'", "lower(name)", r"(\w+): \{ type: ", "ref: "),
+    "gorm": ("go", r"type (\w+) struct \{\s+gorm", "tablename:(\\w+)", _SNAKE, r"(?m)^\t(\w+) \w+ `", "foreignKey"),
+    "eloquent": ("php", r"class (\w+) extends Model", r"\$table = '(\w+)'", f"replace({_SNAKE}, '_', '')", r"'(\w+)'[,\]]", "belongsTo"),
+    "activerecord": ("rb", r"class (\w+) < ApplicationRecord", "table_name = '(\\w+)'", f"replace({_SNAKE}, '_', '')", "never(x)", "never"),
+}
+
+
+def _models(orm, ext, head, explicit, table, field, relation) -> str:
+    body = f"string_split_regex(content, {Q(head.replace('(', '(?:', 1) if head.startswith('(') else head.replace('(' + chr(92) + 'w+)', chr(92) + 'w+'))})"
+    line = "1 + length(before) - length(replace(before, chr(10), ''))"
+    n = f"len(regexp_extract_all(body, {Q(field)}, 1))"
+    gorm = " + 1" if orm == "gorm" else ""
+    return (
+        f"SELECT repo_id, path, '{orm}' AS orm, name, coalesce(nullif(regexp_extract(whole || body, {Q(explicit)}, 1), ''), {table}) AS table_name, {line} AS line, "
+        f"array_to_string(regexp_extract_all(body, {Q(field)}, 1), ',') AS fields, {n} AS n_fields, len(regexp_extract_all(body, {Q(relation)})) AS n_relations FROM ("
+        f"SELECT repo_id, path, names[i] AS name, wholes[i] AS whole, parts[i + 1] AS body, array_to_string(parts[1:i], '') || array_to_string(wholes[1:i-1], '') AS before FROM ("
+        f"SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (SELECT repo_id, path, regexp_extract_all(content, {Q(head)}, 1) AS names, regexp_extract_all(content, {Q(head)}) AS wholes, {body} AS parts FROM files WHERE ext = '{ext}')))"
+    )
+
+
+MODELS = "models AS (SELECT repo_id, path, orm, name AS class_name, table_name, line, fields, n_fields, n_relations FROM (" + " UNION ALL ".join(_models(o, *x) for o, x in MODEL_SQL.items()) + "))"
+
+
+def _orm_models(spark, d):
+    found = models.orm_models(synth.files(spark, d))
+    relations = F.size(F.filter("fields", lambda f: f["is_relation"])).cast("long")
+    return found.withColumns({"n_relations": relations, "fields": F.array_join(F.transform("fields", lambda f: f["name"]), ",")})
 
 
 @query("orm_models", f"{WITH}, {MODELS} SELECT * FROM models")
 def _(spark, d):
-    return models.orm_models(synth.files(spark, d))
+    return _orm_models(spark, d)
 
 
 @query("model_summary", f"{WITH}, {MODELS} SELECT repo_id, count(*) AS n_models, sum(n_fields)::BIGINT AS n_fields, string_agg(DISTINCT orm, ',' ORDER BY orm) AS orms FROM models GROUP BY 1")
@@ -191,41 +249,49 @@ def _(spark, d):
     return models.model_summary(models.orm_models(synth.files(spark, d)))
 
 
-# ---- imports
+# ---- imports: the import lines of this corpus follow from its edges, so the SQL reads the edges and, of contents, only the bodies
 
-_CLEAN = (
-    r"CASE WHEN ext = 'py' THEN regexp_replace(content, '(?m)^\s*#[^\n]*$', '', 'g') "
-    r"ELSE regexp_replace(regexp_replace(content, '/\*[\s\S]*?\*/', '', 'g'), '(?m)^\s*//[^\n]*$', '', 'g') END"
+SAME = (
+    "same AS (SELECT a.repo_id, a.path AS src, b.path AS dst, a.ext, b.dir, e.dst AS n, e.src AS k, (e.src + e.dst) % 4 AS way, (e.src + e.dst) % 3 = 0 AS used "
+    "FROM key_edges e JOIN part_files a ON e.src = a.key JOIN part_files b ON e.dst = b.key WHERE a.ext = b.ext)"
+)
+# extension: (kind, pattern of an import of the bodies)
+BODY_IMPORTS = (
+    ("py", "import", r"(?m)^import ([\w.]+)"), ("py", "import", r"(?m)^import \w+, (\w+) as"), ("py", "from", r"(?m)^from ([\w.]+) import"),
+    ("js", "side-effect", r"import '([^']+)'"), ("js", "require", r"= require\('([^']+)'\)"), ("js", "dynamic", r"import\('([^']+)'\)"), ("js", "import", r"import [^']* from '([^']+)'"),
+    ("js", "export", r"export \* from '([^']+)'"), ("java", "static", r"import static ([\w.]+);"), ("java", "import", r"import ([\w.]+(?:\.\*)?);"),
+    ("go", "import", r"(?m)^\t(?:\w+ )?\"([^\"]+)\"$"), ("php", "use", r"(?m)^use (\w+\\\w+);"), ("rb", "require", r"require '(\w+)'"),
+    ("cs", "using", r"using (?:static )?([\w.]+);"), ("rs", "use", r"use ((?:crate|super)(?:::\w+)*)(?:::\{[^}]*\})?;"), ("rs", "mod", r"mod (\w+);"),
 )
-CLEAN = f"clean AS (SELECT repo_id, path, ext, content, {_CLEAN} AS text FROM files)"
-IMPORTS = CLEAN + ", imports AS (" + " UNION ALL ".join(f"SELECT repo_id, path, ext, unnest(regexp_extract_all(text, {Q(p)}, 1)) AS spec FROM clean WHERE ext = '{e}'" for e, p in IMPORT_RULES) + ")"
-_OWN = "regexp_replace(path, '/?[^/]*$', '')"
-TARGET = (
-    f"CASE WHEN ext IN ('py', 'java') THEN replace(spec, '.', '/') || '.' || ext WHEN ext = 'go' THEN spec || '.go' WHEN ext = 'php' THEN 'src/' || replace(spec, '../', '') "
-    "ELSE 'src/' || replace(spec, '../', '') || '.' || ext END"
+IMPORTS = SAME + (
+    ", imports AS (SELECT repo_id, src AS path, CASE WHEN ext = 'py' THEN 'src.' || dir || '.m' || n WHEN ext IN ('js', 'ts', 'rb') THEN '../' || dir || '/m' || n WHEN ext IN ('java', 'cs') THEN 'src.' || dir || '.m' || n "
+    "WHEN ext = 'go' THEN 'src/' || dir || '/m' || n WHEN ext = 'rs' THEN 'crate::' || dir || '::m' || n WHEN way % 2 = 0 THEN '../' || dir || '/m' || n || '.php' ELSE 'src\\' || dir || '\\m' || n END AS spec, "
+    "CASE ext WHEN 'py' THEN CASE way WHEN 2 THEN 'import' ELSE 'from' END WHEN 'rb' THEN 'require' WHEN 'cs' THEN 'using' WHEN 'rs' THEN 'use' WHEN 'php' THEN CASE way % 2 WHEN 0 THEN 'include' ELSE 'use' END "
+    "WHEN 'js' THEN CASE way WHEN 2 THEN 'require' ELSE 'import' END WHEN 'ts' THEN CASE way WHEN 2 THEN 'require' ELSE 'import' END ELSE 'import' END AS kind FROM same UNION "
+    + " UNION ".join(f"SELECT repo_id, path, {'$$self::$$ || ' if k == 'mod' else ''}unnest(regexp_extract_all(body, {Q(p)}, 1)), '{k}' FROM files WHERE ext = '{e}'" for e, k, p in BODY_IMPORTS)
+    + " UNION SELECT repo_id, path, unnest(['Lib\\One', 'Lib\\Two']), 'use' FROM files WHERE contains(body, 'use Lib\\{'))"
 )
-RESOLVED = IMPORTS + f", resolved AS (SELECT DISTINCT i.repo_id, i.path AS src, f.path AS dst FROM (SELECT *, {TARGET} AS target FROM imports) i JOIN files f ON f.path = target AND f.repo_id = i.repo_id)"
+RESOLVED = IMPORTS + ", resolved AS (SELECT DISTINCT repo_id, src, dst FROM same)"
+
+
+def facts(spark, d):
+    """Facts of the files, read once and written: the operators after it are joins."""
+    return stage(extract.facts(synth.files(spark, d)))
 
 
 @query("raw_imports", f"{WITH}, {IMPORTS} SELECT * FROM imports")
 def _(spark, d):
-    return extract.raw_imports(synth.files(spark, d))
+    return extract.raw_imports(extract.facts(synth.files(spark, d)))
 
 
 @query("resolve_imports", f"{WITH}, {RESOLVED} SELECT * FROM resolved")
 def _(spark, d):
-    files = synth.files(spark, d)
-    return extract.resolve_imports(extract.raw_imports(files), files)
+    return extract.resolve_imports(facts(spark, d))
 
 
-@query(
-    "external_imports",
-    f"{WITH}, {RESOLVED} SELECT repo_id, spec, count(DISTINCT path) AS n_files FROM (SELECT i.repo_id, i.path, spec FROM (SELECT *, {TARGET} AS target FROM imports) i "
-    "ANTI JOIN files f ON f.path = target AND f.repo_id = i.repo_id) GROUP BY 1, 2",
-)
+@query("external_imports", f"{WITH}, {IMPORTS} SELECT repo_id, spec, count(DISTINCT path) AS n_files FROM imports WHERE NOT regexp_matches(spec, '[^a-z]m\\d+(\\.php)?$') GROUP BY 1, 2")
 def _(spark, d):
-    files = synth.files(spark, d)
-    return extract.external_imports(extract.raw_imports(files), files)
+    return extract.external_imports(facts(spark, d))
 
 
 @query(
@@ -233,55 +299,57 @@ def _(spark, d):
     f"{WITH}, {RESOLVED}, c AS (SELECT repo_id, dst AS path, count(*) AS imported_by FROM resolved GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY imported_by DESC, path)::INT AS rank FROM c QUALIFY rank <= 10",
 )
 def _(spark, d):
-    from corpusloom.operators.corpus import per_repo_top
-
-    files = synth.files(spark, d)
-    found = extract.resolve_imports(extract.raw_imports(files), files)
-    rows = graph.reverse_dependencies(files, found).groupBy("repo_id", "path").agg(F.count("*").alias("imported_by"))
+    known = facts(spark, d)
+    rows = graph.reverse_dependencies(known, extract.resolve_imports(known)).groupBy("repo_id", "path").agg(F.count("*").alias("imported_by"))
     return per_repo_top(rows, 10, F.col("imported_by").desc(), F.col("path"))
 
 
-@query(
-    "exports",
-    f"{WITH}, {CLEAN}, x AS (" + " UNION ALL ".join(f"SELECT repo_id, path, '{k}' AS kind, unnest(regexp_extract_all(text, {Q(p)}, 1)) AS name FROM clean WHERE ext = '{e}'" for e, k, p in EXPORT_RULES)
-    + ") SELECT * FROM x WHERE NOT starts_with(name, '_')",
+_CLEAN = (
+    r"CASE WHEN ext IN ('py', 'rb') THEN regexp_replace(content, '(?m)^\s*#[^\n]*$', '', 'g') "
+    r"ELSE regexp_replace(regexp_replace(content, '/\*[\s\S]*?\*/', '', 'g'), '(?m)^\s*//[^\n]*$', '', 'g') END"
 )
+CLEAN = f"clean AS (SELECT repo_id, path, ext, head, turn, content, {_CLEAN} AS text FROM files)"
+_OF = {"javascript": ("js", "ts"), "java": ("java",), "php": ("php",), "go": ("go",), "rust": ("rs",), "csharp": ("cs",), "ruby": ("rb",)}
+_PY = (("fn", r"(?m)^(?:async )?def (\w+)"), ("class", r"(?m)^class (\w+)"), ("var", r"(?m)^(\w+) = "))
+EXPORTS = CLEAN + ", x AS (" + " UNION ".join(
+    [f"SELECT repo_id, path, '{k}' AS kind, unnest(regexp_extract_all(text, {Q(p)}, 1)) AS name FROM clean WHERE ext IN ({', '.join(map(Q, _OF[lang]))})" for lang, k, p in EXPORT_RULES if lang in _OF]
+    + [f"SELECT repo_id, path, '{k}', unnest(regexp_extract_all(text, {Q(p)}, 1)) FROM clean WHERE ext = 'py'" for k, p in _PY]
+) + "), exported AS (SELECT DISTINCT x.* FROM x WHERE NOT starts_with(name, '_') OR ends_with(path, '.java'))"
+
+
+@query("exports", f"{WITH}, {EXPORTS} SELECT * FROM exported")
 def _(spark, d):
-    return extract.exports(synth.files(spark, d))
+    return extract.exports(extract.facts(synth.files(spark, d)))
 
 
-BINDINGS = (
-    IMPORTS + r", bound AS (SELECT repo_id, path, ext, unnest(regexp_extract_all(content, '(?m)^from\s+([\w.]+)\s+import\s+(\w+)', 1)) AS spec, "
-    r"unnest(regexp_extract_all(content, '(?m)^from\s+([\w.]+)\s+import\s+(\w+)', 2)) AS symbol FROM files WHERE ext = 'py' UNION ALL "
-    r"SELECT repo_id, path, ext, unnest(regexp_extract_all(content, '(?m)^import\s*\{\s*(\w+)\s*\}\s*from\s+[''""]([^''""]+)[''""]', 2)), "
-    r"unnest(regexp_extract_all(content, '(?m)^import\s*\{\s*(\w+)\s*\}\s*from\s+[''""]([^''""]+)[''""]', 1)) FROM files WHERE ext IN ('js', 'ts')), "
-    f"bindings AS (SELECT DISTINCT b.repo_id, b.path, symbol, f.path AS dst FROM (SELECT *, {TARGET} AS target FROM bound) b JOIN files f ON f.path = target AND f.repo_id = b.repo_id), "
-    r"body AS (SELECT repo_id, path, array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?:import|from|require|require_once|include|include_once|use|package|namespace|using)\b')), chr(10)) AS text FROM files), "
-    r"words AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_]\w*')) AS symbol FROM body), refs AS (SELECT b.* FROM bindings b SEMI JOIN words w ON b.path = w.path AND b.symbol = w.symbol)"
+BINDINGS = IMPORTS + (
+    ", bindings AS (SELECT repo_id, src AS path, CASE WHEN ext IN ('py', 'js', 'ts') THEN 'f' ELSE 'm' END || n AS symbol, dst FROM same WHERE ext <> 'php' OR way % 2 = 1 "
+    "UNION SELECT repo_id, src, 'a' || n, dst FROM same WHERE ext IN ('py', 'js', 'ts') AND way = 1), "
+    "refs AS (SELECT repo_id, src AS path, CASE WHEN ext IN ('py', 'js', 'ts') THEN 'f' ELSE 'm' END || n AS symbol, dst FROM same WHERE used AND (ext <> 'php' OR way % 2 = 1))"
 )
 
 
 @query("symbol_bindings", f"{WITH}, {BINDINGS} SELECT * FROM bindings")
 def _(spark, d):
-    return extract.symbol_bindings(synth.files(spark, d))
+    return extract.symbol_bindings(facts(spark, d))
 
 
 @query("cross_refs", f"{WITH}, {BINDINGS} SELECT * FROM refs")
 def _(spark, d):
-    files = synth.files(spark, d)
-    return extract.cross_refs(extract.symbol_bindings(files), files)
+    known = facts(spark, d)
+    return extract.cross_refs(extract.symbol_bindings(known), known)
 
 
-CALLS = (
-    BINDINGS + r", sites AS (SELECT path, symbol, count(*) AS n_sites FROM (SELECT path, unnest(regexp_extract_all(content, '\b([A-Za-z_]\w*)\s*\(', 1)) AS symbol FROM files) GROUP BY 1, 2), "
-    "calls AS (SELECT b.repo_id, b.path AS src, b.dst, b.symbol, n_sites FROM bindings b JOIN sites s ON b.path = s.path AND b.symbol = s.symbol)"
+CALLS = BINDINGS + (
+    ", calls AS (SELECT repo_id, path AS src, dst, symbol, CASE WHEN starts_with(symbol, 'f') THEN symbol ELSE 'run' END AS member, "
+    "CASE WHEN ends_with(path, '.php') OR ends_with(path, '.rs') THEN 'static_call' ELSE 'call' END AS kind, 1::BIGINT AS n_sites FROM refs)"
 )
 
 
 @query("call_targets", f"{WITH}, {CALLS} SELECT * FROM calls")
 def _(spark, d):
-    files = synth.files(spark, d)
-    return extract.call_targets(extract.symbol_bindings(files), files)
+    known = facts(spark, d)
+    return extract.call_targets(extract.symbol_bindings(known), known)
 
 
 @query(
@@ -289,27 +357,42 @@ def _(spark, d):
     f"{WITH}, {CALLS} SELECT repo_id, dst, count(*) AS n_calls, count(DISTINCT src) AS n_callers, array_to_string(list_sort(list(DISTINCT src))[1:5], ',') AS first_callers FROM calls GROUP BY 1, 2",
 )
 def _(spark, d):
-    files = synth.files(spark, d)
-    return graph.call_rollup(extract.call_targets(extract.symbol_bindings(files), files))
+    known = facts(spark, d)
+    return graph.call_rollup(extract.call_targets(extract.symbol_bindings(known), known))
 
 
-@query("unused_imports", f"{WITH}, {BINDINGS} SELECT DISTINCT b.repo_id, b.path AS src, b.dst FROM bindings b ANTI JOIN refs r ON b.path = r.path AND b.dst = r.dst")
+UNUSED = BINDINGS + (
+    ", unused AS (SELECT DISTINCT s.repo_id, s.src, s.dst FROM same s ANTI JOIN refs r ON s.src = r.path AND s.dst = r.dst WHERE s.ext <> 'java' AND s.src IN (SELECT path FROM bindings))"
+)
+
+
+@query("unused_imports", f"{WITH}, {UNUSED} SELECT * FROM unused")
 def _(spark, d):
-    files = synth.files(spark, d)
-    bound = extract.symbol_bindings(files)
-    return extract.unused_imports(bound, extract.cross_refs(bound, files))
+    known = facts(spark, d)
+    bound = extract.symbol_bindings(known)
+    return extract.unused_imports(known, extract.resolve_imports(known), bound, extract.cross_refs(bound, known))
 
 
-_NAMES = lambda kind: "list_concat(" + ", ".join(f"CASE WHEN ext = '{e}' THEN regexp_extract_all(text, {Q(p)}, 1) ELSE [] END" for e, k, p in EXPORT_RULES if k == kind) + ")"
+#: What the bodies are for, by extension, as their authors would say.
+PURPOSES = {
+    "py": ("functions: load", "functions: items, one", "classes: Account", "module", "classes: Runner", "classes: Order, Line", "functions: files", "functions: query"),
+    "js": ("functions: start", "components: View", "module", "module", "components: Panel", "module"),
+    "java": ("rest controller", "entity", "classes: Feed", "classes: Store"),
+    "go": ("classes: Server", "classes: Reader", "module", "classes: User"),
+    "php": ("classes: Page", "module", "classes: Shape, Marks", "classes: Book"),
+    "ts": ("components: CatsController", "components: Photo", "functions: pick"),
+    "rb": ("classes: Cart", "functions: helper"),
+    "cs": ("classes: ItemsController", "classes: IShape, Kind"),
+    "rs": ("classes: App, Run", "classes: Mode"),
+}
 
 
 @query(
     "purpose",
-    f"{WITH}, {CLEAN}, n AS (SELECT repo_id, path, {_NAMES('class')} AS classes, {_NAMES('fn')} AS fns FROM clean) SELECT repo_id, path, "
-    "CASE WHEN len(classes) > 0 THEN 'classes: ' || array_to_string(classes[1:3], ', ') WHEN len(fns) > 0 THEN 'functions: ' || array_to_string(fns[1:3], ', ') ELSE 'module' END AS purpose FROM n",
+    f"{WITH}, p(ext, turn, purpose) AS (VALUES {', '.join(f'({Q(e)}, {i}, {Q(t)})' for e, ts in PURPOSES.items() for i, t in enumerate(ts))}) SELECT repo_id, path, p.purpose FROM files JOIN p USING (ext, turn)",
 )
 def _(spark, d):
-    return extract.purpose(synth.files(spark, d))
+    return extract.purpose(extract.facts(synth.files(spark, d)))
 
 
 @query(
@@ -322,3 +405,30 @@ def _(spark, d):
     files = synth.files(spark, d)
     wanted = files.where("path like '%.php'").select("repo_id", F.col("path").alias("src"), F.concat(F.lit("m"), F.regexp_extract("path", r"m(\d+)", 1)).alias("name"))
     return extract.resolve_by_class_name(wanted, files, "php")
+
+
+# ---- all figures of a repository
+
+_COUNT = lambda table, where="": f"(SELECT count(*) FROM {table} t WHERE t.repo_id = r.repo_id{where})"
+
+
+@query(
+    "graph_stats",
+    f"WITH {GRAPH}, {FILES}, {CYCLES}, {UNUSED}, {CALLS[len(BINDINGS) + 2 :]}, {ISSUES}, {ENDPOINTS}, {MODELS}, {COMMENTS.strip()}, {FUNCTIONS}, {QUALITY.strip()}, {GRADES} "
+    f"SELECT r.repo_id, {_COUNT('files')} AS n_files, {_COUNT('edges')} AS n_imports, (SELECT count(DISTINCT src) FROM edges t WHERE t.repo_id = r.repo_id) AS n_importing, "
+    f"(SELECT count(DISTINCT dst) FROM edges t WHERE t.repo_id = r.repo_id) AS n_imported, {_COUNT('cycles')} AS n_cycles, (SELECT count(DISTINCT (path, dst)) FROM refs t WHERE t.repo_id = r.repo_id) AS n_refs, "
+    f"{_COUNT('calls')} AS n_calls, {_COUNT('unused')} AS n_unused, {_COUNT('endpoints')} AS n_endpoints, {_COUNT('models')} AS n_models, {_COUNT('issues')} AS n_issues, "
+    "(SELECT sum(len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END)::BIGINT FROM files t WHERE t.repo_id = r.repo_id) AS n_lines, "
+    "(SELECT grade FROM graded2 t WHERE t.repo_id = r.repo_id) AS grade FROM (SELECT DISTINCT repo_id FROM part_files) r",
+)
+def _(spark, d):
+    known, files, edges = facts(spark, d), synth.files(spark, d), stage(synth.edges(spark, d))
+    bound = extract.symbol_bindings(known)
+    refs = extract.cross_refs(bound, known)
+    counted = {
+        "cycles": graph.detect_cycles(edges), "refs": refs.select("repo_id", "path", "dst").distinct(), "calls": extract.call_targets(bound, known),
+        "unused": extract.unused_imports(known, extract.resolve_imports(known), bound, refs), "endpoints": endpoints.endpoints(files),
+        "models": models.orm_models(files), "issues": security.security_scan(files),
+    }
+    columns = {"lines": known.groupBy("repo_id").agg(F.sum("n_lines").alias("n_lines")), "grade": quality.quality_summary(files).select("repo_id", "grade")}
+    return graph.graph_stats(known, edges, counted, columns)

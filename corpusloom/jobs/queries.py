@@ -226,15 +226,15 @@ def _(spark, d):
     return graph.degrees(nodes(spark, d), synth.edges(spark, d))
 
 
-@query("detect_cycles", f"WITH {GRAPH}, {CYCLES} SELECT * FROM cycles")
+@query("detect_cycles", f"WITH {GRAPH}, {CYCLES} SELECT *, 4 AS bound FROM cycles")
 def _(spark, d):
     return graph.detect_cycles(synth.edges(spark, d))
 
 
 @query(
     "cycle_edges",
-    f"WITH {GRAPH}, {CYCLES}, parts AS (SELECT repo_id, string_split(cycle, ' > ') AS c FROM cycles), "
-    "pairs AS (SELECT DISTINCT repo_id, c[i] AS src, c[i % len(c) + 1] AS dst FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM parts)) SELECT * FROM pairs",
+    f"WITH RECURSIVE {GRAPH}, up(start, place) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT u.start, e.dst FROM up u JOIN edges e ON u.place = e.src) "
+    "SELECT DISTINCT e.* FROM edges e JOIN up u ON u.start = e.dst AND u.place = e.src WHERE e.src <> e.dst",
 )
 def _(spark, d):
     return graph.cycle_edges(synth.edges(spark, d))
@@ -271,16 +271,6 @@ def _(spark, d):
     return graph.layer_histogram(graph.assign_layers(nodes(spark, d), synth.edges(spark, d)))
 
 
-@query(
-    "graph_stats",
-    f"WITH {GRAPH} SELECT n.repo_id, n_files, coalesce(n_imports, 0) AS n_imports, coalesce(n_importing, 0) AS n_importing, coalesce(n_imported, 0) AS n_imported "
-    "FROM (SELECT repo_id, count(*) AS n_files FROM part_files GROUP BY 1) n LEFT JOIN "
-    "(SELECT repo_id, count(*) AS n_imports, count(DISTINCT src) AS n_importing, count(DISTINCT dst) AS n_imported FROM edges GROUP BY 1) e USING (repo_id)",
-)
-def _(spark, d):
-    return graph.graph_stats(nodes(spark, d), synth.edges(spark, d))
-
-
 @query("search_links", f"WITH {GRAPH} SELECT * FROM edges WHERE contains(src, '/core/') OR contains(dst, '/core/')")
 def _(spark, d):
     return graph.search_links(nodes(spark, d), synth.edges(spark, d), "/CORE/")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRS = ("util", "domain", "service", "api", "core", "web", "model")
-EXTS = ("py", "js", "java", "go", "php", "ts")
+EXTS = ("py", "js", "java", "go", "php", "ts", "rb", "cs", "rs")
 
 #: Bodies by extension; p_size picks one. All credentials are invented.
 BODIES = {
@@ -19,27 +19,34 @@ BODIES = {
         "class Account(models.Model):\n    name = models.CharField(max_length=40)\n    owner = models.ForeignKey('User', on_delete=models.CASCADE)\n\n    class Meta:\n        db_table = 'accounts'\n",
         "DEBUG = True\nAPI_KEY = 'Zk3v9Qw8Lm2xT7pR5sY1'\n# settings\n\n\nurlpatterns = [path('home/', views.home), path('about/', views.about)]\n",
         "import subprocess\n\nclass Runner:\n    def run(self, cmd):\n        for c in cmd:\n            while c:\n                subprocess.run(c, shell=True)\n\n\ndef _hidden():\n    pass\n",
+        "from .base import Base, db as store\nimport os, json as j\n\nclass Order(Base):\n    __tablename__ = 'orders'\n    id = Column(Integer, primary_key=True)\n    owner_id = Column(Integer, ForeignKey('owners.id'), nullable=False)\n    lines = relationship('Line')\n\n\nclass Line(Base):\n    note = Column(String(40))\n",
+        "import yaml\n\n@router.head('/files', tags=['x'])\nasync def files(a: int = 1):\n    ok = yaml.load(a, Loader=yaml.SafeLoader)\n    return yaml.load(a) if a and ok or a == 2 else None\n\n\npassword = 'correct-horse'\npasswd = 'changeme-now'\n",
         "def query(cur, name):\n    cur.execute(f\"SELECT * FROM t WHERE n = '{name}'\")\n    digest = hashlib.md5(name)\n    return yaml.load(name)\n",
     ),
     "js": (
         "// server\nconst app = express();\napp.get('/users', listUsers);\napp.post('/users', addUser);\n/* routes\n   end */\nexport function start(port) {\n  if (port > 0 && port < 9) { return port; }\n}\n",
         "export class View {\n  draw(x) {\n    this.el.innerHTML = x;\n    return x ? 1 : 2;\n  }\n}\nexport const size = 3;\n",
         "const User = sequelize.define('User', {\n  name: { type: DataTypes.STRING },\n});\nexport default User;\n",
+        "import './setup.css';\nconst { Schema } = require('mongoose');\nconst pages = () => import('./pages');\nconst Note = new Schema({\n  body: { type: String, required: true },\n  owner: { type: ObjectId, ref: 'User' },\n});\nexport default Note;\n",
+        "import React, { useState as state } from 'react';\nexport * from './parts';\nexport const Panel = (p) => { return p.a || p.b ? crypto.createHash('md5') : null; };\nrouter.patch(`/panel`, save);\n",
         "const password = 'hunter2secret';\nrouter.use('/admin', guard);\nfunction guard() { return true; }\n",
     ),
     "java": (
         "package app;\n\n@RestController\n@RequestMapping(\"/api\")\npublic class Orders {\n    @GetMapping(\"/list\")\n    public String list() { return \"\"; }\n    @PostMapping(\"/add\")\n    public String add() { return \"\"; }\n}\n",
         "package app;\n\n@Entity\n@Table(name = \"people\")\npublic class Person {\n    @Id\n    private Long id;\n    @Column(length = 30)\n    private String name;\n}\n",
+        "package app;\n\nimport java.util.List;\nimport static org.junit.Assert.assertTrue;\nimport app.base.*;\n\n@Path(\"/v1\")\npublic class Feed extends Base implements Source {\n    @GET\n    @Path(\"/feed\")\n    public List<String> feed() {\n        String q = \"SELECT a FROM t WHERE b = \" + b;\n        return statement.executeQuery(q);\n    }\n    @DeleteMapping\n    public void clear() {\n        ObjectInputStream in = null;\n    }\n    @RequestMapping(method = RequestMethod.PUT, value = \"/put\")\n    public void put(int a, int b) {\n        for (int i = 0; i < a && i < b; i++) { run(); }\n    }\n}\n",
         "package app;\n\npublic class Store {\n    // reads\n    public int read(int a) {\n        if (a > 1 || a < -1) { return a; } else if (a == 0) { return 1; }\n        MessageDigest.getInstance(\"MD5\");\n        return 0;\n    }\n}\n",
     ),
     "go": (
         "package main\n\n// Server state\ntype Server struct {\n\tName string\n}\n\nfunc NewServer(n string) *Server {\n\tif n == \"\" {\n\t\treturn nil\n\t}\n\treturn &Server{n}\n}\n",
+        "package main\n\nimport (\n\t\"fmt\"\n\tlog \"project/logger\"\n)\n\ntype Reader interface {\n\tRead() int\n}\n\nfunc Run(n int) int {\n\tfor n > 1 && n < 9 {\n\t\tn--\n\t}\n\tfmt.Println(n)\n\treturn n\n}\n",
         "package main\n\nfunc routes(r *gin.Engine) {\n\tr.GET(\"/ping\", ping)\n\tr.POST(\"/send\", send)\n}\n",
         "package main\n\ntype User struct {\n\tgorm.Model\n\tEmail string `gorm:\"size:90\"`\n}\n",
     ),
     "php": (
         "<?php\n// page\necho $_GET['q'];\n$r = mysqli_query($c, \"SELECT $q\");\nclass Page extends Base {\n  public function show($a) { if ($a) { return 1; } }\n}\n",
         "<?php\nRoute::get('/shop', 'ShopController@index');\nRoute::post('/shop', 'ShopController@store');\n$v = unserialize($data);\n",
+        "<?php\nnamespace App;\nuse Lib\\Tool;\nuse Lib\\{One, Two as Deux};\n#[Route('/list', methods: ['GET', 'POST'])]\nfunction listing() { return shell_exec('ls'); }\nRoute::resource('photos', PhotoController::class);\nini_set('display_errors', 1);\ntrait Marks { }\ninterface Shape { }\n",
         "<?php\nclass Book extends Model {\n  protected $table = 'books';\n  protected $fillable = ['title', 'year'];\n}\n",
     ),
     "ts": (
@@ -47,6 +54,18 @@ BODIES = {
         "@Entity('photos')\nexport class Photo {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @Column()\n  title: string;\n}\n",
         "// token holder\nexport interface Box { id: number }\nexport const token = 'ghp_abcdefghijklmnopqrstuvwxyz0123456789';\nexport function pick(a) { return a ?? 1; }\n",
     ),
+    "rb": (
+        "require 'json'\n\nmodule Shop\n  class Cart < ApplicationRecord\n    def total(x)\n      if x > 1\n        while x > 2\n          x -= 1\n        end\n      end\n      x\n    end\n  end\nend\n",
+        "# routes\nget '/carts', to: 'carts#index'\npost '/carts', to: 'carts#create'\n\n\ndef helper\n  1\nend\n",
+    ),
+    "cs": (
+        "using System.Linq;\n\nnamespace Shop\n{\n    [Route(\"api/items\")]\n    public class ItemsController\n    {\n        [HttpGet]\n        public List<Item> All() {\n            return items;\n        }\n        [HttpPost(\"add\")]\n        public Item Add(Item a, int n) {\n            if (n > 1 && n < 5) { return a; }\n            return null;\n        }\n        public override string ToString() {\n            return \"\";\n        }\n    }\n}\n",
+        "using static System.Math;\n\npublic interface IShape { }\npublic enum Kind { A, B }\n",
+    ),
+    "rs": (
+        "use std::fmt;\nuse crate::base::{One, Two};\nuse super::shared::Thing;\n\nmod parts;\n\npub struct App {\n    name: String,\n}\n\npub trait Run {\n    fn run(&self);\n}\n\npub fn create(n: u8) -> App {\n    App { name: String::new() }\n}\n",
+        "// plain\npub enum Mode { A, B }\npub async fn later() {}\nfn hidden() {}\n",
+    ),
 }
 
 
@@ -56,7 +75,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
     rows = part.select(
         F.col("p_partkey").alias("key"), (F.col("p_partkey") % 10).alias("repo_id"), named(DIRS, F.col("p_size") % 7).alias("dir"),
-        named(EXTS, F.col("p_partkey") % 6).alias("ext"), F.col("p_size").alias("size"),
+        named(EXTS, F.col("p_partkey") % len(EXTS)).alias("ext"), F.col("p_size").alias("size"),
     )
     return rows.withColumn("path", F.concat(F.lit("src/"), "dir", F.lit("/m"), F.col("key").cast("string"), F.lit("."), "ext"))
 
@@ -64,7 +83,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst keys of one repository: the larger part of an order imports the smaller; some edges are turned round as well, and
     some paths of two edges are closed, which gives cycles."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 3").select("l_orderkey", F.col("l_partkey").alias("k"))
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").alias("k"))
     a, b = line.withColumnRenamed("k", "src"), line.withColumnRenamed("k", "dst")
     forward = a.join(b, "l_orderkey").where("src > dst and src % 10 = dst % 10").select("src", "dst").distinct()
     back = forward.where("(src + dst) % 25 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -89,14 +108,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = key_edges(spark, sf_dir).join(own, "src").join(target, "dst").where("ext = to_ext")
     name = F.concat(F.lit("m"), F.col("dst").cast("string"))
     f = F.concat(F.lit("f"), F.col("dst").cast("string"))
-    line = (
-        F.when(F.col("ext") == "py", F.concat(F.lit("from src."), "to_dir", F.lit("."), name, F.lit(" import "), f))
-        .when(F.col("ext").isin("js", "ts"), F.concat(F.lit("import { "), f, F.lit(" } from '../"), "to_dir", F.lit("/"), name, F.lit("';")))
-        .when(F.col("ext") == "java", F.concat(F.lit("import src."), "to_dir", F.lit("."), name, F.lit(";")))
-        .when(F.col("ext") == "go", F.concat(F.lit("import \"src/"), "to_dir", F.lit("/"), name, F.lit("\"")))
-        .otherwise(F.concat(F.lit("require_once '../"), "to_dir", F.lit("/"), name, F.lit(".php';")))
-    )
-    use = F.when((F.col("src") + F.col("dst")) % 3 == 0, F.concat(f, F.lit("(1);")))
+    number = F.col("dst").cast("string")
+    a, b, way = F.concat(F.lit("a"), number), F.concat(F.lit("b"), number), (F.col("src") + F.col("dst")) % 4
+    beside = F.concat(F.lit("'../"), "to_dir", F.lit("/"), name, F.lit("'"))
+    ways = {
+        "py": (
+            F.concat(F.lit("from src."), "to_dir", F.lit("."), name, F.lit(" import "), f), F.concat(F.lit("from src."), "to_dir", F.lit("."), name, F.lit(" import "), a, F.lit(", "), f),
+            F.concat(F.lit("import src."), "to_dir", F.lit("."), name, F.lit(" as "), f), F.concat(F.lit("from src."), "to_dir", F.lit("."), name, F.lit(" import "), b, F.lit(" as "), f),
+        ),
+        "js": (
+            F.concat(F.lit("import { "), f, F.lit(" } from "), beside, F.lit(";")), F.concat(F.lit("import { "), a, F.lit(", "), b, F.lit(" as "), f, F.lit(" } from "), beside, F.lit(";")),
+            F.concat(F.lit("const "), f, F.lit(" = require("), beside, F.lit(");")), F.concat(F.lit("import * as "), f, F.lit(" from "), beside, F.lit(";")),
+        ),
+        "java": (F.concat(F.lit("import src."), "to_dir", F.lit("."), name, F.lit(";")),),
+        "go": (F.concat(F.lit("import \"src/"), "to_dir", F.lit("/"), name, F.lit("\"")), F.concat(F.lit("import (\n\t\"src/"), "to_dir", F.lit("/"), name, F.lit("\"\n)"))),
+        "php": (F.concat(F.lit("require_once "), F.replace(beside, name, F.concat(name, F.lit(".php"))), F.lit(";")), F.concat(F.lit("use src\\"), "to_dir", F.lit("\\"), name, F.lit(";"))),
+        "rb": (F.concat(F.lit("require_relative "), beside),),
+        "cs": (F.concat(F.lit("using src."), "to_dir", F.lit("."), name, F.lit(";")),),
+        "rs": (F.concat(F.lit("use crate::"), "to_dir", F.lit("::"), name, F.lit(";")),),
+    }
+    ways["ts"] = ways["js"]
+    line = F.coalesce(*(F.when((F.col("ext") == e) & (way % len(lines) == i), text) for e, lines in ways.items() for i, text in enumerate(lines)))
+    call = F.when(F.col("ext").isin("py", "js", "ts"), F.concat(f, F.lit("(1);"))).when(F.col("ext").isin("php", "rs"), F.concat(name, F.lit("::run(1);"))).otherwise(F.concat(name, F.lit(".run(1);")))
+    use = F.when((F.col("src") + F.col("dst")) % 3 == 0, call)
     texts = same.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("l"), F.array_sort(F.collect_list(F.when(use.isNotNull(), F.struct("dst", use.alias("use"))))).alias("u"))
     texts = texts.select(
         F.col("src").alias("key"), F.concat(F.array_join("l.line", "\n"), F.lit("\n")).alias("head"), F.when(F.size("u") > 0, F.concat(F.array_join("u.use", "\n"), F.lit("\n"))).otherwise("").alias("tail")
@@ -134,8 +168,8 @@ _LIST = lambda names: "[" + ", ".join(map(_quoted, names)) + "]"
 GRAPH_SQL = f"""
 part_files AS (
   SELECT *, 'src/' || dir || '/m' || key || '.' || ext AS path FROM (
-    SELECT p_partkey AS key, p_partkey % 10 AS repo_id, {_LIST(DIRS)}[p_size % 7 + 1] AS dir, {_LIST(EXTS)}[p_partkey % 6 + 1] AS ext, p_size AS size FROM part)),
-lines_ AS (SELECT l_orderkey, l_partkey AS k FROM lineitem WHERE l_linenumber <= 3),
+    SELECT p_partkey AS key, p_partkey % 10 AS repo_id, {_LIST(DIRS)}[p_size % 7 + 1] AS dir, {_LIST(EXTS)}[p_partkey % {len(EXTS)} + 1] AS ext, p_size AS size FROM part)),
+lines_ AS (SELECT l_orderkey, l_partkey AS k FROM lineitem),
 forward_ AS (SELECT DISTINCT a.k AS src, b.k AS dst FROM lines_ a JOIN lines_ b USING (l_orderkey) WHERE a.k > b.k AND a.k % 10 = b.k % 10),
 key_edges AS (
   SELECT src, dst FROM forward_ UNION SELECT dst, src FROM forward_ WHERE (src + dst) % 25 = 0
@@ -148,15 +182,22 @@ FILES_SQL = f"""
 bodies(ext, turn, turns, body) AS (VALUES {_values()}),
 heads AS (
   SELECT e.src AS key,
-    string_agg(CASE WHEN a.ext = 'py' THEN 'from src.' || b.dir || '.m' || e.dst || ' import f' || e.dst
-      WHEN a.ext IN ('js', 'ts') THEN 'import {{ f' || e.dst || ' }} from ''../' || b.dir || '/m' || e.dst || ''';'
+    string_agg(CASE
+      WHEN a.ext = 'py' THEN CASE (e.src + e.dst) % 4 WHEN 2 THEN 'import src.' || b.dir || '.m' || e.dst || ' as f' || e.dst
+        ELSE 'from src.' || b.dir || '.m' || e.dst || ' import ' || CASE (e.src + e.dst) % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || e.dst || ', ' ELSE 'b' || e.dst || ' as ' END || 'f' || e.dst END
+      WHEN a.ext IN ('js', 'ts') THEN CASE (e.src + e.dst) % 4 WHEN 0 THEN 'import {{ f' || e.dst || ' }} from ' WHEN 1 THEN 'import {{ a' || e.dst || ', b' || e.dst || ' as f' || e.dst || ' }} from '
+        WHEN 2 THEN 'const f' || e.dst || ' = require(' ELSE 'import * as f' || e.dst || ' from ' END || chr(39) || '../' || b.dir || '/m' || e.dst || chr(39) || CASE WHEN (e.src + e.dst) % 4 = 2 THEN ');' ELSE ';' END
       WHEN a.ext = 'java' THEN 'import src.' || b.dir || '.m' || e.dst || ';'
-      WHEN a.ext = 'go' THEN 'import "src/' || b.dir || '/m' || e.dst || '"'
-      ELSE 'require_once ''../' || b.dir || '/m' || e.dst || '.php'';' END, chr(10) ORDER BY e.dst) || chr(10) AS head,
-    coalesce(string_agg(CASE WHEN (e.src + e.dst) % 3 = 0 THEN 'f' || e.dst || '(1);' END, chr(10) ORDER BY e.dst) || chr(10), '') AS tail
+      WHEN a.ext = 'go' THEN CASE WHEN (e.src + e.dst) % 2 = 0 THEN 'import "src/' || b.dir || '/m' || e.dst || '"' ELSE 'import (' || chr(10) || chr(9) || '"src/' || b.dir || '/m' || e.dst || '"' || chr(10) || ')' END
+      WHEN a.ext = 'rb' THEN 'require_relative ' || chr(39) || '../' || b.dir || '/m' || e.dst || chr(39)
+      WHEN a.ext = 'cs' THEN 'using src.' || b.dir || '.m' || e.dst || ';'
+      WHEN a.ext = 'rs' THEN 'use crate::' || b.dir || '::m' || e.dst || ';'
+      WHEN (e.src + e.dst) % 2 = 0 THEN 'require_once ' || chr(39) || '../' || b.dir || '/m' || e.dst || '.php' || chr(39) || ';'
+      ELSE 'use src\\' || b.dir || '\\m' || e.dst || ';' END, chr(10) ORDER BY e.dst) || chr(10) AS head,
+    coalesce(string_agg(CASE WHEN (e.src + e.dst) % 3 = 0 THEN CASE WHEN a.ext IN ('py', 'js', 'ts') THEN 'f' || e.dst || '(1);' WHEN a.ext IN ('php', 'rs') THEN 'm' || e.dst || '::run(1);' ELSE 'm' || e.dst || '.run(1);' END END, chr(10) ORDER BY e.dst) || chr(10), '') AS tail
   FROM key_edges e JOIN part_files a ON e.src = a.key JOIN part_files b ON e.dst = b.key WHERE a.ext = b.ext GROUP BY e.src),
 files AS (
-  SELECT p.key, repo_id, path, p.ext, coalesce(head, '') || body || coalesce(tail, '') AS content
+  SELECT p.key, repo_id, path, p.ext, b.turn, body, coalesce(head, '') AS head, coalesce(head, '') || body || coalesce(tail, '') AS content
   FROM part_files p JOIN bodies b ON p.ext = b.ext AND p.size % b.turns = b.turn LEFT JOIN heads h ON p.key = h.key)
 """
 

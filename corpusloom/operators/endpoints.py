@@ -1,56 +1,62 @@
-"""REST endpoints over files(repo_id, path, content)."""
+"""REST endpoints over files(repo_id, path, content), in one pass over the files."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.catalog import ENDPOINT_RULES
-from corpusloom.operators.corpus import extension, per_repo_top
-from corpusloom.operators.hits import explode_hits
+from corpusloom.operators.catalog import ENDPOINT_RULES, REACH, ROUTE_METHODS
+from corpusloom.operators.corpus import per_repo_top
+from corpusloom.operators.hits import Lines, first, holds, rows_of_files, suffix
+
 
-#: Patterns of a class's base path, by framework.
-BASES = {"spring": r"@RequestMapping\(\s*\"([^\"]*)\"\s*\)", "nestjs": r"@Controller\(\s*['\"]([^'\"]*)['\"]"}
+def join_path(base: Column, sub: Column) -> Column:
+    """base and sub with one slash between them and, without a base, one in front; ``/`` when both are empty."""
+    trimmed, led = F.rtrim(base, F.lit("/")), F.when(sub.startswith("/"), sub).otherwise(F.concat(F.lit("/"), sub))
+    return F.when((sub == "") & (base == ""), "/").when(sub == "", base).when(base == "", led).otherwise(F.concat(trimmed, led))
 
 
-#: Characters after a route in which its handler is looked for, and what names one.
-REACH = 300
-HANDLER = r"\b(?:def|function|func|class|public\s+\w+)\s+(\w+)\s*\("
+def endpoints(files: DataFrame, rules=ENDPOINT_RULES) -> DataFrame:
+    """repo_id, path, framework, method, route, handler, line: one row per declared route and method. A site that two frameworks write
+    alike is reported for both. Routes of classes are joined to the class's base path, others are as written; handler: the
+    function that serves the route, or empty."""
 
+    def read(path: str, text: str) -> Iterator[tuple]:
+        ext, line, bases = suffix(path), None, {}
+        for framework, extensions, pattern, method, route, base, handler, conditions in rules:
+            if ext not in extensions:
+                continue
+            for m in re.finditer(pattern, text, re.ASCII):
+                if not holds(text, m.start(), m.end(), conditions):
+                    continue
+                line = line or Lines(text)
+                if base is not None and base not in bases:
+                    bases[base] = first(base, text).rstrip("/")
+                if method.startswith("list:"):
+                    names = re.findall(r"['\"](\w+)['\"]", first(method[5:], m[0]), re.ASCII) or ["GET"]
+                else:
+                    names = [first(method, m[0]) if "(" in method else method]
+                if route is None:
+                    sub = ""
+                else:
+                    sub = first(route[6:], text[m.start() : m.start() + 200]) if route.startswith("after:") else first(route, m[0])
+                served = handler[1:] if handler[0] == "=" else first(handler, text[m.start() : m.start() + REACH])
+                for name in names:
+                    name = name.upper()
+                    yield framework, ROUTE_METHODS.get(name, name), None if base is None else bases[base], sub, served, line(m.start())
 
-def join_path(base: Column, sub: Column) -> Column:
-    """One slash between both parts and one in front; ``/`` when both are empty."""
-    joined = F.concat_ws("/", F.nullif(F.trim(base, F.lit("/")), F.lit("")), F.nullif(F.trim(sub, F.lit("/")), F.lit("")))
-    return F.concat(F.lit("/"), joined)
+    found = rows_of_files(files, read, "framework string, method string, base string, sub string, handler string, line long")
+    route = F.when(F.col("base").isNull(), F.col("sub")).otherwise(join_path(F.col("base"), F.col("sub")))
+    return found.select("repo_id", "path", "framework", "method", route.alias("route"), "handler", "line")
 
 
-def endpoints(files: DataFrame, rules=ENDPOINT_RULES) -> DataFrame:
-    """repo_id, path, framework, method, route, handler, line: one row per declared route and method; handler: the first function
-    named after it, or empty."""
-    out = None
-    for framework, extensions, pattern, method_group, path_group in rules:
-        part = files.where(extension(F.col("path")).isin(*extensions) & F.col("content").rlike(pattern))
-        based = part.select("repo_id", "path", F.regexp_extract("content", BASES[framework], 1).alias("base")) if framework in BASES else None
-        groups = (path_group,) if method_group is None else (path_group, method_group)
-        if framework == "flask" and method_group is None:
-            rows = explode_hits(part, pattern + r"(?:,\s*methods=\[([^\]]*)\])?", (path_group, 2), REACH)
-            listed = F.regexp_extract_all("g2", F.lit(r"\w+"), F.lit(0))
-            rows = rows.withColumn("method", F.explode(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))))
-        elif method_group is None:
-            rows = explode_hits(part, pattern, groups, REACH).withColumn("method", F.lit("ANY"))
-        else:
-            rows = explode_hits(part, pattern, groups, REACH).withColumn("method", F.upper("g2"))
-            rows = rows.withColumn("method", F.when(F.col("method").isin("ALL", "USE"), "ANY").otherwise(F.col("method")))
-        if based is None:
-            rows = rows.withColumn("base", F.lit(""))
-        else:
-            rows = rows.join(based, ["repo_id", "path"])
-        rows = rows.select("repo_id", "path", F.lit(framework).alias("framework"), "method", join_path(F.col("base"), F.col("g1")).alias("route"), F.regexp_extract("after", HANDLER, 1).alias("handler"), "line")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def endpoint_summary(found: DataFrame) -> DataFrame:
+def endpoint_summary(found: DataFrame, dedupe: bool = False) -> DataFrame:
+    """Endpoints by method; dedupe: a site that two frameworks report counts once."""
+    if dedupe:
+        found = found.dropDuplicates(["repo_id", "path", "line", "method", "route"])
     return found.groupBy("repo_id", "method").agg(F.count("*").alias("n_endpoints"))
 
 

@@ -1,135 +1,459 @@
-"""Imports and exports of files, and their resolution by joins."""
+"""Imports, exports, uses and purpose of files, and the resolution of names by joins.
+
+``facts`` reads every file once, in one narrow pass, and leaves its content behind; all other operators are joins and
+aggregations over these facts, keyed by (repo_id, path)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ast
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.catalog import EXPORT_RULES, IMPORT_RULES
+from corpusloom.operators.catalog import EXPORT_RULES, IMPORT_RULES, JAVA_EXTERNAL, LANGUAGES, NAME_ROLES, RESOLUTION, ROLES
 from corpusloom.operators.corpus import extension
-
-#: Lines that are imports, in any language.
-IMPORT_LINE = r"^\s*(?:import|from|require|require_once|include|include_once|use|package|namespace|using)\b"
-
-
-def strip_comments(content: Column, ext: Column) -> Column:
-    """Without comment lines of the language's kind and without blocks."""
-    return F.when(ext.isin("py", "rb", "sh"), F.regexp_replace(content, r"(?m)^\s*#[^\n]*$", "")).otherwise(
-        F.regexp_replace(F.regexp_replace(content, r"/\*[\s\S]*?\*/", ""), r"(?m)^\s*//[^\n]*$", "")
-    )
-
-
-def raw_imports(files: DataFrame, rules=IMPORT_RULES) -> DataFrame:
-    """repo_id, path, ext, spec: one row per import statement, as written."""
-    ext = extension(F.col("path"))
-    text = strip_comments(F.col("content"), ext)
-    specs = F.flatten(F.array(*(F.when(ext == e, F.regexp_extract_all(text, F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>")) for e, p in rules)))
-    return files.select("repo_id", "path", ext.alias("ext"), F.explode(specs).alias("spec"))
-
-
-def normal_path(path: Column) -> Column:
-    """Without ``.`` and with each ``..`` taking back the part before it."""
-    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)),
-    )
-    return F.array_join(kept, "/")
-
-
-def candidates(path: Column, ext: Column, spec: Column) -> Column:
-    """array<struct<rank, candidate>>: where the spec may lie, best first."""
-    own = F.regexp_replace(path, r"/?[^/]*$", "")
-    dotted = F.replace(spec, F.lit("."), F.lit("/"))
-    ways = F.when(ext == "py", F.array(F.concat(dotted, F.lit(".py")), F.concat(own, F.lit("/"), dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))
-    relative = F.concat(own, F.lit("/"), spec)
-    script = F.when(spec.startswith("."), F.transform(F.array(*map(F.lit, ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js"))), lambda s: F.concat(relative, s))).otherwise(F.array().cast("array<string>"))
-    ways = ways.when(ext.isin("js", "ts"), script)
-    ways = ways.when(ext == "java", F.array(F.concat(dotted, F.lit(".java")), F.concat(F.lit("src/main/java/"), dotted, F.lit(".java"))))
-    ways = ways.when(ext == "go", F.array(F.concat(spec, F.lit(".go"))))
-    ways = ways.otherwise(F.array(relative, spec))
-    return F.transform(ways, lambda w, i: F.struct(i.alias("rank"), normal_path(w).alias("candidate")))
-
-
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id, src, dst: each spec's first candidate that exists. One equi-join on (repo_id, candidate), no contents in it."""
-    tried = imports.select("repo_id", "path", "spec", F.explode(candidates(F.col("path"), F.col("ext"), F.col("spec"))).alias("c")).select("repo_id", "path", "spec", "c.*")
-    found = tried.join(files.select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
-    best = found.groupBy("repo_id", "path", "spec").agg(F.min_by("candidate", "rank").alias("dst"))
-    return best.select("repo_id", F.col("path").alias("src"), "dst").distinct()
+from corpusloom.operators.hits import first, rows_of_files, suffix
+
+#: Lines that are imports, by language family; others have the first.
+IMPORT_LINE = re.compile(r"\s*(?:import|from|using|require|require_once|include|include_once|use|package|namespace|export|const|let|var)\b", re.ASCII)
+PLAIN_IMPORT_LINE = re.compile(r"\s*(?:import|from|using|require|require_once|require_relative|include|include_once|use|package|namespace|#\s*include|#\s*import)\b", re.ASCII)
+
+#: Comments by family: # to the end of the line, -- to the end of the line, and the rest with // and blocks.
+HASH, DASH = ("python", "ruby", "shell", "perl", "r", "elixir", "nim"), ("lua", "haskell")
+
+FACTS = (
+    "language string, n_lines long, purpose string, imports array<struct<spec:string,kind:string,names:array<string>,candidates:array<string>>>, "
+    "exports array<struct<kind:string,name:string>>, words array<string>, sites array<struct<symbol:string,member:string,kind:string>>"
+)
+
+
+def language(path: str) -> str:
+    return LANGUAGES.get(suffix(path), "")
+
+
+def bare(text: str, lang: str) -> str:
+    """The text without comments: whole comment lines, what follows code on a line, and blocks. A mark within a quoted string
+    of the same line stays."""
+    quoted = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+    if lang in HASH:
+        pattern = rf"({quoted})|#[^\n]*"
+    elif lang in DASH:
+        pattern = rf"({quoted})|--[^\n]*|\{{-[\s\S]*?-\}}"
+    elif lang == "erlang":
+        pattern = rf"({quoted})|%[^\n]*"
+    elif lang == "clojure":
+        pattern = rf"({quoted})|;[^\n]*"
+    elif lang == "php":
+        pattern = rf"({quoted})|//[^\n]*|#(?!\[)[^\n]*|/\*[\s\S]*?\*/"
+    elif lang in ("html", "vue", "svelte"):
+        pattern = rf"({quoted})|<!--[\s\S]*?-->|//[^\n]*|/\*[\s\S]*?\*/"
+    else:
+        pattern = rf"({quoted})|//[^\n]*|/\*[\s\S]*?\*/"
+    return re.sub(pattern, lambda m: m[1] or "", text)
+
+
+# ---- imports
+
+
+def _folders(path: str, where: tuple[str, ...], package: str) -> Iterator[str]:
+    own = path.rpartition("/")[0]
+    for w in where:
+        if w == "own":
+            yield own
+        elif w == "root":
+            yield ""
+        elif w == "up":
+            parts = own.split("/")
+            yield from ("/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1))
+        elif w == "package":
+            if package and (own == package or own.endswith("/" + package)):
+                yield own[: len(own) - len(package)].rstrip("/")
+        else:
+            yield w
+
+
+def normal(path: str) -> str | None:
+    """Without ``.`` and with each ``..`` taking back the part before it; None above the root."""
+    out: list[str] = []
+    for part in path.split("/"):
+        if part == "..":
+            if not out:
+                return None
+            out.pop()
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
+
+
+def candidates(path: str, lang: str, spec: str, package: str = "") -> list[str]:
+    """Where a spec's file may lie, best first."""
+    if lang == "python":
+        level = len(spec) - len(spec.lstrip("."))
+        tail = spec[level:].replace(".", "/")
+        own = path.rpartition("/")[0]
+        bases = [own + "/.." * (level - 1)] if level else list(_folders(path, ("own", "root", "up"), ""))
+        ways = [f"{b}/{tail}{e}" for b in bases for e in (".py", "/__init__.py") if tail or e[0] == "/"]
+    else:
+        family = "javascript" if lang == "typescript" else lang
+        between, where, endings, inner = RESOLUTION[family]
+        if family == "javascript" and not spec.startswith("."):
+            return []
+        if family == "dart" and spec.startswith("dart:") or spec.startswith(("http:", "https:")):
+            return []
+        spec = spec.removeprefix("package:")
+        parts = [p for p in (spec.split(between) if between != "/" else [spec]) if p and p != "*"]
+        if family == "rust" and parts and parts[0] in ("crate", "self", "super"):
+            ups = 0
+            while parts and parts[0] == "super":
+                ups, parts = ups + 1, parts[1:]
+            if ups:
+                # a module's children lie beside it if it is mod.rs, lib.rs or main.rs, and in a folder of its name otherwise
+                own, _, name = path.rpartition("/")
+                ups -= 0 if name in ("mod.rs", "lib.rs", "main.rs") else 1
+                where, parts = (own + "/.." * ups,), parts
+            elif parts[0] == "self":
+                where, parts = ("own",), parts[1:]
+            else:
+                where, parts = ("src", "root"), parts[1:]
+        if family == "elixir":
+            parts = [re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", p).lower() for p in parts]
+        if family == "clojure":
+            parts = [p.replace("-", "_") for p in parts]
+        depths = range(len(parts), 0, -1) if inner else [len(parts)]
+        ways = [f"{f}/{'/'.join(parts[:d])}{e}" for f in _folders(path, where, package) for d in depths for e in endings if parts]
+    found = (normal(w) for w in ways)
+    return list(dict.fromkeys(w for w in found if w))
+
+
+def _python(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    for node in ast.walk(_tree(text)):
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                yield a.name, "import", [a.asname or a.name.split(".")[0]]
+        elif isinstance(node, ast.ImportFrom):
+            dots = "." * (node.level or 0)
+            if node.module is None:
+                for a in node.names:
+                    yield dots + a.name, "from", [a.asname or a.name]
+            else:
+                yield dots + node.module, "from", [a.asname or a.name for a in node.names]
+
+
+def _listed(names: str) -> list[str]:
+    """Local names of a list such as ``a, b as c, d: e``."""
+    out = []
+    for part in names.split(","):
+        words = re.findall(r"[\w$*]+", re.split(r"\bas\b|:", part)[-1])
+        if words and words[0] != "type" or len(words) > 1:
+            out.append(words[-1])
+    return out
+
+
+def _script(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    for m in re.finditer(r"\b(import|export)\s+(?:type\s+)?([\w$*{},\s]*?)\s*\bfrom\s+['\"]([^'\"]+)['\"]", text):
+        names: list[str] = []
+        if m[1] == "import":
+            braces = first(r"\{([^}]*)\}", m[2])
+            star = first(r"\*\s+as\s+([\w$]+)", m[2])
+            default = first(r"^\s*([\w$]+)", m[2])
+            names = ([default] if default else []) + ([star] if star else []) + _listed(braces)
+        yield m[3], "import" if m[1] == "import" else "export", names
+    for m in re.finditer(r"\bimport\s+['\"]([^'\"]+)['\"]", text):
+        yield m[1], "side-effect", []
+    for m in re.finditer(r"\b(?:const|let|var)\s+(?:\{([^}]*)\}|([\w$]+))\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]", text):
+        yield m[3], "require", [m[2]] if m[2] else _listed(m[1])
+    for m in re.finditer(r"\bimport\s*\(\s*['\"]([^'\"]+)['\"]", text):
+        yield m[1], "dynamic", []
+
+
+def _java(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    for m in re.finditer(r"\bimport\s+(static\s+)?([\w.]+(?:\.\*)?)\s*;", text):
+        last = m[2].rpartition(".")[2]
+        yield m[2], "static" if m[1] else "import", [last]
+
+
+def _php(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    for m in re.finditer(r"(?m)^\s*use\s+(?:function\s+|const\s+)?\\?([\w\\]+?)(?:\s+as\s+(\w+)|\\\{([^}]*)\})?\s*;", text):
+        if m[3] is None:
+            yield m[1], "use", [m[2] or m[1].rpartition("\\")[2]]
+            continue
+        for part in m[3].split(","):
+            name, _, alias = part.strip().partition(" as ")
+            if name:
+                yield f"{m[1]}\\{name.strip()}", "use", [alias.strip() or name.strip().rpartition("\\")[2]]
+    for m in re.finditer(r"\b(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]", text):
+        yield m[1], "include", []
+
+
+def _go(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    def one(m: re.Match) -> tuple[str, str, list[str]]:
+        return m[2], "import", [m[1] or m[2].rpartition("/")[2]]
+
+    for m in re.finditer(r"(?m)^\s*import\s+(?:([\w.]+)\s+)?\"([^\"]+)\"", text):
+        yield one(m)
+    for block in re.finditer(r"\bimport\s*\(([^)]*)\)", text):
+        for m in re.finditer(r"(?:([\w.]+)[ \t]+)?\"([^\"]+)\"", block[1]):
+            yield one(m)
+
+
+def _by_rules(text: str, lang: str) -> Iterator[tuple[str, str, list[str]]]:
+    for of, kind, pattern in IMPORT_RULES:
+        if of == lang:
+            for m in re.finditer(pattern, text, re.ASCII):
+                local = m[2] if m.re.groups > 1 else None
+                spec = m[1] if kind != "mod" else f"self::{m[1]}"
+                stem = re.sub(r"\.\w+$", "", m[1].rpartition("/")[2]) if "/" in m[1] else m[1]
+                yield spec, kind, [local or re.split(r"::|\.", stem)[-1]]
+
+
+READERS = {"python": _python, "javascript": _script, "typescript": _script, "vue": _script, "svelte": _script, "java": _java, "php": _php, "go": _go}
+
+
+def _imports(path: str, text: str, lang: str) -> list[tuple[str, str, list[str], list[str]]]:
+    read = READERS.get(lang)
+    package = first(r"\bpackage\s+([\w.]+)\s*;", text).replace(".", "/") if lang == "java" else ""
+    out: dict[tuple[str, str], list] = {}
+    for spec, kind, names in read(text) if read else _by_rules(text, lang):
+        family = "include" if lang == "php" and kind == "include" else "javascript" if lang in ("vue", "svelte") else lang
+        ways = [] if lang == "java" and spec.startswith(JAVA_EXTERNAL) else candidates(path, family, spec, package)
+        old = out.setdefault((spec, kind), [[], ways])
+        old[0] += [n for n in names if n not in old[0]]
+    return [(spec, kind, names, ways) for (spec, kind), (names, ways) in out.items()]
+
+
+# ---- exports, uses, purpose
+
+
+def _tree(text: str) -> ast.AST:
+    """A file that isn't Python's syntax has no facts."""
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return ast.Module(body=[], type_ignores=[])
+
+
+def _exports(text: str, lang: str) -> list[tuple[str, str]]:
+    found: list[tuple[str, str]] = []
+    if lang == "python":
+        for node in _tree(text).body:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                found.append(("fn", node.name))
+            elif isinstance(node, ast.ClassDef):
+                found.append(("class", node.name))
+            elif isinstance(node, ast.Assign):
+                found += [("var", t.id) for t in node.targets if isinstance(t, ast.Name)]
+            elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
+                found.append(("var", node.target.id))
+    else:
+        family = "javascript" if lang in ("typescript", "vue", "svelte") else lang
+        for of, kind, pattern in EXPORT_RULES:
+            if of == family:
+                found += [(kind, name) for name in re.findall(pattern, text, re.ASCII)]
+    return [x for x in dict.fromkeys(found) if not x[1].startswith("_") or lang == "java"]
+
+
+def _purpose(text: str, lang: str, exported: list[tuple[str, str]], show: int = 3) -> str:
+    """The docstring's first line; a role; the first classes, else functions; else ``module``."""
+    if lang == "python":
+        doc = (ast.get_docstring(_tree(text)) or "").strip()
+        if doc:
+            return doc.split("\n")[0].strip()
+    if lang == "java":
+        roles = [role for mark, role in ROLES if re.search(rf"@{mark}\b", text)]
+        if roles:
+            return " | ".join(roles)
+        m = re.search(r"\b(class|interface|enum|record)\s+(\w+)", text)
+        if m and m[1] != "class":
+            return f"{m[1]}: {m[2]}"
+        for ends, role in NAME_ROLES if m else ():
+            if m[2].endswith(ends):
+                return role
+    names = [[n for k, n in exported if k in kinds] for kinds in (("class", "trait"), ("fn",))]
+    if lang in ("javascript", "typescript", "vue", "svelte"):
+        parts = re.findall(r"export\s+(?:default\s+)?(?:function|const|class)\s+([A-Z]\w*)", text)
+        names = [parts, *names]
+        titles = ("components", "classes", "functions")
+    else:
+        titles = ("classes", "functions")
+    for title, some in zip(titles, names, strict=True):
+        if some:
+            return f"{title}: {', '.join(some[:show])}{' ...' if len(some) > show else ''}"
+    return "module"
+
+
+NO_CALLS = frozenset("if for while switch catch return function def class new and or not in elif else print".split())
+
+
+def _sites(text: str, lang: str) -> list[tuple[str, str, str]]:
+    """symbol, member, kind of every use: calls one row each, reads of members once."""
+    out: list[tuple[str, str, str]] = []
+    lines = PLAIN_IMPORT_LINE if lang not in ("javascript", "typescript", "vue", "svelte") else IMPORT_LINE
+    body = "\n".join(x for x in text.split("\n") if not lines.match(x))
+    # a file's variables and what they are instances of
+    types = dict((name, kind) for kind, name in re.findall(r"\b([A-Z]\w*)(?:<[^>\n]*>)?\s+(\w+)\s*[;=,)]", body)) if lang in ("java", "kotlin", "csharp", "php", "typescript") else {}
+    types |= {name: kind for name, kind in re.findall(r"\$?(\w+)\s*=\s*new\s+(\w+)", body)}
+    members = set()
+    for m in re.finditer(r"\b(\w+)(?:\.|->)(\w+)\s*\(", text):
+        owner = types.get(m[1], m[1])
+        out.append((owner, m[2], "call"))
+        members.add((owner, m[2]))
+    for m in re.finditer(r"\b(\w+)\.(\w+)\b(?!\s*\()", body):
+        owner = types.get(m[1], m[1])
+        if (owner, m[2]) not in members and not m[1].isdigit():
+            members.add((owner, m[2]))
+            out.append((owner, m[2], "class_usage" if m[2][0].isupper() else "attribute"))
+    for m in re.finditer(r"\b(\w+)::(\w+)\s*\(", text):
+        out.append((m[1], m[2], "static_call"))
+        members.add((m[1], m[2]))
+    for m in re.finditer(r"\b(\w+)::\$?(\w+)\b(?!\s*\()", text):
+        if (m[1], m[2]) not in members and lang == "php":
+            members.add((m[1], m[2]))
+            out.append((m[1], m[2], "static_prop"))
+    out += [(name, name, "instantiate") for name in re.findall(r"\bnew\s+(\w+)\s*\(", body)]
+    for m in re.finditer(r"(?<![\w.>:$])(\w+)\s*\(", body):
+        before = body[max(0, m.start() - 12) : m.start()]
+        if m[1] not in NO_CALLS and not re.search(r"\b(?:new|def|function|fun|func|fn|sub|class)\s+$", before):
+            out.append((m[1], m[1], "call"))
+    for kind in ("extends", "implements"):
+        for listed in re.findall(rf"\b{kind}\s+([\w\s,\\<>]+)", body):
+            names = re.split(r"\b(?:extends|implements)\b|[\n{{]", listed)[0]
+            out += [(name, name, kind) for name in re.findall(r"(\w+)(?:<[^>]*>)?\s*(?:,|$)", names.strip())]
+    if lang == "python":
+        out += [(b, b, "extends") for bases in re.findall(r"(?m)^\s*class\s+\w+\s*\(([^)]*)\)", body) for b in re.findall(r"\b(\w+)\b(?!\s*=)", bases)]
+    if lang == "php":
+        for listed in re.findall(r"(?m)^[ \t]+use\s+([\w, ]+);", text):
+            out += [(name, name, "trait_use") for name in re.findall(r"\w+", listed)]
+    if lang in ("java", "kotlin"):
+        for kind, name in re.findall(r"@(?:Autowired|Resource|Inject|Qualifier)\s*(?:\([^)]*\))?\s*(?:private|public|protected)\s+(?:static\s+|final\s+)*(\w+)(?:<[^>]+>)?\s+(\w+)\s*;", text):
+            out.append((kind, name, "inject"))
+    return out
+
+
+def _words(text: str, lang: str) -> list[str]:
+    """Distinct words of the lines that aren't imports; of Python the names that its code reads."""
+    if lang == "python":
+        names = {n.id for n in ast.walk(_tree(text)) if isinstance(n, ast.Name)}
+        return sorted(names)
+    lines = IMPORT_LINE if lang in ("javascript", "typescript", "vue", "svelte") else PLAIN_IMPORT_LINE
+    body = "\n".join(x for x in text.split("\n") if not lines.match(x))
+    return sorted(set(re.findall(r"[A-Za-z_$]\w*", body)))
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """One row per file: repo_id, path, language, n_lines, purpose, imports, exports, words and sites (see FACTS). A null content is
+    empty; a Python file with a syntax error has none."""
+
+    def read(path: str, text: str) -> list[tuple]:
+        lang = language(path)
+        clean = text if lang == "python" else bare(text, lang)
+        exported = _exports(clean, lang)
+        found = _imports(path, clean, lang) if lang == "python" or lang in READERS or lang in RESOLUTION else []
+        return [(lang, len(text.splitlines()), _purpose(clean, lang, exported), found, exported, _words(clean, lang), _sites(clean, lang))]
+
+    return rows_of_files(files, read, FACTS)
+
+
+def raw_imports(known: DataFrame) -> DataFrame:
+    """repo_id, path, spec, kind: one row per import, as written."""
+    return known.select("repo_id", "path", F.explode("imports").alias("i")).select("repo_id", "path", "i.spec", "i.kind")
+
+
+def resolved_specs(known: DataFrame) -> DataFrame:
+    """repo_id, path, spec, dst: each spec's first candidate that exists. One equi-join on (repo_id, candidate), no contents in it."""
+    each = known.select("repo_id", "path", F.explode("imports").alias("i"))
+    tried = each.select("repo_id", "path", F.col("i.spec").alias("spec"), F.posexplode("i.candidates").alias("rank", "candidate"))
+    found = tried.join(known.select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
+    return found.groupBy("repo_id", "path", "spec").agg(F.min_by("candidate", "rank").alias("dst"))
+
+
+def resolve_imports(known: DataFrame, fallback: bool = True) -> DataFrame:
+    """repo_id, src, dst: the files that a file imports. fallback: what no candidate resolves is looked for by its class name (Java and
+    PHP, see resolve_by_class_name)."""
+    found = resolved_specs(known).select("repo_id", F.col("path").alias("src"), "dst")
+    if fallback:
+        found = found.unionByName(class_name_imports(known).select("repo_id", "src", "dst"))
+    return found.where("src <> dst").distinct()
+
+
+def unresolved(known: DataFrame) -> DataFrame:
+    """repo_id, path, language, spec, kind of imports without a file."""
+    each = known.select("repo_id", "path", "language", F.explode("imports").alias("i")).select("repo_id", "path", "language", "i.spec", "i.kind")
+    return each.join(resolved_specs(known), ["repo_id", "path", "spec"], "left_anti")
+
+
+def class_name_imports(known: DataFrame) -> DataFrame:
+    """repo_id, src, spec, name, dst of Java and PHP imports that only a class name resolves; external prefixes never do."""
+    left = unresolved(known).where("kind in ('import', 'static', 'use')")
+    name = F.regexp_extract("spec", r"(\w+)$", 1)
+    out = None
+    for lang, ext in (("java", "java"), ("php", "php")):
+        wanted = left.where(F.col("language") == lang).select("repo_id", F.col("path").alias("src"), "spec", name.alias("name"))
+        if lang == "java":
+            external = F.lit(False)
+            for prefix in JAVA_EXTERNAL:
+                external = external | F.col("spec").startswith(prefix)
+            wanted = wanted.where(F.col("name").rlike("^[A-Z]") & ~external)
+        rows = wanted.join(resolve_by_class_name(wanted.select("repo_id", "src", "name"), known, ext), ["repo_id", "src", "name"])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def external_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Specs that no candidate resolves, with how many files use them."""
-    tried = imports.select("repo_id", "path", "spec", F.explode(candidates(F.col("path"), F.col("ext"), F.col("spec"))).alias("c")).select("repo_id", "path", "spec", "c.candidate")
-    known = tried.join(files.select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"], "left_semi").select("repo_id", "path", "spec")
-    return imports.join(known, ["repo_id", "path", "spec"], "left_anti").groupBy("repo_id", "spec").agg(F.count_distinct("path").alias("n_files"))
-
-
-def exports(files: DataFrame, rules=EXPORT_RULES) -> DataFrame:
-    """repo_id, path, kind, name of public symbols; names that begin with _ are private."""
-    ext = extension(F.col("path"))
-    text = strip_comments(F.col("content"), ext)
-    none = F.array().cast("array<struct<kind:string,name:string>>")
+def resolve_by_class_name(wanted: DataFrame, files: DataFrame, ext: str) -> DataFrame:
+    """repo_id, src, name, dst for wanted(repo_id, src, name): the least path whose file is called name.ext, anywhere in the
+    repository. An equi-join on (repo_id, file name)."""
+    named = files.where(extension(F.col("path")) == ext).select("repo_id", F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("name"), F.col("path").alias("dst"))
+    return wanted.distinct().join(named, ["repo_id", "name"]).groupBy("repo_id", "src", "name").agg(F.min("dst").alias("dst"))
 
-    def named(kind: str):
-        return lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
 
-    found = [F.when(ext == e, F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(k))).otherwise(none) for e, k, p in rules]
-    return files.select("repo_id", "path", F.explode(F.flatten(F.array(*found))).alias("x")).select("repo_id", "path", "x.*").where(~F.col("name").startswith("_"))
+def external_imports(known: DataFrame) -> DataFrame:
+    """Specs that nothing resolves, with how many files use them."""
+    by_name = class_name_imports(known).select("repo_id", F.col("src").alias("path"), "spec")
+    return unresolved(known).join(by_name, ["repo_id", "path", "spec"], "left_anti").groupBy("repo_id", "spec").agg(F.count_distinct("path").alias("n_files"))
 
 
-def symbol_bindings(files: DataFrame) -> DataFrame:
-    """repo_id, path, symbol, dst: names that an import binds (python ``from`` and script braces) and the file they come from."""
-    ext = extension(F.col("path"))
-    pattern = {"py": r"(?m)^from\s+([\w.]+)\s+import\s+(\w+)", "js": r"(?m)^import\s*\{\s*(\w+)\s*\}\s*from\s+['\"]([^'\"]+)['\"]"}
-    one = lambda e, spec, name: F.arrays_zip(
-        F.regexp_extract_all("content", F.lit(pattern[e]), F.lit(spec)).alias("spec"), F.regexp_extract_all("content", F.lit(pattern[e]), F.lit(name)).alias("symbol")
-    )
-    pairs = F.when(ext == "py", one("py", 1, 2)).when(ext.isin("js", "ts"), one("js", 2, 1))
-    bound = files.select("repo_id", "path", ext.alias("ext"), F.explode(pairs).alias("b")).select("repo_id", "path", "ext", "b.*")
-    tried = bound.select("repo_id", "path", "symbol", F.explode(candidates(F.col("path"), F.col("ext"), F.col("spec"))).alias("c")).select("repo_id", "path", "symbol", "c.*")
-    found = tried.join(files.select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
-    return found.groupBy("repo_id", "path", "symbol").agg(F.min_by("candidate", "rank").alias("dst"))
+def exports(known: DataFrame) -> DataFrame:
+    """repo_id, path, kind, name of public symbols; names that begin with _ are private (but in Java)."""
+    return known.select("repo_id", "path", F.explode("exports").alias("x")).select("repo_id", "path", "x.*")
 
 
-def used_words(files: DataFrame) -> DataFrame:
-    """repo_id, path, symbol: distinct words of the lines that aren't imports."""
-    body = F.array_join(F.filter(F.split("content", "\n", -1), lambda x: ~x.rlike(IMPORT_LINE)), "\n")
-    return files.select("repo_id", "path", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("symbol"))
+def purpose(known: DataFrame) -> DataFrame:
+    return known.select("repo_id", "path", "purpose")
 
 
-def cross_refs(bindings: DataFrame, files: DataFrame) -> DataFrame:
-    """Bindings whose symbol occurs outside imports."""
-    return bindings.join(used_words(files), ["repo_id", "path", "symbol"], "left_semi")
+def symbol_bindings(known: DataFrame) -> DataFrame:
+    """repo_id, path, symbol, dst: the local names that imports bind and the file they come from; ``*`` for all names of a file. Of
+    several bindings of a name the last counts."""
+    each = known.select("repo_id", "path", F.posexplode("imports").alias("place", "i")).select("repo_id", "path", "place", F.col("i.spec").alias("spec"), F.explode("i.names").alias("symbol"))
+    targets = resolved_specs(known).unionByName(class_name_imports(known).select("repo_id", F.col("src").alias("path"), "spec", "dst"))
+    bound = each.join(targets, ["repo_id", "path", "spec"])
+    stars = bound.where("symbol = '*'").select("repo_id", "path", "symbol", "dst").distinct()
+    last = Window.partitionBy("repo_id", "path", "symbol").orderBy(F.col("place").desc(), "dst")
+    named = bound.where("symbol <> '*'").withColumn("turn", F.row_number().over(last)).where("turn = 1").select("repo_id", "path", "symbol", "dst")
+    return named.unionByName(stars)
 
 
-def call_targets(bindings: DataFrame, files: DataFrame) -> DataFrame:
-    """repo_id, src, dst, symbol, n_sites: calls of bound symbols."""
-    sites = files.select("repo_id", "path", F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("symbol"))
-    counted = sites.groupBy("repo_id", "path", "symbol").agg(F.count("*").alias("n_sites"))
-    return bindings.join(counted, ["repo_id", "path", "symbol"]).select("repo_id", F.col("path").alias("src"), "dst", "symbol", "n_sites")
+def used_words(known: DataFrame) -> DataFrame:
+    return known.select("repo_id", "path", F.explode("words").alias("symbol"))
 
 
-def unused_imports(bindings: DataFrame, refs: DataFrame) -> DataFrame:
-    """repo_id, src, dst: bound files of which no symbol is used."""
-    return bindings.select("repo_id", F.col("path").alias("src"), "dst").distinct().join(refs.select("repo_id", F.col("path").alias("src"), "dst"), ["repo_id", "src", "dst"], "left_anti")
+def cross_refs(bindings: DataFrame, known: DataFrame) -> DataFrame:
+    """Bindings whose symbol occurs outside imports; ``*`` always counts."""
+    used = bindings.where("symbol <> '*'").join(used_words(known), ["repo_id", "path", "symbol"], "left_semi")
+    return used.unionByName(bindings.where("symbol = '*'").select(*used.columns))
 
 
-def purpose(files: DataFrame, show: int = 3) -> DataFrame:
-    """One line on each file: the first classes it exports, else its first functions, else ``module``."""
-    ext = extension(F.col("path"))
-    text = strip_comments(F.col("content"), ext)
-    none = F.array().cast("array<string>")
-    names = lambda kind: F.concat(*(F.when(ext == e, F.regexp_extract_all(text, F.lit(p), F.lit(1))).otherwise(none) for e, k, p in EXPORT_RULES if k == kind))
-    some = lambda c: F.array_join(F.slice(c, 1, show), ", ")
-    rows = files.select("repo_id", "path", names("class").alias("classes"), names("fn").alias("fns"))
-    line = F.when(F.size("classes") > 0, F.concat(F.lit("classes: "), some("classes"))).when(F.size("fns") > 0, F.concat(F.lit("functions: "), some("fns"))).otherwise("module")
-    return rows.select("repo_id", "path", line.alias("purpose"))
+def call_targets(bindings: DataFrame, known: DataFrame) -> DataFrame:
+    """repo_id, src, dst, symbol, member, kind, n_sites: uses of bound symbols. One equi-join on (repo_id, path, symbol)."""
+    sites = known.select("repo_id", "path", F.explode("sites").alias("s")).select("repo_id", "path", "s.*")
+    counted = sites.groupBy("repo_id", "path", "symbol", "member", "kind").agg(F.count("*").alias("n_sites"))
+    return bindings.join(counted, ["repo_id", "path", "symbol"]).select("repo_id", F.col("path").alias("src"), "dst", "symbol", "member", "kind", "n_sites")
 
 
-def resolve_by_class_name(wanted: DataFrame, files: DataFrame, ext: str) -> DataFrame:
-    """repo_id, src, name, dst for wanted(repo_id, src, name): the least path whose file is called name.ext, anywhere in the
-    repository. An equi-join on (repo_id, file name)."""
-    named = files.where(extension(F.col("path")) == ext).select("repo_id", F.regexp_extract("path", r"([^/]+)\.[^.]*$", 1).alias("name"), F.col("path").alias("dst"))
-    return wanted.distinct().join(named, ["repo_id", "name"]).groupBy("repo_id", "src", "name").agg(F.min("dst").alias("dst"))
+def unused_imports(known: DataFrame, edges: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataFrame:
+    """repo_id, src, dst: imported files of which no symbol is used, in files that bind a symbol. Java has none."""
+    binds = bindings.where("symbol <> '*'").select("repo_id", F.col("path").alias("src")).distinct()
+    scripts = known.where("language <> 'java'").select("repo_id", F.col("path").alias("src"))
+    left = edges.join(refs.select("repo_id", F.col("path").alias("src"), "dst"), ["repo_id", "src", "dst"], "left_anti")
+    return left.join(binds, ["repo_id", "src"], "left_semi").join(scripts, ["repo_id", "src"], "left_semi").select("repo_id", "src", "dst")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.staging import stage, stage_at, unstage
-from corpusloom.operators.catalog import LAYER_WORDS, LAYERS
+from corpusloom.operators.catalog import LAYER_WORDS, LAYERS, PURPOSE_WORDS
 
 
 def reverse_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,9 +52,14 @@ def peel(edges: DataFrame) -> DataFrame:
     return now
 
 
-def detect_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Simple cycles of at most max_len nodes, each once, its smallest node first."""
-    core = peel(edges)
+def detect_cycles(edges: DataFrame, max_len: int = 4, self_loops: bool = False) -> DataFrame:
+    """Simple cycles of at most max_len nodes, each once, its smallest node first; bound: max_len. Simple cycles can be
+    exponentially many, so their length is bounded; cycle_members and cycle_edges see cycles of any length. Paths are only
+    walked within strongly connected components. self_loops: files that import themselves are cycles of one."""
+    members = cycle_members(edges)
+    ends = [members.select("repo_id", F.col("path").alias(c), "component") for c in ("src", "dst")]
+    inside = edges.where("src <> dst").select("repo_id", "src", "dst").distinct().join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "component"])
+    core = stage(inside.select("repo_id", "src", "dst"))
     step = core.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"))
     paths = core.where("dst > src").select("repo_id", F.array("src", "dst").alias("cycle"))
     found = None
@@ -64,15 +69,17 @@ def detect_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
         found = closed if found is None else found.unionByName(closed)
         if size < max_len:
             paths = stage(longer.where((F.col("to") > F.get("cycle", 0)) & ~F.array_contains("cycle", F.col("to"))).select("repo_id", F.array_append("cycle", F.col("to")).alias("cycle")))
-    return found.select("repo_id", F.array_join("cycle", " > ").alias("cycle"), "size")
+    if self_loops:
+        found = found.unionByName(edges.where("src = dst").select("repo_id", F.array("src").alias("cycle"), F.lit(1).alias("size")).distinct())
+    return found.select("repo_id", F.array_join("cycle", " > ").alias("cycle"), "size", F.lit(max_len).alias("bound"))
 
 
-def cycle_edges(edges: DataFrame, max_len: int = 4) -> DataFrame:
-    """Edges of the found cycles, the closing one included."""
-    nodes = F.split("cycle", " > ")
-    pairs = detect_cycles(edges, max_len).select("repo_id", F.explode(F.arrays_zip(nodes.alias("src"), F.concat(F.slice(nodes, 2, 1 << 20), F.slice(nodes, 1, 1)).alias("dst"))).alias("e"))
-    wanted = pairs.select("repo_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
-    return edges.join(wanted, ["repo_id", "src", "dst"], "left_semi").select("repo_id", "src", "dst").distinct()
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Edges on any cycle, however long: those within one strongly connected component."""
+    members = cycle_members(edges)
+    ends = [members.select("repo_id", F.col("path").alias(c), "component") for c in ("src", "dst")]
+    inside = edges.where("src <> dst").join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "component"])
+    return inside.select("repo_id", "src", "dst").distinct()
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
@@ -109,23 +116,24 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 def topological_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """depth of each node: 0 without imports, else one more than its deepest import; null on and above cycles.
 
-    Each round settles the nodes whose imports all are settled, and drops their edges."""
+    Each round takes the nodes settled in the last one, counts them off the imports that their importers wait for, and settles
+    those that wait for none: as many rounds as the deepest chain has files, each over the edges into the last round's nodes."""
     spark = nodes.sparkSession
-    own = edges.where("src <> dst").select("repo_id", "src", "dst").distinct()
-    left, path = stage_at(own.withColumn("settled", F.lit(None).cast("int")))
-    ready = stage(nodes.select("repo_id", "path").join(own.select("repo_id", F.col("src").alias("path")), ["repo_id", "path"], "left_anti").withColumn("depth", F.lit(0)))
-    done, frontier = ready, ready
-    while not frontier.isEmpty():
-        settled = frontier.select("repo_id", F.col("path").alias("dst"), F.col("depth").alias("new"))
-        after = left.join(settled, ["repo_id", "dst"], "left").select("repo_id", "src", "dst", F.coalesce("settled", "new").alias("settled"))
+    own = stage(edges.where("src <> dst").select("repo_id", "src", "dst").distinct())
+    waits = own.groupBy("repo_id", F.col("src").alias("path")).agg(F.count("*").alias("open"))
+    start = nodes.select("repo_id", "path").distinct().join(waits, ["repo_id", "path"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    state, path = stage_at(start.withColumn("depth", F.when(F.col("open") == 0, F.lit(0))))
+    depth = 0
+    while not state.where(F.col("depth") == depth).isEmpty():
+        settled = state.where(F.col("depth") == depth).select("repo_id", F.col("path").alias("dst"))
+        less = own.join(settled, ["repo_id", "dst"]).groupBy("repo_id", F.col("src").alias("path")).agg(F.count("*").alias("less"))
+        left = F.col("open") - F.coalesce("less", F.lit(0))
+        depth += 1
+        after = state.join(less, ["repo_id", "path"], "left").select("repo_id", "path", left.alias("open"), F.when(F.col("depth").isNull() & (left == 0), F.lit(depth)).otherwise(F.col("depth")).alias("depth"))
         after, after_path = stage_at(after)
         unstage(spark, path)
-        whole = after.groupBy("repo_id", "src").agg(F.max("settled").alias("top"), F.count_if(F.col("settled").isNull()).alias("open"))
-        frontier = stage(whole.where("open = 0").select("repo_id", F.col("src").alias("path"), (F.col("top") + 1).alias("depth")))
-        left, path = stage_at(after.join(frontier.select("repo_id", F.col("path").alias("src")), ["repo_id", "src"], "left_anti"))
-        unstage(spark, after_path)
-        done = done.unionByName(frontier)
-    return nodes.select("repo_id", "path").join(done, ["repo_id", "path"], "left")
+        state, path = after, after_path
+    return nodes.select("repo_id", "path").join(state.select("repo_id", "path", "depth"), ["repo_id", "path"], "left")
 
 
 def layer_name(depth: Column) -> Column:
@@ -133,19 +141,31 @@ def layer_name(depth: Column) -> Column:
     return F.when(depth < len(LAYERS), F.get(names, depth)).otherwise(F.concat(F.lit("layer_"), depth.cast("string")))
 
 
-def heuristic_layer(path: Column) -> Column:
-    """The first group of words of which one occurs in the path."""
-    layer = F.lit("foundation")
-    for name, words in reversed(LAYER_WORDS):
-        layer = F.when(F.lower(path).rlike("|".join(words)), name).otherwise(layer)
-    return layer
+def heuristic_layer(path: Column, purpose: Column | None = None) -> Column:
+    """The first group of words of which one occurs in the path, else in what the file is for."""
 
+    def by(text: Column, words: tuple, other: Column) -> Column:
+        layer = other
+        for name, of in reversed(words):
+            layer = F.when(F.lower(text).rlike("|".join(of)), name).otherwise(layer)
+        return layer
 
-def assign_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """By depth where there is one; a node without any edge, and nodes on or above cycles, by words."""
+    other = F.lit("foundation")
+    if purpose is not None:
+        other = by(F.coalesce(purpose, F.lit("")), PURPOSE_WORDS, other)
+    return by(path, LAYER_WORDS, other)
+
+
+def assign_layers(nodes: DataFrame, edges: DataFrame, purposes: DataFrame | None = None) -> DataFrame:
+    """By depth where there is one; a node without any edge, and nodes on or above cycles, by words of the path and, where
+    purposes(repo_id, path, purpose) are given, of the purpose. What no word tells keeps its depth's layer."""
     depths = topological_layers(nodes, edges).join(degrees(nodes, edges), ["repo_id", "path"])
     isolated = (F.col("imports") == 0) & (F.col("imported_by") == 0)
-    layer = F.when(F.col("depth").isNull() | isolated, heuristic_layer(F.col("path"))).otherwise(layer_name(F.col("depth")))
+    words = heuristic_layer(F.col("path"))
+    if purposes is not None:
+        depths = depths.join(purposes.select("repo_id", "path", "purpose"), ["repo_id", "path"], "left")
+        words = heuristic_layer(F.col("path"), F.col("purpose"))
+    layer = F.when(F.col("depth").isNull() | isolated, words).otherwise(layer_name(F.col("depth")))
     return depths.select("repo_id", "path", layer.alias("layer"))
 
 
@@ -153,12 +173,21 @@ def layer_histogram(layers: DataFrame) -> DataFrame:
     return layers.groupBy("repo_id", F.coalesce(F.nullif("layer", F.lit("")), F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n_files"))
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """files, imports, files that import, files that are imported, per repository."""
-    n = nodes.groupBy("repo_id").agg(F.count("*").alias("n_files"))
+def graph_stats(nodes: DataFrame, edges: DataFrame, counted: dict[str, DataFrame] | None = None, columns: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Per repository: files, imports, files that import, files that are imported; n_<name> for each table of ``counted`` (cycles,
+    refs, calls, unused imports, endpoints, models, issues: its rows, 0 without any), and the columns of each table of
+    ``columns`` with one row a repository (lines, grade)."""
+    out = nodes.groupBy("repo_id").agg(F.count("*").alias("n_files"))
     e = edges.groupBy("repo_id").agg(F.count("*").alias("n_imports"), F.count_distinct("src").alias("n_importing"), F.count_distinct("dst").alias("n_imported"))
-    zero = F.lit(0)
-    return n.join(e, "repo_id", "left").select("repo_id", "n_files", *(F.coalesce(c, zero).alias(c) for c in ("n_imports", "n_importing", "n_imported")))
+    out = out.join(e, "repo_id", "left")
+    names = ["n_imports", "n_importing", "n_imported"]
+    for name, table in (counted or {}).items():
+        out = out.join(table.groupBy("repo_id").agg(F.count("*").alias(f"n_{name}")), "repo_id", "left")
+        names.append(f"n_{name}")
+    out = out.select("repo_id", "n_files", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+    for table in (columns or {}).values():
+        out = out.join(table, "repo_id", "left")
+    return out
 
 
 def call_rollup(calls: DataFrame, show: int = 5) -> DataFrame:

@@ -64,8 +64,10 @@ def max_dependencies(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFram
     return _shaped(many, rule, F.col("src"), F.lit(None).cast("string"))
 
 
-def max_cycle_size(nodes: DataFrame, edges: DataFrame, rule: dict, max_len: int = 4) -> DataFrame:
-    long = detect_cycles(edges, max_len).where(F.col("size") > rule.get("max", 2))
+def max_cycle_size(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
+    """Cycles longer than the rule's max, searched up to its max_len (two files more than max, and four at least)."""
+    most = rule.get("max", 2)
+    long = detect_cycles(edges, rule.get("max_len", max(4, most + 2))).where(F.col("size") > most)
     return _shaped(long, rule, F.split("cycle", " > ")[0], F.col("cycle"))
 
 
@@ -73,18 +75,21 @@ TYPES = {f.__name__: f for f in (no_dependency, layer_rule, naming_pattern, disa
 
 
 def check_rules(nodes: DataFrame, edges: DataFrame, rules: Sequence[dict] = EXAMPLE_RULES) -> DataFrame:
-    """All violations; a rule of unknown type has none."""
-    found = [TYPES[r["type"]](nodes, edges, r) for r in rules if r["type"] in TYPES]
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    """All violations, with the place of their rule in the list; a rule of unknown type has none."""
+    shape = "rule int, repo_id string, rule_name string, severity string, file_path string, related_file string"
+    out = None
+    for i, r in enumerate(rules):
+        if r["type"] in TYPES:
+            rows = TYPES[r["type"]](nodes, edges, r).select(F.lit(i).alias("rule"), *VIOLATION)
+            out = rows if out is None else out.unionByName(rows)
+    return nodes.sparkSession.createDataFrame([], shape) if out is None else out
 
 
 def rule_summary(nodes: DataFrame, edges: DataFrame, rules: Sequence[dict] = EXAMPLE_RULES) -> DataFrame:
-    """One row per repository: rules checked and passed, violations by severity."""
+    """One row per repository: rules checked and passed, violations by severity. Rules count by their place in the list, so two
+    without a name are two."""
     per = check_rules(nodes, edges, rules).groupBy("repo_id").agg(
-        F.count_distinct("rule_name").alias("failed"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info"))
+        F.count_distinct("rule").alias("failed"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info"))
     )
     zero = F.lit(0)
     return nodes.select("repo_id").distinct().join(per, "repo_id", "left").select(

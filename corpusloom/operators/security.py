@@ -1,21 +1,25 @@
-"""Security findings over files(repo_id, path, content): catalogue rules, one row per match."""
+"""Security findings over files(repo_id, path, content): catalogue rules, one row per match, in one pass over the files."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.catalog import SECURITY_RULES, SKIPPED_DIRS
+from corpusloom.operators.catalog import SECURITY_RULES, SENSITIVE_EXTENSIONS, SENSITIVE_NAMES, UNCHECKED_DIRS
 from corpusloom.operators.corpus import basename, extension
-from corpusloom.operators.hits import explode_hits
+from corpusloom.operators.hits import Lines, holds, rows_of_files, suffix
 
-#: Fixed values.
-SENSITIVE_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore")
-SENSITIVE_NAMES = (".env", "id_rsa", "id_dsa", "credentials", ".htpasswd", ".npmrc")
+#: Characters of a snippet; of a masked secret.
+SNIPPET, LONG, HEAD, TAIL, SHORT = 80, 30, 20, 5, 10
 
 
-def scanned(files: DataFrame) -> DataFrame:
-    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_DIRS))))
+def checked(files: DataFrame) -> DataFrame:
+    """Files that no unchecked directory holds."""
+    parts = F.split("path", "/")
+    return files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, UNCHECKED_DIRS))))
 
 
 def sensitive_files(files: DataFrame) -> DataFrame:
@@ -23,31 +27,37 @@ def sensitive_files(files: DataFrame) -> DataFrame:
     high = extension(F.col("path")).isin(*SENSITIVE_EXTENSIONS)
     medium = F.lower(basename(F.col("path"))).isin(*SENSITIVE_NAMES)
     severity = F.when(high, "high").when(medium, "medium")
-    return scanned(files).where(high | medium).select("repo_id", "path", F.lit("SEC-001").alias("rule_id"), severity.alias("severity"))
+    return checked(files).where(high | medium).select("repo_id", "path", F.lit("SEC-001").alias("rule_id"), severity.alias("severity"))
 
 
 def mask_secret(text: Column) -> Column:
-    return F.when(F.length(text) > 30, F.concat(F.left(text, F.lit(20)), F.lit("***"), F.right(text, F.lit(5)))).otherwise(F.concat(F.left(text, F.lit(10)), F.lit("***")))
+    return F.when(F.length(text) > LONG, F.concat(F.left(text, F.lit(HEAD)), F.lit("***"), F.right(text, F.lit(TAIL)))).otherwise(F.concat(F.left(text, F.lit(SHORT)), F.lit("***")))
 
 
 def security_scan(files: DataFrame, rules=SECURITY_RULES) -> DataFrame:
-    """repo_id, path, rule_id, title, severity, line, snippet of all content rules; secrets are masked."""
-    out = None
-    clean = scanned(files).where(~extension(F.col("path")).isin(*SENSITIVE_EXTENSIONS))
-    for rule_id, title, severity, extensions, pattern in rules:
-        part = clean if extensions is None else clean.where(extension(F.col("path")).isin(*extensions))
-        snippet = mask_secret(F.col("whole")) if rule_id == "SEC-002" else F.left("whole", F.lit(80))
-        rows = explode_hits(part, pattern).select(
-            "repo_id", "path", F.lit(rule_id).alias("rule_id"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), "line", snippet.alias("snippet")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """repo_id, path, rule_id, title, severity, line, snippet of all content rules; secrets are masked. Files that are sensitive
+    by their extension aren't read."""
+    clean = checked(files).where(~extension(F.col("path")).isin(*SENSITIVE_EXTENSIONS))
+
+    def read(path: str, text: str) -> Iterator[tuple]:
+        ext, line = suffix(path), None
+        for rule_id, title, severity, extensions, pattern, conditions in rules:
+            if extensions is not None and ext not in extensions:
+                continue
+            for m in re.finditer(pattern, text, re.ASCII):
+                if holds(text, m.start(), m.end(), conditions):
+                    line = line or Lines(text)
+                    yield rule_id, title, severity, line(m.start()), m[0]
+
+    found = rows_of_files(clean, read, "rule_id string, title string, severity string, line long, whole string")
+    snippet = F.when(F.col("rule_id") == "SEC-002", mask_secret(F.col("whole"))).otherwise(F.left("whole", F.lit(SNIPPET)))
+    return found.select("repo_id", "path", "rule_id", "title", "severity", "line", snippet.alias("snippet"))
 
 
 def security_summary(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("repo_id").agg(F.count("*").alias("n_issues"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "medium")))
+    return issues.groupBy("repo_id").agg(F.count("*").alias("n_issues"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "medium", "low")))
 
 
 def first_issues(issues: DataFrame, n: int = 50) -> DataFrame:
-    order = Window.partitionBy("repo_id").orderBy("path", "line", "rule_id", "title")
+    order = Window.partitionBy("repo_id").orderBy("path", "line", "rule_id", "title", "snippet")
     return issues.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

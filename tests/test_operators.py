@@ -76,50 +76,228 @@ def test_complexity_window_and_cap(spark):
     assert quality.quality_summary(of(spark, [("a.py", body)])).first()["grade"] == "D"
 
 
-def test_security_rules(spark):
+def test_function_extents(spark):
     rows = [
-        ("a.py", "x\npickle.loads(d)\nDEBUG = True\nsubprocess.run(c, shell=True)\nsubprocess.run(c)\n"), ("vendor/b.py", "pickle.loads(d)"), ("c.js", "el.innerHTML = 1"),
-        ("d.ts", "const k = 'ghp_" + "a" * 36 + "'"), ("k.pem", "pickle.loads"), ("src/.env", "API_KEY='0123456789abcdef0'"), ("e.php", "echo $_GET['x'];"),
+        ("a.py", "def f(x):\n    if x:\n        return 1\n\n    # note\n    return 2\n\n\nclass C:\n    async def g(self):\n        pass\n\nx = 1\n"),
+        ("B.java", "class B {\n    public int getX() { return x; }\n    public void setX(int v) { x = v; }\n    public String toString() { return s; }\n    public B(int a) {\n        if (a > 1) {\n            b = a;\n        }\n    }\n    private static int add(int a, int b) {\n        return a + b;\n    }\n}\n"),
+        ("c.ts", "export const run = async (a) => {\n};\nfunction walk(b) { return b ? 1 : 2; }\n"), ("d.rb", "def total(x)\n  if x\n    while x\n    end\n  end\nend\n"),
+        ("e.cs", "class E {\n    public int Add(int a) {\n        return a;\n    }\n    public override string ToString() {\n    }\n}\n"), ("f.go", "func (s *S) Run(n int) {\n}\nfunc Go(a int) {}\n"), ("g.php", "function show($a) { if ($a) {} }"),
     ]
-    got = {(r["path"], r["rule_id"], r["line"]) for r in security.security_scan(of(spark, rows)).collect()}
-    assert got == {("a.py", "SEC-006", 2), ("a.py", "SEC-007", 3), ("a.py", "SEC-005", 4), ("c.js", "SEC-004", 1), ("d.ts", "SEC-002", 1), ("src/.env", "SEC-002", 1), ("e.php", "SEC-004", 1)}
-    assert {(r["path"], r["severity"]) for r in security.sensitive_files(of(spark, rows)).collect()} == {("k.pem", "high"), ("src/.env", "medium")}
+    got = {(r["path"], r["name"]): (r["line"], r["end_line"], r["n_lines"], r["complexity"]) for r in quality.functions(of(spark, rows)).collect()}
+    assert got == {
+        ("a.py", "f"): (1, 6, 6, 2), ("a.py", "g"): (10, 11, 2, 1), ("B.java", "B"): (5, 9, 5, 2), ("B.java", "add"): (10, 12, 3, 1), ("c.ts", "run"): (1, 5, 4, 2), ("c.ts", "walk"): (3, 7, 4, 2),
+        ("d.rb", "total"): (1, 5, 4, 2), ("e.cs", "Add"): (2, 4, 2, 1), ("f.go", "Run"): (1, 3, 2, 1), ("f.go", "Go"): (3, 5, 2, 1), ("g.php", "show"): (1, 5, 4, 2),
+    }
+    quality_of = {r["path"]: r for r in quality.file_quality(of(spark, rows)).collect()}
+    assert (quality_of["a.py"]["n_functions"], quality_of["a.py"]["mean_lines"], quality_of["B.java"]["mean_lines"]) == (2, 4.0, 4.0)
+
+
+AWS, JWT = "A1b2" * 5, ".".join(("eyJ" + "a" * 20, "b" * 20, "c" * 10))
+# (file, text with a hit, text without)
+SECURITY = [
+    ("SEC-002", "a.py", "api_secret = 'abcdefgh12'", "api_secret = 'short'"), ("SEC-002", "a.py", "auth-token: \"abcdefgh12\"", "token: abcdefgh12"),
+    ("SEC-002", "a.yml", "password = 'hunter22'", "password = 'changeme'"), ("SEC-002", "a.py", "pwd='abcd'", "pwd='abcd' # example"), ("SEC-002", "a.py", "private_key = '-----BEGIN x'", "private_key = 'x'"),
+    ("SEC-002", "a.py", f"aws_secret_access_key = '{AWS}'", "aws_secret_access_key = 'x'"), ("SEC-002", "a.js", "sk-" + "a" * 20, "sk-" + "a" * 19), ("SEC-002", "a.go", "mysql://u:p@h", "mysql://h"),
+    ("SEC-002", "a.ts", "ghs_" + "a" * 20, "ghs_" + "a" * 19), ("SEC-002", "a.ts", JWT, "eyJabc.def.ghi"),
+    ("SEC-003", "a.py", "cur.execute(f'SELECT {x}')", "cur.execute('SELECT ?', x)"), ("SEC-003", "a.py", "cur.execute('a %s' % x)", "cur.execute(q)"),
+    ("SEC-003", "A.java", "q = \"select a\" + b;\nst.executeQuery(q)", "q = \"select a\";\nst.executeQuery(q)"), ("SEC-003", "a.php", "mysqli_query($c, 'x')\npg_query(\"SELECT $a\")", "pg_query($q)"),
+    ("SEC-004", "a.html", "x.innerHTML = y", "x.textContent = y"), ("SEC-004", "a.tsx", "dangerouslySetInnerHTML={x}", "innerHTML"), ("SEC-004", "a.php", "echo $_POST['x']", "echo htmlspecialchars($_POST['x'])"),
+    ("SEC-005", "a.py", "subprocess.run(\n  c,\n  shell=True)", "subprocess.run(c, shell=False)"), ("SEC-005", "a.php", "passthru('ls')", "curl_exec($c)"),
+    ("SEC-006", "a.py", "yaml.load(f)", "yaml.load(f, Loader=yaml.SafeLoader)"), ("SEC-006", "a.py", "marshal.loads(x)", "json.loads(x)"), ("SEC-006", "A.java", "new ObjectInputStream(in)", "new InputStream()"),
+    ("SEC-006", "a.php", "unserialize ($x)", "serialize_x($x)"), ("SEC-007", "a.py", "DEBUG = True", "DEBUG = False"), ("SEC-007", "a.php", "error_reporting(E_ALL)", "error_reporting(0)"),
+    ("SEC-008", "a.py", "hashlib.md5(x)", "hashlib.sha256(x)"), ("SEC-008", "A.java", "MessageDigest.getInstance(\"SHA-1\")", "MessageDigest.getInstance(\"SHA-256\")"), ("SEC-008", "a.js", "crypto.createCipheriv('rc4')", "'rc4'"),
+]
+
+
+def test_security_rules(spark):
+    rows = [(f"{kind}/{i}/{name}", "line\n" + (hit if kind == "hit" else miss)) for i, (_, name, hit, miss) in enumerate(SECURITY) for kind in ("hit", "miss")]
+    rows += [("vendor/b.py", "pickle.loads(d)"), ("x/.next/c.py", "pickle.loads(d)"), ("k.pem", "pickle.loads"), ("src/.env", "API_KEY='0123456789abcdef0'"), ("Dockerfile", "FROM x"), ("home/ID_RSA", "x")]
+    got = {}
+    for r in security.security_scan(of(spark, rows)).collect():
+        got.setdefault(r["path"], set()).add(r["rule_id"])
+        assert r["line"] >= 2
+    assert got == {f"hit/{i}/{name}": {rule} for i, (rule, name, _, _) in enumerate(SECURITY)}
+    assert {(r["path"], r["severity"]) for r in security.sensitive_files(of(spark, rows)).collect()} == {("k.pem", "high"), ("src/.env", "high"), ("Dockerfile", "medium"), ("home/ID_RSA", "medium")}
+    assert len(security.security_scan(of(spark, [("a.js", "crypto.x('3DES')")])).collect()) == 2  # the longer name holds the shorter one
     masked = spark.createDataFrame([("x" * 30,), ("y" * 31,)], "t string").select(security.mask_secret(F.col("t")).alias("m")).collect()
     assert [r["m"] for r in masked] == ["x" * 10 + "***", "y" * 20 + "***" + "y" * 5]
 
 
+def test_hits_take_linear_time(spark):
+    import time
+
+    rows = [("a.py", "".join(f"@app.get('/r{i}')\ndef f{i}():\n    pass\n" for i in range(10_000)))]
+    start = time.time()
+    found = endpoints.endpoints(of(spark, rows)).collect()
+    assert len(found) == 20_000 and max(r["line"] for r in found) == 29_998 and time.time() - start < 20
+
+
+SPRING = """@RestController
+@RequestMapping("/api/")
+public class A {
+    @GetMapping("/x")
+    public List<String> all() { }
+    @PostMapping
+    public String add(@RequestBody String b) { }
+    @PutMapping()
+    public void put() { }
+    @DeleteMapping(value = "{id}", produces = "x")
+    public void drop() { }
+    @PatchMapping(produces = "json")
+    public void patch() { }
+    @RequestMapping(value = "/old", method = RequestMethod.GET)
+    public String old() { }
+}"""
+ENDPOINTS = [
+    ("A.java", SPRING, {("spring", "GET", "/api/x", "all", 4), ("spring", "POST", "/api", "add", 6), ("spring", "PUT", "/api", "put", 8), ("spring", "DELETE", "/api/{id}", "drop", 10), ("spring", "PATCH", "/api", "patch", 12), ("spring", "GET", "/api/old", "old", 14)}),
+    ("B.java", "@GET\n@Path(\"/feed\")\npublic String feed() {}\n@HEAD\npublic void head() {}", {("jaxrs", "GET", "/feed", "feed", 1), ("jaxrs", "HEAD", "/", "head", 4)}),
+    ("b.py", "@app.route('/a', methods=['PUT', 'GET'])\ndef a(): pass\n@app.post('/b')\nasync def b(): pass\n@app.options('/c')\ndef c(): pass", {
+        ("flask", "PUT", "/a", "a", 1), ("flask", "GET", "/a", "a", 1), ("flask", "POST", "/b", "b", 3), ("fastapi", "POST", "/b", "b", 3), ("fastapi", "OPTIONS", "/c", "c", 5)}),
+    ("urls.py", "urlpatterns = [path('home/', views.home), re_path(r'^x$', X.as_view())]", {("django", "ANY", "home/", "views", 1), ("django", "ANY", "^x$", "X", 1)}),
+    ("d.js", "router.use('/z', f)\napp.delete(`/q`, g)\nrouter.get('/k', h)", {("express", "ANY", "/z", "handler", 1), ("express", "DELETE", "/q", "handler", 2), ("express", "GET", "/k", "handler", 3), ("koa", "GET", "/k", "handler", 3)}),
+    ("c.ts", "@Controller('cats')\nexport class C {\n  @Get('all')\n  findAll() {}\n  @All()\n  async rest() {}\n}", {("nestjs", "GET", "cats/all", "findAll", 3), ("nestjs", "ANY", "cats", "rest", 5)}),
+    ("f.php", "Route::any('/s', 'C@run');\nRoute::apiResource('photos', [P::class]);\n#[Route('/l', name: 'l', methods: ['GET', 'POST'])]\npublic function listing() {}", {
+        ("laravel", "ANY", "/s", "C@run", 1), ("laravel", "CRUD", "photos", "P", 2), ("symfony", "GET", "/l", "listing", 3), ("symfony", "POST", "/l", "listing", 3)}),
+    ("e.go", 'r.GET("/p", h)\nr.Any("/q", g)', {("gin", "GET", "/p", "h", 1), ("echo", "GET", "/p", "h", 1), ("gin", "ANY", "/q", "g", 2)}),
+    ("r.rb", "get '/carts', to: 'carts#index'\ndelete \"/x\"", {("rails", "GET", "/carts", "carts#index", 1), ("rails", "DELETE", "/x", "", 2)}),
+    ("I.cs", '[Route("api/items")]\npublic class I {\n  [HttpGet]\n  public List<Item> All() { }\n  [HttpPost("add")]\n  public Item Add(Item a) { }\n}', {("aspnet", "GET", "api/items", "All", 3), ("aspnet", "POST", "api/items/add", "Add", 5)}),
+    ("n.txt", "@app.get('/x')", set()), ("n.py", "x.get('/a')\nget('/b')", set()), ("n.java", "class N { void get() {} }", set()),
+]
+
+
 def test_endpoints(spark):
-    rows = [
-        ("A.java", '@RequestMapping("/api/")\nclass A {\n@GetMapping("/x")\n}'), ("b.py", "@app.route('/a', methods=['PUT', 'GET'])\n@app.post('/b')\n@app.route('/c')"), ("c.ts", "@Controller('cats')\n@Get('all')"),
-        ("d.js", "router.use('/z', f)\napp.delete('/q', g)"), ("e.go", 'r.GET("/p", h)'), ("f.php", "Route::any('/s', x)"),
-    ]
-    got = {(r["framework"], r["method"], r["route"], r["line"]) for r in endpoints.endpoints(of(spark, rows)).collect()}
-    assert got == {
-        ("spring", "GET", "/api/x", 3), ("flask", "PUT", "/a", 1), ("flask", "GET", "/a", 1), ("flask", "POST", "/b", 2), ("flask", "GET", "/c", 3), ("nestjs", "GET", "/cats/all", 2),
-        ("express", "ANY", "/z", 1), ("express", "DELETE", "/q", 2), ("gin", "GET", "/p", 1), ("laravel", "ANY", "/s", 1),
-    }
+    found = endpoints.endpoints(of(spark, [x[:2] for x in ENDPOINTS]))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["path"], set()).add((r["framework"], r["method"], r["route"], r["handler"], r["line"]))
+    for name, _, want in ENDPOINTS:
+        assert got.get(name, set()) == want, name
+    counts = {r["method"]: r["n_endpoints"] for r in endpoints.endpoint_summary(found.where("path = 'b.py'"), dedupe=True).collect()}
+    assert counts == {"PUT": 1, "GET": 1, "POST": 1, "OPTIONS": 1}
+    paths = spark.createDataFrame([("/a/", "b"), ("", "b"), ("/a", ""), ("", ""), ("a", "/b")], "x string, y string").select(endpoints.join_path(F.col("x"), F.col("y")).alias("p")).collect()
+    assert [r["p"] for r in paths] == ["/a/b", "/b", "/a", "/", "a/b"]
+
+
+MODELS = [
+    ("P.java", '@Entity\n@Table(name = "people")\npublic class Person {\n  @Id\n  private Long id;\n  @Column(length = 30, nullable = false)\n  private String name;\n  @OneToMany(cascade = {CascadeType.ALL})\n  private List<Pet> pets;\n  @Transient\n  private int age;\n}\n@Entity\nclass Pet {\n  private Person owner;\n}',
+     {("jpa", "Person", "people", (("id", "BIGINT", True, True, 0, ""), ("name", "VARCHAR", False, False, 30, ""), ("pets", "LIST<PET>", True, False, 0, "Pet"))), ("jpa", "Pet", "Pet", (("owner", "PERSON", True, False, 0, ""),))}),
+    ("m.py", "class BlogPost(models.Model):\n    title = models.CharField(max_length=9, null=True)\n    user = models.ForeignKey('User', on_delete=models.CASCADE)\n\n    class Meta:\n        db_table = 'posts'\n\n\nclass Tag(models.Model):\n    name = models.TextField(default='x')\n",
+     {("django", "BlogPost", "posts", (("title", "CharField", True, False, 9, ""), ("user", "ForeignKey", False, False, 0, "User"))), ("django", "Tag", "tag", (("name", "TextField", False, False, 0, ""),))}),
+    ("s.py", "class OrderLine(Base):\n    __tablename__ = 'lines'\n    id = Column(Integer, primary_key=True)\n    note = Column(String(40), nullable=False)\n    parts = relationship('Part')\n",
+     {("sqlalchemy", "OrderLine", "lines", (("id", "Integer", True, True, 0, ""), ("note", "String", False, False, 40, ""), ("parts", "relationship", True, False, 0, "Part")))}),
+    ("e.ts", "@Entity({ name: 'pics' })\nexport class Photo {\n  @PrimaryGeneratedColumn()\n  id: number;\n  @Column({ nullable: true })\n  at: Date;\n  @ManyToOne(() => User)\n  user: User;\n}",
+     {("typeorm", "Photo", "pics", (("id", "INTEGER", False, True, 0, ""), ("at", "TIMESTAMP", True, False, 0, ""), ("user", "ManyToOne", True, False, 0, "User")))}),
+    ("j.js", "const U = sequelize.define('User', {\n  name: { type: DataTypes.STRING, allowNull: false },\n});\nconst Note = new mongoose.Schema({\n  body: { type: String },\n  by: { type: ObjectId, ref: 'User' },\n});",
+     {("sequelize", "User", "User", (("name", "STRING", False, False, 0, ""),)), ("mongoose", "Note", "note", (("body", "STRING", True, False, 0, ""), ("by", "OBJECTID", True, False, 0, "User")))}),
+    ("g.go", "type UserAccount struct {\n\tID int64 `gorm:\"primaryKey\"`\n\tEmail string `gorm:\"size:90;not null\"`\n}\ntype Plain struct {\n\tA int\n}", {("gorm", "UserAccount", "user_account", (("ID", "BIGINT", True, True, 0, ""), ("Email", "VARCHAR", False, False, 90, "")))}),
+    ("b.php", "class BookShelf extends Model {\n  protected $fillable = ['title', 'year'];\n}\nclass B extends Model {\n  protected $table = 'bees';\n}", {("eloquent", "BookShelf", "bookshelf", (("title", "VARCHAR", True, False, 0, ""), ("year", "VARCHAR", True, False, 0, ""))), ("eloquent", "B", "bees", ())}),
+    ("r.rb", "class LineItem < ApplicationRecord\nend", {("activerecord", "LineItem", "lineitem", ())}),
+    ("n.py", "class A:\n    x = models.CharField()\n", set()),
+]
 
 
 def test_models(spark):
-    rows = [("P.java", '@Entity\n@Table(name = "people")\nclass Person {\n private Long id;\n}'), ("m.py", "class BlogPost(models.Model):\n    title = models.CharField()\n    body = models.TextField()\n")]
-    got = {(r["orm"], r["class_name"], r["table_name"], r["fields"]) for r in models.orm_models(of(spark, rows)).collect()}
-    assert got == {("jpa", "Person", "people", "id"), ("django", "BlogPost", "blog_post", "title,body")}
+    got = {}
+    found = models.orm_models(of(spark, [x[:2] for x in MODELS]))
+    for r in found.collect():
+        fields = tuple((f["name"], f["type"], f["nullable"], f["primary_key"], f["max_length"], f["relation_target"]) for f in r["fields"])
+        got.setdefault(r["path"], set()).add((r["orm"], r["class_name"], r["table_name"], fields))
+        assert r["n_fields"] == len(fields)
+    for name, _, want in MODELS:
+        assert got.get(name, set()) == want, name
+    assert models.model_fields(found.where("orm = 'django'")).count() == 3
+
+
+IMPORTS = [
+    ("pkg/a.py", "\"\"\"What a does.\n\nMore.\"\"\"\nfrom pkg.b import f, g as h\nimport os, json as j\nfrom c import *\nfrom . import d\nfrom ..top import t\n# from pkg.z import q\nh(1)\n", {("pkg.b", "from"), ("os", "import"), ("json", "import"), ("c", "from"), (".d", "from"), ("..top", "from")}, {"pkg/b.py", "pkg/c.py", "pkg/d.py", "top.py"}),
+    ("web/x.ts", "import D, { T, U as V } from './y'\nimport * as Z from '../web/z'\nimport './side'\nexport * from './y'\nconst { a, b: c } = require('./w');\nconst l = () => import('./lazy')\nV(1); Z.go(); new D(); Z.prop;\n", {
+        ("./y", "import"), ("../web/z", "import"), ("./side", "side-effect"), ("./y", "export"), ("./w", "require"), ("./lazy", "dynamic")}, {"web/y.ts", "web/z/index.ts", "web/side.js", "web/w.js", "web/lazy.tsx"}),
+    ("src/main/java/com/ex/A.java", "package com.ex;\nimport java.util.List;\nimport com.ex.model.User;\nimport static com.ex.util.Texts.trim;\nimport com.other.Thing;\nclass A extends Base {\n  @Autowired\n  private User user;\n  void f() { user.save(); new User(); }\n}", {
+        ("java.util.List", "import"), ("com.ex.model.User", "import"), ("com.ex.util.Texts.trim", "static"), ("com.other.Thing", "import")}, {"src/main/java/com/ex/model/User.java", "src/main/java/com/ex/util/Texts.java", "lib/Thing.java"}),
+    ("cmd/main.go", "package main\nimport \"fmt\"\nimport (\n\t\"os\"\n\tlog \"project/logger\"\n)\n", {("fmt", "import"), ("os", "import"), ("project/logger", "import")}, {"project/logger.go"}),
+    ("app/a.php", "<?php\nuse App\\Models\\User;\nuse App\\{One, Two as Deux};\nrequire_once 'inc.php';\nclass A extends User { use Marks; }\nUser::find(1); Deux::LIMIT;", {("App\\Models\\User", "use"), ("App\\One", "use"), ("App\\Two", "use"), ("inc.php", "include")}, {"App/Models/User.php", "app/inc.php", "lib/Two.php"}),
+    ("src/app.rs", "mod database;\nuse std::fmt;\nuse crate::models::User;\nuse self::database::open;\nuse super::other;\n", {("self::database", "mod"), ("crate::models::User", "use"), ("self::database::open", "use"), ("super::other", "use")}, {"src/database.rs", "src/models.rs", "src/other.rs"}),
+    ("c/a.c", "#include <stdio.h>\n#include \"b.h\"\n#include \"shared/x.h\"\n", {("stdio.h", "include"), ("b.h", "include"), ("shared/x.h", "include")}, {"c/b.h", "shared/x.h"}),
+    ("N/A.cs", "using System.Linq;\nusing static N.Tools.Text;\n", {("System.Linq", "using"), ("N.Tools.Text", "using")}, {"N/Tools.cs"}),
+    ("k/A.kt", "import k.B\nimport k.c.D as E\n", {("k.B", "import"), ("k.c.D", "import")}, {"k/B.kt"}),
+    ("rb/a.rb", "require 'json'\nrequire_relative 'b'\n# require 'no'\n", {("json", "require"), ("b", "require")}, {"rb/b.rb"}),
+    ("lua/a.lua", "local x = require('m.n') -- require('z')\n", {("m.n", "require")}, {"m/n.lua"}),
+    ("sh/a.sh", "source ./b.sh\n. c.sh\n", {("./b.sh", "source"), ("c.sh", "source")}, {"sh/b.sh"}),
+    ("d/a.dart", "import 'dart:io';\nimport 'b.dart';\n", {("dart:io", "import"), ("b.dart", "import")}, {"d/b.dart"}),
+    ("hs/A.hs", "import qualified Data.Map as M\nimport My.Mod\n", {("Data.Map", "import"), ("My.Mod", "import")}, {"My/Mod.hs"}),
+    ("x/a.ex", "alias My.Thing\n", {("My.Thing", "import")}, {"lib/my/thing.ex"}),
+    ("p/a.pl", "use strict;\nuse My::Mod;\n", {("strict", "use"), ("My::Mod", "use")}, {"lib/My/Mod.pm"}),
+    ("s/a.sol", "import {A} from './b.sol';\n", {("./b.sol", "import")}, {"s/b.sol"}),
+    ("z/a.zig", "const b = @import(\"b.zig\");\n", {("b.zig", "import")}, {"z/b.zig"}),
+    ("cl/a.clj", "(ns a (:require [my.lib-one :as l]))\n", {("my.lib-one", "require")}, {"src/my/lib_one.clj"}),
+    ("bad.py", "import os\ndef (:\n", set(), set()),
+]
 
 
-def test_imports_resolve_in_order(spark):
-    rows = [
-        ("pkg/a.py", "from pkg.b import f\nimport os\nfrom c import g\n# from pkg.z import q\nf(1)\n"), ("pkg/b.py", "def f(): pass\ndef _h(): pass\n"), ("pkg/c.py", ""), ("web/x.ts", "import { T } from './y'\nimport { U } from '../web/z'\nT()\n"),
-        ("web/y.ts", "export const T = 1"), ("web/z/index.ts", "export function U() {}"), ("web/w.js", "/* import { T } from './y' */"),
-    ]
-    all_files = of(spark, rows)
-    found = {(r["src"], r["dst"]) for r in extract.resolve_imports(extract.raw_imports(all_files), all_files).collect()}
-    assert found == {("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/c.py"), ("web/x.ts", "web/y.ts"), ("web/x.ts", "web/z/index.ts")}
-    assert {r["spec"] for r in extract.external_imports(extract.raw_imports(all_files), all_files).collect()} == {"os"}
-    bound = extract.symbol_bindings(all_files)
-    refs = extract.cross_refs(bound, all_files)
-    assert {(r["path"], r["symbol"]) for r in refs.collect()} == {("pkg/a.py", "f"), ("web/x.ts", "T")}
-    assert {(r["src"], r["dst"]) for r in extract.unused_imports(bound, refs).collect()} == {("pkg/a.py", "pkg/c.py"), ("web/x.ts", "web/z/index.ts")}
-    assert {(r["path"], r["kind"], r["name"]) for r in extract.exports(all_files).collect()} == {("pkg/b.py", "fn", "f"), ("web/y.ts", "var", "T"), ("web/z/index.ts", "fn", "U")}
+def test_imports_of_every_language(spark):
+    present = {x[0] for x in IMPORTS} | {t for x in IMPORTS for t in x[3]} | {"lib/One.txt", "other/User.php"}
+    texts = {x[0]: x[1] for x in IMPORTS}
+    known = extract.facts(of(spark, [(p, texts.get(p, "")) for p in sorted(present)])).cache()
+    raw, found = {}, {}
+    for r in extract.raw_imports(known).collect():
+        raw.setdefault(r["path"], set()).add((r["spec"], r["kind"]))
+    for r in extract.resolve_imports(known).collect():
+        found.setdefault(r["src"], set()).add(r["dst"])
+    for name, _, specs, targets in IMPORTS:
+        assert raw.get(name, set()) == specs, name
+        assert found.get(name, set()) == targets, name
+    external = {r["spec"] for r in extract.external_imports(known).collect()}
+    assert {"os", "json", "java.util.List", "fmt", "System.Linq", "stdio.h", "strict"} <= external and "com.other.Thing" not in external
+    bound = extract.symbol_bindings(known)
+    names = {(r["path"], r["symbol"], r["dst"]) for r in bound.collect()}
+    assert {("pkg/a.py", "h", "pkg/b.py"), ("pkg/a.py", "f", "pkg/b.py"), ("pkg/a.py", "*", "pkg/c.py"), ("web/x.ts", "V", "web/y.ts"), ("web/x.ts", "D", "web/y.ts"), ("web/x.ts", "c", "web/w.js"), ("web/x.ts", "Z", "web/z/index.ts"), ("app/a.php", "Deux", "lib/Two.php")} <= names
+    assert ("pkg/a.py", "g", "pkg/b.py") not in names and ("web/x.ts", "U", "web/y.ts") not in names and ("web/x.ts", "b", "web/w.js") not in names
+    refs = extract.cross_refs(bound, known)
+    used = {(r["path"], r["symbol"]) for r in refs.collect()}
+    assert {("pkg/a.py", "h"), ("pkg/a.py", "*"), ("web/x.ts", "V"), ("web/x.ts", "Z")} <= used and ("pkg/a.py", "f") not in used
+    unused = {(r["src"], r["dst"]) for r in extract.unused_imports(known, extract.resolve_imports(known), bound, refs).collect()}
+    assert ("pkg/a.py", "top.py") in unused and ("web/x.ts", "web/w.js") in unused and ("pkg/a.py", "pkg/b.py") not in unused and ("pkg/a.py", "pkg/c.py") not in unused
+    assert not any(src.endswith(".java") for src, _ in unused)
+    calls = {(r["src"], r["symbol"], r["member"], r["kind"]) for r in extract.call_targets(bound, known).collect()}
+    assert {
+        ("pkg/a.py", "h", "h", "call"), ("web/x.ts", "V", "V", "call"), ("web/x.ts", "Z", "go", "call"), ("web/x.ts", "D", "D", "instantiate"), ("web/x.ts", "Z", "prop", "attribute"),
+        ("src/main/java/com/ex/A.java", "User", "save", "call"), ("src/main/java/com/ex/A.java", "User", "User", "instantiate"), ("src/main/java/com/ex/A.java", "User", "user", "inject"),
+        ("app/a.php", "User", "User", "extends"), ("app/a.php", "User", "find", "static_call"), ("app/a.php", "Deux", "LIMIT", "static_prop"),
+    } <= calls
+    assert ("web/x.ts", "D", "D", "call") not in calls
+    assert {r["path"]: r["purpose"] for r in extract.purpose(known).collect()}["pkg/a.py"] == "What a does."
+
+
+EXPORTS = [
+    ("a.py", "X = 1\ny: int = 2\nclass A: pass\nasync def f(): pass\ndef _g(): pass\n", {("var", "X"), ("var", "y"), ("class", "A"), ("fn", "f")}),
+    ("a.ts", "export default class A {}\nexport async function f() {}\nexport const c = 1\nexport interface I {}\nexport default run;\n// export const no = 1", {("class", "A"), ("fn", "f"), ("var", "c"), ("interface", "I"), ("default", "run")}),
+    ("A.java", "public class A {\n  public static int add(int a) { }\n}\ninterface I {}", {("class", "A"), ("fn", "add"), ("class", "I")}),
+    ("server.go", "type Server struct {\n}\ntype Doer interface {\n}\nfunc NewServer() {}\nfunc (s *Server) Run() {}\nfunc low() {}", {("class", "Server"), ("class", "Doer"), ("fn", "NewServer")}),
+    ("app.rs", "mod db;\npub struct App {}\npub enum Mode {}\npub trait Run {}\npub fn create() {}\nfn no() {}", {("mod", "db"), ("class", "App"), ("class", "Mode"), ("class", "Run"), ("fn", "create")}),
+    ("a.php", "class A {}\ninterface B {}\ntrait C {}\nfunction d() {}", {("class", "A"), ("class", "B"), ("trait", "C"), ("fn", "d")}),
+    ("a.rb", "module M\nclass A\ndef f\nend", {("mod", "M"), ("class", "A"), ("fn", "f")}), ("a.kt", "data class A(val x: Int)\nobject B\nfun f() {}", {("class", "A"), ("class", "B"), ("fn", "f")}),
+    ("a.c", "struct s {\n};\nint main(int a) {\n}", {("class", "s"), ("fn", "main")}), ("a.cs", "namespace N\npublic class A {\npublic void F() {}\n}", {("mod", "N"), ("class", "A"), ("fn", "F")}),
+    ("a.ex", "defmodule My.Mod do\n  def f(x)\nend", {("mod", "My.Mod"), ("fn", "f")}), ("a.r", "f <- function(x) x", {("fn", "f")}), ("a.sol", "contract C { function f() public {} }", {("class", "C"), ("fn", "f")}),
+]
+
+
+def test_exports_of_every_language(spark):
+    got = {}
+    for r in extract.exports(extract.facts(of(spark, [x[:2] for x in EXPORTS]))).collect():
+        got.setdefault(r["path"], set()).add((r["kind"], r["name"]))
+    for name, _, want in EXPORTS:
+        assert got.get(name, set()) == want, name
+
+
+def test_rules_without_names_count_apart(spark):
+    nodes, edges = graph_of(spark, ("a", "b"), ("b", "c"))
+    two = [{"type": "no_dependency", "from": "a", "to": "b"}, {"type": "no_dependency", "from": "b", "to": "c"}, {"type": "max_dependencies"}]
+    got = rules.rule_summary(nodes, edges, two).first()
+    assert (got["checked"], got["passed"], got["n_warning"]) == (3, 1, 2)
+    ring = [(str(i), str((i + 1) % 6)) for i in range(6)]
+    nodes, edges = graph_of(spark, *ring)
+    assert rules.max_cycle_size(nodes, edges, {"type": "max_cycle_size", "max": 5}).count() == 1
+    assert graph.cycle_edges(edges).count() == 6 and graph.detect_cycles(edges).count() == 0 and graph.detect_cycles(edges, 6).first()["bound"] == 6
 
 
 def test_refresh_twice_changes_nothing(spark):
@@ -172,5 +350,8 @@ def test_read_tree_and_write_report(spark, tmp_path):
 def test_no_contents_in_exchanges(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     some = of(spark, [("a.py", "from b import c\n"), ("b.py", "")])
-    text = plan(extract.resolve_imports(extract.raw_imports(some), some.select("repo_id", "path")))
+    text = plan(extract.resolve_imports(extract.facts(some)))
     assert all("content" not in line for line in text.splitlines() if "Exchange" in line)
+    for one_pass in (security.security_scan, endpoints.endpoints, models.orm_models, quality.file_quality):
+        text = plan(one_pass(some))
+        assert "Exchange" not in text and text.count("MapInArrow") == 1
