@@ -63,50 +63,70 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np
     return out, expected, float(total)
 
 
-def chain_posteriors(emissions: np.ndarray, transitions: np.ndarray, block: int = 128) -> np.ndarray:
-    """Posteriors [places, labels] of one long chain, the same as forward_backward's: its blocks advance together.
+def chain_posteriors(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = 64) -> np.ndarray:
+    """Posteriors [places, labels] of chains of any length, laid end to end: the same as forward_backward's, but all blocks of all
+    chains advance together.
 
-    A block's product of transition matrices carries messages over it, so the first pass gives what reaches each block from either
+    A block's product of transition matrices carries messages over it, so a first pass gives what reaches each block from either
     side, and the second runs within the blocks."""
-    n, k = emissions.shape
-    blocks = -(-n // block)
-    e = np.ones((blocks * block, k))
-    e[:n] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
-    e = e.reshape(blocks, block, k)
-    inside = (np.arange(blocks * block) < n).reshape(blocks, block)
-    step, stay = np.exp(transitions.astype(np.float64)), np.eye(k)
-
-    def into(j: int) -> np.ndarray:
-        """Matrices that lead to place j of each block; the chain's first place and those behind its end have none."""
-        way = np.where(inside[:, j, None, None], step, stay)
+    k = emissions.shape[1]
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return np.zeros((0, k), dtype=emissions.dtype)
+    counts = -(-lengths // block)
+    chain = np.repeat(np.arange(len(lengths)), counts)
+    first = np.cumsum(counts) - counts  # each chain's first block
+    turn = np.arange(len(chain)) - first[chain]
+    start = (np.cumsum(lengths) - lengths)[chain] + turn * block
+    size = np.minimum(block, lengths[chain] - turn * block)
+    inside = np.arange(block)[None, :] < size[:, None]
+    places = np.where(inside, start[:, None] + np.arange(block)[None, :], 0)
+    e = np.exp(emissions - emissions.max(axis=1, keepdims=True))[places]
+    step = np.exp(transitions).astype(e.dtype)
+    begins = turn == 0
+
+    def ahead(now: np.ndarray, j: int) -> np.ndarray:
+        """Row vectors ``now`` [blocks, any, labels] moved over place j of each block; a chain's first place has no transition."""
+        moved = (now.reshape(-1, k) @ step).reshape(now.shape)
         if j == 0:
-            way[0] = stay
-        return way * e[:, j, None, :]
-
-    over = np.broadcast_to(stay, (blocks, k, k))
-    for j in range(block):
-        over = over @ into(j)
-        over = over / over.max(axis=(1, 2), keepdims=True)
-    left, right = np.ones((blocks, k)), np.ones((blocks, k))
-    for b in range(1, blocks):
-        left[b] = left[b - 1] @ over[b - 1]
-        left[b] /= left[b].sum()
-        right[-b - 1] = over[-b] @ right[-b]
-        right[-b - 1] /= right[-b - 1].sum()
-    alpha = np.empty((blocks, block, k))
-    now = left
+            moved[begins] = now[begins]
+        moved *= e[:, j, None, :]
+        moved /= moved.sum(axis=(1, 2), keepdims=True)
+        return np.where(inside[:, j, None, None], moved, now)
+
+    left = np.ones((len(chain), k), dtype=e.dtype)
+    right = np.ones((len(chain), k), dtype=e.dtype)
+    if counts.max() > 1:
+        several = np.flatnonzero(counts[chain] > 1)
+        keep = e, inside, begins
+        e, inside, begins = e[several], inside[several], begins[several]
+        over = np.broadcast_to(np.eye(k, dtype=e.dtype), (len(several), k, k)).copy()
+        for j in range(block):
+            over = ahead(over, j)
+        e, inside, begins = keep
+        at = np.full(len(chain), -1)
+        at[several] = np.arange(len(several))
+        for d in range(1, int(counts.max())):
+            b = first[counts > d] + d
+            left[b] = (left[b - 1][:, None, :] @ over[at[b - 1]])[:, 0]
+            left[b] /= left[b].sum(axis=1, keepdims=True)
+            b = (first + counts - 1 - d)[counts > d]
+            right[b] = (over[at[b + 1]] @ right[b + 1][:, :, None])[:, :, 0]
+            right[b] /= right[b].sum(axis=1, keepdims=True)
+    alpha = np.empty_like(e)
+    now = left[:, None, :]
     for j in range(block):
-        now = (now[:, None, :] @ into(j))[:, 0]
-        now = now / now.sum(axis=1, keepdims=True)
-        alpha[:, j] = now
-    post = np.empty_like(alpha)
+        now = ahead(now, j)
+        alpha[:, j] = now[:, 0]
+    out = np.empty((len(emissions), k), dtype=e.dtype)
     now = right
     for j in range(block - 1, -1, -1):
+        live = inside[:, j]
         mass = alpha[:, j] * now
-        post[:, j] = mass / mass.sum(axis=1, keepdims=True)
-        now = (into(j) @ now[:, :, None])[:, :, 0]
-        now = now / now.sum(axis=1, keepdims=True)
-    return post.reshape(-1, k)[:n]
+        out[places[live, j]] = (mass / mass.sum(axis=1, keepdims=True))[live]
+        back = (now * e[:, j]) @ step.T
+        now = np.where(live[:, None], back / back.sum(axis=1, keepdims=True), now)
+    return out
 
 
 def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -7,8 +7,7 @@ come from forward-backward; a document's language is the one with the most expec
 
 Training reads a bounded sample: at most ``per_language`` documents of each language (the least hashes of their ids), and of
 each at most ``PASSAGES`` passages of ``PASSAGE`` words, spread evenly over the whole text. Prediction reads all words of all
-texts, each as one chain: texts of similar length advance together, and those of more than ``LONG`` words in blocks between which
-messages are carried.
+texts, each as one chain, in blocks between which messages are carried.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language or id are predicted but
 never trained on (a null id counts as not held out); with no training rows at all every document is ``und``; ties go to the
@@ -27,12 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.crf import chain_posteriors, forward_backward, train
+from corpusloom.llm.crf import chain_posteriors, train
 from corpusloom.llm.texts import holds, map_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, PASSAGES, PASSAGE = 150, 6, 24
-LONG = 1024
 SALTS = 64
 FEATURES, LEXICON, LEAST_SEEN = 1 << 16, 20_000, 3
 #: Words whose emissions a worker keeps, and letters in them.
@@ -157,27 +155,7 @@ class Tagger:
         """[words of all texts, labels], texts end to end."""
         lengths = np.array([len(x) for x in numbers], dtype=np.int64)
         joined = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-        first = np.cumsum(lengths) - lengths
-        out = np.zeros((len(joined), len(self.model.labels)), dtype=np.float32)
-        top = 32
-        done = 0
-        while done < LONG:
-            members = np.flatnonzero((lengths > done) & (lengths <= top))
-            # so many texts at a time that the padded table stays small
-            for i in range(0, len(members), max(1, 250_000 // top)):
-                part = members[i : i + max(1, 250_000 // top)]
-                width = int(lengths[part].max())
-                inside = np.arange(width)[None, :] < lengths[part][:, None]
-                places = np.where(inside, first[part][:, None] + np.arange(width)[None, :], 0)
-                emissions = self.rows[joined[places]]
-                emissions[~inside] = 0
-                post, _, _ = forward_backward(emissions, self.model.transitions, lengths[part])
-                out[places[inside]] = post[inside]
-            done, top = top, top * 2
-        for i in np.flatnonzero(lengths > LONG).tolist():
-            part = slice(first[i], first[i] + lengths[i])
-            out[part] = chain_posteriors(self.rows[joined[part]], self.model.transitions)
-        return out
+        return chain_posteriors(self.rows[joined], lengths, self.model.transitions)
 
 
 _TAGGERS: dict[int, Tagger] = {}
@@ -196,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_rows(rows, labeller(spark, model), schema)
 
 
-def portions(texts: list[list[str]], most: int = 500_000) -> Iterator[list[list[str]]]:
+def portions(texts: list[list[str]], most: int = 200_000) -> Iterator[list[list[str]]]:
     """The texts in turn, as many together as hold so many words (a longer text alone)."""
     part, n = [], 0
     for text in texts:

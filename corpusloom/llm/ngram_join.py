@@ -375,22 +375,31 @@ def _sets(n: int):
     return run
 
 
+#: Sets of a group that a row lists at most.
+LISTED = 1000
+
+
 def _shared_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows edge, node in order: the distinct ones whose edge has several nodes. What stands at either end of a partition
-    may go on in the next one and comes out as well."""
+    """Of rows edge, node in order: a row for each edge with several nodes, with the list of its nodes (whole), or, where the list is long
+    or may go on in another partition, rows with parts of it."""
     held_edge, held_node = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    opened = False  # whether a part of the held edge went out, or may stand in the partition before
     first = True
 
     def give(edge: np.ndarray, node: np.ndarray, last: bool) -> pa.RecordBatch:
-        nonlocal first
+        nonlocal first, opened
         starts = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
         counts = np.diff(np.append(starts, len(edge)))
-        out = counts > 1
-        out[0] |= first
-        out[-1] |= last
-        first = False
+        part = np.zeros(len(starts), dtype=bool)
+        part[0] = first or opened
+        part[-1] |= last
+        out = (counts > 1) | part
+        first = opened = False
         keep = np.repeat(out, counts)
-        return pa.RecordBatch.from_arrays([pa.array(edge[keep]), pa.array(node[keep])], names=["edge", "node"])
+        offsets = np.concatenate([[0], np.cumsum(counts[out])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(edge[starts[out]]), pa.ListArray.from_arrays(offsets, pa.array(node[keep])), pa.array(~part[out])], names=["edge", "nodes", "whole"]
+        )
 
     for batch in batches:
         edge, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in ((held_edge, "edge"), (held_node, "node")))
@@ -398,13 +407,13 @@ def _shared_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         edge, node = edge[fresh_], node[fresh_]
         if not len(edge):
             continue
-        # the last edge of a batch may go on in the next one; of a long one the beginning needn't wait
+        # the last edge of a batch may go on in the next one
         cut = int(np.searchsorted(edge, edge[-1])) if edge[0] != edge[-1] else 0
         if cut:
             yield give(edge[:cut], node[:cut], False)
-        elif len(edge) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(edge[:-2]), pa.array(node[:-2])], names=["edge", "node"])
-            cut, first = len(edge) - 2, first
+        while len(edge) - cut > LISTED:  # of a long one the beginning needn't wait
+            yield give(edge[cut : cut + LISTED], node[cut : cut + LISTED], True)
+            cut, opened = cut + LISTED, True
         held_edge, held_node = edge[cut:], node[cut:]
     if len(held_edge):
         yield give(held_edge, held_node, True)
@@ -570,13 +579,16 @@ def described(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame
     wide, wide_path = stage_at(map_rows(docs.select("doc_id", F.xxhash64("text").alias("fp"), "text"), _describe(n, percent), shape))
     # one shuffle of narrow rows, by ranges of both columns, so that an edge of many sets is dealt over several partitions
     ordered = wide.select(F.explode("edges").alias("edge"), "node").repartitionByRange(_partitions(spark), "edge", "node").sortWithinPartitions("edge", "node")
-    shared = stage(ordered.mapInArrow(_shared_edges, "edge long, node long"))
+    shared, shared_path = stage_at(ordered.mapInArrow(_shared_edges, "edge long, nodes array<long>, whole boolean"))
     known = stage(wide.select("doc_id", "fp", "n_shingles", "node"))
-    wanted = shared.select("node").distinct()
+    # copies with few changes meet at many edges: of those with the very same sets one is enough
+    once = shared.where("whole").groupBy("nodes").agg(F.min("edge").alias("cluster")).select("cluster", F.explode("nodes").alias("node"))
+    below = stage(once.unionByName(shared.where("not whole").select(F.col("edge").alias("cluster"), F.explode("nodes").alias("node"))).distinct())
+    unstage(spark, shared_path)
+    wanted = below.select("node").distinct()
     maps = stage(wide.where("bits is not null").select("node", F.col("n_shingles").alias("size"), "bits").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
     unstage(spark, wide_path)
 
-    below = shared.withColumnRenamed("edge", "cluster").distinct()
     below = below.join(maps.select("node", "size"), "node")
     # few edges need chunks, and those with one set are none
     sized = stage(below.join(chunked(below, MOST_MAPS, MOST_MAPPED), "cluster").select("node", "cluster", "m", "chunks", "size"))

@@ -42,7 +42,11 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType) -> DataFrame:
-    """Run ``fn`` over steps of Arrow batches: it takes and returns columns as Python lists. No shuffle."""
+    """Run ``fn`` over steps of Arrow batches: it takes and returns columns as Python lists. No shuffle. A session's larger limit of
+    rows in a batch is lowered to BATCH_ROWS, and stays so: batches are held in the JVM and in the worker at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,12 +189,15 @@ def test_posteriors_equal_enumeration_and_blocks_equal_the_whole_chain():
         for i, k in enumerate(p):
             want[i, k] += np.exp(s - total)
     got, expected, norm = forward_backward(emissions[None].copy(), transitions, np.array([6]))
-    assert np.allclose(got[0], want) and np.allclose(chain_posteriors(emissions, transitions, 4), want) and np.isclose(norm, total) and np.isclose(expected.sum(), 5)
+    assert np.allclose(got[0], want) and np.allclose(chain_posteriors(emissions, np.array([6]), transitions, 4), want) and np.isclose(norm, total) and np.isclose(expected.sum(), 5)
     assert tuple(viterbi(emissions[None], transitions, np.array([6]))[0]) == max(score, key=score.get)
     sticky = np.eye(3) * 9
     long = r.standard_normal((900, 3))
     whole, _, _ = forward_backward(long[None].copy(), sticky, np.array([900]))
-    assert np.allclose(chain_posteriors(long, sticky), whole[0])
+    assert np.allclose(chain_posteriors(long, np.array([900]), sticky), whole[0])
+    parts = [300, 0, 1, 64, 65, 470]
+    many = np.concatenate([forward_backward(x[None].copy(), sticky, np.array([len(x)]))[0][0] for x in np.split(long, np.cumsum(parts)[:-1]) if len(x)])
+    assert np.allclose(chain_posteriors(long, np.array(parts), sticky), many)
 
 
 def test_words_of_mixed_text_get_their_own_language(spark):
