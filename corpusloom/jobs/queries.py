@@ -208,9 +208,18 @@ def _(spark, d):
     return history.recent_commits(synth.commits(spark, d))
 
 
-@query("repo_basics", f"WITH {HISTORY} SELECT repo_id, count(*) AS commits, count(DISTINCT author) AS authors, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last FROM commits GROUP BY 1")
+@query(
+    "repo_basics",
+    f"WITH {HISTORY}, refs AS (SELECT c_custkey % 10 AS repo_id, CASE c_custkey % 3 WHEN 0 THEN 'branch' ELSE 'tag' END AS kind, 'v' || c_nationkey AS name FROM customer), "
+    "b AS (SELECT repo_id, count(DISTINCT name) AS branches FROM refs WHERE kind = 'branch' GROUP BY 1), t AS (SELECT repo_id, array_to_string(list_sort(list(DISTINCT name))[1:10], ',') AS tags FROM refs WHERE kind = 'tag' GROUP BY 1) "
+    "SELECT c.*, coalesce(branches, 0) AS branches, coalesce(tags, '') AS tags FROM (SELECT repo_id, count(*) AS commits, count(DISTINCT author) AS authors, strftime(min(ts), '%Y-%m-%d') AS first, strftime(max(ts), '%Y-%m-%d') AS last FROM commits GROUP BY 1) c "
+    "LEFT JOIN b USING (repo_id) LEFT JOIN t USING (repo_id)",
+)
 def _(spark, d):
-    return history.repo_basics(synth.commits(spark, d)).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
+    kind = F.when(F.col("c_custkey") % 3 == 0, "branch").otherwise("tag")
+    refs = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 10).alias("repo_id"), kind.alias("kind"), F.concat(F.lit("v"), F.col("c_nationkey").cast("string")).alias("name"))
+    rows = history.repo_basics(synth.commits(spark, d), refs)
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")}).withColumn("tags", F.array_join("tags", ","))
 
 
 # ---- graph

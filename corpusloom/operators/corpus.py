@@ -89,10 +89,14 @@ def search_files(files: DataFrame, text: str) -> DataFrame:
     return files.where(F.contains(F.lower("path"), F.lit(text.lower()))).select("repo_id", "path")
 
 
-def prompt_table(docs: DataFrame, most: int = 8000) -> DataFrame:
-    """What a describing model would be given: a header and at most ``most`` characters of each text, with a mark if cut."""
+def prompt_table(docs: DataFrame, most: int = 8000, described: DataFrame | None = None) -> DataFrame:
+    """What a describing model would be given: name, language (where the path tells one), lines, and at most ``most`` characters of each
+    text, with a mark if cut. described(path): files that have a description already are left out."""
+    if described is not None:
+        docs = docs.join(described.select("path").distinct(), "path", "left_anti")
     cut = F.when(F.length("content") > most, F.concat(F.left("content", F.lit(most)), F.lit("\n... (truncated)"))).otherwise(F.col("content"))
-    head = F.concat(F.lit("File: "), "path", F.lit("\nLines: "), F.size(F.split("content", "\n", -1)).cast("string"), F.lit("\n\n"))
+    known = F.coalesce(F.concat(F.lit("\nLanguage: "), language_of(F.col("path"))), F.lit(""))
+    head = F.concat(F.lit("File: "), "path", known, F.lit("\nLines: "), F.size(F.split("content", "\n", -1)).cast("string"), F.lit("\n\n"))
     return docs.select("path", F.concat(head, cut).alias("prompt"))
 
 

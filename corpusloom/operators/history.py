@@ -44,5 +44,14 @@ def recent_commits(commits: DataFrame, n: int = 10) -> DataFrame:
     return newest(commits, n).select("repo_id", "rank", "hash", "author", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.left("message", F.lit(80)).alias("message"))
 
 
-def repo_basics(commits: DataFrame) -> DataFrame:
-    return commits.groupBy("repo_id").agg(F.count("*").alias("commits"), F.count_distinct("author").alias("authors"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+def repo_basics(commits: DataFrame, refs: DataFrame | None = None, n_tags: int = 10) -> DataFrame:
+    """Commits, authors, first and last commit; with refs(repo_id, kind, name) also the number of branches and the first tags by
+    name."""
+    out = commits.groupBy("repo_id").agg(F.count("*").alias("commits"), F.count_distinct("author").alias("authors"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    if refs is None:
+        return out
+    branches = refs.where("kind = 'branch'").groupBy("repo_id").agg(F.count_distinct("name").alias("branches"))
+    tags = per_repo_top(refs.where("kind = 'tag'").select("repo_id", "name").distinct(), n_tags, F.col("name"))
+    tags = tags.groupBy("repo_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))
+    out = out.join(branches, "repo_id", "left").join(tags, "repo_id", "left")
+    return out.withColumns({"branches": F.coalesce("branches", F.lit(0)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})

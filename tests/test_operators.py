@@ -327,14 +327,50 @@ def test_history_limits(spark):
 
 
 def test_project_profile(spark):
-    rows = [("sub/pom.xml", "<artifactId>x</artifactId>"), ("package.json", '{"name":"n","version":"1","dependencies":{"react":"1","pg":"postgres"}}'), ("index.js", ""), ("core/a", ""), ("api/b", "")]
+    rows = [("sub/pom.xml", "<artifactId>x</artifactId>"), ("package.json", '{"name":"n","version":"1","description":"d","dependencies":{"react":"1","pg":"postgres"}}'), ("index.js", ""), ("core/a", ""), ("api/b", "")]
     got = project.tech_stack(of(spark, rows)).first()
-    assert (got["language"], got["build_tool"], got["frameworks"], got["databases"], got["project_type"]) == ("javascript", "npm", "react", "postgresql", "frontend")
-    assert project.project_metadata(of(spark, rows)).first()["name"] == "n"
-    assert project.detect_architecture(of(spark, rows)).first()["architecture"] == "modular"
+    assert (got["language"], got["build_tool"], got["frameworks"], got["databases"], got["project_type"]) == ("javascript", "npm/yarn/pnpm", "PostgreSQL,React", "PostgreSQL", "frontend")
+    meta = project.project_metadata(of(spark, rows)).first()
+    assert (meta["name"], meta["version"], meta["description"]) == ("n", "1", "d")
+    assert project.detect_architecture(of(spark, rows)).first()["architecture"] == "component_based"
     assert [r["path"] for r in project.entry_points(of(spark, rows)).collect()] == ["index.js"]
 
 
+def test_project_by_structure(spark):
+    def one(op, *rows):
+        return op(of(spark, [(p, c) for p, c in rows])).first()
+
+    assert one(project.build_files, (".github/workflows/ci.yml", ""), ("docs/x", ""))["build_tool"] == "GitHub Actions"
+    assert one(project.build_files, ("deploy/k8s/a.yml", ""), ("a/b/pom.xml", ""))["build_tool"] == "Kubernetes" and project.build_files(of(spark, [("a/b/pom.xml", "")])).count() == 0
+    assert one(project.tech_stack, ("manage.py", ""), ("config.py", "redis://"))["frameworks"] == "Django"
+    assert one(project.tech_stack, ("src/a/App.java", "@SpringBootApplication"), ("pom.xml", "<x/>"))["project_type"] == "java_backend"
+    assert one(project.tech_stack, ("lib/a.csproj", ""))["project_type"] == "dotnet_backend" and one(project.tech_stack, ("x/b.vue", ""))["project_type"] == "frontend"
+    assert one(project.detect_databases, (".env", "DB=postgres://"))["database"] == "PostgreSQL"
+    assert one(project.detect_architecture, ("domain/a", ""), ("application/b", ""), ("infrastructure/c", ""))["architecture"] == "ddd"
+    assert one(project.detect_architecture, ("x/a", ""))["architecture"] == "simple_layered" and one(project.detect_architecture, ("package.json", '"svelte"'))["architecture"] == "unknown"
+    assert one(project.entry_points, ("src/main/java/x/Y.java", ""))["path"] == "src/main/java"
+
+
+def test_branches_and_tags(spark):
+    commits = spark.createDataFrame([("r", 1, "a", None, "m")], "repo_id string, hash int, author string, ts timestamp, message string")
+    refs = spark.createDataFrame([("r", "branch", "main"), ("r", "branch", "dev"), *(("r", "tag", f"v{i:02}") for i in range(12))], "repo_id string, kind string, name string")
+    got = history.repo_basics(commits, refs).first()
+    assert got["branches"] == 2 and got["tags"] == [f"v{i:02}" for i in range(10)]
+
+
+def test_prompts_leave_out_what_is_described(spark):
+    got = corpus.prompt_table(of(spark, [("a.py", "x\n"), ("b.py", "y" * 9000)]), described=spark.createDataFrame([("a.py",)], "path string")).collect()
+    assert [r["path"] for r in got] == ["b.py"] and got[0]["prompt"].startswith("File: b.py\nLanguage: python\nLines: 1\n") and got[0]["prompt"].endswith("... (truncated)")
+
+
+def test_state_is_swapped(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    for i in range(2):
+        sinks.swap_state(spark, spark.createDataFrame([(i,)], "n int"), path)
+        assert [r["n"] for r in spark.read.parquet(path).collect()] == [i]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["state"]
+
+
 def test_read_tree_and_write_report(spark, tmp_path):
     (tmp_path / "in/repo/src").mkdir(parents=True)
     (tmp_path / "in/repo/src/a.py").write_text("é = 1\n")
@@ -343,6 +379,10 @@ def test_read_tree_and_write_report(spark, tmp_path):
     nodes, edges = graph_of(spark, ("a", "b"))
     layers = graph.assign_layers(nodes, edges)
     sinks.report_json(sinks.node_records(nodes, edges, layers), f"file://{tmp_path}/out")
+    full = extract.facts(of(spark, [("a", "x\n"), ("b", "")]))
+    records = sinks.node_records(nodes, edges, layers, full, full.select("repo_id", "path", F.lit("b").alias("dst"), F.lit("s").alias("symbol")), unused=edges)
+    first = records.where("path = 'a'").first()
+    assert (first["lines"], first["exports"], first["cross_refs"], first["unused_imports"]) == (1, [], {"b": ["s"]}, ["b"])
     back = spark.read.json(f"file://{tmp_path}/out").orderBy("path").collect()
     assert [(r["path"], r["imports"], r["imported_by"], r["layer"]) for r in back] == [("a", ["b"], [], "common"), ("b", [], ["a"], "foundation")]
 
