@@ -11,20 +11,6 @@ from collections.abc import Callable
 import numpy as np
 
 
-def windows(lengths: np.ndarray, width: int, margin: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut texts, laid end to end, into chains of at most ``width`` places that overlap by ``margin`` on either side.
-
-    Gives each chain's start in the joined sequence, its length, and the text it is of."""
-    step = width - 2 * margin
-    counts = np.maximum(1, -(-(lengths - 2 * margin) // step))
-    counts[lengths == 0] = 0
-    text = np.repeat(np.arange(len(lengths)), counts)
-    first = np.cumsum(lengths) - lengths
-    turn = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = first[text] + turn * step
-    return start, np.minimum(width, first[text] + lengths[text] - start), text
-
-
 def forward_backward(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors [chains, places, labels], expected transitions [labels, labels] and the sum of log normalisers. Emissions
     and transitions are scores; places beyond a chain's length get 0."""
@@ -148,6 +134,62 @@ def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray)
     return labels
 
 
+def chain_viterbi(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = 64) -> np.ndarray:
+    """The best labels [places] of chains of any length, laid end to end: the same as viterbi's where one labelling is best. All
+    blocks of all chains advance together; best scores are carried over blocks as in chain_posteriors, from both sides, and a
+    place's label is the one through which the best labelling of the whole chain runs."""
+    k = emissions.shape[1]
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return np.zeros(0, dtype=np.int8)
+    counts = -(-lengths // block)
+    chain = np.repeat(np.arange(len(lengths)), counts)
+    first = np.cumsum(counts) - counts
+    turn = np.arange(len(chain)) - first[chain]
+    start = (np.cumsum(lengths) - lengths)[chain] + turn * block
+    size = np.minimum(block, lengths[chain] - turn * block)
+    inside = np.arange(block)[None, :] < size[:, None]
+    places = np.where(inside, start[:, None] + np.arange(block)[None, :], 0)
+    e = emissions[places]
+
+    def ahead(now: np.ndarray, j: int, rows: np.ndarray) -> np.ndarray:
+        """Best scores ``now`` [blocks, any, labels] moved over place j of each block."""
+        moved = (now[..., :, None] + transitions).max(axis=-2)
+        if j == 0:
+            begins = turn[rows] == 0
+            moved[begins] = now[begins]
+        moved += e[rows, j][:, None, :]
+        return np.where(inside[rows, j][:, None, None], moved, now)
+
+    every = np.arange(len(chain))
+    left, right = np.zeros((len(chain), k), dtype=e.dtype), np.zeros((len(chain), k), dtype=e.dtype)
+    several = np.flatnonzero(counts[chain] > 1)
+    if len(several):
+        over = np.where(np.eye(k, dtype=bool), 0, -1e9).astype(e.dtype) + np.zeros((len(several), 1, 1), dtype=e.dtype)
+        for j in range(block):
+            over = ahead(over, j, several)
+        at = np.full(len(chain), -1)
+        at[several] = np.arange(len(several))
+        for d in range(1, int(counts.max())):
+            b = first[counts > d] + d
+            left[b] = (left[b - 1][:, :, None] + over[at[b - 1]]).max(axis=1)
+            b = (first + counts - 1 - d)[counts > d]
+            right[b] = (over[at[b + 1]] + right[b + 1][:, None, :]).max(axis=2)
+    best = np.empty_like(e)
+    now = left[:, None, :]
+    for j in range(block):
+        now = ahead(now, j, every)
+        best[:, j] = now[:, 0]
+    out = np.empty(len(emissions), dtype=np.int8)
+    now = right
+    for j in range(block - 1, -1, -1):
+        live = inside[:, j]
+        out[places[live, j]] = (best[:, j] + now).argmax(axis=1)[live]
+        back = (transitions + (now + e[:, j])[:, None, :]).max(axis=2)
+        now = np.where(live[:, None], back, now)
+    return out
+
+
 def train(
     emit: Callable[[np.ndarray], np.ndarray],
     pull: Callable[[np.ndarray], np.ndarray],

@@ -1,12 +1,13 @@
 """Personal data: patterns for numbers and addresses, and a linear-chain CRF over word shapes for names and streets.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Names and street addresses have no pattern of their own:
-a conditional random field, trained from a small labelled table, labels every word from its shape, its role (titles, cues,
-street words) and those of its neighbours; the best labelling comes from Viterbi over numpy batches, and each labelled stretch
+a conditional random field, trained from a small labelled table, labels every word from independent features of its own and of its
+neighbours (shape, list, ending, affixes, and the pair of shapes with the word before); a word with features that the table
+doesn't have is still judged by the others. The best labelling comes from Viterbi over numpy batches, and each labelled stretch
 becomes a span beside the pattern spans.
 
-Words are cut at white space; chains have ``CHAIN`` words, of which the ``MARGIN`` outermost on either side only serve as
-context, so a long text is labelled throughout. All patterns take time linear in the text.
+Words are cut at white space; a text is one chain of any length, in blocks between which best scores are carried. All patterns
+take time linear in the text.
 
 Defined cases: a null or empty text has no spans; equal rows get equal results; an empty table gives an empty table; a null id
 is passed through. Offsets are code points, ends exclusive.
@@ -21,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.crf import train, viterbi, windows
-from corpusloom.llm.texts import map_rows, sha256, spans_text
+from corpusloom.llm.crf import chain_viterbi, train
+from corpusloom.llm.texts import holds, map_rows, sha256, spans_text
 
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3, "name": 4, "street": 5}
@@ -75,89 +76,75 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-# Words that announce a name or belong to a street address.
-TITLES = frozenset("mr mrs ms miss dr prof sir madam herr frau monsieur madame mme señor señora sr sra don doña".split())
-CUES = frozenset("name named contact attn dear signed author patient employee customer nom nombre contacto kontakt".split())
-STREETS = frozenset("street st avenue ave road rd lane ln drive boulevard blvd calle rue straße strasse weg platz avenida plaza".split())
-PLACES = frozenset("at lives live address resident resides moved located wohnt adresse habite dirección".split())
-
-#: The labelled table: name and street spans in brackets. Half of it are sentences without any.
-LABELLED = (
-    "Please contact [name Mr. John Smith] about the invoice .",
-    "Dear [name Mrs. Anna Keller] , thank you for the letter .",
-    "The report was signed by [name Dr. Peter Novak] in May .",
-    "Patient name: [name Laura Bianchi] was seen on Monday .",
-    "Contact: [name Maria Lopez] for details .",
-    "We met [name Prof. Wei Chen] and [name Dr. Amara Okafor] at noon .",
-    "Author: [name Ingrid Larsen] writes about trade .",
-    "Employee name: [name Tom Becker] , desk nine .",
-    "[name Herr Klaus Vogel] wohnt in der Stadt .",
-    "[name Frau Julia Braun] kommt morgen .",
-    "[name Madame Claire Dubois] est là .",
-    "[name Señor Pablo Ruiz] vive en la casa .",
-    "[name Señora Elena Torres] llega hoy .",
-    "signed: [name Robert King]",
-    "Attn: [name Susan Hall] , sales .",
-    "I saw [name Ms. Olivia Grant] yesterday with [name Mr. Henry Ford] .",
-    "She lives at [street 12 Oak Street] near the park .",
-    "Our office moved to [street 450 Market Street] last year .",
-    "He resides at [street 7 Hill Road] with a dog .",
-    "Send it to the address [street 99 Lake Avenue] today .",
-    "The shop at [street 31 King Lane] is closed .",
-    "Address: [street 5 Rose Drive] , second floor .",
-    "Located at [street 800 Ocean Boulevard] by the sea .",
-    "habite [street 14 Rue Pasteur] depuis mars .",
-    "vive en [street Calle Mayor 22] con su hermana .",
-    "wohnt in [street Lange Straße 8] seit Mai .",
-    "Die Firma sitzt in [street Alte Straße 101] heute .",
-    "Mr. and Mrs. of the house went out .",
-    "The street was empty and the road was long .",
-    "There are 12 apples and 40 pears on the table .",
-    "The River runs through the Valley . Many People like it .",
-    "All Rights Reserved by the Company in 2019 .",
-    "Monday and Tuesday are free . Wednesday is not .",
-    "New York and San Diego are large cities .",
-    "The name of the rose is a book .",
-    "Please contact us for more details .",
-    "Dear customer , your order of 3 items is ready .",
-    "He lives at home and works at night .",
-    "Table 4 shows Results of Section 12 .",
-    "The Doctor said that 20 percent are well .",
-    "Der Herr ist nicht da . Die Frau liest .",
-    "La calle es larga . El nombre es corto .",
-    "La rue est longue et le nom est court .",
-    "Version 2 of the License applies to all Files .",
-    "THE END OF THE STORY IS NEAR .",
-    "Thing. The other thing was there. And Then it went.",
-    "Inon. Hethe. Onst. Retion the end of an era.",
-    "the and of to in a is that it was for on",
-    "de la que el en y a los del se las por",
-    "der die und in den von zu das mit sich des auf",
-    "le de la et les des en un du une que est",
-    "Un Dos Tres son palabras . Eins Zwei Drei auch .",
-    "address of the 2 servers is known .",
-    "1 2 3 4 5 6 7 8 9 10",
-    "Contact Information and Support Pages",
-    "Name Address Phone Number Email",
-    "Word Word Word Word Word Word Word Word Word Word Word Word",
-    "the end. Other Other Other Other Other Other Other Other of it",
-    "it was. And And And And And and so on",
-    "that. Then Then. Then. Of Of Of the rest",
-    "it is so. Thing Thing in the And Thing There of",
+#: Words that announce a name or belong to a street address.
+LISTS = {
+    "title": "mr mrs ms miss dr prof sir madam herr frau monsieur madame mme señor señora sr sra don doña",
+    "cue": "name named contact attn dear signed author patient employee customer nom nombre contacto kontakt call called regards sincerely",
+    "by": "by from with to for and met saw is was",
+    "street": "street st avenue ave road rd lane ln drive boulevard blvd court calle rue straße strasse weg platz avenida plaza",
+    "place": "at lives live address resident resides moved located wohnt adresse habite dirección",
+    "date": "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday",
+    "common": "the a an of in on this that these it he she they we you i his her our your my and but or if when then there here not no all any some most many new der die das le la el un une una",
+}
+_LISTED = {word: name for name, words in LISTS.items() for word in words.split()}
+
+#: The labelled table is made from these parts: each frame with names or streets in turn, and sentences without any.
+FIRST = "John Anna Peter Laura Maria Wei Amara Ingrid Tom Klaus Julia Claire Pablo Elena Robert Susan Olivia Henry Fatima Yuki Omar Nadia Luca Sofia".split()
+LAST = "Smith Keller Novak Bianchi Lopez Chen Okafor Larsen Becker Vogel Braun Dubois Ruiz Torres King Hall Grant Ford Haddad Tanaka Silva Petrov Rossi Doe".split()
+NAME_FRAMES = (
+    "Please contact {t} {f} {l} about the invoice .", "Dear {t} {l} , thank you for the letter .", "The report was signed by {f} {l} in May .", "Patient name: {f} {l} was seen on Monday .",
+    "Contact: {f} {l} , sales department", "We met {t} {f} {l} at noon .", "Author: {f} {l} writes about trade .", "My name is {f} {l} and I work here .", "Employee: {f} {l} , desk nine .",
+    "{t} {f} {l} was not in the office .", "signed: {f} {l}", "Attn: {f} {l}", "I saw {t} {l} yesterday .", "Regards , {f} {l}", "customer {f} {l} called again .", "The letter from {f} {l} is here .", "Nombre: {f} {l}", "Kontakt: {f} {l} , Büro",
+    "Write to {t} {f} {l}, please .", "A talk with {f} {l} and others .",
 )
+TITLES = "Mr. Mrs. Dr. Ms. Prof. Herr Frau Madame Señor Señora".split()
+ROADS = "Oak Market Hill Lake Rose King Ocean Church Mill River Station Elm Park High".split()
+KINDS_OF_ROAD = "Street Road Avenue Lane Drive Boulevard St. Court".split()
+STREET_FRAMES = (
+    "She lives at {n} {r} {k} near the park .", "Our office moved to {n} {r} {k} last year .", "Send it to the address {n} {r} {k} today .", "The shop at {n} {r} {k} is closed .", "Address: {n} {r} {k}, second floor .",
+    "Located at {n} {r} {k} by the sea .", "He resides at {n} {r} {k} .", "They found {n} {r} {k}. It was late .",
+)
+BOTH_FRAMES = ("Contact: {f} {l}, {n} {r} {k}", "Write to {t} {f} {l}, {n} {r} {k} today .", "{t} {f} {l} lives at {n} {r} {k} .")
+OTHER_STREETS = ("habite [street 14 Rue Pasteur] depuis mars .", "vive en [street Calle Mayor 22] con su hermana .", "wohnt in [street Lange Straße 8] seit Mai .", "Die Firma sitzt in [street Alte Straße 101] heute .")
+WITHOUT = (
+    "Mr. and Mrs. of the house went out .", "The street was empty and the road was long .", "There are 12 apples and 40 pears on the table .", "The River runs through the Valley . Many People like it .",
+    "All Rights Reserved by the Company in 2019 .", "Monday and Tuesday are free . Wednesday is not .", "New York and San Diego are large cities .", "The name of the rose is a book .", "Please contact us for more details .",
+    "Dear customer , your order of 3 items is ready .", "He lives at home and works at night .", "Table 4 shows Results of Section 12 .", "The Doctor said that 20 percent are well .", "Der Herr ist nicht da . Die Frau liest .",
+    "La calle es larga . El nombre es corto .", "La rue est longue et le nom est court .", "Version 2 of the License applies to all Files .", "THE END OF THE STORY IS NEAR .", "It was found. Then it was lost again. Nobody knew why.",
+    "Words stand alone. Others follow. So it goes. Rain fell. Night came.", "address of the 2 servers is known .", "1 2 3 4 5 6 7 8 9 10", "Contact Information and Support Pages", "Name Address Phone Number Email", "Un Dos Tres son palabras . Eins Zwei Drei auch .",
+    "The work is licensed by Creative Commons under a Public License .", "Written in Java and Python for Linux by volunteers .", "Chapter Three begins with Spring and ends with Winter .", "A letter from Paris and a call to London .", "He signed by hand and called by phone .",
+    "The Big Book Of Small Things Is Here", "Große Häuser und kleine Straßen in Berlin .", "Les Jours et les Nuits de Paris .", "Los Días y las Noches de Madrid .", "Then came Summer. Summer was long. And Then Autumn .", "We met at Noon and left at Midnight .",
+    "It is by Design and not by Chance .", "Open from Monday to Friday with Lunch at 12 .", "Section 5 Lane Departure Warning Systems", "In 1999 Street art was new .",
+)
+
+
+def labelled_table() -> tuple[str, ...]:
+    """The sentences, spans in brackets: every frame with several fillings, dealt out in turn."""
+    rows: list[str] = []
+
+    def fill(frame: str, i: int) -> str:
+        t, f, l = TITLES[i % len(TITLES)], FIRST[i * 5 % len(FIRST)], LAST[i * 7 % len(LAST)]
+        frame = frame.replace("{t} {f} {l}", "[name {t} {f} {l}]").replace("{t} {l}", "[name {t} {l}]") if "{t}" in frame else frame.replace("{f} {l}", "[name {f} {l}]")
+        frame = frame.replace("{n} {r} {k}", "[street {n} {r} {k}]")
+        return frame.format(t=t, f=f, l=l, n=(i * 37 + 5) % 900 + 1, r=ROADS[i % len(ROADS)], k=KINDS_OF_ROAD[i % len(KINDS_OF_ROAD)])
+
+    for frames, turns in ((NAME_FRAMES, 6), (STREET_FRAMES, 6), (BOTH_FRAMES, 4)):
+        rows += [fill(frame, i * turns + j) for i, frame in enumerate(frames) for j in range(turns)]
+    return (*rows, *OTHER_STREETS * 2, *WITHOUT * 2)
+
+
+LABELLED = labelled_table()
 LABELS = ("O", "B-name", "I-name", "B-street", "I-street")
-CHAIN, MARGIN, ROLES_KEPT = 64, 8, 300_000
-#: A stretch of more words is no name and no street.
-MOST_WORDS = 6
+#: Words whose scores a worker keeps, and letters in them.
+KEPT, KEPT_LETTERS = 200_000, 4_000_000
 
 _EDGE = ".,;:!?()[]\"'"
 
 
 def role(word: str) -> str:
-    """What the model sees of a word: its list, its shape, and how it ends."""
+    """A word's list and shape, which pair with those of the word before."""
     bare = word.strip(_EDGE)
-    low = bare.lower()
-    kind = next((n for n, known in (("title", TITLES), ("cue", CUES), ("street", STREETS), ("place", PLACES)) if low in known), "")
+    kind = _LISTED.get(bare.lower(), "")
     if not bare:
         shape = "mark"
     elif bare.isdigit():
@@ -166,101 +153,135 @@ def role(word: str) -> str:
         shape = "x" if bare.islower() else "X" if bare.isupper() else "Xx" if bare[0].isupper() and bare[1:].islower() else "xX"
     else:
         shape = "mixed"
-    end = word[-1] if word and word[-1] in ".,:;" else "!" if word and word[-1] in _EDGE else ""
-    return f"{kind}|{shape}|{end}"
+    return f"{kind}|{shape}"
+
+
+def features(word: str) -> list[str]:
+    """What tells about a word by itself, each on its own."""
+    bare = word.strip(_EDGE)
+    kind, shape = role(word).split("|")
+    end = word[-1] if word[-1:] in _EDGE and word else ""
+    low = bare.lower()
+    return [f"k{kind}", f"h{shape}", f"e{end}", f"kh{kind}|{shape}", f"he{shape}|{end}", f"p{low[:2]}", f"s{low[-3:]}", f"s{low[-2:]}", f"n{min(len(bare), 8)}", *([f"w{low}"] if kind else [])]
 
 
 def parse(marked: str) -> tuple[list[str], list[int]]:
     """Words and labels of a labelled sentence."""
     words, labels = [], []
+    glued = False
     for part in re.findall(r"\[(\w+) ([^\]]+)\]|([^\[]+)", marked):
-        inside = part[1].split() if part[0] else part[2].split()
+        text = part[1] if part[0] else part[2]
+        inside = text.split()
+        if glued and inside and not text[0].isspace():  # a mark right behind a span belongs to its last word
+            words[-1] += inside[0]
+            inside = inside[1:]
         words += inside
         labels += [LABELS.index(("B-" if i == 0 else "I-") + part[0]) if part[0] else 0 for i in range(len(inside))]
+        glued = bool(part[0])
     return words, labels
 
 
 class Tagger:
-    """Scores by role: a word's own, its neighbours', and the pair with the word before."""
+    """Scores of words by their features, as the word itself, the one before and the one after, and of pairs of roles."""
 
     def __init__(self, labelled: tuple[str, ...]):
-        self.roles: dict[str, int] = {"": 0}
-        self.known: dict[str, int] = {}
         sentences = [parse(x) for x in labelled]
-        numbered = [[self._role(w) for w in words] for words, _ in sentences]
-        self.seen = len(self.roles)
-        n = self.seen
-        lengths = np.array([len(x) for x in numbered])
-        ids = np.zeros((len(numbered), lengths.max() + 2), dtype=np.int64)
-        gold = np.full((len(numbered), lengths.max()), -1, dtype=np.int64)
-        for i, (x, (_, labels)) in enumerate(zip(numbered, sentences, strict=True)):
-            ids[i, 1 : len(x) + 1] = x
-            gold[i, : len(x)] = labels
-        k = len(LABELS)
-        prev, own, nxt = ids[:, :-2], ids[:, 1:-1], ids[:, 2:]
-        pair = prev * n + own
-        blocks = [(own, 0), (prev, n), (nxt, 2 * n), (pair, 3 * n)]
+        self.names: dict[str, int] = {}
+        self.roles: dict[str, int] = {"": 0}
+        types: dict[str, int] = {}
+        for words, _ in sentences:
+            for w in words:
+                if w not in types:
+                    types[w] = len(types)
+                    self.roles.setdefault(role(w), len(self.roles))
+                    for f in features(w):
+                        self.names.setdefault(f, len(self.names))
+        n, r, k, t = len(self.names), len(self.roles), len(LABELS), len(types)
+        has = np.zeros((t + 1, n))  # the last row is no word
+        for w, i in types.items():
+            for f in features(w):
+                has[i, self.names[f]] = 1
+        of = np.array([*(self.roles[role(w)] for w in types), 0])
+        lengths = np.array([len(words) for words, _ in sentences])
+        ids = np.full((len(sentences), lengths.max() + 2), t, dtype=np.int64)
+        gold = np.full((len(sentences), lengths.max()), -1, dtype=np.int64)
+        for i, (words, labels) in enumerate(sentences):
+            ids[i, 1 : len(words) + 1] = [types[w] for w in words]
+            gold[i, : len(words)] = labels
+        blocks = [(ids[:, 1:-1], 0), (ids[:, :-2], n), (ids[:, 2:], 2 * n)]
+        pair = of[ids[:, :-2]] * r + of[ids[:, 1:-1]]
         inside = gold >= 0
 
         def emit(w: np.ndarray) -> np.ndarray:
-            return sum(w[x + base] for x, base in blocks)
+            return sum((has @ w[base : base + n])[x] for x, base in blocks) + w[3 * n :][pair]
 
         def pull(slope: np.ndarray) -> np.ndarray:
-            out = np.zeros((3 * n + n * n, k))
+            out = np.zeros((3 * n + r * r, k))
             for x, base in blocks:
-                np.add.at(out, (x + base)[inside], slope[inside])
+                by_type = np.zeros((t + 1, k))
+                np.add.at(by_type, x[inside], slope[inside])
+                out[base : base + n] = has.T @ by_type
+            np.add.at(out, 3 * n + pair[inside], slope[inside])
             return out
 
-        weights, transitions = train(emit, pull, 3 * n + n * n, gold, lengths, k, 150, 0.1, 1e-3)
+        weights, transitions = train(emit, pull, 3 * n + r * r, gold, lengths, k, 120, 0.1, 2e-4)
         for i, a in enumerate(LABELS):  # an inside label follows its own kind only
             for j, b in enumerate(LABELS):
                 if b[0] == "I" and a[2:] != b[2:]:
                     transitions[i, j] = -1e4
         self.transitions = transitions.astype(np.float32)
-        w = weights.astype(np.float32)
-        self.own, self.prev, self.next, self.pair = w[:n], w[n : 2 * n], w[2 * n : 3 * n], w[3 * n :].reshape(n, n, k)
+        self.weights = weights[: 3 * n].reshape(3, n, k).astype(np.float32)
+        self.pair = weights[3 * n :].reshape(r, r, k).astype(np.float32)
         self.never = np.array([b[0] == "I" for b in LABELS])
-
-    def _role(self, word: str) -> int:
-        return self.roles.setdefault(role(word), len(self.roles))
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Role numbers; a role that the table doesn't have counts as none."""
-        known = self.known
-        for w in words:
-            if w not in known:
-                if len(known) > ROLES_KEPT:
-                    known.clear()
-                    return self.numbers(words) if len(words) <= ROLES_KEPT else np.array([self.roles.get(role(x), 0) for x in words])
-                known[w] = self.roles.get(role(w), 0)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.letters = 0
+        self.scores = np.zeros((1024, 3, len(LABELS)), dtype=np.float32)
+        self.role = np.zeros(1024, dtype=np.int32)
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the words' scores."""
+        if len(self.index) > KEPT or self.letters > KEPT_LETTERS:
+            self.clear()
+        index = self.index
+        fresh = [w for w in dict.fromkeys(w for words in texts for w in words if w not in index)]
+        while len(self.role) < len(index) + len(fresh):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.role = np.concatenate([self.role, np.zeros_like(self.role)])
+        for w in fresh:
+            i = index[w] = len(index)
+            known = [self.names[f] for f in features(w) if f in self.names]
+            self.scores[i] = self.weights[:, known].sum(axis=1)
+            self.role[i] = self.roles.get(role(w), 0)
+            self.letters += len(w)
+        return [np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
 
     def label(self, numbers: list[np.ndarray]) -> np.ndarray:
         """Labels of the words of all texts, end to end."""
         lengths = np.array([len(x) for x in numbers], dtype=np.int64)
         joined = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-        out = np.zeros(len(joined), dtype=np.int8)
         if not len(joined):
-            return out
+            return np.zeros(0, dtype=np.int8)
         ends = np.cumsum(lengths)
-        before, after = np.roll(joined, 1), np.roll(joined, -1)
-        before[(ends - lengths)[lengths > 0]] = 0
-        after[(ends - 1)[lengths > 0]] = 0
-        start, size, text = windows(lengths, CHAIN, MARGIN)
-        places = np.minimum(start[:, None] + np.arange(CHAIN), len(joined) - 1)
-        a, o, b = before[places], joined[places], after[places]
-        emissions = self.own[o] + self.prev[a] + self.next[b] + self.pair[a, o]
-        emissions[:, 0, self.never] -= 1e4
-        best = viterbi(emissions, self.transitions, size)
-        first, last = start == (ends - lengths)[text], start + size == ends[text]
-        at = np.arange(CHAIN)
-        mine = (at >= np.where(first, 0, MARGIN)[:, None]) & (at < np.where(last, size, size - MARGIN)[:, None])
-        out[places[mine]] = best[mine]
-        return out
+        firsts, lasts = (ends - lengths)[lengths > 0], (ends - 1)[lengths > 0]
+        emissions = self.scores[joined, 0]
+        emissions[1:] += self.scores[joined[:-1], 1]
+        emissions[firsts[1:]] -= self.scores[joined[firsts[1:] - 1], 1]
+        emissions[:-1] += self.scores[joined[1:], 2]
+        emissions[lasts[:-1]] -= self.scores[joined[lasts[:-1] + 1], 2]
+        roles = self.role[joined]
+        before = np.concatenate([[0], roles[:-1]])
+        before[firsts] = 0
+        emissions += self.pair[before, roles]
+        emissions[np.ix_(firsts, self.never)] -= 1e4
+        return chain_viterbi(emissions, lengths, self.transitions)
 
 
 @lru_cache(maxsize=2)
 def tagger(labelled: tuple[str, ...]) -> Tagger:
+    """Trained once on the driver; its size is fixed by the table."""
     return Tagger(labelled)
 
 
@@ -282,7 +303,7 @@ def spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
                 end -= 1
             while start < end and text[start] in _EDGE:
                 start += 1
-            if end > start and len(stretch) <= MOST_WORDS:
+            if end > start:
                 found.append((start, end, LABELS[labels[stretch[0]]][2:]))
             stretch = []
         stretch.append(i)
@@ -304,12 +325,15 @@ def scan_pii(docs: DataFrame, labelled: tuple[str, ...] = LABELLED, found_column
         ]
     )
 
+    sent = docs.sparkSession.sparkContext.broadcast(tagger(labelled))
+
     def run(cols: dict[str, list]) -> dict[str, list]:
-        model = tagger(labelled)
+        model = sent.value
+        holds("pii", model.clear)
         out: dict[str, list] = {"doc_id": cols["doc_id"]} | {f.name: [] for f in schema.fields[1:]}
         for i in range(0, len(cols["text"]), 250):
             texts = [t or "" for t in cols["text"][i : i + 250]]
-            numbers = [model.numbers(t.split()) for t in texts]
+            numbers = model.numbers([t.split() for t in texts])
             labels = model.label(numbers)
             at = 0
             for text, x in zip(texts, numbers, strict=True):

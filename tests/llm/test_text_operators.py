@@ -137,6 +137,34 @@ def test_pii_base_spans_and_names(spark):
     assert f"name:{t.index('Mrs')}:{t.index(', 17')}" in got[3]["spans"]
 
 
+PRIVATE = [
+    ("The form was signed by Peter Novak .", {"Peter Novak"}), ("My name is John Smith and I came", {"John Smith"}), ("Contact: Jane Doe, 12 Main St", {"Jane Doe", "12 Main St"}), ("He stays at 5 Elm Street. It rains", {"5 Elm Street"}),
+    ("Please call Dr. Achim Lund now", {"Dr. Achim Lund"}), ("nothing of that kind is in here", set()), ("The House Rules. They Apply to all .", set()), ("", set()),
+]
+
+
+def test_pii_names_and_streets(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PRIVATE)], "doc_id long, text string")
+    for r in pii.scan_pii(docs, found_column=True).collect():
+        text, want = PRIVATE[r["doc_id"]]
+        assert {text[f["start"] : f["end"]] for f in r["found"] if f["kind"] in ("name", "street")} == want
+
+
+def test_best_labels_of_blocks_equal_those_of_the_whole_chain():
+    from itertools import product
+
+    from corpusloom.llm.crf import chain_viterbi, viterbi
+
+    r = np.random.default_rng(6)
+    parts = [300, 0, 1, 64, 65, 470, 7]
+    emissions, transitions = r.standard_normal((sum(parts), 4)), r.standard_normal((4, 4)) * 2
+    want = np.concatenate([viterbi(x[None], transitions, np.array([len(x)]))[0] for x in np.split(emissions, np.cumsum(parts)[:-1]) if len(x)])
+    assert (chain_viterbi(emissions, np.array(parts), transitions) == want).all()
+    short = emissions[-7:]
+    best = max(product(range(4), repeat=7), key=lambda p: sum(short[i, a] for i, a in enumerate(p)) + sum(transitions[a, b] for a, b in zip(p, p[1:])))
+    assert tuple(chain_viterbi(short, np.array([7]), transitions, 3)) == best
+
+
 def test_licenses(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this extra software and associated documentation files"
     docs = spark.createDataFrame([(1, f"CC BY x All rights reserved; cc  by {notice}"), (2, "cc b y rights reserved all"), (3, "general public license general public license")], "doc_id long, text string")
