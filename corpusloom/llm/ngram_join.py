@@ -183,43 +183,49 @@ def name_of(grams: np.ndarray) -> int:
 # ---- bitmaps below a first edge
 
 
+#: Words of bitmaps that a comparison of two blocks of sets holds.
+BLOCK = 1 << 20
+
+
 def join_maps(maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, percent: int, walks: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of sets that may link and weren't joined before. group: a number per set, equal for joined sets; it is updated.
-    walks: the sets that ask for the others; if all do, they ask for each other."""
+    walks: the sets that ask for the others; if all do, they ask for each other. Sets are compared block by block."""
     found: list[tuple[int, int]] = []
+    among = bool(walks.all())
     lengths = np.array([len(m) for m in maps])
     for length in np.unique(lengths).tolist():
         # pairs meet in the smaller of both bitmaps: the larger one is folded
         own = np.flatnonzero(lengths == length)
         twice = np.flatnonzero(lengths == 2 * length)
-        near = np.concatenate([own, twice])
-        order = np.argsort(sizes[near], kind="stable")
-        rows = near[order]
         table = np.concatenate([np.stack([maps[i] for i in own.tolist()]), *([np.stack([maps[i][:length] ^ maps[i][length:] for i in twice.tolist()])] if len(twice) else [])])
-        table = table[order].view(np.uint64)
-        size, mine = sizes[rows], lengths[rows] == length
-        low = np.searchsorted(size, -(-size * percent // 100), side="left")
-        for at in np.flatnonzero(mine | (lengths[rows] == 2 * length)).tolist():
-            i = int(rows[at])
-            others_ = np.arange(low[at], at)
-            if not mine[at]:
-                others_ = others_[mine[others_]]
-            if walks.all():
-                pass
-            else:
-                others_ = others_[walks[rows[others_]] != walks[i]]
-            step = 16
-            while len(others_):
-                others_ = others_[group[rows[others_]] != group[i]]
-                part, others_ = others_[-step:], others_[:-step]
-                step *= 4
-                apart = np.bitwise_count(table[part] ^ table[at]).sum(axis=1, dtype=np.int64)
-                close = apart <= allowed(size[part], size[at], percent)
-                for k in part[close][np.argsort(apart[close], kind="stable")].tolist():
-                    j = int(rows[k])
-                    if group[j] != group[i]:
-                        group[group == group[j]] = group[i]
-                        found.append((i, j))
+        rows = np.concatenate([own[np.argsort(sizes[own], kind="stable")], twice[np.argsort(sizes[twice], kind="stable")]])
+        order = np.concatenate([np.argsort(sizes[own], kind="stable"), len(own) + np.argsort(sizes[twice], kind="stable")])
+        table, size = table[order].view(np.uint64), sizes[rows]
+        width = max(1, int((BLOCK / table.shape[1]) ** 0.5))
+        for low in range(0, len(own), width):
+            a = slice(low, min(low + width, len(own)))
+            for start in range(low, len(rows), width):
+                b = slice(start, start + width)
+                if 100 * size[a].max() < percent * size[b].min():
+                    if start >= len(own):
+                        break
+                    continue
+                apart = np.bitwise_count(table[a, None, :] ^ table[None, b, :]).sum(axis=2, dtype=np.int32)
+                near = apart <= allowed(size[a, None], size[None, b], percent)
+                if start == low:
+                    near &= np.arange(near.shape[0])[:, None] < np.arange(near.shape[1])[None, :]
+                if not among:
+                    near &= walks[rows[a]][:, None] != walks[rows[b]][None, :]
+                i, j = np.nonzero(near)
+                i, j = rows[a][i], rows[b][j]
+                while len(i):
+                    # one pair of each set that isn't joined yet, then what is left
+                    open_ = group[i] != group[j]
+                    i, j = i[open_], j[open_]
+                    for u, v in zip(*(x[np.unique(j, return_index=True)[1]].tolist() for x in (i, j)), strict=True):
+                        if group[u] != group[v]:
+                            group[group == group[v]] = group[u]
+                            found.append((v, u))
     return found
 
 
