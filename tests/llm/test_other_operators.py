@@ -325,3 +325,26 @@ def test_pipeline_stages_take_awkward_rows(spark, stage):
     if stage < 4:
         assert out.columns == edge_docs(spark).columns
     assert step(spark, no_docs(spark), "").count() == 0
+
+
+def test_flac_query_columns_against_plain_hashing(spark):
+    import hashlib
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    media = flac.write_media(docs).cache()
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    pcm = {}
+    for r in flac.pcm_blocks(media).orderBy("doc_id", "block").collect():
+        assert r["first_sample"] == len(pcm.get(r["doc_id"], b""))
+        pcm[r["doc_id"]] = pcm.get(r["doc_id"], b"") + bytes(r["pcm"])
+    for r in flac.query(spark, "/root/testdata/sf0.001").collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(stored[r["doc_id"]]) and r["media_sha256"] == hashlib.sha256(stored[r["doc_id"]]).hexdigest()
+        assert bytes((b + 128) % 256 for b in pcm[r["doc_id"]]) == payload
+        samples = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert r["feature"] == f"peak={max(map(abs, samples))};power={sum(x * x for x in samples) // len(samples)};crossings={crossings};silent={samples.count(-128)}"

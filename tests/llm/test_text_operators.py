@@ -237,3 +237,46 @@ def test_words_of_mixed_text_get_their_own_language(spark):
     labels = got[1]["labels"]
     assert len(labels) == len(got[1]["words"]) and got[2]["labels"] == []
     assert labels[: len(labels) // 3].count(a) > 0.8 * (len(labels) // 3) and labels[-(len(labels) // 3) :].count(b) > 0.8 * (len(labels) // 3)
+
+
+def brute_redact(rows):
+    """Texts of (text, source, lang) rows with generated values that neither three owners nor four repositories hold replaced."""
+    import math
+    from collections import Counter
+
+    patterns = [
+        (r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), (r"(AKIA[A-Z0-9]+)", 20), (r"([0-9a-f]+)", 24),
+    ]
+    places = [[(m.span(1), m[1]) for p, least in patterns for m in re.finditer(p, text or "") if len(m[1]) >= least] for text, _, _ in rows]
+    owners, repositories = {}, {}
+    for found, (_, source, lang) in zip(places, rows, strict=True):
+        for _, value in found:
+            owners.setdefault(value, set()).add(source)
+            repositories.setdefault(value, set()).add((source, lang))
+
+    def generated(v):
+        bits = -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
+        marks = "changeme change_me example placeholder redacted your_ xxxx dummy sample test".split()
+        return len(v) >= 12 and bits >= 2.5 and any(c.isdigit() for c in v) and not any(m in v.lower() for m in marks)
+
+    out = []
+    for found, (text, _, _) in zip(places, rows, strict=True):
+        hidden = set()
+        starts = set()
+        for (a, b), value in found:
+            if len(owners[value]) < 3 and len(repositories[value]) < 4 and generated(value):
+                hidden |= set(range(a, b))
+                starts.add(a)
+        # a mark stands where a hidden stretch begins; values that only touch are two stretches
+        out.append(text and "".join(("[SECRET]" if i in hidden and (i - 1 not in hidden or (i in starts and not any(a < i < b for (a, b), _ in found))) else "") if i in hidden else c for i, c in enumerate(text)))
+    return out
+
+
+def test_redact_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = [(10**6, "token=abcd-0123456789abcdef01234567 keep this sentence please", "zz", "en"), (10**6 + 1, "password: hunter22 and secret = Zk3v9Qw8Lm2xT7pR5sY1", "zz", "en"), (10**6 + 2, None, None, None)]
+    docs = docs.select("doc_id", "text", "source", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string, lang string"))
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    want = dict(zip((r["doc_id"] for r in rows), brute_redact([(r["text"], r["source"], r["lang"]) for r in rows]), strict=True))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert got == want and got[10**6] == "token=[SECRET] keep this sentence please" and sum("[SECRET]" in (t or "") for t in got.values()) >= 2
