@@ -49,7 +49,7 @@ def dominant_language(files: DataFrame, configured: str | None = None, default:
     """The configured language, else the one with most files (the first by name on ties), else the default."""
     if configured:
         return files.select("repo_id").distinct().withColumn("language", F.lit(configured))
-    best = F.max_by("language", F.struct("n_files", F.transform(F.split("language", ""), lambda c: -F.ascii(c)))).alias("language")
+    best = F.min_by("language", F.struct(-F.col("n_files"), "language")).alias("language")
     known = language_counts(files).where("language is not null").groupBy("repo_id").agg(best)
     return files.select("repo_id").distinct().join(known, "repo_id", "left").select("repo_id", F.coalesce("language", F.lit(default)).alias("language"))
 

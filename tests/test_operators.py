@@ -315,6 +315,8 @@ def test_scan_and_lines(spark):
     assert {r["path"]: r["n_lines"] for r in corpus.line_count(of(spark, rows)).collect()} == {"src/a.PY": 2, "node_modules/b.js": 0, "lib/c.min.js": 0, "d.bin": 0, "e.go": 1}
     assert corpus.dominant_language(of(spark, [("x.bin", "")])).first()["language"] == "python"
     assert corpus.dominant_language(of(spark, [("x.go", ""), ("y.java", "")])).first()["language"] == "go"
+    for paths, first in ((("x.js", "y.java"), "java"), (("x.cpp", "y.c"), "c"), (("x.cs", "y.c"), "c")):  # one name begins the other
+        assert corpus.dominant_language(of(spark, [(p, "") for p in paths])).first()["language"] == first
 
 
 def test_history_limits(spark):
