@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
+from corpusloom.llm import ball_kmeans, bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
 
 QUERIES = {
     "op7_ngram_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op1_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
+    "op13_ball_kmeans": ball_kmeans.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_secrets": secrets.ORACLE,
     "op1_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op13_ball_kmeans": ball_kmeans.ORACLE,
 }
