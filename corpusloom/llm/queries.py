@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ball_kmeans, bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
+from corpusloom.llm import alignment, ball_kmeans, bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
 
 QUERIES = {
     "op7_ngram_join": ngram_join.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
     "op13_ball_kmeans": ball_kmeans.query,
+    "op12_alignment": alignment.query,
 }
 
 ORACLES = {
