@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import alignment, ball_kmeans, bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, secrets, url_filter
+from corpusloom.llm import alignment, ball_kmeans, bpe, flac, language, licenses, mixing, neighbours, ngram_join, pii, quality, secrets, url_filter
 
 QUERIES = {
     "op7_ngram_join": ngram_join.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op6_mixing": mixing.query,
     "op13_ball_kmeans": ball_kmeans.query,
     "op12_alignment": alignment.query,
+    "op11_quality": quality.query,
 }
 
 ORACLES = {
