@@ -137,7 +137,9 @@ def viterbi(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray)
 def chain_viterbi(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = 64) -> np.ndarray:
     """The best labels [places] of chains of any length, laid end to end: the same as viterbi's where one labelling is best. All
     blocks of all chains advance together; best scores are carried over blocks as in chain_posteriors, from both sides, and a
-    place's label is the one through which the best labelling of the whole chain runs."""
+    place's label is the one through which the best labelling of the whole chain runs.
+
+    Arrays have labels first and blocks last, so every step is a few long vector operations."""
     k = emissions.shape[1]
     lengths = lengths[lengths > 0]
     if not len(lengths):
@@ -148,45 +150,56 @@ def chain_viterbi(emissions: np.ndarray, lengths: np.ndarray, transitions: np.nd
     turn = np.arange(len(chain)) - first[chain]
     start = (np.cumsum(lengths) - lengths)[chain] + turn * block
     size = np.minimum(block, lengths[chain] - turn * block)
-    inside = np.arange(block)[None, :] < size[:, None]
-    places = np.where(inside, start[:, None] + np.arange(block)[None, :], 0)
-    e = emissions[places]
-
-    def ahead(now: np.ndarray, j: int, rows: np.ndarray) -> np.ndarray:
-        """Best scores ``now`` [blocks, any, labels] moved over place j of each block."""
-        moved = (now[..., :, None] + transitions).max(axis=-2)
-        if j == 0:
-            begins = turn[rows] == 0
-            moved[begins] = now[begins]
-        moved += e[rows, j][:, None, :]
-        return np.where(inside[rows, j][:, None, None], moved, now)
+    inside = np.arange(block)[:, None] < size[None, :]
+    places = np.where(inside, start[None, :] + np.arange(block)[:, None], 0)
+    e = np.ascontiguousarray(emissions.T)[:, places]  # [labels, places of a block, blocks]
+    begins = turn == 0
 
-    every = np.arange(len(chain))
-    left, right = np.zeros((len(chain), k), dtype=e.dtype), np.zeros((len(chain), k), dtype=e.dtype)
+    def ahead(now: np.ndarray, here: np.ndarray, live: np.ndarray, begin: np.ndarray | None) -> np.ndarray:
+        """Best scores ``now`` [..., labels, blocks] moved over a place with emissions ``here`` [labels, blocks]."""
+        moved = np.empty_like(now)
+        for b in range(k):
+            best = now[..., 0, :] + transitions[0, b]
+            for a in range(1, k):
+                np.maximum(best, now[..., a, :] + transitions[a, b], out=best)
+            moved[..., b, :] = best if begin is None else np.where(begin, now[..., b, :], best)
+        moved += here
+        return moved if live.all() else np.where(live, moved, now)
+
+    left, right = np.zeros((k, len(chain)), dtype=e.dtype), np.zeros((k, len(chain)), dtype=e.dtype)
     several = np.flatnonzero(counts[chain] > 1)
     if len(several):
-        over = np.where(np.eye(k, dtype=bool), 0, -1e9).astype(e.dtype) + np.zeros((len(several), 1, 1), dtype=e.dtype)
+        over = np.where(np.eye(k, dtype=bool), 0, -1e9).astype(e.dtype)[:, :, None] + np.zeros(len(several), dtype=e.dtype)
+        part, live = e[:, :, several], inside[:, several]
         for j in range(block):
-            over = ahead(over, j, several)
+            over = ahead(over, part[:, j], live[j], begins[several] if j == 0 else None)
         at = np.full(len(chain), -1)
         at[several] = np.arange(len(several))
         for d in range(1, int(counts.max())):
             b = first[counts > d] + d
-            left[b] = (left[b - 1][:, :, None] + over[at[b - 1]]).max(axis=1)
+            left[:, b] = (left[:, None, b - 1] + over[:, :, at[b - 1]]).max(axis=0)
+            left[:, b] -= left[:, b].max(axis=0)
             b = (first + counts - 1 - d)[counts > d]
-            right[b] = (over[at[b + 1]] + right[b + 1][:, None, :]).max(axis=2)
+            right[:, b] = (over[:, :, at[b + 1]] + right[None, :, b + 1]).max(axis=1)
+            right[:, b] -= right[:, b].max(axis=0)
     best = np.empty_like(e)
-    now = left[:, None, :]
+    now = left
     for j in range(block):
-        now = ahead(now, j, every)
-        best[:, j] = now[:, 0]
+        now = ahead(now, e[:, j], inside[j], begins if j == 0 else None)
+        best[:, j] = now
     out = np.empty(len(emissions), dtype=np.int8)
     now = right
     for j in range(block - 1, -1, -1):
-        live = inside[:, j]
-        out[places[live, j]] = (best[:, j] + now).argmax(axis=1)[live]
-        back = (transitions + (now + e[:, j])[:, None, :]).max(axis=2)
-        now = np.where(live[:, None], back, now)
+        live = inside[j]
+        out[places[j, live]] = (best[:, j] + now).argmax(axis=0)[live]
+        beyond = now + e[:, j]
+        back = np.empty_like(now)
+        for a in range(k):
+            most = beyond[0] + transitions[a, 0]
+            for b in range(1, k):
+                np.maximum(most, beyond[b] + transitions[a, b], out=most)
+            back[a] = most
+        now = back if live.all() else np.where(live, back, now)
     return out
 
 

@@ -135,7 +135,7 @@ def labelled_table() -> tuple[str, ...]:
 
 LABELLED = labelled_table()
 LABELS = ("O", "B-name", "I-name", "B-street", "I-street")
-#: Words whose scores a worker keeps, and letters in them.
+#: Words whose scores a worker keeps in each of two generations, and letters in them.
 KEPT, KEPT_LETTERS = 200_000, 4_000_000
 
 _EDGE = ".,;:!?()[]\"'"
@@ -158,11 +158,17 @@ def role(word: str) -> str:
 
 def features(word: str) -> list[str]:
     """What tells about a word by itself, each on its own."""
+    return describe(word)[1]
+
+
+def describe(word: str) -> tuple[str, list[str]]:
+    """A word's role and features."""
     bare = word.strip(_EDGE)
-    kind, shape = role(word).split("|")
+    of = role(word)
+    kind, _, shape = of.partition("|")
     end = word[-1] if word[-1:] in _EDGE and word else ""
     low = bare.lower()
-    return [f"k{kind}", f"h{shape}", f"e{end}", f"kh{kind}|{shape}", f"he{shape}|{end}", f"p{low[:2]}", f"s{low[-3:]}", f"s{low[-2:]}", f"n{min(len(bare), 8)}", *([f"w{low}"] if kind else [])]
+    return of, [f"k{kind}", f"h{shape}", f"e{end}", f"kh{of}", f"he{shape}|{end}", f"p{low[:2]}", f"s{low[-3:]}", f"s{low[-2:]}", f"n{min(len(bare), 8)}", *([f"w{low}"] if kind else [])]
 
 
 def parse(marked: str) -> tuple[list[str], list[int]]:
@@ -181,6 +187,25 @@ def parse(marked: str) -> tuple[list[str], list[int]]:
     return words, labels
 
 
+class Kept:
+    """Scores [words, the word itself / the one before / after, labels] and roles of the words that a worker has met."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.letters = 0
+        self.scores = np.zeros((1024, 3, len(LABELS)), dtype=np.float32)
+        self.role = np.zeros(1024, dtype=np.int32)
+
+    def add(self, words: list[str], scores: np.ndarray, roles: np.ndarray) -> None:
+        base = len(self.index)
+        while len(self.role) < base + len(words):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.role = np.concatenate([self.role, np.zeros_like(self.role)])
+        self.scores[base : base + len(words)], self.role[base : base + len(words)] = scores, roles
+        self.index.update(zip(words, range(base, base + len(words)), strict=True))
+        self.letters += sum(map(len, words))
+
+
 class Tagger:
     """Scores of words by their features, as the word itself, the one before and the one after, and of pairs of roles."""
 
@@ -231,31 +256,38 @@ class Tagger:
                     transitions[i, j] = -1e4
         self.transitions = transitions.astype(np.float32)
         self.weights = weights[: 3 * n].reshape(3, n, k).astype(np.float32)
+        self.by_name = np.concatenate([self.weights.transpose(1, 0, 2), np.zeros((1, 3, k), dtype=np.float32)])  # the last row: no known feature
         self.pair = weights[3 * n :].reshape(r, r, k).astype(np.float32)
         self.never = np.array([b[0] == "I" for b in LABELS])
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.letters = 0
-        self.scores = np.zeros((1024, 3, len(LABELS)), dtype=np.float32)
-        self.role = np.zeros(1024, dtype=np.int32)
+        self.old: Kept = Kept()
+        self.young: Kept = Kept()
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Rows of the words' scores."""
-        if len(self.index) > KEPT or self.letters > KEPT_LETTERS:
-            self.clear()
-        index = self.index
+        """Rows of the words' scores. Unseen words are scored all at once."""
+        if len(self.young.index) > KEPT or self.young.letters > KEPT_LETTERS:
+            self.old, self.young = self.young, Kept()
+        young, old = self.young, self.old
+        index = young.index
         fresh = [w for w in dict.fromkeys(w for words in texts for w in words if w not in index)]
-        while len(self.role) < len(index) + len(fresh):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.role = np.concatenate([self.role, np.zeros_like(self.role)])
-        for w in fresh:
-            i = index[w] = len(index)
-            known = [self.names[f] for f in features(w) if f in self.names]
-            self.scores[i] = self.weights[:, known].sum(axis=1)
-            self.role[i] = self.roles.get(role(w), 0)
-            self.letters += len(w)
+        known = [w for w in fresh if w in old.index]
+        if known:
+            at = np.fromiter(map(old.index.__getitem__, known), dtype=np.int64, count=len(known))
+            young.add(known, old.scores[at], old.role[at])
+            fresh = [w for w in fresh if w not in index]
+        if fresh:
+            flat: list[int] = []
+            sizes, roles, get = [], [], self.names.get
+            for w in fresh:
+                of, said = describe(w)
+                numbers = [i for i in map(get, said) if i is not None]
+                flat += numbers or [len(self.names)]
+                sizes.append(len(numbers) or 1)
+                roles.append(self.roles.get(of, 0))
+            ends = np.cumsum(sizes)
+            young.add(fresh, np.add.reduceat(self.by_name[np.array(flat)], ends - sizes, axis=0), np.array(roles, dtype=np.int32))
         return [np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
 
     def label(self, numbers: list[np.ndarray]) -> np.ndarray:
@@ -266,12 +298,12 @@ class Tagger:
             return np.zeros(0, dtype=np.int8)
         ends = np.cumsum(lengths)
         firsts, lasts = (ends - lengths)[lengths > 0], (ends - 1)[lengths > 0]
-        emissions = self.scores[joined, 0]
-        emissions[1:] += self.scores[joined[:-1], 1]
-        emissions[firsts[1:]] -= self.scores[joined[firsts[1:] - 1], 1]
-        emissions[:-1] += self.scores[joined[1:], 2]
-        emissions[lasts[:-1]] -= self.scores[joined[lasts[:-1] + 1], 2]
-        roles = self.role[joined]
+        emissions = self.young.scores[joined, 0]
+        emissions[1:] += self.young.scores[joined[:-1], 1]
+        emissions[firsts[1:]] -= self.young.scores[joined[firsts[1:] - 1], 1]
+        emissions[:-1] += self.young.scores[joined[1:], 2]
+        emissions[lasts[:-1]] -= self.young.scores[joined[lasts[:-1] + 1], 2]
+        roles = self.young.role[joined]
         before = np.concatenate([[0], roles[:-1]])
         before[firsts] = 0
         emissions += self.pair[before, roles]
