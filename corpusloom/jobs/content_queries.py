@@ -414,7 +414,7 @@ _COUNT = lambda table, where="": f"(SELECT count(*) FROM {table} t WHERE t.repo_
 
 @query(
     "graph_stats",
-    f"WITH {GRAPH}, {FILES}, {CYCLES}, {UNUSED}, {CALLS[len(BINDINGS) + 2 :]}, {ISSUES}, {ENDPOINTS}, {MODELS}, {COMMENTS.strip()}, {FUNCTIONS}, {QUALITY.strip()}, {GRADES} "
+    f"WITH RECURSIVE {GRAPH}, {FILES}, {CYCLES}, {UNUSED}, {CALLS[len(BINDINGS) + 2 :]}, {ISSUES}, {ENDPOINTS}, {MODELS}, {COMMENTS.strip()}, {FUNCTIONS}, {QUALITY.strip()}, {GRADES} "
     f"SELECT r.repo_id, {_COUNT('files')} AS n_files, {_COUNT('edges')} AS n_imports, (SELECT count(DISTINCT src) FROM edges t WHERE t.repo_id = r.repo_id) AS n_importing, "
     f"(SELECT count(DISTINCT dst) FROM edges t WHERE t.repo_id = r.repo_id) AS n_imported, {_COUNT('cycles')} AS n_cycles, (SELECT count(DISTINCT (path, dst)) FROM refs t WHERE t.repo_id = r.repo_id) AS n_refs, "
     f"{_COUNT('calls')} AS n_calls, {_COUNT('unused')} AS n_unused, {_COUNT('endpoints')} AS n_endpoints, {_COUNT('models')} AS n_models, {_COUNT('issues')} AS n_issues, "

@@ -66,8 +66,8 @@ LAYERED = DEPTHS + ", " + DEGREES + f"""
   SELECT d.repo_id, d.path, CASE WHEN depth IS NULL OR (imports = 0 AND imported_by = 0) THEN {LAYER.replace('path', 'd.path')} ELSE {NAMED} END AS layer
   FROM depths d JOIN degrees g ON d.path = g.path)
 """
-CYCLES = """
-cycles AS (
+SHORT_CYCLES = """
+short_cycles AS (
   SELECT a.repo_id, a.src || ' > ' || a.dst AS cycle, 2 AS size FROM edges a JOIN edges b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
   UNION ALL
   SELECT a.repo_id, a.src || ' > ' || a.dst || ' > ' || b.dst, 3 FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src
@@ -77,6 +77,29 @@ cycles AS (
   FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src JOIN edges d ON c.dst = d.src AND d.dst = a.src
   WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND a.dst <> c.dst AND b.dst <> c.dst)
 """
+#: Needs WITH RECURSIVE. A table of least ways between all pairs, one step a round, each pair once: no bound.
+CYCLES = """
+own_edges AS MATERIALIZED (SELECT DISTINCT repo_id, src, dst FROM edges WHERE src <> dst),
+ways(x, y, way) USING KEY (x, y) AS (
+  SELECT src, dst, [src, dst] FROM own_edges UNION
+  SELECT w.x, e.dst, min(list_append(w.way, e.dst)) FROM ways w JOIN own_edges e ON w.y = e.src
+  WHERE w.x <> w.y AND NOT EXISTS (SELECT 1 FROM recurring.ways r WHERE r.x = w.x AND r.y = e.dst) GROUP BY w.x, e.dst),
+closed AS (
+  SELECT e.repo_id, e.src, e.dst, [e.src] || w.way[:-2] AS cycle FROM own_edges e JOIN ways w ON w.x = e.dst AND w.y = e.src),
+turned AS (SELECT DISTINCT repo_id, cycle[list_position(cycle, list_min(cycle)):] || cycle[:list_position(cycle, list_min(cycle)) - 1] AS cycle FROM closed),
+cycles AS (SELECT repo_id, array_to_string(cycle, ' > ') AS cycle, len(cycle)::INT AS size FROM turned),
+component_of AS (SELECT a.x AS path, least(a.x, min(a.y)) AS component FROM ways a JOIN ways b ON a.x = b.y AND a.y = b.x GROUP BY a.x),
+unlisted AS (SELECT component FROM component_of GROUP BY component HAVING count(*) > 2
+  AND component NOT IN (SELECT component FROM turned t JOIN component_of c ON c.path = t.cycle[1] WHERE len(t.cycle) > 2)),
+more(component, way) AS (
+  SELECT a.component, [src, dst] FROM own_edges e JOIN component_of a ON a.path = e.src JOIN component_of b ON b.path = e.dst AND b.component = a.component JOIN unlisted u ON u.component = a.component WHERE dst > src
+  UNION ALL SELECT m.component, list_append(way, dst) FROM more m JOIN own_edges e ON e.src = m.way[-1] JOIN component_of b ON b.path = e.dst AND b.component = m.component
+  WHERE dst > m.way[1] AND NOT list_contains(m.way, dst)),
+more_closed AS (SELECT component, way FROM more m JOIN own_edges e ON e.src = m.way[-1] AND e.dst = m.way[1] WHERE len(way) > 2 QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(way), way) = 1),
+long_cycles AS (
+  SELECT repo_id, cycle, size FROM cycles WHERE size > 2
+  UNION ALL SELECT (SELECT any_value(repo_id) FROM own_edges e WHERE e.src = m.way[1]), array_to_string(way, ' > '), len(way) FROM more_closed m)
+"""
 
 # ---- corpus
 
@@ -235,11 +258,16 @@ def _(spark, d):
     return graph.degrees(nodes(spark, d), synth.edges(spark, d))
 
 
-@query("detect_cycles", f"WITH {GRAPH}, {CYCLES} SELECT *, 4 AS bound FROM cycles")
+@query("detect_cycles", f"WITH RECURSIVE {GRAPH}, {CYCLES} SELECT * FROM cycles")
 def _(spark, d):
     return graph.detect_cycles(synth.edges(spark, d))
 
 
+@query("short_cycles", f"WITH {GRAPH}, {SHORT_CYCLES} SELECT *, 4 AS bound FROM short_cycles")
+def _(spark, d):
+    return graph.short_cycles(synth.edges(spark, d))
+
+
 @query(
     "cycle_edges",
     f"WITH RECURSIVE {GRAPH}, up(start, place) AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT u.start, e.dst FROM up u JOIN edges e ON u.place = e.src) "
@@ -294,7 +322,7 @@ RULE_SQL = {
     "naming_pattern": "SELECT repo_id, 'names', 'info', path, NULL FROM part_files WHERE contains(path, '/core/') AND NOT regexp_matches('m' || key, '^m[0-9]{1,3}$')",
     "disallowed_import": "SELECT repo_id, 'no-php', 'warning', src, dst FROM edges, (VALUES ('\\.php$'), ('/model/')) p(p) WHERE regexp_matches(dst, p)",
     "max_dependencies": "SELECT repo_id, 'few-imports', 'warning', src, NULL FROM edges WHERE ends_with(src, '.py') GROUP BY repo_id, src HAVING count(*) > 1",
-    "max_cycle_size": "SELECT repo_id, 'short-cycles', 'error', string_split(cycle, ' > ')[1], cycle FROM cycles WHERE size > 2",
+    "max_cycle_size": "SELECT repo_id, 'short-cycles', 'error', string_split(cycle, ' > ')[1], cycle FROM long_cycles",
 }
 VIOLATIONS = "violations(repo_id, rule_name, severity, file_path, related_file) AS (" + " UNION ALL ".join(RULE_SQL.values()) + ")"
 for _rule in rules.EXAMPLE_RULES:
@@ -302,12 +330,12 @@ for _rule in rules.EXAMPLE_RULES:
     def _one(spark, d, rule=_rule):
         return rules.TYPES[rule["type"]](nodes(spark, d), synth.edges(spark, d), rule)
 
-    query(f"rule_{_rule['type']}", f"WITH {GRAPH}, {CYCLES}, v(repo_id, rule_name, severity, file_path, related_file) AS ({RULE_SQL[_rule['type']]}) SELECT * FROM v")(_one)
+    query(f"rule_{_rule['type']}", f"WITH RECURSIVE {GRAPH}, {CYCLES}, v(repo_id, rule_name, severity, file_path, related_file) AS ({RULE_SQL[_rule['type']]}) SELECT * FROM v")(_one)
 
 
 @query(
     "rule_summary",
-    f"WITH {GRAPH}, {CYCLES}, {VIOLATIONS} SELECT r.repo_id, 6 AS checked, 6 - count(DISTINCT rule_name) AS passed, count(*) FILTER (severity = 'error') AS n_error, "
+    f"WITH RECURSIVE {GRAPH}, {CYCLES}, {VIOLATIONS} SELECT r.repo_id, 6 AS checked, 6 - count(DISTINCT rule_name) AS passed, count(*) FILTER (severity = 'error') AS n_error, "
     "count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM (SELECT DISTINCT repo_id FROM part_files) r LEFT JOIN violations USING (repo_id) GROUP BY 1",
 )
 def _(spark, d):

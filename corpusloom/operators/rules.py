@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.graph import detect_cycles
+from corpusloom.functions.staging import stage
+from corpusloom.operators.graph import long_cycles
 
 VIOLATION = ("repo_id", "rule_name", "severity", "file_path", "related_file")
 
@@ -29,13 +30,11 @@ def _shaped(rows: DataFrame, rule: dict, file_path: Column, related: Column) ->
     )
 
 
-def no_dependency(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
-    return _shaped(edges.where(F.col("src").rlike(rule["from"]) & F.col("dst").rlike(rule["to"])), rule, F.col("src"), F.col("dst"))
+def _forbidden(rule: dict) -> Column:
+    return (F.col("src").rlike(rule["from"]) & F.col("dst").rlike(rule["to"])).cast("int")
 
 
-def layer_rule(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
-    """Edges between different layers that the allow list lacks; the first matching layer counts."""
-
+def _crossing(rule: dict) -> Column:
     def layer(path: Column) -> Column:
         found = F.lit("unknown")
         for name, pattern in reversed(rule["layers"].items()):
@@ -43,7 +42,38 @@ def layer_rule(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
         return found
 
     a, b = layer(F.col("src")), layer(F.col("dst"))
-    return _shaped(edges.where((a != b) & ~F.concat(a, F.lit("->"), b).isin(*rule["allow"])), rule, F.col("src"), F.col("dst"))
+    return ((a != b) & ~F.concat(a, F.lit("->"), b).isin(*rule["allow"])).cast("int")
+
+
+def _disallowed(rule: dict) -> Column:
+    hits = F.lit(0)
+    for pattern in rule["disallowed"]:
+        hits = hits + F.col("dst").rlike(pattern).cast("int")
+    return hits
+
+
+#: Rules that look at each edge by itself, and how often an edge violates them.
+PER_EDGE = {"no_dependency": _forbidden, "layer_rule": _crossing, "disallowed_import": _disallowed}
+
+
+def _edge_hits(edges: DataFrame, rules: Sequence[tuple[int, dict]]) -> DataFrame:
+    """All violations of rules on single edges, in one pass over the edges."""
+    counted = [
+        F.struct(F.lit(i).alias("rule"), F.lit(r.get("name", r["type"])).alias("rule_name"), F.lit(r.get("severity", "warning")).alias("severity"), F.coalesce(PER_EDGE[r["type"]](r), F.lit(0)).alias("n"))
+        for i, r in rules
+    ]
+    hits = edges.select("repo_id", "src", "dst", F.explode(F.filter(F.array(*counted), lambda x: x["n"] > 0)).alias("x"))
+    hits = hits.select("repo_id", "src", "dst", "x", F.explode(F.sequence(F.lit(1), F.col("x.n"))).alias("turn"))
+    return hits.select("x.rule", "repo_id", "x.rule_name", "x.severity", F.col("src").alias("file_path"), F.col("dst").alias("related_file"))
+
+
+def no_dependency(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
+    return _edge_hits(edges, [(0, rule)]).select(*VIOLATION)
+
+
+def layer_rule(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
+    """Edges between different layers that the allow list lacks; the first matching layer counts."""
+    return _edge_hits(edges, [(0, rule)]).select(*VIOLATION)
 
 
 def naming_pattern(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
@@ -54,9 +84,7 @@ def naming_pattern(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
 
 def disallowed_import(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
     """One row for each edge and pattern."""
-    patterns = F.array(*(F.when(F.col("dst").rlike(p), F.lit(p)) for p in rule["disallowed"]))
-    hits = edges.withColumn("pattern", F.explode(F.filter(patterns, lambda p: p.isNotNull())))
-    return _shaped(hits, rule, F.col("src"), F.col("dst"))
+    return _edge_hits(edges, [(0, rule)]).select(*VIOLATION)
 
 
 def max_dependencies(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
@@ -65,24 +93,27 @@ def max_dependencies(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFram
 
 
 def max_cycle_size(nodes: DataFrame, edges: DataFrame, rule: dict) -> DataFrame:
-    """Cycles longer than the rule's max, searched up to its max_len (two files more than max, and four at least)."""
-    most = rule.get("max", 2)
-    long = detect_cycles(edges, rule.get("max_len", max(4, most + 2))).where(F.col("size") > most)
-    return _shaped(long, rule, F.split("cycle", " > ")[0], F.col("cycle"))
+    """Cycles longer than the rule's max, of any length (see graph.long_cycles): every component that has one has a row."""
+    return _shaped(long_cycles(edges, rule.get("max", 2)), rule, F.split("cycle", " > ")[0], F.col("cycle"))
 
 
 TYPES = {f.__name__: f for f in (no_dependency, layer_rule, naming_pattern, disallowed_import, max_dependencies, max_cycle_size)}
 
 
 def check_rules(nodes: DataFrame, edges: DataFrame, rules: Sequence[dict] = EXAMPLE_RULES) -> DataFrame:
-    """All violations, with the place of their rule in the list; a rule of unknown type has none."""
+    """All violations, with the place of their rule in the list; a rule of unknown type has none. Where several rules read the edges, these
+    are written once; rules on single edges share one pass."""
     shape = "rule int, repo_id string, rule_name string, severity string, file_path string, related_file string"
-    out = None
-    for i, r in enumerate(rules):
-        if r["type"] in TYPES:
-            rows = TYPES[r["type"]](nodes, edges, r).select(F.lit(i).alias("rule"), *VIOLATION)
-            out = rows if out is None else out.unionByName(rows)
-    return nodes.sparkSession.createDataFrame([], shape) if out is None else out
+    known = [(i, r) for i, r in enumerate(rules) if r["type"] in TYPES]
+    single, rest = [x for x in known if x[1]["type"] in PER_EDGE], [x for x in known if x[1]["type"] not in PER_EDGE]
+    if bool(single) + sum(r["type"] != "naming_pattern" for _, r in rest) > 1:
+        edges = stage(edges.select("repo_id", "src", "dst"))
+    parts = [_edge_hits(edges, single).select("rule", *VIOLATION)] if single else []
+    parts += [TYPES[r["type"]](nodes, edges, r).select(F.lit(i).alias("rule"), *VIOLATION) for i, r in rest]
+    out = parts[0] if parts else nodes.sparkSession.createDataFrame([], shape)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def rule_summary(nodes: DataFrame, edges: DataFrame, rules: Sequence[dict] = EXAMPLE_RULES) -> DataFrame:

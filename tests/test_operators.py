@@ -34,6 +34,151 @@ CYCLES = [
 def test_cycles(spark, pairs, want):
     _, edges = graph_of(spark, *pairs)
     assert {r["cycle"] for r in graph.detect_cycles(edges).collect()} == want
+    assert {r["cycle"] for r in graph.short_cycles(edges).collect()} == want
+
+
+def ring(n, name="n"):
+    return [(f"{name}{i:04d}", f"{name}{(i + 1) % n:04d}") for i in range(n)]
+
+
+def shortest_cycles(pairs):
+    """For each edge on a cycle its shortest cycle by plain search, the least by names from the edge on."""
+    out, after = set(), {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    for a, b in pairs:
+        ways, seen = {b: (b,)}, {b}
+        while ways and a not in ways and a != b:
+            more = {}
+            for at, way in ways.items():
+                for c in after.get(at, set()) - seen:
+                    more[c] = min(more.get(c, (*way, c)), (*way, c))
+            seen |= set(more)
+            ways = more
+        if a != b and a in ways:
+            cycle = (a, *ways[a][:-1])
+            k = cycle.index(min(cycle))
+            out.add(" > ".join(cycle[k:] + cycle[:k]))
+    return out
+
+
+def test_cycles_of_any_length(spark):
+    for n in (7, 40):
+        _, edges = graph_of(spark, *ring(n), ("t", "n0000"), ("n0001", "u"))
+        rows = graph.detect_cycles(edges).collect()
+        assert [(r["cycle"], r["size"]) for r in rows] == [(" > ".join(f"n{i:04d}" for i in range(n)), n)]
+    _, edges = graph_of(spark, *ring(7))
+    assert rules.max_cycle_size(None, edges, {"type": "max_cycle_size", "max": 6}).count() == 1
+    assert rules.max_cycle_size(None, edges, {"type": "max_cycle_size", "max": 7}).count() == 0
+    _, edges = graph_of(spark, *ring(7), *[("n0003" if a == "m0000" else a, "n0003" if b == "m0000" else b) for a, b in ring(5, "m")])
+    assert sorted(r["size"] for r in graph.detect_cycles(edges).collect()) == [5, 7]
+    assert {(r["component"], r["size"]) for r in graph.cycle_members(edges).collect()} == {("m0001", 11)}
+
+
+def test_cycles_equal_plain_search(spark):
+    import random
+
+    for seed in range(2):
+        r = random.Random(seed)
+        pairs = sorted({(f"f{r.randrange(14):02d}", f"f{r.randrange(14):02d}") for _ in range(24)})
+        _, edges = graph_of(spark, *pairs)
+        assert {x["cycle"] for x in graph.detect_cycles(edges).collect()} == shortest_cycles(pairs)
+
+
+def test_long_cycles_over_short_ones(spark):
+    both = lambda *names: [(a, b) for a in names for b in names if a != b]
+    rule = {"type": "max_cycle_size", "max": 2}
+    _, edges = graph_of(spark, *both("a", "b", "c"), *both("x", "y"), *both("y", "z"), *both("z", "w"))  # only the triangle has a cycle of three
+    assert all(r["size"] == 2 for r in graph.detect_cycles(edges).collect())
+    assert [r["related_file"] for r in rules.max_cycle_size(None, edges, rule).collect()] == ["a > b > c"]
+    _, edges = graph_of(spark, *[p for a, b in ring(6) for p in ((a, b), (b, a))])  # a ring both ways
+    assert [r["related_file"] for r in rules.max_cycle_size(None, edges, rule).collect()] == [" > ".join(f"n{i:04d}" for i in range(6))]
+    assert rules.max_cycle_size(None, edges, rule | {"max": 6}).count() == 0
+
+
+def count_tables(monkeypatch):
+    from corpusloom.functions import staging
+
+    made = []
+    real = staging.stage_at
+    for module in (graph, staging):
+        monkeypatch.setattr(module, "stage_at", lambda df: made.append(1) or real(df))
+    return made
+
+
+def test_long_ring_in_few_rounds(spark, monkeypatch):
+    made = count_tables(monkeypatch)
+    _, edges = graph_of(spark, *ring(2000))
+    rows = graph.cycle_members(edges)
+    assert {(r["component"], r["size"]) for r in rows.select("component", "size").distinct().collect()} == {("n0000", 2000)} and rows.count() == 2000
+    assert len(made) <= 40
+    made.clear()
+    _, edges = graph_of(spark, *ring(500), ("n0000", "n0250"), ("n0100", "a"), ("a", "b"), ("b", "n0050"), ("b", "b2"), ("b2", "b"), *[(f"t{i:03d}", f"t{i + 1:03d}") for i in range(300)], ("t300", "n0000"), ("n0400", "u"), ("u", "v"), ("v", "u"))
+    got = {r["path"]: (r["component"], r["size"]) for r in graph.cycle_members(edges).collect()}
+    assert len(made) <= 60
+    assert got["n0000"] == got["b2"] == ("a", 503) and got["u"] == ("u", 2) and len(got) == 505
+
+
+def test_components_equal_plain_search(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(100 + seed)
+        pairs = sorted({(f"f{r.randrange(30):02d}", f"f{r.randrange(30):02d}") for _ in range(34 + 4 * seed)})
+        _, edges = graph_of(spark, *pairs)
+        reach = {}
+        for a, b in pairs:
+            reach.setdefault(a, set()).add(b)
+        for k in sorted({x for p in pairs for x in p}):
+            for a in list(reach):
+                if k in reach[a]:
+                    reach[a] |= reach.get(k, set())
+        want = {}
+        for a in reach:
+            own = {a} | {b for b in reach[a] if a in reach.get(b, ())}
+            if len(own) > 1:
+                want[a] = (min(own), len(own))
+        assert {x["path"]: (x["component"], x["size"]) for x in graph.cycle_members(edges).collect()} == want
+
+
+def test_deep_layers_in_few_rounds(spark, monkeypatch):
+    made = count_tables(monkeypatch)
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(1999)]
+    nodes, edges = graph_of(spark, *chain)
+    depth = {r["path"]: r["depth"] for r in graph.topological_layers(nodes, edges).collect()}
+    assert depth == {f"n{i:04d}": 1999 - i for i in range(2000)} and len(made) <= 30
+    made.clear()
+    # every file also imports a common one, some import far ahead, and some are above a ring
+    extra = [(f"n{i:04d}", "util") for i in range(300)] + [(f"n{i:04d}", f"n{i + 7:04d}") for i in range(0, 280, 9)] + [("n0000", "side"), ("side", "n0150")]
+    loops = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("on1", "on2"), ("on2", "r1"), ("on1", "n0299")]
+    nodes, edges = graph_of(spark, *chain[:299], *extra, *loops)
+    depth = {r["path"]: r["depth"] for r in graph.topological_layers(nodes, edges).collect()}
+    assert all(depth[f"n{i:04d}"] == 300 - i for i in range(300)) and depth["util"] == 0 and depth["side"] == 151
+    assert all(depth[x] is None for x in ("r1", "r2", "r3", "on1", "on2"))
+
+
+def test_layers_equal_plain_search(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = sorted({(f"f{r.randrange(40):02d}", f"f{r.randrange(40):02d}") for _ in range(45)} | {(f"g{i:02d}", f"g{i + 1:02d}") for i in range(20)} | {("g20", "f00"), ("f01", "g05")})
+        after = {}
+        for a, b in pairs:
+            if a != b:
+                after.setdefault(a, set()).add(b)
+        nodes, edges = graph_of(spark, *pairs)
+        names = {x for p in pairs for x in p}
+        want = {n: 0 for n in names if n not in after}
+        while fresh := {n for n in names if n not in want and all(b in want for b in after[n])}:
+            want |= {n: 1 + max(want[b] for b in after[n]) for n in fresh}
+        assert {x["path"]: x["depth"] for x in graph.topological_layers(nodes, edges).collect()} == {n: want.get(n) for n in names}
+
+
+def test_call_rollup_lists_a_few(spark):
+    calls = spark.createDataFrame([("r", f"s{i:03d}", "hub") for i in range(200)] + [("r", "s000", "hub"), ("r", "s1", "one")], "repo_id string, src string, dst string")
+    got = {r["dst"]: (r["n_calls"], r["n_callers"], r["first_callers"]) for r in graph.call_rollup(calls).collect()}
+    assert got == {"hub": (201, 200, "s000,s001,s002,s003,s004"), "one": (1, 1, "s1")}
 
 
 def test_cycle_members_and_edges(spark):
@@ -297,7 +442,7 @@ def test_rules_without_names_count_apart(spark):
     ring = [(str(i), str((i + 1) % 6)) for i in range(6)]
     nodes, edges = graph_of(spark, *ring)
     assert rules.max_cycle_size(nodes, edges, {"type": "max_cycle_size", "max": 5}).count() == 1
-    assert graph.cycle_edges(edges).count() == 6 and graph.detect_cycles(edges).count() == 0 and graph.detect_cycles(edges, 6).first()["bound"] == 6
+    assert graph.cycle_edges(edges).count() == 6 and graph.detect_cycles(edges).count() == 1 and graph.short_cycles(edges).count() == 0 and graph.short_cycles(edges, 6).first()["bound"] == 6
 
 
 def test_refresh_twice_changes_nothing(spark):
