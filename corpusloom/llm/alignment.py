@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -64,47 +65,75 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Transducer:
-    """Groups of two token streams over the same bytes."""
+    """Groups of two token streams over the same bytes. A state is (side that moves next, what the other side is ahead, transitions by
+    token); the state without a residual is where groups close."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.tokens = a, b
-        # (side that moves, residual of the other side) -> token -> (side that lags next, residual), None if they contradict
-        self.steps: dict[tuple[int, bytes], dict[int, tuple[int, bytes] | None]] = {}
-        self.kept = 0
+        self.clear()
 
-    def step(self, side: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
+    def clear(self) -> None:
+        self.kept = 0
+        self.start: tuple = (0, b"", {})
+        self.dead: tuple = (0, b"", {})
+        self.states = {(0, b""): self.start}
+        self.names: dict[tuple, tuple[str, tuple[tuple[int, int], ...]]] = {}
+
+    def move(self, state: tuple, token: int) -> tuple:
+        """The state behind ``token``, and remember it; dead if the token contradicts the residual."""
+        side, residual, known = state
         own = self.tokens[side][token]
         if len(own) <= len(residual):
-            return (side, residual[len(own) :]) if residual.startswith(own) else None
-        return (1 - side, own[len(residual) :]) if own.startswith(residual) else None
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """The ends (in tokens of a, of b) of each group; None if the streams don't spell the same bytes."""
-        steps, streams, at, ends = self.steps, (a, b), [0, 0], []
-        sizes = len(a), len(b)
-        side, residual = 0, b""  # the side that moves next, and what the other is ahead
-        while at[0] < sizes[0] or at[1] < sizes[1] or residual:
-            if at[side] == sizes[side]:
-                return None
-            token = streams[side][at[side]]
-            known = steps.get((side, residual))
-            if known is None:
-                if self.kept > KEPT_STEPS:
-                    steps.clear()
-                    self.kept = 0
-                known = steps[side, residual] = {}
-            if token not in known:
-                known[token] = self.step(side, residual, token)
-                self.kept += 1
-            after = known[token]
-            if after is None:
+            after = (side, residual[len(own) :]) if residual.startswith(own) else None
+        else:
+            after = (1 - side, own[len(residual) :]) if own.startswith(residual) else None
+        if after is None:
+            found = self.dead
+        elif not after[1]:
+            found = self.start
+        else:
+            found = self.states.setdefault(after, (*after, {}))
+        known[token] = found
+        self.kept += 1
+        return found
+
+    def group(self, key: tuple) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """A group (its ids of either side) as text, and its links."""
+        x, y = (part if isinstance(part, tuple) else (part,) for part in key)
+        found = self.names[key] = f"{','.join(map(str, x))}|{','.join(map(str, y))}", tuple((u, v) for u in x for v in y)
+        self.kept += 1
+        return found
+
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[str, tuple[tuple[int, int], ...]]] | None:
+        """The groups in order, each as text and links; None if the streams don't spell the same bytes."""
+        if self.kept > KEPT_STEPS:
+            self.clear()
+        start, dead, names, found = self.start, self.dead, self.names, []
+        i = j = first_a = first_b = 0
+        n, m = len(a), len(b)
+        state = start
+        while i < n or j < m or state is not start:
+            if state[0]:
+                if j == m:
+                    return None
+                after = state[2].get(b[j]) or self.move(state, b[j])
+                j += 1
+            else:
+                if i == n:
+                    return None
+                after = state[2].get(a[i]) or self.move(state, a[i])
+                i += 1
+            if after is start:
+                if i - first_a == 1 and j - first_b == 1:
+                    key = (a[first_a], b[first_b])
+                else:
+                    key = (tuple(a[first_a:i]), tuple(b[first_b:j]))
+                found.append(names.get(key) or self.group(key))
+                first_a, first_b = i, j
+            elif after is dead:
                 return None
-            at[side] += 1
-            side, residual = after
-            if not residual:
-                ends.append((at[0], at[1]))
-                side = 0
-        return ends
+            state = after
+        return found
 
 
 class Pair:
@@ -124,14 +153,16 @@ class Pair:
         of_b = [b"" if self.b.is_unknown(i) or self.b.is_control(i) else piece_bytes(x) for i, x in enumerate(names)]
         self.transducer = Transducer(of_a, of_b)
         self.space = self.b.piece_to_id("▁")
-        self.cut = not any(re.search(rb"[^ ] ", x) for x in of_a + of_b) and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
+        # of a, white space of several bytes may stand before a space; pieces are only cut behind other characters
+        within = any(re.search(r"\S ", x.decode(errors="ignore")) for x in of_a) or any(re.search(rb"[^ ] ", x) for x in of_b)
+        self.cut = not within and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
         self.clear()
 
     def clear(self) -> None:
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
         self.letters = 0
-        self.transducer.steps.clear()
+        self.transducer.clear()
 
     def pieces(self, text: str) -> list[str]:
         """The text behind a space, in pieces that both sides cut alike."""
@@ -155,18 +186,14 @@ class Pair:
         for piece, b in zip(fresh, of_b, strict=True):
             young[piece] = self.align(self.a.encode_ordinary(piece), [self.space] if piece == " " else b)
 
-    def align(self, a: list[int], b: list[int]) -> tuple | None:
+    def align(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, bytes] | None:
         """Numbers of tokens and groups, the groups as text, and the linked pairs (a id times the size of b's vocabulary, plus b id)."""
-        ends = self.transducer.groups(a, b)
-        if ends is None:
+        groups = self.transducer.groups(a, b)
+        if groups is None:
             return None
-        parts, links, i, j, width = [], [], 0, 0, self.width
-        for i2, j2 in ends:
-            x, y = a[i:i2], b[j:j2]
-            parts.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            links += [u * width + v for u in x for v in y]
-            i, j = i2, j2
-        return len(a), len(b), len(ends), ";".join(parts), links
+        width = self.width
+        links = array("q", [u * width + v for _, linked in groups for u, v in linked])
+        return len(a), len(b), len(groups), ";".join([text for text, _ in groups]), links.tobytes()
 
 
 PAIRS: dict[int, Pair] = {}
@@ -212,17 +239,15 @@ def _portion(pair: Pair, texts: list[list[str]], out: dict[str, list]) -> None:
     for pieces in texts:
         found = [known[p] for p in pieces]
         if not found or None in found:
-            for c in ("n_a", "n_b", "n_groups", "n_links"):
-                out[c].append(0)
-            links, of_groups = [], ""
+            sizes, texts_of, links = ((0,), (0,), (0,)), (), ()
         else:
-            for i, c in enumerate(("n_a", "n_b", "n_groups")):
-                out[c].append(sum(x[i] for x in found))
-            links = [p for x in found for p in x[4]]
-            out["n_links"].append(len(links))
-            of_groups = sha256(";".join(x[3] for x in found))
-        ids, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-        out["groups_sha256"].append(of_groups)
+            *sizes, texts_of, links = zip(*found, strict=True)
+        for c, values in zip(("n_a", "n_b", "n_groups"), sizes, strict=True):
+            out[c].append(sum(values))
+        out["groups_sha256"].append(sha256(";".join(texts_of)) if texts_of else "")
+        linked = np.frombuffer(b"".join(links), dtype=np.int64)
+        out["n_links"].append(len(linked))
+        ids, times = np.unique(linked, return_counts=True)
         out["pairs"].append(pack(np.diff(ids, prepend=0)))  # steps between sorted pairs
         out["times"].append(pack(times))
         out["n_best"].append(0)

@@ -93,14 +93,16 @@ def test_edges(spark):
 
 def test_transducer():
     t = alignment.Transducer([b"ab", b"c", b"abc", b"x", b""], [b"a", b"bc", b"abcab", b"c", b"b"])
-    assert t.groups([0, 1], [0, 1]) == [(2, 2)]
-    assert t.groups([0, 1, 0, 1], [2, 3]) == [(3, 1), (4, 2)]
-    assert t.groups([0, 1], [0, 4, 3]) == [(1, 2), (2, 3)]
-    assert t.groups([0, 3], [0, 1]) is None and t.groups([0], [0]) is None and t.groups([], [0]) is None and t.groups([0], []) is None
-    assert t.groups([], []) == []
-    held = sum(map(len, t.steps.values()))
-    assert t.groups([0, 1] * 50, [0, 1] * 50) == [(2 * i, 2 * i) for i in range(1, 51)]
-    assert sum(map(len, t.steps.values())) == held  # every transition was known
+    said = lambda a, b: None if (found := t.groups(a, b)) is None else [text for text, _ in found]
+    assert said([0, 1], [0, 1]) == ["0,1|0,1"]
+    assert t.groups([0, 1], [0, 1])[0][1] == ((0, 0), (0, 1), (1, 0), (1, 1))
+    assert said([0, 1, 0, 1], [2, 3]) == ["0,1,0|2", "1|3"]
+    assert said([0, 1], [0, 4, 3]) == ["0|0,4", "1|3"]
+    assert said([0, 3], [0, 1]) is None and said([0], [0]) is None and said([], [0]) is None and said([0], []) is None
+    assert said([], []) == []
+    held = t.kept
+    assert said([0, 1] * 50, [0, 1] * 50) == ["0,1|0,1"] * 50
+    assert t.kept == held  # every transition and group was known
 
 
 def test_packing():
