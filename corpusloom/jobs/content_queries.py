@@ -352,6 +352,30 @@ def _(spark, d):
     return extract.call_targets(extract.symbol_bindings(known), known)
 
 
+# ---- comments, strings and scopes: files made of uses that count and of such that don't
+
+_STRIPPED = "CASE ext " + " ".join(f"WHEN '{e}' THEN regexp_replace(content, {Q(p)}, ' ', 'g')" for e, p in synth.USE_COMMENTS.items()) + " END"
+
+
+@query("strip_comments", f"{WITH}, {synth.USES_SQL} SELECT repo_id, path, length(content)::INT AS n_chars, regexp_replace({_STRIPPED}, '\\s+', ' ', 'g') AS code FROM use_files")
+def _(spark, d):
+    rows = extract.strip_comments(synth.use_files(spark, d))
+    return rows.select("repo_id", "path", F.length("stripped").alias("n_chars"), F.regexp_replace("stripped", r"\s+", " ").alias("code"))
+
+
+_SITES = ", ".join(f"('{e}', '{m}', '{k}')" for e, sites in synth.USE_SITES.items() for m, k in sites)
+
+
+@query(
+    "call_sites",
+    f"{WITH}, {SAME}, sites(ext, member, kind) AS (VALUES {_SITES}) SELECT repo_id, src, dst, CASE WHEN ext IN ('py', 'js', 'ts') THEN 'f' ELSE 'm' END || n AS symbol, replace(member, '{{n}}', n::VARCHAR) AS member, kind, 1::BIGINT AS n_sites "
+    "FROM same JOIN sites USING (ext) WHERE used AND (ext <> 'php' OR way % 2 = 1)",
+)
+def _(spark, d):
+    known = stage(extract.facts(synth.use_files(spark, d)))
+    return extract.call_targets(extract.symbol_bindings(known), known)
+
+
 @query(
     "call_rollup",
     f"{WITH}, {CALLS} SELECT repo_id, dst, count(*) AS n_calls, count(DISTINCT src) AS n_callers, array_to_string(list_sort(list(DISTINCT src))[1:5], ',') AS first_callers FROM calls GROUP BY 1, 2",

@@ -69,6 +69,38 @@ BODIES = {
 }
 
 
+#: What stands in a file for each import ({n}: the imported part), with comments, strings and names that hide the import's; and
+#: what is added if the import is used.
+USES = {
+    "py": ("# f{n}(0)\nnote{n} = \"f{n}(1) # f{n}.x\"\ndef hide{n}(f{n}):\n    return f{n}(2) or f{n}.y\n\nkeep{n} = [f{n} for f{n} in note{n} if f{n}(3)]\n", "f{n}.run(4)\nprint(f{n}.Size)\n"),
+    "js": ("// f{n}(0)\n/* f{n}(1) */\nconst re{n} = /f{n}(4)\\/\\/ f{n}.z/;\n", "const note{n} = `f{n}(2) http://x ${f{n}.run(3)} f{n}.y`;\n"),
+    "java": (
+        "class V{n} {\n    // m{n}.fake(0);\n    /* m{n}.fake(1); */\n    String s = \"m{n}.text(2) // no\";\n}\n",
+        "class U{n} {\n    private m{n} held{n};\n    @Autowired\n    public U{n}(final m{n} given{n}, Other other) { given{n}.start(2); }\n"
+        "    void go() { held{n}.run(3); String s = \"m{n}.text(4)\"; m{n} made = new m{n}(); made.stop(); }\n    void hidden(String held{n}) { held{n}.run(5); }\n}\n",
+    ),
+    "php": ("// m{n}::fake(0);\n# m{n}::fake(1);\n$t{n} = <<<TXT\nm{n}::text(2); // no\nTXT;\n$s{n} = 'm{n}::text(3) # no';\n", "m{n}::run(4);\n"),
+    "rs": ("/* m{n}::fake(0); /* m{n}::fake(1); */ m{n}::fake(2); */\nlet s{n} = r#\"m{n}::text(3) // \" \"#;\n", "m{n}::run(4);\n"),
+    "go": ("// m{n}.fake(0)\nvar s{n} = `m{n}.text(1) // \"`\n", "func g{n}() { m{n}.Run(2) }\n"),
+    "rb": ("# m{n}.fake(0)\n=begin\nm{n}.fake(1)\n=end\ns{n} = <<~TXT\n  m{n}.text(2) # no\nTXT\n", "m{n}.run(3)\n"),
+    "cs": ("// m{n}.fake(0);\nvar s{n} = @\"m{n}.text(1); // no \\\";\n", "m{n}.Run(2);\n"),
+}
+USES["ts"] = USES["js"]
+
+#: By extension the comments of USES, as patterns.
+USE_COMMENTS = {
+    "py": r"# f\d+\(0\)", "js": r"// f\d+\(0\)|/\* f\d+\(1\) \*/", "ts": r"// f\d+\(0\)|/\* f\d+\(1\) \*/", "java": r"// m\d+\.fake\(0\);|/\* m\d+\.fake\(1\); \*/",
+    "php": r"// m\d+::fake\(0\);|# m\d+::fake\(1\);", "rs": r"/\* m\d+::fake\(0\); /\* m\d+::fake\(1\); \*/ m\d+::fake\(2\); \*/", "go": r"// m\d+\.fake\(0\)",
+    "rb": r"# m\d+\.fake\(0\)|=begin\nm\d+\.fake\(1\)\n=end", "cs": r"// m\d+\.fake\(0\);",
+}
+
+#: By extension member and kind of the uses that count, one each.
+USE_SITES = {
+    "py": (("run", "call"), ("Size", "class_usage")), "js": (("run", "call"),), "ts": (("run", "call"),), "php": (("run", "static_call"),), "rs": (("run", "static_call"),),
+    "java": (("given{n}", "inject"), ("start", "call"), ("run", "call"), ("m{n}", "instantiate"), ("stop", "call")), "go": (("Run", "call"),), "rb": (("run", "call"),), "cs": (("Run", "call"),),
+}
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, repo_id, dir, ext, path of every file."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -100,9 +132,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select((F.col("src") % 10).alias("repo_id"), F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo_id, path, content."""
-    parts = part_files(spark, sf_dir)
+def _import_lines(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    """src, dst, ext and line: the import line of each edge between files of one language."""
     target = parts.select(F.col("key").alias("dst"), F.col("dir").alias("to_dir"), F.col("ext").alias("to_ext"))
     own = parts.select(F.col("key").alias("src"), "ext")
     same = key_edges(spark, sf_dir).join(own, "src").join(target, "dst").where("ext = to_ext")
@@ -129,9 +160,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     ways["ts"] = ways["js"]
     line = F.coalesce(*(F.when((F.col("ext") == e) & (way % len(lines) == i), text) for e, lines in ways.items() for i, text in enumerate(lines)))
+    return same.select("src", "dst", "ext", line.alias("line"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, path, content."""
+    parts = part_files(spark, sf_dir)
+    same = _import_lines(spark, sf_dir, parts)
+    name, f = F.concat(F.lit("m"), F.col("dst").cast("string")), F.concat(F.lit("f"), F.col("dst").cast("string"))
     call = F.when(F.col("ext").isin("py", "js", "ts"), F.concat(f, F.lit("(1);"))).when(F.col("ext").isin("php", "rs"), F.concat(name, F.lit("::run(1);"))).otherwise(F.concat(name, F.lit(".run(1);")))
     use = F.when((F.col("src") + F.col("dst")) % 3 == 0, call)
-    texts = same.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("l"), F.array_sort(F.collect_list(F.when(use.isNotNull(), F.struct("dst", use.alias("use"))))).alias("u"))
+    texts = same.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "line"))).alias("l"), F.array_sort(F.collect_list(F.when(use.isNotNull(), F.struct("dst", use.alias("use"))))).alias("u"))
     texts = texts.select(
         F.col("src").alias("key"), F.concat(F.array_join("l.line", "\n"), F.lit("\n")).alias("head"), F.when(F.size("u") > 0, F.concat(F.array_join("u.use", "\n"), F.lit("\n"))).otherwise("").alias("tail")
     )
@@ -141,6 +180,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.join(texts, "key", "left").select("repo_id", "path", F.concat(F.coalesce("head", F.lit("")), "body", F.coalesce("tail", F.lit(""))).alias("content"))
 
 
+def use_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo_id, path, content of files that are made of imports and USES of them."""
+    parts = part_files(spark, sf_dir)
+    lines = _import_lines(spark, sf_dir, parts)
+
+    def text(i: int):
+        return F.coalesce(*(F.when(F.col("ext") == e, F.replace(F.lit(u[i]), F.lit("{n}"), F.col("dst").cast("string"))) for e, u in USES.items()))
+
+    said = F.concat(text(0), F.when((F.col("src") + F.col("dst")) % 3 == 0, text(1)).otherwise(""))
+    texts = lines.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "line", said.alias("said")))).alias("l"))
+    texts = texts.select(F.col("src").alias("key"), F.concat(F.array_join("l.line", "\n"), F.lit("\n"), F.array_join("l.said", "")).alias("content"))
+    return parts.join(texts, "key", "left").select("repo_id", "path", F.coalesce("content", F.lit("")).alias("content"))
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.select(
@@ -201,6 +254,15 @@ files AS (
   FROM part_files p JOIN bodies b ON p.ext = b.ext AND p.size % b.turns = b.turn LEFT JOIN heads h ON p.key = h.key)
 """
 
+#: Common table expression use_files; needs GRAPH_SQL and FILES_SQL (its import lines).
+USES_SQL = f"""
+said(ext, always, used) AS (VALUES {', '.join(f'({_quoted(e)}, {_quoted(u[0])}, {_quoted(u[1])})' for e, u in USES.items())}),
+tails AS (
+  SELECT e.src AS key, string_agg(replace(always || CASE WHEN (e.src + e.dst) % 3 = 0 THEN used ELSE '' END, '{{n}}', e.dst::VARCHAR), '' ORDER BY e.dst) AS tail
+  FROM key_edges e JOIN part_files a ON e.src = a.key JOIN part_files b ON e.dst = b.key JOIN said s ON s.ext = a.ext WHERE a.ext = b.ext GROUP BY e.src),
+use_files AS (SELECT p.repo_id, p.path, p.ext, coalesce(h.head || t.tail, '') AS content FROM part_files p LEFT JOIN heads h USING (key) LEFT JOIN tails t USING (key))
+"""
+
 #: Common table expressions commits and commit_files.
 HISTORY_SQL = """
 commits AS (

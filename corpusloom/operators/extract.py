@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from corpusloom.operators.catalog import EXPORT_RULES, IMPORT_RULES, JAVA_EXTERNAL, LANGUAGES, NAME_ROLES, RESOLUTION, ROLES
 from corpusloom.operators.corpus import extension
 from corpusloom.operators.hits import first, rows_of_files, suffix
+from corpusloom.operators.lexing import bare, code_only
+from corpusloom.operators.uses import java_injections, java_uses, parse, python_uses
 
-#: Lines that are imports, by language family; others have the first.
-IMPORT_LINE = re.compile(r"\s*(?:import|from|using|require|require_once|include|include_once|use|package|namespace|export|const|let|var)\b", re.ASCII)
+#: Lines that are imports: of scripts (what is declared beside an import of none still counts), and of other languages.
+IMPORT_LINE = re.compile(r"\s*(?:import\b|export\b[^\n]*\bfrom\b|(?:const|let|var)\b[^\n]*\brequire\s*\()", re.ASCII)
 PLAIN_IMPORT_LINE = re.compile(r"\s*(?:import|from|using|require|require_once|require_relative|include|include_once|use|package|namespace|#\s*include|#\s*import)\b", re.ASCII)
 
-#: Comments by family: # to the end of the line, -- to the end of the line, and the rest with // and blocks.
-HASH, DASH = ("python", "ruby", "shell", "perl", "r", "elixir", "nim"), ("lua", "haskell")
-
 FACTS = (
     "language string, n_lines long, purpose string, imports array<struct<spec:string,kind:string,names:array<string>,candidates:array<string>>>, "
     "exports array<struct<kind:string,name:string>>, words array<string>, sites array<struct<symbol:string,member:string,kind:string>>"
@@ -33,27 +32,6 @@ def language(path: str) -> str:
     return LANGUAGES.get(suffix(path), "")
 
 
-def bare(text: str, lang: str) -> str:
-    """The text without comments: whole comment lines, what follows code on a line, and blocks. A mark within a quoted string
-    of the same line stays."""
-    quoted = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-    if lang in HASH:
-        pattern = rf"({quoted})|#[^\n]*"
-    elif lang in DASH:
-        pattern = rf"({quoted})|--[^\n]*|\{{-[\s\S]*?-\}}"
-    elif lang == "erlang":
-        pattern = rf"({quoted})|%[^\n]*"
-    elif lang == "clojure":
-        pattern = rf"({quoted})|;[^\n]*"
-    elif lang == "php":
-        pattern = rf"({quoted})|//[^\n]*|#(?!\[)[^\n]*|/\*[\s\S]*?\*/"
-    elif lang in ("html", "vue", "svelte"):
-        pattern = rf"({quoted})|<!--[\s\S]*?-->|//[^\n]*|/\*[\s\S]*?\*/"
-    else:
-        pattern = rf"({quoted})|//[^\n]*|/\*[\s\S]*?\*/"
-    return re.sub(pattern, lambda m: m[1] or "", text)
-
-
 # ---- imports
 
 
@@ -127,8 +105,8 @@ def candidates(path: str, lang: str, spec: str, package: str = "") -> list[str]:
     return list(dict.fromkeys(w for w in found if w))
 
 
-def _python(text: str) -> Iterator[tuple[str, str, list[str]]]:
-    for node in ast.walk(_tree(text)):
+def _python(tree: ast.Module) -> Iterator[tuple[str, str, list[str]]]:
+    for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             for a in node.names:
                 yield a.name, "import", [a.asname or a.name.split(".")[0]]
@@ -208,14 +186,14 @@ def _by_rules(text: str, lang: str) -> Iterator[tuple[str, str, list[str]]]:
                 yield spec, kind, [local or re.split(r"::|\.", stem)[-1]]
 
 
-READERS = {"python": _python, "javascript": _script, "typescript": _script, "vue": _script, "svelte": _script, "java": _java, "php": _php, "go": _go}
+READERS = {"javascript": _script, "typescript": _script, "vue": _script, "svelte": _script, "java": _java, "php": _php, "go": _go}
 
 
-def _imports(path: str, text: str, lang: str) -> list[tuple[str, str, list[str], list[str]]]:
+def _imports(path: str, text: str, lang: str, tree: ast.Module | None = None) -> list[tuple[str, str, list[str], list[str]]]:
     read = READERS.get(lang)
     package = first(r"\bpackage\s+([\w.]+)\s*;", text).replace(".", "/") if lang == "java" else ""
     out: dict[tuple[str, str], list] = {}
-    for spec, kind, names in read(text) if read else _by_rules(text, lang):
+    for spec, kind, names in _python(tree) if tree is not None else read(text) if read else _by_rules(text, lang):
         family = "include" if lang == "php" and kind == "include" else "javascript" if lang in ("vue", "svelte") else lang
         ways = [] if lang == "java" and spec.startswith(JAVA_EXTERNAL) else candidates(path, family, spec, package)
         old = out.setdefault((spec, kind), [[], ways])
@@ -226,18 +204,10 @@ def _imports(path: str, text: str, lang: str) -> list[tuple[str, str, list[str],
 # ---- exports, uses, purpose
 
 
-def _tree(text: str) -> ast.AST:
-    """A file that isn't Python's syntax has no facts."""
-    try:
-        return ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return ast.Module(body=[], type_ignores=[])
-
-
-def _exports(text: str, lang: str) -> list[tuple[str, str]]:
+def _exports(text: str, lang: str, tree: ast.Module | None = None) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
-    if lang == "python":
-        for node in _tree(text).body:
+    if tree is not None:
+        for node in tree.body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 found.append(("fn", node.name))
             elif isinstance(node, ast.ClassDef):
@@ -254,10 +224,10 @@ def _exports(text: str, lang: str) -> list[tuple[str, str]]:
     return [x for x in dict.fromkeys(found) if not x[1].startswith("_") or lang == "java"]
 
 
-def _purpose(text: str, lang: str, exported: list[tuple[str, str]], show: int = 3) -> str:
+def _purpose(text: str, lang: str, exported: list[tuple[str, str]], tree: ast.Module | None = None, show: int = 3) -> str:
     """The docstring's first line; a role; the first classes, else functions; else ``module``."""
-    if lang == "python":
-        doc = (ast.get_docstring(_tree(text)) or "").strip()
+    if tree is not None:
+        doc = (ast.get_docstring(tree) or "").strip()
         if doc:
             return doc.split("\n")[0].strip()
     if lang == "java":
@@ -287,23 +257,28 @@ NO_CALLS = frozenset("if for while switch catch return function def class new an
 
 
 def _sites(text: str, lang: str) -> list[tuple[str, str, str]]:
-    """symbol, member, kind of every use: calls one row each, reads of members once."""
+    """symbol, member, kind of every use in code without comments and strings: calls one row each, reads of members once."""
     out: list[tuple[str, str, str]] = []
     lines = PLAIN_IMPORT_LINE if lang not in ("javascript", "typescript", "vue", "svelte") else IMPORT_LINE
     body = "\n".join(x for x in text.split("\n") if not lines.match(x))
-    # a file's variables and what they are instances of
-    types = dict((name, kind) for kind, name in re.findall(r"\b([A-Z]\w*)(?:<[^>\n]*>)?\s+(\w+)\s*[;=,)]", body)) if lang in ("java", "kotlin", "csharp", "php", "typescript") else {}
-    types |= {name: kind for name, kind in re.findall(r"\$?(\w+)\s*=\s*new\s+(\w+)", body)}
     members = set()
-    for m in re.finditer(r"\b(\w+)(?:\.|->)(\w+)\s*\(", text):
-        owner = types.get(m[1], m[1])
-        out.append((owner, m[2], "call"))
-        members.add((owner, m[2]))
-    for m in re.finditer(r"\b(\w+)\.(\w+)\b(?!\s*\()", body):
-        owner = types.get(m[1], m[1])
-        if (owner, m[2]) not in members and not m[1].isdigit():
+    if lang == "java":
+        out = java_uses(body)
+        members = {(owner, member) for owner, member, _ in out}
+    else:
+        # a file's variables and what they are instances of
+        types = dict((name, kind) for kind, name in re.findall(r"\b([A-Z]\w*)(?:<[^>\n]*>)?\s+(\w+)\s*[;=,)]", body)) if lang in ("kotlin", "csharp", "php", "typescript") else {}
+        types |= {name: kind for name, kind in re.findall(r"\$?(\w+)\s*=\s*new\s+(\w+)", body)}
+        for m in re.finditer(r"\b(\w+)(?:\.|->)(\w+)\s*\(", text):
+            owner = types.get(m[1], m[1])
+            out.append((owner, m[2], "call"))
             members.add((owner, m[2]))
-            out.append((owner, m[2], "class_usage" if m[2][0].isupper() else "attribute"))
+        for m in re.finditer(r"\b(\w+)\.(\w+)\b(?!\s*\()", body):
+            owner = types.get(m[1], m[1])
+            if (owner, m[2]) not in members and not m[1].isdigit():
+                members.add((owner, m[2]))
+                out.append((owner, m[2], "class_usage" if m[2][0].isupper() else "attribute"))
+        out += [(name, name, "instantiate") for name in re.findall(r"\bnew\s+(\w+)\s*\(", body)]
     for m in re.finditer(r"\b(\w+)::(\w+)\s*\(", text):
         out.append((m[1], m[2], "static_call"))
         members.add((m[1], m[2]))
@@ -311,8 +286,7 @@ def _sites(text: str, lang: str) -> list[tuple[str, str, str]]:
         if (m[1], m[2]) not in members and lang == "php":
             members.add((m[1], m[2]))
             out.append((m[1], m[2], "static_prop"))
-    out += [(name, name, "instantiate") for name in re.findall(r"\bnew\s+(\w+)\s*\(", body)]
-    for m in re.finditer(r"(?<![\w.>:$])(\w+)\s*\(", body):
+    for m in re.finditer(r"(?<![\w.>:$@])(\w+)\s*\(", body):
         before = body[max(0, m.start() - 12) : m.start()]
         if m[1] not in NO_CALLS and not re.search(r"\b(?:new|def|function|fun|func|fn|sub|class)\s+$", before):
             out.append((m[1], m[1], "call"))
@@ -320,37 +294,43 @@ def _sites(text: str, lang: str) -> list[tuple[str, str, str]]:
         for listed in re.findall(rf"\b{kind}\s+([\w\s,\\<>]+)", body):
             names = re.split(r"\b(?:extends|implements)\b|[\n{{]", listed)[0]
             out += [(name, name, kind) for name in re.findall(r"(\w+)(?:<[^>]*>)?\s*(?:,|$)", names.strip())]
-    if lang == "python":
-        out += [(b, b, "extends") for bases in re.findall(r"(?m)^\s*class\s+\w+\s*\(([^)]*)\)", body) for b in re.findall(r"\b(\w+)\b(?!\s*=)", bases)]
     if lang == "php":
         for listed in re.findall(r"(?m)^[ \t]+use\s+([\w, ]+);", text):
             out += [(name, name, "trait_use") for name in re.findall(r"\w+", listed)]
     if lang in ("java", "kotlin"):
-        for kind, name in re.findall(r"@(?:Autowired|Resource|Inject|Qualifier)\s*(?:\([^)]*\))?\s*(?:private|public|protected)\s+(?:static\s+|final\s+)*(\w+)(?:<[^>]+>)?\s+(\w+)\s*;", text):
-            out.append((kind, name, "inject"))
+        out += java_injections(text)
     return out
 
 
 def _words(text: str, lang: str) -> list[str]:
-    """Distinct words of the lines that aren't imports; of Python the names that its code reads."""
-    if lang == "python":
-        names = {n.id for n in ast.walk(_tree(text)) if isinstance(n, ast.Name)}
-        return sorted(names)
+    """Distinct words of the lines that aren't imports."""
     lines = IMPORT_LINE if lang in ("javascript", "typescript", "vue", "svelte") else PLAIN_IMPORT_LINE
     body = "\n".join(x for x in text.split("\n") if not lines.match(x))
     return sorted(set(re.findall(r"[A-Za-z_$]\w*", body)))
 
 
+def strip_comments(files: DataFrame, strings: bool = True) -> DataFrame:
+    """repo_id, path, stripped: the content with its comments blanked (see lexing), and with ``strings`` false also what stands in strings.
+    Length and lines stay. One narrow pass; a null content is empty."""
+    strip = bare if strings else code_only
+    return rows_of_files(files, lambda path, text: [(strip(text, language(path)),)], "stripped string")
+
+
 def facts(files: DataFrame) -> DataFrame:
     """One row per file: repo_id, path, language, n_lines, purpose, imports, exports, words and sites (see FACTS). A null content is
     empty; a Python file with a syntax error has none."""
 
     def read(path: str, text: str) -> list[tuple]:
         lang = language(path)
-        clean = text if lang == "python" else bare(text, lang)
-        exported = _exports(clean, lang)
-        found = _imports(path, clean, lang) if lang == "python" or lang in READERS or lang in RESOLUTION else []
-        return [(lang, len(text.splitlines()), _purpose(clean, lang, exported), found, exported, _words(clean, lang), _sites(clean, lang))]
+        tree = parse(text) if lang == "python" else None
+        clean = text if tree is not None else bare(text, lang)
+        exported = _exports(clean, lang, tree)
+        found = _imports(path, clean, lang, tree) if tree is not None or lang in READERS or lang in RESOLUTION else []
+        if tree is not None:
+            sites, words = python_uses(tree)
+        else:
+            sites, words = _sites(code_only(text, lang), lang), _words(clean, lang)
+        return [(lang, len(text.splitlines()), _purpose(clean, lang, exported, tree), found, exported, words, sites)]
 
     return rows_of_files(files, read, FACTS)
 

@@ -87,6 +87,7 @@ def detect_cycles(edges: DataFrame, self_loops: bool = False) -> DataFrame:
     Searches start at both ends of all edges within strongly connected components, one step a round, forward from the file that is
     imported and backward from the one that imports; edges whose ways met drop out, and searches that no open edge needs any more
     with them. So the rounds are as many as the longest of these cycles has files, and a search looks half a cycle around."""
+    edges = stage(edges.select("repo_id", "src", "dst"))
     ranked = _ranked(cycle_members(edges))
     found = _shortest_cycles(_inside(edges, ranked))
     out = _named(found, ranked) if found is not None else None
@@ -134,6 +135,7 @@ def long_cycles(edges: DataFrame, most: int) -> DataFrame:
     For these components, paths of ``most`` edges are extended, one step a round, until one returns to its start; what can't be on
     a cycle of three or more (files with one neighbour, again and again) is left out first. Simple paths can be many: the search is meant
     for small limits, and few components need it."""
+    edges = stage(edges.select("repo_id", "src", "dst"))
     ranked = _ranked(cycle_members(edges))
     inside = stage(_inside(edges, ranked))
     found = _shortest_cycles(inside)
@@ -175,6 +177,7 @@ def long_cycles(edges: DataFrame, most: int) -> DataFrame:
 def short_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
     """All simple cycles of at most max_len nodes (there can be exponentially many longer ones), each once, its smallest node first; bound:
     max_len. Paths are only walked within strongly connected components."""
+    edges = stage(edges.select("repo_id", "src", "dst"))
     ranked = _ranked(cycle_members(edges))
     steps = stage(_inside(edges, ranked))
     ways, found = steps.where("t > s").select(F.array("s", "t").alias("cycle")), None
@@ -189,6 +192,7 @@ def short_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges on any cycle, however long: those within one strongly connected component."""
+    edges = stage(edges.select("repo_id", "src", "dst"))
     members = cycle_members(edges)
     ends = [members.select("repo_id", F.col("path").alias(c), "component") for c in ("src", "dst")]
     inside = edges.where("src <> dst").join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "component"])
@@ -203,21 +207,25 @@ def _peel_once(edges: DataFrame) -> DataFrame:
     return after.select("repo_id", "src", "dst")
 
 
-def peel(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int, bool]:
-    """A staged table of the edges between nodes that have edges in and out, repeatedly until none falls off (then it holds all cycles), or
-    for so many rounds; how many they are; and whether more may fall off."""
+#: Edges fall off, and chains are contracted, as long as a round takes away this share of the edges.
+WORTH = 1 / 16
+
+
+def peel(edges: DataFrame) -> tuple[DataFrame, int]:
+    """A staged table of the edges without those of nodes that have no edge in or none out, again and again as long as many fall off; and
+    how many are left."""
     spark = edges.sparkSession
     now, path = stage_at(edges)
-    count, turn = now.count(), 0
-    while count and (rounds is None or turn < rounds):
+    count = now.count()
+    while count:
         after, after_path = stage_at(_peel_once(now))
         left = after.count()
         unstage(spark, path)
-        now, path, turn = after, after_path, turn + 1
-        if left == count:
-            return now, count, False
+        now, path, enough = after, after_path, left > (1 - WORTH) * count
         count = left
-    return now, count, bool(count)
+        if enough:
+            break
+    return now, count
 
 
 def follow(steps: DataFrame) -> DataFrame:
@@ -274,60 +282,58 @@ def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None
     return kept.select("repo_id", "src", "dst").unionByName(short).distinct(), chains, rings
 
 
-def _components(left: DataFrame) -> DataFrame | None:
-    """repo_id, path, component of the strongly connected components of peeled edges.
-
-    Every node learns the least node that reaches it and the least that it reaches. Where both are one node,
-    that is the component; edges between nodes that differ in either can't be in a component and go. So every part of the graph
-    finds a component in every round."""
-    out = None
-    while not left.isEmpty():
-        nodes = left.select("repo_id", F.col("src").alias("node")).union(left.select("repo_id", F.col("dst").alias("node"))).distinct()
-        label = stage(nodes.select("repo_id", "node", F.col("node").alias("f"), F.col("node").alias("b")))
-        while True:
-            none = F.lit(None).cast("string")
-            ahead = left.join(label.withColumnRenamed("node", "src"), ["repo_id", "src"]).select("repo_id", F.col("dst").alias("node"), "f", none.alias("b"))
-            back = left.join(label.withColumnRenamed("node", "dst"), ["repo_id", "dst"]).select("repo_id", F.col("src").alias("node"), none.alias("f"), "b")
-            after = stage(label.unionByName(ahead).unionByName(back).groupBy("repo_id", "node").agg(F.min("f").alias("f"), F.min("b").alias("b")))
-            stable = after.join(label, ["repo_id", "node", "f", "b"], "left_anti").isEmpty()
-            label = after
-            if stable:
-                break
-        done = label.where("f = b").select("repo_id", F.col("node").alias("path"), F.col("f").alias("component"))
-        out = done if out is None else out.unionByName(done)
-        open_ = label.where("f <> b")
-        ends = [open_.select("repo_id", F.col("node").alias(c), "f", "b") for c in ("src", "dst")]
-        left = peel(left.join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "f", "b"]).select("repo_id", "src", "dst"))[0]
-    return out
+def _labels(edges: DataFrame) -> DataFrame:
+    """repo_id, node, f, b: the least node that reaches a node, and the least that it reaches."""
+    spark = edges.sparkSession
+    nodes = edges.select("repo_id", F.col("src").alias("node")).union(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
+    label, path = stage_at(nodes.select("repo_id", "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(False).alias("changed")))
+    while True:
+        none = F.lit(None).cast("string")
+        ahead = edges.join(label.withColumnRenamed("node", "src"), ["repo_id", "src"]).select("repo_id", F.col("dst").alias("node"), "f", none.alias("b"), none.alias("f0"), none.alias("b0"))
+        back = edges.join(label.withColumnRenamed("node", "dst"), ["repo_id", "dst"]).select("repo_id", F.col("src").alias("node"), none.alias("f"), "b", none.alias("f0"), none.alias("b0"))
+        own = label.select("repo_id", "node", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+        least = own.unionByName(ahead).unionByName(back).groupBy("repo_id", "node").agg(F.min("f").alias("f"), F.min("b").alias("b"), F.min("f0").alias("f0"), F.min("b0").alias("b0"))
+        after, after_path = stage_at(least.select("repo_id", "node", "f", "b", ((F.col("f") < F.col("f0")) | (F.col("b") < F.col("b0"))).alias("changed")))
+        stable = after.where("changed").isEmpty()
+        unstage(spark, path)
+        label, path = after, after_path
+        if stable:
+            return label.drop("changed")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """Nodes on any cycle, with the least node and the size of their strongly connected component.
 
-    Chains of nodes with one edge in and one out become one edge each (by pointer jumping, so in rounds logarithmic in their length; rings of
-    such nodes are components), and nodes without edges in or out fall off; both in turn, until neither changes anything. Least
-    nodes are spread over what is left. Then the chains are undone, the last first: a chain whose ends are in one component is in it."""
+    Nodes without edges in or out fall off, and chains of nodes with one edge in and one out become one edge each (by pointer jumping, so
+    in rounds logarithmic in their length; rings of such nodes are components), as long as that is worth it. Then every
+    node learns the least node that reaches it and the least that it reaches. Where both are one node, that is the component; edges
+    between nodes that differ in either can't be in a component and go. So every part of the graph finds a component, and the rest goes
+    the same way again. In the end the chains are undone, the last first: a chain whose ends are in one component is in it."""
     now = edges.where("src <> dst").select("repo_id", "src", "dst").distinct()
     levels: list[DataFrame] = []
     found: DataFrame | None = None
     while True:
-        now, count, more = peel(now, 4)
-        parts = _contract(now) if count else None
-        if parts is None and not more:
-            break
-        if parts is not None:
-            now, chains, rings = parts
+        now, count = peel(now)
+        before = 2 * count
+        while count and count < (1 - WORTH) * before and (parts := _contract(now)):
+            short, chains, rings = parts
             levels.append(chains)
             found = rings if found is None else found.unionByName(rings)
-    core = _components(now) if count else None
-    if core is not None:
+            before = count
+            now, count = peel(short)
+        if not count:
+            break
+        label = _labels(now)
+        core = label.where("f = b").select("repo_id", F.col("node").alias("path"), F.col("f").alias("component"))
         found = core if found is None else found.unionByName(core)
+        open_ = label.where("f <> b")
+        ends = [open_.select("repo_id", F.col("node").alias(c), "f", "b") for c in ("src", "dst")]
+        now = now.join(ends[0], ["repo_id", "src"]).join(ends[1], ["repo_id", "dst", "f", "b"]).select("repo_id", "src", "dst")
     if found is None:
         return edges.select("repo_id", F.col("src").alias("path"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     for chains in reversed(levels):
         loops = chains.where("head = tail").select("repo_id", F.col("head").alias("path")).distinct()
-        alone = loops.join(found, ["repo_id", "path"], "left_anti").select("repo_id", "path", F.col("path").alias("component"))
-        found = stage(found.unionByName(alone))
+        found = found.unionByName(loops.join(found, ["repo_id", "path"], "left_anti").select("repo_id", "path", F.col("path").alias("component")))
         of = [found.select("repo_id", F.col("path").alias(c), "component") for c in ("head", "tail")]
         within = chains.join(of[0], ["repo_id", "head"]).join(of[1], ["repo_id", "tail", "component"])
         found = stage(found.unionByName(within.select("repo_id", F.col("node").alias("path"), "component")))
