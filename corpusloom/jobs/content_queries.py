@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpusloom.functions.staging import stage
+from corpusloom.functions.staging import shared_dir, stage
 from corpusloom.jobs import synth
-from corpusloom.jobs.queries import CYCLES, FILES, GRAPH, query
-from corpusloom.operators import endpoints, extract, graph, models, quality, security
+from corpusloom.jobs.queries import CYCLES, FILES, GRAPH, STATE, query
+from corpusloom.operators import endpoints, extract, graph, incremental, models, quality, security
 from corpusloom.operators.catalog import BRANCHES, ENDPOINT_RULES, EXPORT_RULES, HASH_COMMENTS, REACH, ROUTE_METHODS, SECURITY_RULES, SLASH_COMMENTS, UNCHECKED_DIRS
 from corpusloom.operators.corpus import per_repo_top
 
@@ -289,6 +291,27 @@ def _(spark, d):
     return extract.resolve_imports(facts(spark, d))
 
 
+@query(
+    "refresh_nodes",
+    f"{WITH}, {RESOLVED}, {STATE}, listed AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS imports FROM resolved GROUP BY 1) "
+    "SELECT f.repo_id, f.path, sha256(f.content) AS sha256, CASE WHEN s.sha256 IS NULL THEN 'new' WHEN s.sha256 = sha256(f.content) THEN 'cached' ELSE 'changed' END AS status, coalesce(imports, '') AS imports "
+    "FROM files f LEFT JOIN state s ON f.repo_id = s.repo_id AND f.path = s.path LEFT JOIN listed l ON l.src = f.path "
+    "UNION ALL SELECT repo_id, path, sha256, 'gone', '' FROM state WHERE path = 'src/gone.py'",
+)
+def _(spark, d):
+    """A state of former files (some with other contents, some missing, some gone by now), brought up to date."""
+    now = stage(synth.files(spark, d))
+    n = F.regexp_extract("path", r"m(\d+)\.", 1).try_cast("long")
+    gone = now.select("repo_id").distinct().select("repo_id", F.lit("src/gone.py").alias("path"), F.lit("import os\n").alias("content"))
+    former = now.where(n % 23 != 0).select("repo_id", "path", F.when(n % 17 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content")).unionByName(gone)
+    state = incremental.open_state(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    incremental.refresh(former, state)
+    rows = incremental.refresh(now, state)
+    listed = state.read("edges").groupBy("repo_id", F.col("src").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("imports"))
+    hashes = F.when(F.col("status") == "gone", "0").otherwise(F.col("sha256")).alias("sha256")
+    return rows.join(listed, ["repo_id", "path"], "left").select("repo_id", "path", hashes, "status", F.coalesce("imports", F.lit("")).alias("imports"))
+
+
 @query("external_imports", f"{WITH}, {IMPORTS} SELECT repo_id, spec, count(DISTINCT path) AS n_files FROM imports WHERE NOT regexp_matches(spec, '[^a-z]m\\d+(\\.php)?$') GROUP BY 1, 2")
 def _(spark, d):
     return extract.external_imports(facts(spark, d))

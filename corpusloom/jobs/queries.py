@@ -175,7 +175,7 @@ def _(spark, d):
 
 @query(
     "prompt_table",
-    "SELECT doc_id::VARCHAR AS path, 'File: ' || doc_id || chr(10) || 'Lines: ' || len(string_split(text, chr(10))) || chr(10) || chr(10) || "
+    "SELECT source AS repo_id, doc_id::VARCHAR AS path, 'File: ' || doc_id || chr(10) || 'Lines: ' || len(string_split(text, chr(10))) || chr(10) || chr(10) || "
     "CASE WHEN length(text) > 8000 THEN substr(text, 1, 8000) || chr(10) || '... (truncated)' ELSE text END AS prompt FROM documents",
 )
 def _(spark, d):

@@ -90,14 +90,22 @@ def search_files(files: DataFrame, text: str) -> DataFrame:
 
 
 def prompt_table(docs: DataFrame, most: int = 8000, described: DataFrame | None = None) -> DataFrame:
-    """What a describing model would be given: name, language (where the path tells one), lines, and at most ``most`` characters of each
-    text, with a mark if cut. described(path): files that have a description already are left out."""
+    """What a describing model would be given, by repository and path: name, language (where the path tells one), lines, and at most
+    ``most`` characters of each text, with a mark if cut. described(repo_id, path): files that have a description already are left out."""
     if described is not None:
-        docs = docs.join(described.select("path").distinct(), "path", "left_anti")
+        docs = docs.join(described.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
     cut = F.when(F.length("content") > most, F.concat(F.left("content", F.lit(most)), F.lit("\n... (truncated)"))).otherwise(F.col("content"))
     known = F.coalesce(F.concat(F.lit("\nLanguage: "), language_of(F.col("path"))), F.lit(""))
     head = F.concat(F.lit("File: "), "path", known, F.lit("\nLines: "), F.size(F.split("content", "\n", -1)).cast("string"), F.lit("\n\n"))
-    return docs.select("path", F.concat(head, cut).alias("prompt"))
+    return docs.select("repo_id", "path", F.concat(head, cut).alias("prompt"))
+
+
+def merge_descriptions(nodes: DataFrame, described: DataFrame) -> DataFrame:
+    """nodes(repo_id, path, purpose, ...) with what a model said, described(repo_id, path, description), in place of the purpose where it isn't
+    blank; purpose_source tells model or parser. Of several descriptions of a file the least counts."""
+    said = described.where(F.trim("description") != "").groupBy("repo_id", "path").agg(F.min("description").alias("said"))
+    rows = nodes.join(said, ["repo_id", "path"], "left")
+    return rows.withColumns({"purpose": F.coalesce("said", "purpose"), "purpose_source": F.when(F.col("said").isNotNull(), "model").otherwise("parser")}).drop("said")
 
 
 def per_repo_top(rows: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -340,32 +340,33 @@ def raw_imports(known: DataFrame) -> DataFrame:
     return known.select("repo_id", "path", F.explode("imports").alias("i")).select("repo_id", "path", "i.spec", "i.kind")
 
 
-def resolved_specs(known: DataFrame) -> DataFrame:
-    """repo_id, path, spec, dst: each spec's first candidate that exists. One equi-join on (repo_id, candidate), no contents in it."""
+def resolved_specs(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """repo_id, path, spec, dst: each spec's first candidate that exists among ``paths`` (by default the files that are known). One equi-join
+    on (repo_id, candidate), no contents in it."""
     each = known.select("repo_id", "path", F.explode("imports").alias("i"))
     tried = each.select("repo_id", "path", F.col("i.spec").alias("spec"), F.posexplode("i.candidates").alias("rank", "candidate"))
-    found = tried.join(known.select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
+    found = tried.join((known if paths is None else paths).select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
     return found.groupBy("repo_id", "path", "spec").agg(F.min_by("candidate", "rank").alias("dst"))
 
 
-def resolve_imports(known: DataFrame, fallback: bool = True) -> DataFrame:
+def resolve_imports(known: DataFrame, fallback: bool = True, paths: DataFrame | None = None) -> DataFrame:
     """repo_id, src, dst: the files that a file imports. fallback: what no candidate resolves is looked for by its class name (Java and
-    PHP, see resolve_by_class_name)."""
-    found = resolved_specs(known).select("repo_id", F.col("path").alias("src"), "dst")
+    PHP, see resolve_by_class_name). paths: the files that exist, by default those that are known."""
+    found = resolved_specs(known, paths).select("repo_id", F.col("path").alias("src"), "dst")
     if fallback:
-        found = found.unionByName(class_name_imports(known).select("repo_id", "src", "dst"))
+        found = found.unionByName(class_name_imports(known, paths).select("repo_id", "src", "dst"))
     return found.where("src <> dst").distinct()
 
 
-def unresolved(known: DataFrame) -> DataFrame:
+def unresolved(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """repo_id, path, language, spec, kind of imports without a file."""
     each = known.select("repo_id", "path", "language", F.explode("imports").alias("i")).select("repo_id", "path", "language", "i.spec", "i.kind")
-    return each.join(resolved_specs(known), ["repo_id", "path", "spec"], "left_anti")
+    return each.join(resolved_specs(known, paths), ["repo_id", "path", "spec"], "left_anti")
 
 
-def class_name_imports(known: DataFrame) -> DataFrame:
+def class_name_imports(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """repo_id, src, spec, name, dst of Java and PHP imports that only a class name resolves; external prefixes never do."""
-    left = unresolved(known).where("kind in ('import', 'static', 'use')")
+    left = unresolved(known, paths).where("kind in ('import', 'static', 'use')")
     name = F.regexp_extract("spec", r"(\w+)$", 1)
     out = None
     for lang, ext in (("java", "java"), ("php", "php")):
@@ -375,7 +376,7 @@ def class_name_imports(known: DataFrame) -> DataFrame:
             for prefix in JAVA_EXTERNAL:
                 external = external | F.col("spec").startswith(prefix)
             wanted = wanted.where(F.col("name").rlike("^[A-Z]") & ~external)
-        rows = wanted.join(resolve_by_class_name(wanted.select("repo_id", "src", "name"), known, ext), ["repo_id", "src", "name"])
+        rows = wanted.join(resolve_by_class_name(wanted.select("repo_id", "src", "name"), known if paths is None else paths, ext), ["repo_id", "src", "name"])
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -1,8 +1,8 @@
-"""Writing results: nested node records, graph tables, and state."""
+"""Writing results: nested node records and graph tables (states: see sources.state)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.corpus import basename
@@ -61,18 +61,3 @@ def graph_export(nodes: DataFrame, edges: DataFrame, layers: DataFrame | None =
             colour = F.when(F.col("layer") == name, value).otherwise(colour)
         rows = rows.join(layers.select("repo_id", "path", "layer"), ["repo_id", "path"], "left").withColumn("colour", colour)
     return rows
-
-
-def swap_state(spark: SparkSession, state: DataFrame, path: str) -> None:
-    """Write the next state beside the present one and put it in its place: a reader sees the one or the other, and a job that
-    fails on the way leaves the present one."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    now, new, old = (fs_path(path + end) for end in ("", ".next", ".before"))
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(new, True)
-    state.write.parquet(path + ".next")
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)

@@ -510,14 +510,6 @@ def test_prompts_leave_out_what_is_described(spark):
     assert [r["path"] for r in got] == ["b.py"] and got[0]["prompt"].startswith("File: b.py\nLanguage: python\nLines: 1\n") and got[0]["prompt"].endswith("... (truncated)")
 
 
-def test_state_is_swapped(spark, tmp_path):
-    path = f"file://{tmp_path}/state"
-    for i in range(2):
-        sinks.swap_state(spark, spark.createDataFrame([(i,)], "n int"), path)
-        assert [r["n"] for r in spark.read.parquet(path).collect()] == [i]
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["state"]
-
-
 def test_read_tree_and_write_report(spark, tmp_path):
     (tmp_path / "in/repo/src").mkdir(parents=True)
     (tmp_path / "in/repo/src/a.py").write_text("é = 1\n")
