@@ -129,6 +129,21 @@ ISSUES = "issues AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+#: The files of the corpus and, for every seventh, one beside it that shouldn't be in a repository.
+_RISKY = "files2 AS (SELECT repo_id, path FROM files UNION ALL SELECT repo_id, 'conf/' || CASE key % 3 WHEN 0 THEN 'k' || key || '.pem' WHEN 1 THEN 'd' || key || '/Dockerfile' ELSE 'vendor/' || key || '.env' END FROM part_files WHERE key % 7 = 0)"
+_ALL_ISSUES = _RISKY + (
+    ", all_issues AS (SELECT * FROM issues UNION ALL SELECT repo_id, path, 'SEC-001', CASE WHEN ends_with(path, '.pem') THEN 'sensitive file by extension' ELSE 'sensitive file by name' END, "
+    "CASE WHEN ends_with(path, '.pem') THEN 'high' ELSE 'medium' END, 0, left(path, 80) FROM files2 WHERE starts_with(path, 'conf/') AND NOT contains(path, 'vendor/'))"
+)
+
+
+def risky_files(spark, d):
+    key = F.col("key").cast("string")
+    name = F.when(F.col("key") % 3 == 0, F.concat(F.lit("k"), key, F.lit(".pem"))).when(F.col("key") % 3 == 1, F.concat(F.lit("d"), key, F.lit("/Dockerfile"))).otherwise(F.concat(F.lit("vendor/"), key, F.lit(".env")))
+    more = synth.part_files(spark, d).where("key % 7 = 0").select("repo_id", F.concat(F.lit("conf/"), name).alias("path"), F.lit("password = 'correct-horse'").alias("content"))
+    return synth.files(spark, d).unionByName(more.withColumn("content", F.when(F.col("path").like("%.pem"), F.col("content")).otherwise("")))
+
+
 @query("security_scan", f"{WITH}, {ISSUES} SELECT * FROM issues")
 def _(spark, d):
     return security.security_scan(synth.files(spark, d))
@@ -136,15 +151,15 @@ def _(spark, d):
 
 @query(
     "security_summary",
-    f"{WITH}, {ISSUES} SELECT repo_id, count(*) AS n_issues, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM issues GROUP BY 1",
+    f"{WITH}, {ISSUES}, {_ALL_ISSUES} SELECT repo_id, count(*) AS n_issues, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM all_issues GROUP BY 1",
 )
 def _(spark, d):
-    return security.security_summary(security.security_scan(synth.files(spark, d)))
+    return security.security_summary(security.all_issues(risky_files(spark, d)))
 
 
-@query("first_issues", f"{WITH}, {ISSUES} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line, rule_id, title, snippet)::INT AS rank FROM issues QUALIFY rank <= 50")
+@query("first_issues", f"{WITH}, {ISSUES}, {_ALL_ISSUES} SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line, rule_id, title, snippet)::INT AS rank FROM all_issues QUALIFY rank <= 50")
 def _(spark, d):
-    return security.first_issues(security.security_scan(synth.files(spark, d)))
+    return security.first_issues(security.all_issues(risky_files(spark, d)))
 
 
 @query(
@@ -475,7 +490,7 @@ def _(spark, d):
     counted = {
         "cycles": graph.detect_cycles(edges), "refs": refs.select("repo_id", "path", "dst").distinct(), "calls": extract.call_targets(bound, known),
         "unused": extract.unused_imports(known, extract.resolve_imports(known), bound, refs), "endpoints": endpoints.endpoints(files),
-        "models": models.orm_models(files), "issues": security.security_scan(files),
+        "models": models.orm_models(files), "issues": security.all_issues(files),
     }
     columns = {"lines": known.groupBy("repo_id").agg(F.sum("n_lines").alias("n_lines")), "grade": quality.quality_summary(files).select("repo_id", "grade")}
     return graph.graph_stats(known, edges, counted, columns)

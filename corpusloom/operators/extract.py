@@ -12,9 +12,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.catalog import EXPORT_RULES, IMPORT_RULES, JAVA_EXTERNAL, LANGUAGES, NAME_ROLES, RESOLUTION, ROLES
+from corpusloom.operators.catalog import EXPORT_RULES, JAVA_EXTERNAL, LANGUAGES, NAME_ROLES, RESOLUTION, ROLES
 from corpusloom.operators.corpus import extension
 from corpusloom.operators.hits import first, rows_of_files, suffix
+from corpusloom.operators.imports import statements
 from corpusloom.operators.lexing import bare, code_only
 from corpusloom.operators.uses import java_injections, java_uses, parse, python_uses
 
@@ -176,16 +177,6 @@ def _go(text: str) -> Iterator[tuple[str, str, list[str]]]:
             yield one(m)
 
 
-def _by_rules(text: str, lang: str) -> Iterator[tuple[str, str, list[str]]]:
-    for of, kind, pattern in IMPORT_RULES:
-        if of == lang:
-            for m in re.finditer(pattern, text, re.ASCII):
-                local = m[2] if m.re.groups > 1 else None
-                spec = m[1] if kind != "mod" else f"self::{m[1]}"
-                stem = re.sub(r"\.\w+$", "", m[1].rpartition("/")[2]) if "/" in m[1] else m[1]
-                yield spec, kind, [local or re.split(r"::|\.", stem)[-1]]
-
-
 READERS = {"javascript": _script, "typescript": _script, "vue": _script, "svelte": _script, "java": _java, "php": _php, "go": _go}
 
 
@@ -193,7 +184,7 @@ def _imports(path: str, text: str, lang: str, tree: ast.Module | None = None) ->
     read = READERS.get(lang)
     package = first(r"\bpackage\s+([\w.]+)\s*;", text).replace(".", "/") if lang == "java" else ""
     out: dict[tuple[str, str], list] = {}
-    for spec, kind, names in _python(tree) if tree is not None else read(text) if read else _by_rules(text, lang):
+    for spec, kind, names in _python(tree) if tree is not None else read(text) if read else statements(text, lang):
         family = "include" if lang == "php" and kind == "include" else "javascript" if lang in ("vue", "svelte") else lang
         ways = [] if lang == "java" and spec.startswith(JAVA_EXTERNAL) else candidates(path, family, spec, package)
         old = out.setdefault((spec, kind), [[], ways])

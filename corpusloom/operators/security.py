@@ -54,6 +54,13 @@ def security_scan(files: DataFrame, rules=SECURITY_RULES) -> DataFrame:
     return found.select("repo_id", "path", "rule_id", "title", "severity", "line", snippet.alias("snippet"))
 
 
+def all_issues(files: DataFrame) -> DataFrame:
+    """The findings of security_scan and the sensitive files, which have line 0 and their path as snippet."""
+    title = F.when(F.col("severity") == "high", "sensitive file by extension").otherwise("sensitive file by name")
+    named = sensitive_files(files).select("repo_id", "path", "rule_id", title.alias("title"), "severity", F.lit(0).cast("long").alias("line"), F.left("path", F.lit(SNIPPET)).alias("snippet"))
+    return security_scan(files).unionByName(named)
+
+
 def security_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("repo_id").agg(F.count("*").alias("n_issues"), *(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("critical", "high", "medium", "low")))
 

@@ -114,3 +114,33 @@ def test_no_call_from_comments_strings_or_hidden_names(spark):
     assert calls == {("c.py", "b.py", "b", "old", "call"), ("y.js", "x.js", "load", "load", "call"), ("p/Own.java", "p/Dep.java", "Dep", "go", "call"), ("p/Own.java", "p/Dep.java", "Dep", "dep", "inject")}
     bindings = extract.symbol_bindings(known)
     assert {(r["path"], r["symbol"]) for r in extract.cross_refs(bindings, known).collect()} == {("c.py", "b"), ("y.js", "load"), ("p/Own.java", "Dep")}
+
+
+IMPORTS = [
+    ("rust", "use crate::a::b as c;\nuse super::x::{One, Two as Zwei};\npub mod parts;\nmod inline { }\nuse std::fmt;\nuse self::y::*;\n", [("crate::a::b", "use", ["c"]), ("super::x", "use", ["One", "Zwei"]), ("self::parts", "mod", ["parts"]), ("self::y", "use", ["*"])]),
+    ("csharp", "using System.Linq;\nusing static A.B;\nusing Z = C.D;\nusing (var f = open()) { }\nusing var g = open();\n", [("System.Linq", "using", ["Linq"]), ("A.B", "using", ["B"]), ("C.D", "using", ["Z"])]),
+    ("cpp", "#include <vector>\n# include \"a/b.h\"\nint include = 3;\n", [("vector", "include", ["vector"]), ("a/b.h", "include", ["b"])]),
+    ("ruby", "require 'json'\nrequire_relative(\"../x/y\")\nputs 'require z'\nload 'q.rb'\n", [("json", "require", ["json"]), ("../x/y", "require", ["y"]), ("q.rb", "load", ["q"])]),
+    ("kotlin", "import a.b.C\nimport a.b.D as E\nimport a.f.*\nval import1 = 2\n", [("a.b.C", "import", ["C"]), ("a.b.D", "import", ["E"]), ("a.f.*", "import", ["*"])]),
+    ("scala", "import a.b.{C, D => E}\nimport x.y._\n", [("a.b", "import", ["C", "E"]), ("x.y.*", "import", ["*"])]),
+    ("lua", "local m = require 'a.b'\nlocal n = require(\"c\")\ndofile('d.lua')\n", [("a.b", "require", ["m"]), ("c", "require", ["n"]), ("d.lua", "dofile", ["d"])]),
+    ("dart", "import 'package:a/b.dart' as c;\npart of 'd.dart';\n", [("package:a/b.dart", "import", ["c"]), ("d.dart", "part", ["d"])]),
+    ("elixir", "alias A.B, as: C\nimport D.E\nalias F.{G, H}\n", [("A.B", "import", ["C"]), ("D.E", "import", ["E"]), ("F", "import", ["G", "H"])]),
+    ("haskell", "import qualified Data.Map as M\nimport A.B qualified as Q\nimport C (d)\n", [("Data.Map", "import", ["M"]), ("A.B", "import", ["Q"]), ("C", "import", ["C"])]),
+    ("zig", "const std = @import(\"std\");\n", [("std", "import", ["std"])]), ("r", "source('a.R'); library(dplyr)\n", [("a.R", "source", ["a"]), ("dplyr", "library", ["dplyr"])]),
+    ("nim", "import a/b, c\ninclude d\n", [("a/b", "import", ["b"]), ("c", "import", ["c"]), ("d", "include", ["d"])]),
+    ("shell", "source ./a.sh\n. 'b.sh'; ls\necho source x\n", [("./a.sh", "source", ["a"]), ("b.sh", "source", ["b"])]),
+    ("clojure", "(ns x (:require [a.b :as c] [d.e :refer [f]]))", [("a.b", "require", ["c"]), ("d.e", "require", ["e"])]),
+    ("erlang", "-include(\"a.hrl\").\n-include_lib(\"k/b.hrl\").\n", [("a.hrl", "include", ["a"]), ("k/b.hrl", "include", ["b"])]),
+    ("solidity", "import \"./a.sol\";\nimport {B as C} from './b.sol';\nimport * as D from \"d.sol\";\n", [("./a.sol", "import", ["a"]), ("./b.sol", "import", ["C"]), ("d.sol", "import", ["D"])]),
+    ("swift", "import Foundation\nimport class A.B\n", [("Foundation", "import", ["Foundation"]), ("A.B", "import", ["B"])]),
+    ("perl", "use A::B;\nrequire C::D;\nuse 5.010;\n", [("A::B", "use", ["B"]), ("C::D", "require", ["D"])]),
+    ("objc", "#import <UIKit/UIKit.h>\n#import \"A.h\"\n", [("UIKit/UIKit.h", "include", ["UIKit"]), ("A.h", "include", ["A"])]), ("groovy", "import static a.B\n", [("a.B", "import", ["B"])]),
+]
+
+
+@pytest.mark.parametrize("lang,text,want", IMPORTS)
+def test_import_statements(lang, text, want):
+    from corpusloom.operators.imports import statements
+
+    assert list(statements(text, lang)) == want
