@@ -506,7 +506,7 @@ def test_branches_and_tags(spark):
 
 
 def test_prompts_leave_out_what_is_described(spark):
-    got = corpus.prompt_table(of(spark, [("a.py", "x\n"), ("b.py", "y" * 9000)]), described=spark.createDataFrame([("a.py",)], "path string")).collect()
+    got = corpus.prompt_table(of(spark, [("a.py", "x\n"), ("b.py", "y" * 9000)]), described=spark.createDataFrame([("r", "a.py")], "repo_id string, path string")).collect()
     assert [r["path"] for r in got] == ["b.py"] and got[0]["prompt"].startswith("File: b.py\nLanguage: python\nLines: 1\n") and got[0]["prompt"].endswith("... (truncated)")
 
 
