@@ -170,8 +170,9 @@ class Ladder:
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    """A bit for each value of the n-grams' low bits, set if an odd number of n-grams has it; at least two bits an n-gram."""
-    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    """A bit for each value of the n-grams' low bits, set if an odd number of n-grams has it; one or two bits an n-gram (sets that share a
+    half still differ in twice the bits that 80 % allow)."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
     odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little")
 
@@ -455,21 +456,12 @@ def _map_links(percent: int):
 
 
 def _set_links(percent: int):
-    """Links within a group of rows node, probe, joined, grams, hint (a set that may link)."""
+    """Links within a group of rows node, probe, joined, grams: its prefix tree decides them all."""
 
     def run(rows: Rows) -> list[tuple[int, int]]:
         nodes, group, probes, rest = _rows_of(rows)
         sets = [np.frombuffer(x[0], dtype=np.uint64) for x in rest]
-        place = {node: i for i, node in enumerate(nodes)}
-        found = []
-        for i, x in enumerate(rest):
-            j = place.get(x[1], i)
-            if group[i] != group[j]:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                    group[group == group[j]] = group[i]
-                    found.append((i, j))
-        return _named(nodes, found + join_tree(sets, group, percent, np.flatnonzero(probes)))
+        return _named(nodes, join_tree(sets, group, percent, np.flatnonzero(probes)))
 
     return run
 
@@ -603,17 +595,15 @@ def described(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame
 
     bearers = known.where("doc_id is not null").join(clusters, "node").groupBy("node", "cluster").agg(F.min(F.struct("doc_id", "fp")).alias("doc"), F.first("n_shingles").alias("size"))
     bearers = stage(bearers)
-    hints = near.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("hint"))
     fixed = stage(
-        bearers.join(chunked(bearers, MOST_SETS, MOST_GRAMS), "cluster").join(hints, "node", "left")
-        .select(F.col("doc.doc_id").alias("doc"), F.col("doc.fp").alias("print"), F.col("node").alias("name"), "cluster", "m", "chunks", "hint")
+        bearers.join(chunked(bearers, MOST_SETS, MOST_GRAMS), "cluster").select(F.col("doc.doc_id").alias("doc"), F.col("doc.fp").alias("print"), F.col("node").alias("name"), "cluster", "m", "chunks")
     )
     own = docs.select(F.col("doc_id"), F.xxhash64("text").alias("fp"), "text")
     texts = maybe(own, "doc_id", fixed, "doc").join(fixed, (F.col("doc_id") == F.col("doc")) & (F.col("fp") == F.col("print")))
-    texts = texts.select(F.col("name").alias("node"), "cluster", "m", "chunks", "hint", "text")
-    held = T._parse_datatype_string("node long, cluster long, m long, chunks int, hint long, grams binary")
+    texts = texts.select(F.col("name").alias("node"), "cluster", "m", "chunks", "text")
+    held = T._parse_datatype_string("node long, cluster long, m long, chunks int, grams binary")
     sets, sets_path = stage_at(map_rows(texts, _sets(n), held))
-    links = linked(sets, fixed.withColumnRenamed("name", "node"), ("grams", "hint"), _set_links(percent))
+    links = linked(sets, fixed.withColumnRenamed("name", "node"), ("grams",), _set_links(percent))
     unstage(spark, sets_path)
     return known, links
 

@@ -141,6 +141,18 @@ def test_bitmaps_never_part_what_links():
     assert len(set(group.tolist())) > 1
 
 
+def test_a_group_that_links_as_a_whole_is_walked_by_its_tree(monkeypatch):
+    walked = []
+    real = ngram_join.join_tree
+    monkeypatch.setattr(ngram_join, "join_tree", lambda sets, *more: walked.append(len(sets)) or real(sets, *more))
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, len(base), 3)), rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 1 << 62, 190).astype(np.uint64)) for _ in range(5)]
+    links = ngram_join._set_links(90)([(i, True, None, s.tobytes()) for i, s in enumerate(sets)])
+    assert walked == [45] and {x for link in links for x in link} == set(range(40)) and len(links) == 39
+
+
 def test_tree_walk_finds_all_links():
     texts = sorted(set(copies(5, 3, 20, 80, 4)))
     sets = [ngram_join.gram_set(t, 3) for t in texts]
