@@ -40,6 +40,16 @@ def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``stage``, with the rows of equal ``keys`` in one bucket: joins and groupings that begin with these columns leave the table where it
+    is. The buckets are as many as the session's shuffle partitions; the table is an external one in the shared folder."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"staged_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def unstage(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.staging import shared_dir, stage
+from corpusloom.functions.staging import shared_dir, stage, stage_by
 from corpusloom.jobs import synth
 from corpusloom.jobs.queries import CYCLES, FILES, GRAPH, STATE, query
 from corpusloom.operators import endpoints, extract, graph, incremental, models, quality, security
@@ -292,8 +292,8 @@ RESOLVED = IMPORTS + ", resolved AS (SELECT DISTINCT repo_id, src, dst FROM same
 
 
 def facts(spark, d):
-    """Facts of the files, read once and written: the operators after it are joins."""
-    return stage(extract.facts(synth.files(spark, d)))
+    """Facts of the files, read once and written in buckets of (repo_id, path): the operators after it are joins, which leave them there."""
+    return stage_by(extract.facts(synth.files(spark, d)), "repo_id", "path")
 
 
 @query("raw_imports", f"{WITH}, {IMPORTS} SELECT * FROM imports")
@@ -431,8 +431,9 @@ UNUSED = BINDINGS + (
 @query("unused_imports", f"{WITH}, {UNUSED} SELECT * FROM unused")
 def _(spark, d):
     known = facts(spark, d)
-    bound = extract.symbol_bindings(known)
-    return extract.unused_imports(known, extract.resolve_imports(known), bound, extract.cross_refs(bound, known))
+    found = extract.targets(known)
+    bound = extract.symbol_bindings(known, found)
+    return extract.unused_imports(known, extract.resolve_imports(known, found=found), bound, extract.cross_refs(bound, known))
 
 
 #: What the bodies are for, by extension, as their authors would say.
@@ -485,11 +486,12 @@ _COUNT = lambda table, where="": f"(SELECT count(*) FROM {table} t WHERE t.repo_
 )
 def _(spark, d):
     known, files, edges = facts(spark, d), synth.files(spark, d), stage(synth.edges(spark, d))
-    bound = extract.symbol_bindings(known)
+    found = extract.targets(known)
+    bound = extract.symbol_bindings(known, found)
     refs = extract.cross_refs(bound, known)
     counted = {
         "cycles": graph.detect_cycles(edges), "refs": refs.select("repo_id", "path", "dst").distinct(), "calls": extract.call_targets(bound, known),
-        "unused": extract.unused_imports(known, extract.resolve_imports(known), bound, refs), "endpoints": endpoints.endpoints(files),
+        "unused": extract.unused_imports(known, extract.resolve_imports(known, found=found), bound, refs), "endpoints": endpoints.endpoints(files),
         "models": models.orm_models(files), "issues": security.all_issues(files),
     }
     columns = {"lines": known.groupBy("repo_id").agg(F.sum("n_lines").alias("n_lines")), "grade": quality.quality_summary(files).select("repo_id", "grade")}

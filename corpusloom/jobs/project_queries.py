@@ -149,9 +149,10 @@ def _(spark, d):
 )
 def _(spark, d):
     n, e, known = nodes(spark, d), stage(synth.edges(spark, d)), facts(spark, d)
-    bound = extract.symbol_bindings(known)
+    found = extract.targets(known)
+    bound = extract.symbol_bindings(known, found)
     refs = extract.cross_refs(bound, known)
-    rows = sinks.node_records(n, e, graph.assign_layers(n, e), known, refs, extract.call_targets(bound, known), extract.unused_imports(known, extract.resolve_imports(known), bound, refs))
+    rows = sinks.node_records(n, e, graph.assign_layers(n, e), known, refs, extract.call_targets(bound, known), extract.unused_imports(known, extract.resolve_imports(known, found=found), bound, refs))
     joined = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     named = F.flatten(F.transform(F.map_entries("cross_refs"), lambda x: F.transform(x["value"], lambda v: F.concat(v, F.lit("@"), x["key"]))))
     called = F.transform("call_targets", lambda c: F.concat(c["kind"], F.lit(":"), c["symbol"], F.lit("@"), c["file"]))

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.sketch import may_match
+from corpusloom.functions.staging import stage
 from corpusloom.operators.catalog import EXPORT_RULES, JAVA_EXTERNAL, LANGUAGES, NAME_ROLES, RESOLUTION, ROLES
 from corpusloom.operators.corpus import extension
 from corpusloom.operators.hits import first, rows_of_files, suffix
@@ -333,31 +335,39 @@ def raw_imports(known: DataFrame) -> DataFrame:
 
 def resolved_specs(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """repo_id, path, spec, dst: each spec's first candidate that exists among ``paths`` (by default the files that are known). One equi-join
-    on (repo_id, candidate), no contents in it."""
+    on (repo_id, candidate), no contents in it; most candidates that no file has are dropped before it, by a sketch of the paths."""
     each = known.select("repo_id", "path", F.explode("imports").alias("i"))
     tried = each.select("repo_id", "path", F.col("i.spec").alias("spec"), F.posexplode("i.candidates").alias("rank", "candidate"))
-    found = tried.join((known if paths is None else paths).select("repo_id", F.col("path").alias("candidate")), ["repo_id", "candidate"])
-    return found.groupBy("repo_id", "path", "spec").agg(F.min_by("candidate", "rank").alias("dst"))
+    there = (known if paths is None else paths).select("repo_id", F.col("path").alias("candidate"))
+    likely = may_match(tried, ["repo_id", "candidate"], there, ["repo_id", "candidate"])
+    return likely.join(there, ["repo_id", "candidate"]).groupBy("repo_id", "path", "spec").agg(F.min_by("candidate", "rank").alias("dst"))
 
 
-def resolve_imports(known: DataFrame, fallback: bool = True, paths: DataFrame | None = None) -> DataFrame:
+def targets(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """repo_id, path, spec, dst of every import that has a file, by its candidates or else by its class name (see class_name_imports). Written
+    once: edges and bindings take it as ``found``."""
+    direct = stage(resolved_specs(known, paths))
+    named = class_name_imports(known, paths, direct).select("repo_id", F.col("src").alias("path"), "spec", "dst")
+    return stage(direct.unionByName(named).distinct())
+
+
+def resolve_imports(known: DataFrame, fallback: bool = True, paths: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """repo_id, src, dst: the files that a file imports. fallback: what no candidate resolves is looked for by its class name (Java and
-    PHP, see resolve_by_class_name). paths: the files that exist, by default those that are known."""
-    found = resolved_specs(known, paths).select("repo_id", F.col("path").alias("src"), "dst")
-    if fallback:
-        found = found.unionByName(class_name_imports(known, paths).select("repo_id", "src", "dst"))
-    return found.where("src <> dst").distinct()
+    PHP, see resolve_by_class_name). paths: the files that exist, by default those that are known. found: ``targets``, if they are there."""
+    if found is None:
+        found = targets(known, paths) if fallback else resolved_specs(known, paths)
+    return found.select("repo_id", F.col("path").alias("src"), "dst").where("src <> dst").distinct()
 
 
-def unresolved(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """repo_id, path, language, spec, kind of imports without a file."""
+def unresolved(known: DataFrame, paths: DataFrame | None = None, direct: DataFrame | None = None) -> DataFrame:
+    """repo_id, path, language, spec, kind of imports without a file. direct: ``resolved_specs``, if they are there."""
     each = known.select("repo_id", "path", "language", F.explode("imports").alias("i")).select("repo_id", "path", "language", "i.spec", "i.kind")
-    return each.join(resolved_specs(known, paths), ["repo_id", "path", "spec"], "left_anti")
+    return each.join(resolved_specs(known, paths) if direct is None else direct, ["repo_id", "path", "spec"], "left_anti")
 
 
-def class_name_imports(known: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def class_name_imports(known: DataFrame, paths: DataFrame | None = None, direct: DataFrame | None = None) -> DataFrame:
     """repo_id, src, spec, name, dst of Java and PHP imports that only a class name resolves; external prefixes never do."""
-    left = unresolved(known, paths).where("kind in ('import', 'static', 'use')")
+    left = unresolved(known.where("language in ('java', 'php')"), known if paths is None else paths, direct).where("kind in ('import', 'static', 'use')")
     name = F.regexp_extract("spec", r"(\w+)$", 1)
     out = None
     for lang, ext in (("java", "java"), ("php", "php")):
@@ -394,33 +404,37 @@ def purpose(known: DataFrame) -> DataFrame:
     return known.select("repo_id", "path", "purpose")
 
 
-def symbol_bindings(known: DataFrame) -> DataFrame:
+def symbol_bindings(known: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """repo_id, path, symbol, dst: the local names that imports bind and the file they come from; ``*`` for all names of a file. Of
-    several bindings of a name the last counts."""
+    several bindings of a name the last counts. found: ``targets``, if they are there."""
     each = known.select("repo_id", "path", F.posexplode("imports").alias("place", "i")).select("repo_id", "path", "place", F.col("i.spec").alias("spec"), F.explode("i.names").alias("symbol"))
-    targets = resolved_specs(known).unionByName(class_name_imports(known).select("repo_id", F.col("src").alias("path"), "spec", "dst"))
-    bound = each.join(targets, ["repo_id", "path", "spec"])
+    bound = each.join(targets(known) if found is None else found, ["repo_id", "path", "spec"])
     stars = bound.where("symbol = '*'").select("repo_id", "path", "symbol", "dst").distinct()
     last = Window.partitionBy("repo_id", "path", "symbol").orderBy(F.col("place").desc(), "dst")
     named = bound.where("symbol <> '*'").withColumn("turn", F.row_number().over(last)).where("turn = 1").select("repo_id", "path", "symbol", "dst")
     return named.unionByName(stars)
 
 
-def used_words(known: DataFrame) -> DataFrame:
-    return known.select("repo_id", "path", F.explode("words").alias("symbol"))
+def _bound_files(bindings: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """repo_id, path, bound (the file's bindings) and ``column`` of the facts, for files with bindings. Facts that are bucketed by
+    (repo_id, path) stay where they are; bindings, which are narrow, come to them."""
+    bound = bindings.groupBy("repo_id", "path").agg(F.collect_set(F.struct("symbol", "dst")).alias("bound"))
+    return bound.join(known.select("repo_id", "path", column), ["repo_id", "path"], "left")
 
 
 def cross_refs(bindings: DataFrame, known: DataFrame) -> DataFrame:
-    """Bindings whose symbol occurs outside imports; ``*`` always counts."""
-    used = bindings.where("symbol <> '*'").join(used_words(known), ["repo_id", "path", "symbol"], "left_semi")
-    return used.unionByName(bindings.where("symbol = '*'").select(*used.columns))
+    """repo_id, path, symbol, dst: bindings whose symbol occurs outside imports, each once; ``*`` always counts. Decided within the file's row."""
+    used = F.filter("bound", lambda b: (b["symbol"] == "*") | F.array_contains(F.col("words"), b["symbol"]))
+    return _bound_files(bindings, known, "words").select("repo_id", "path", F.explode(used).alias("b")).select("repo_id", "path", "b.symbol", "b.dst").distinct()
 
 
 def call_targets(bindings: DataFrame, known: DataFrame) -> DataFrame:
-    """repo_id, src, dst, symbol, member, kind, n_sites: uses of bound symbols. One equi-join on (repo_id, path, symbol)."""
-    sites = known.select("repo_id", "path", F.explode("sites").alias("s")).select("repo_id", "path", "s.*")
-    counted = sites.groupBy("repo_id", "path", "symbol", "member", "kind").agg(F.count("*").alias("n_sites"))
-    return bindings.join(counted, ["repo_id", "path", "symbol"]).select("repo_id", F.col("path").alias("src"), "dst", "symbol", "member", "kind", "n_sites")
+    """repo_id, src, dst, symbol, member, kind, n_sites: uses of bound symbols. Sites meet bindings within the file's row."""
+    of_symbol = lambda b: F.filter("sites", lambda s: s["symbol"] == b["symbol"])
+    used = F.flatten(F.transform("bound", lambda b: F.transform(of_symbol(b), lambda s: F.struct(b["dst"].alias("dst"), s["symbol"].alias("symbol"), s["member"].alias("member"), s["kind"].alias("kind")))))
+    rows = _bound_files(bindings, known, "sites").select("repo_id", "path", F.explode(used).alias("u")).select("repo_id", "path", "u.*")
+    counted = rows.groupBy("repo_id", "path", "dst", "symbol", "member", "kind").agg(F.count("*").alias("n_sites"))
+    return counted.select("repo_id", F.col("path").alias("src"), "dst", "symbol", "member", "kind", "n_sites")
 
 
 def unused_imports(known: DataFrame, edges: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataFrame:
