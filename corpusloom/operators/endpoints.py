@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.catalog import ENDPOINT_RULES, REACH, ROUTE_METHODS
 from corpusloom.operators.corpus import per_repo_top
 from corpusloom.operators.hits import Lines, first, holds, rows_of_files, suffix
+from corpusloom.operators.literals import literals
 
 
 def join_path(base: Column, sub: Column) -> Column:
@@ -26,9 +27,9 @@ def endpoints(files: DataFrame, rules=ENDPOINT_RULES) -> DataFrame:
 
     def read(path: str, text: str) -> Iterator[tuple]:
         ext, line, bases = suffix(path), None, {}
-        for framework, extensions, pattern, method, route, base, handler, conditions in rules:
-            if ext not in extensions:
-                continue
+        own = tuple(rule for rule in rules if ext in rule[1])
+        for i in literals(tuple(rule[2] for rule in own)).wanted(text):
+            framework, _, pattern, method, route, base, handler, conditions = own[i]
             for m in re.finditer(pattern, text, re.ASCII):
                 if not holds(text, m.start(), m.end(), conditions):
                     continue

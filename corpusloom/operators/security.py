@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.catalog import SECURITY_RULES, SENSITIVE_EXTENSIONS, SENSITIVE_NAMES, UNCHECKED_DIRS
 from corpusloom.operators.corpus import basename, extension
 from corpusloom.operators.hits import Lines, holds, rows_of_files, suffix
+from corpusloom.operators.literals import literals
 
 #: Characters of a snippet; of a masked secret.
 SNIPPET, LONG, HEAD, TAIL, SHORT = 80, 30, 20, 5, 10
@@ -36,14 +37,14 @@ def mask_secret(text: Column) -> Column:
 
 def security_scan(files: DataFrame, rules=SECURITY_RULES) -> DataFrame:
     """repo_id, path, rule_id, title, severity, line, snippet of all content rules; secrets are masked. Files that are sensitive
-    by their extension aren't read."""
+    by their extension aren't read. A rule's pattern runs only on texts that have the literals it needs (see literals)."""
     clean = checked(files).where(~extension(F.col("path")).isin(*SENSITIVE_EXTENSIONS))
 
     def read(path: str, text: str) -> Iterator[tuple]:
         ext, line = suffix(path), None
-        for rule_id, title, severity, extensions, pattern, conditions in rules:
-            if extensions is not None and ext not in extensions:
-                continue
+        own = tuple(rule for rule in rules if rule[3] is None or ext in rule[3])
+        for i in literals(tuple(rule[4] for rule in own)).wanted(text):
+            rule_id, title, severity, _, pattern, conditions = own[i]
             for m in re.finditer(pattern, text, re.ASCII):
                 if holds(text, m.start(), m.end(), conditions):
                     line = line or Lines(text)
