@@ -1,6 +1,6 @@
 """A bitmap of key hashes that is broadcast to drop rows whose key can't be in a table before they are shuffled.
 
-It is sized by the number of keys (``PER_KEY`` bits each, one hash: about one stranger in ``PER_KEY`` passes) and never exceeds ``MOST_BITS``,
+It is sized by the number of keys (``PER_KEY`` bits each, up to twice that, and one hash: at most about one stranger in ``PER_KEY`` passes) and never exceeds ``MOST_BITS``,
 32 MiB; with so many keys that it would hold fewer than ``LEAST`` bits a key it says nothing and isn't made."""
 
 from __future__ import annotations
