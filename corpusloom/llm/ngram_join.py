@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ FEW = 12
 STRONG = 3
 #: Different sets that a task remembers, so as to list the edges of copies once.
 SEEN = 100_000
+#: Edges are told apart in so many rounds, each with its share of them, so that the disk holds the shuffle of one share at a time.
+ROUNDS = 4
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -112,6 +115,7 @@ class Ladder:
         self.percent = percent
         self.tops = [1]
         self.cuts: dict[int, tuple[int, int, int]] = {}
+        self.bounds: dict[int, np.ndarray] = {}
 
     def reach(self, size: int) -> None:
         while self.tops[-1] < 200 * size // self.percent + 2:
@@ -149,16 +153,28 @@ class Ladder:
             c += 1
         return found
 
+    def needed(self, size: int, c: int) -> int:
+        """How many parts of a class, from the first on, a set of ``size`` lists: more than it may differ in from any larger set of the
+        class, and those that may be weak. Larger sets list no fewer, so two that link meet within the parts of the smaller one."""
+        return allowed(size, min(self.tops[c], 100 * size // self.percent), self.percent) + 1 + self.cut(c)[1]
+
+    def ends(self, c: int) -> np.ndarray:
+        """The last hash of each part of a class."""
+        found = self.bounds.get(c)
+        if found is None:
+            parts = self.cut(c)[0]
+            found = self.bounds[c] = np.array([((i + 1) << 64) // parts - 1 for i in range(parts)], dtype=np.uint64)
+        return found
+
     def edges(self, grams: np.ndarray) -> np.ndarray:
-        """First edges of the prefix trees that begin at each part: hashes of class, part and run."""
+        """First edges of the prefix trees that begin at each part that the set lists: hashes of class, part and run."""
         mixed = mix(grams + np.uint64(1))
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
         out = [np.zeros(0, dtype=np.uint64)]
         for c in self.classes(len(grams)):
-            parts, slack, strong = self.cut(c)
-            ends = np.searchsorted(grams, np.array([((i + 1) << 64) // parts - 1 for i in range(parts)], dtype=np.uint64), side="right")
-            ends[-1] = len(grams)
-            cuts = np.concatenate([[0], ends])
+            _, slack, strong = self.cut(c)
+            parts = self.needed(len(grams), c)
+            cuts = np.concatenate([[0], np.searchsorted(grams, self.ends(c)[:parts], side="right")])
             edges = mix(np.diff(sums[cuts]) ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 32)))
             runs = np.diff(cuts)
             for least in range(strong, 0, -1):
@@ -351,7 +367,7 @@ def _describe(n: int, percent: int):
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         holds("ngram_join", _WORDS.clear)
-        sizes, names, maps, edges = [], [], [], []
+        sizes, names, maps, edges = [], [], [], [[] for _ in range(ROUNDS)]
         for text in cols["text"]:
             grams = gram_set(text, n)
             name = name_of(grams) if len(grams) else None
@@ -360,14 +376,18 @@ def _describe(n: int, percent: int):
             # of copies in a task one lists its edges, as long as the task remembers them
             if name is None or name in seen:
                 maps.append(None)
-                edges.append([])
+                for of_round in edges:
+                    of_round.append([])
                 continue
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(name)
             maps.append(bitmap(grams).tobytes())
-            edges.append(ladder.edges(grams).astype(np.int64))
-        return {"doc_id": cols["doc_id"], "fp": cols["fp"], "n_shingles": sizes, "node": names, "bits": maps, "edges": edges}
+            listed = ladder.edges(grams)
+            turns = listed % np.uint64(ROUNDS)
+            for turn, of_round in enumerate(edges):
+                of_round.append(listed[turns == turn].astype(np.int64))
+        return {"doc_id": cols["doc_id"], "fp": cols["fp"], "n_shingles": sizes, "node": names, "bits": maps} | {f"edges_{i}": x for i, x in enumerate(edges)}
 
     return run
 
@@ -572,17 +592,21 @@ def described(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame
     """doc_id, fp (hash of the text), n_shingles, node (name of its set) for every document, and links u, v that join
     the nodes of each class."""
     spark = docs.sparkSession
-    shape = "n_shingles long, node long, bits binary, edges array<long>"
+    shape = "n_shingles long, node long, bits binary" + "".join(f", edges_{i} array<long>" for i in range(ROUNDS))
     shape = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), *T._parse_datatype_string(shape).fields])
     wide, wide_path = stage_at(map_rows(docs.select("doc_id", F.xxhash64("text").alias("fp"), "text"), _describe(n, percent), shape))
-    # one shuffle of narrow rows, by ranges of both columns, so that an edge of many sets is dealt over several partitions
-    ordered = wide.select(F.explode("edges").alias("edge"), "node").repartitionByRange(_partitions(spark), "edge", "node").sortWithinPartitions("edge", "node")
-    shared, shared_path = stage_at(ordered.mapInArrow(_shared_edges, "edge long, nodes array<long>, whole boolean"))
+    # a shuffle of narrow rows, by ranges of both columns, so that an edge of many sets is dealt over several partitions
+    staged = []
+    for i in range(ROUNDS):
+        ordered = wide.select(F.explode(f"edges_{i}").alias("edge"), "node").repartitionByRange(_partitions(spark), "edge", "node").sortWithinPartitions("edge", "node")
+        staged.append(stage_at(ordered.mapInArrow(_shared_edges, "edge long, nodes array<long>, whole boolean")))
+    shared = reduce(DataFrame.unionByName, [rows for rows, _ in staged])
     known = stage(wide.select("doc_id", "fp", "n_shingles", "node"))
     # copies with few changes meet at many edges: of those with the very same sets one is enough
     once = shared.where("whole").groupBy("nodes").agg(F.min("edge").alias("cluster")).select("cluster", F.explode("nodes").alias("node"))
     below = stage(once.unionByName(shared.where("not whole").select(F.col("edge").alias("cluster"), F.explode("nodes").alias("node"))).distinct())
-    unstage(spark, shared_path)
+    for _, path in staged:
+        unstage(spark, path)
     wanted = below.select("node").distinct()
     maps = stage(wide.where("bits is not null").select("node", F.col("n_shingles").alias("size"), "bits").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
     unstage(spark, wide_path)

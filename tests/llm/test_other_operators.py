@@ -131,6 +131,44 @@ def test_keep_one_of_equal_ids_and_odd_columns(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "alpha beta gamma delta"), ("1", "totally other words here"), ("None", "alpha beta gamma delta")]
 
 
+def test_sets_list_few_edges_and_linked_ones_meet_at_one():
+    """As many differences as a link allows, one in each of the parts that a set lists first: the worst case."""
+    rng = np.random.default_rng(3)
+    for percent, most_listed in ((80, 0.44), (90, 0.2)):
+        ladder = ngram_join.Ladder(percent)
+        listed = grams = 0
+        for size in [*range(4, 60), *rng.integers(60, 2500, 100).tolist()]:
+            a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            for grown in (False, True):
+                # a larger set has grams more; one of equal size has grams of its own instead of some of these
+                most = max(d for d in range(size) if 100 * (size if grown else size - d) >= percent * (size + d))
+                c = ladder.classes(size)[-1] if ladder.classes(size) else None
+                if not most or c is None:
+                    continue
+                ends = ladder.ends(c)[:most]
+                extra = (ends - np.arange(most, dtype=np.uint64) * np.uint64(7919) % np.uint64(1000003))
+                lost = np.unique(np.minimum(np.searchsorted(a, ends), size - 1))[:most]
+                b = np.union1d(a if grown else np.delete(a, lost), extra[: most if grown else len(lost)])
+                shared = len(np.intersect1d(a, b))
+                assert 100 * shared >= percent * (len(a) + len(b) - shared)
+                x, y = ladder.edges(a), ladder.edges(b)
+                assert len(np.intersect1d(x, y)), (percent, size, grown)
+                listed, grams = listed + len(x), grams + len(a)
+        assert listed < most_listed * grams
+
+
+def test_edges_are_dealt_to_rounds():
+    texts = [" ".join(f"w{i * i % 997}" for i in range(k, k + 300)) for k in (0, 10)]
+    got = ngram_join._describe(5, 80)({"doc_id": [0, 1, 2], "fp": [0, 1, 2], "text": [*texts, texts[0]]})
+    rounds = [got[f"edges_{i}"] for i in range(ngram_join.ROUNDS)]
+    every = [np.concatenate([of_round[k] for of_round in rounds]) for k in range(3)]
+    for k in range(2):
+        assert sorted(every[k]) == sorted(ngram_join.Ladder(80).edges(ngram_join.gram_set(texts[k], 5)).astype(np.int64))
+        assert max(len(of_round[k]) for of_round in rounds) < 0.5 * len(every[k])
+    assert len(every[2]) == 0
+    assert not any(set(a[0]) & set(b[1]) for i, a in enumerate(rounds) for j, b in enumerate(rounds) if i != j)
+
+
 def test_bitmaps_never_part_what_links():
     texts = sorted(set(copies(8, 2, 60, 90, 12) + copies(9, 1, 40, 300, 40)))
     sets = [ngram_join.gram_set(t, 5) for t in texts]
