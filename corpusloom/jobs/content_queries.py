@@ -291,9 +291,9 @@ IMPORTS = SAME + (
 RESOLVED = IMPORTS + ", resolved AS (SELECT DISTINCT repo_id, src, dst FROM same)"
 
 
-def facts(spark, d):
+def facts(spark, d, files=None):
     """Facts of the files, read once and written in buckets of (repo_id, path): the operators after it are joins, which leave them there."""
-    return stage_by(extract.facts(synth.files(spark, d)), "repo_id", "path")
+    return stage_by(extract.facts(synth.files(spark, d) if files is None else files), "repo_id", "path")
 
 
 @query("raw_imports", f"{WITH}, {IMPORTS} SELECT * FROM imports")
@@ -485,7 +485,9 @@ _COUNT = lambda table, where="": f"(SELECT count(*) FROM {table} t WHERE t.repo_
     "(SELECT grade FROM graded2 t WHERE t.repo_id = r.repo_id) AS grade FROM (SELECT DISTINCT repo_id FROM part_files) r",
 )
 def _(spark, d):
-    known, files, edges = facts(spark, d), synth.files(spark, d), stage(synth.edges(spark, d))
+    keys = synth.keys(spark, d)
+    files, edges = stage(synth.files(spark, d, keys)), stage(synth.edges(spark, d, keys))
+    known = facts(spark, d, files)
     found = extract.targets(known)
     bound = extract.symbol_bindings(known, found)
     refs = extract.cross_refs(bound, known)

@@ -134,7 +134,8 @@ _COLOUR = "CASE layer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sinks.CO
     "(SELECT count(DISTINCT symbol) FROM refs r WHERE r.path = g.path) AS n_symbols FROM degrees g JOIN layers l ON g.path = l.path",
 )
 def _(spark, d):
-    n, e, known = nodes(spark, d), stage(synth.edges(spark, d)), facts(spark, d)
+    keys = synth.keys(spark, d)
+    n, e, known = nodes(spark, d), stage(synth.edges(spark, d, keys)), facts(spark, d, synth.files(spark, d, keys))
     return sinks.graph_export(n, e, graph.assign_layers(n, e), extract.cross_refs(extract.symbol_bindings(known), known))
 
 
@@ -148,7 +149,8 @@ def _(spark, d):
     "coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM unused u WHERE u.src = l.path), '') AS unused_imports FROM layers l JOIN files f ON f.path = l.path",
 )
 def _(spark, d):
-    n, e, known = nodes(spark, d), stage(synth.edges(spark, d)), facts(spark, d)
+    keys = synth.keys(spark, d)
+    n, e, known = nodes(spark, d), stage(synth.edges(spark, d, keys)), facts(spark, d, synth.files(spark, d, keys))
     found = extract.targets(known)
     bound = extract.symbol_bindings(known, found)
     refs = extract.cross_refs(bound, known)

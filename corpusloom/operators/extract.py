@@ -18,7 +18,7 @@ from corpusloom.operators.catalog import EXPORT_RULES, JAVA_EXTERNAL, LANGUAGES,
 from corpusloom.operators.corpus import extension
 from corpusloom.operators.hits import first, rows_of_files, suffix
 from corpusloom.operators.imports import statements
-from corpusloom.operators.lexing import bare, code_only
+from corpusloom.operators.lexing import bare, bare_and_code, code_only
 from corpusloom.operators.uses import java_injections, java_uses, parse, python_uses
 
 #: Lines that are imports: of scripts (what is declared beside an import of none still counts), and of other languages.
@@ -316,13 +316,13 @@ def facts(files: DataFrame) -> DataFrame:
     def read(path: str, text: str) -> list[tuple]:
         lang = language(path)
         tree = parse(text) if lang == "python" else None
-        clean = text if tree is not None else bare(text, lang)
+        clean, code = (text, "") if tree is not None else bare_and_code(text, lang)
         exported = _exports(clean, lang, tree)
         found = _imports(path, clean, lang, tree) if tree is not None or lang in READERS or lang in RESOLUTION else []
         if tree is not None:
             sites, words = python_uses(tree)
         else:
-            sites, words = _sites(code_only(text, lang), lang), _words(clean, lang)
+            sites, words = _sites(code, lang), _words(clean, lang)
         return [(lang, len(text.splitlines()), _purpose(clean, lang, exported, tree), found, exported, words, sites)]
 
     return rows_of_files(files, read, FACTS)

@@ -45,3 +45,24 @@ def test_detect_cycles_each_way(spark, way):
     want = shortest_cycles(pairs)
     assert len(want) > 5
     assert found == sorted([(c, repo, c.count(" > ") + 1) for c in want for repo in ("q", "r")] + [("x > y > z", "q", 2)], key=str)
+
+
+@pytest.mark.parametrize("name", ["graph_stats", "graph_export", "node_records"])
+def test_edges_are_derived_once_a_query(spark, monkeypatch, name):
+    import __spark_entry__
+    from corpusloom.jobs import synth
+
+    made, real = [], synth.key_edges
+    monkeypatch.setattr(synth, "key_edges", lambda *a: made.append(1) or real(*a))
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
+def test_comments_and_strings_are_read_once(monkeypatch):
+    from corpusloom.operators import lexing
+
+    texts = [("java", 'a("x // no"); // b("y")\n/* c */ d();'), ("javascript", "f(`a ${g(1)} b`); // c"), ("html", "<!-- a --><script>f('x') // c</script>"), ("go", "")]
+    want = [(lexing.bare(text, lang), lexing.code_only(text, lang)) for lang, text in texts]
+    read, real = [], lexing._found
+    monkeypatch.setattr(lexing, "_found", lambda *a: read.append(1) or real(*a))
+    assert [lexing.bare_and_code(text, lang) for lang, text in texts] == want and len(read) == len(texts)
