@@ -66,3 +66,18 @@ def test_comments_and_strings_are_read_once(monkeypatch):
     read, real = [], lexing._found
     monkeypatch.setattr(lexing, "_found", lambda *a: read.append(1) or real(*a))
     assert [lexing.bare_and_code(text, lang) for lang, text in texts] == want and len(read) == len(texts)
+
+
+def test_long_cycles_in_few_tables(spark, monkeypatch):
+    pairs = random_pairs(3)
+    nodes, edges = graph_of(spark, *pairs)
+    want = {c for c in shortest_cycles(pairs) if c.count(" > ") > 1}
+    made = count_tables(monkeypatch)
+    assert {r["related_file"] for r in rules.max_cycle_size(nodes, edges, {"type": "max_cycle_size", "max": 2}).collect()} == want
+    assert len(made) <= 5
+
+
+def test_long_cycles_over_short_ones_each_way(spark, way):
+    both = lambda *names: [(a, b) for a in names for b in names if a != b]
+    _, edges = graph_of(spark, *both("a > b", "b", "c"), *both("x", "y"), ("p", "q"), ("q", "r"), ("r", "p"))
+    assert {r["cycle"] for r in graph.long_cycles(edges, 2).collect()} == {"a > b > b > c", "p > q > r"}
