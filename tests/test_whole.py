@@ -81,3 +81,9 @@ def test_long_cycles_over_short_ones_each_way(spark, way):
     both = lambda *names: [(a, b) for a in names for b in names if a != b]
     _, edges = graph_of(spark, *both("a > b", "b", "c"), *both("x", "y"), ("p", "q"), ("q", "r"), ("r", "p"))
     assert {r["cycle"] for r in graph.long_cycles(edges, 2).collect()} == {"a > b > b > c", "p > q > r"}
+
+
+def test_rule_summary_in_few_tables(spark, monkeypatch):
+    nodes, edges = graph_of(spark, *random_pairs(3))
+    made = count_tables(monkeypatch)
+    assert rules.rule_summary(nodes, edges).first()["checked"] == 6 and len(made) <= 6
