@@ -87,3 +87,12 @@ def test_rule_summary_in_few_tables(spark, monkeypatch):
     nodes, edges = graph_of(spark, *random_pairs(3))
     made = count_tables(monkeypatch)
     assert rules.rule_summary(nodes, edges).first()["checked"] == 6 and len(made) <= 6
+
+
+def test_cycle_members_each_way(spark, way, monkeypatch):
+    _, edges = graph_of(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("t", "a"), ("f", "f"), ("a", "b"), ("z", "a"))
+    edges = edges.unionByName(spark.createDataFrame([("s", "ü", "a"), ("s", "a", "ü"), (None, "a", "b"), (None, "b", "a"), ("s", None, "a")], edges.schema))
+    made = count_tables(monkeypatch)
+    got = {tuple(r) for r in graph.cycle_members(edges).select("repo_id", "path", "component", "size").collect()}
+    assert got == {("r", "a", "a", 3), ("r", "b", "a", 3), ("r", "c", "a", 3), ("r", "d", "d", 2), ("r", "e", "d", 2), ("s", "a", "a", 2), ("s", "ü", "a", 2)}
+    assert way == "rounds" or len(made) == 1
