@@ -96,3 +96,20 @@ def test_cycle_members_each_way(spark, way, monkeypatch):
     got = {tuple(r) for r in graph.cycle_members(edges).select("repo_id", "path", "component", "size").collect()}
     assert got == {("r", "a", "a", 3), ("r", "b", "a", 3), ("r", "c", "a", 3), ("r", "d", "d", 2), ("r", "e", "d", 2), ("s", "a", "a", 2), ("s", "ü", "a", 2)}
     assert way == "rounds" or len(made) == 1
+
+
+def test_short_cycles_each_way(spark, way, monkeypatch):
+    pairs = random_pairs(5, 9, 26)
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    ways, want = [(a,) for a in after], set()
+    while ways:
+        ways = [(*w, x) for w in ways for x in after.get(w[-1], ()) if x > w[0] and x not in w]
+        want |= {" > ".join(w) for w in ways if w[0] in after.get(w[-1], ())}
+    _, edges = graph_of(spark, *pairs)
+    for most in (2, 5) if way != "rounds" else (4,):
+        made = count_tables(monkeypatch)
+        got = graph.short_cycles(edges, most).collect()
+        assert sorted((r["cycle"], r["size"], r["bound"]) for r in got) == sorted((c, c.count(" > ") + 1, most) for c in want if c.count(" > ") < most)
+        assert way == "rounds" or len(made) == 2
