@@ -113,3 +113,15 @@ def test_short_cycles_each_way(spark, way, monkeypatch):
         got = graph.short_cycles(edges, most).collect()
         assert sorted((r["cycle"], r["size"], r["bound"]) for r in got) == sorted((c, c.count(" > ") + 1, most) for c in want if c.count(" > ") < most)
         assert way == "rounds" or len(made) == 2
+
+
+def test_layers_in_one_table_each_way(spark, way, monkeypatch):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(6)]
+    nodes, edges = graph_of(spark, *chain, ("n00", "n04"), ("on", "l1"), ("l1", "l2"), ("l2", "l1"), ("self", "self"), alone=["alone"])
+    edges = edges.unionByName(spark.createDataFrame([("r", "alone", "unknown"), ("r", "nobody", "n00")], edges.schema))
+    nodes = nodes.unionByName(spark.createDataFrame([("r", "n06"), ("s", "n00"), (None, "a"), ("r", None)], nodes.schema))
+    made = count_tables(monkeypatch)
+    want = [("r", f"n{i:02d}", 6 - i) for i in range(7)] + [("r", x, None) for x in ("on", "l1", "l2", "alone", None)] + [("r", "self", 0), ("r", "n06", 0), ("s", "n00", 0), (None, "a", None)]
+    got = graph.topological_layers(nodes, edges).select("repo_id", "path", "depth").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert way == "rounds" or len(made) == 1
